@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from photonlake.llm import language_id, packing, secrets, token_count, toxicity
+from pyspark.sql import functions as F
+
+from photonlake.llm import decontaminate, language_id, packing, secrets, simhash, token_count, toxicity, vector_search
 from photonlake.llm.common import table
 
 
@@ -10,6 +12,14 @@ def op1_token_counts(spark, sf_dir):
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_vector_search(spark, sf_dir):
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
 
@@ -22,9 +32,28 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.held_out_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_secret_scan, op6_language_id, op7_toxicity, op10_packing)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_vector_search, op3_simhash, op5_secret_scan, op6_language_id, op7_toxicity, op9_decontamination, op10_packing)}
+ORACLE: dict[str, str] = {
+    "op2_vector_search": """
+        with good as (
+            select vec_id, cast(embedding as double[]) as v from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, x -> x <> 0)) > 0),
+        scored as (
+            select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v) as score
+            from good a join good b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
+        ranked as (
+            select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank,
+                   vec_id, score
+            from scored)
+        select query_id, rank, vec_id, score from ranked where rank <= 20""",
+}
