@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from photonlake.llm import decontaminate, language_id, packing, secrets, simhash, token_count, toxicity, vector_search
+from photonlake.llm import decontaminate, language_id, packing, secrets, simhash, substring_dedup, suffix_dedup, token_count, toxicity, vector_search
 from photonlake.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
 
@@ -32,6 +36,10 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.held_out_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,7 +48,7 @@ def op10_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_vector_search, op3_simhash, op5_secret_scan, op6_language_id, op7_toxicity, op9_decontamination, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_vector_search, op3_simhash, op4_suffix_dedup, op5_secret_scan, op6_language_id, op7_toxicity, op8_substring_dedup, op9_decontamination, op10_packing)}
 ORACLE: dict[str, str] = {
     "op2_vector_search": """
         with good as (
