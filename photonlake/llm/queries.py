@@ -54,8 +54,8 @@ ORACLE: dict[str, str] = {
         with good as (
             select vec_id, cast(embedding as double[]) as v from embeddings
             where vec_id is not null and embedding is not null
-              and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-              and len(list_filter(embedding, x -> x <> 0)) > 0),
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0),
         scored as (
             select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v) as score
             from good a join good b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
@@ -64,4 +64,32 @@ ORACLE: dict[str, str] = {
                    vec_id, score
             from scored)
         select query_id, rank, vec_id, score from ranked where rank <= 20""",
+    "op4_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        p as (select doc_id, h, unnest(range(1, len(h) // 2 - 98)) as i from d where len(h) >= 200),
+        w as (select doc_id, i, md5(substr(h, 2 * i - 1, 200)) as k from p),
+        f as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as r from w) where r > 1),
+        s as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from f),
+        g as (select doc_id, i, sum(case when before is null or i > before + 100 then 1 else 0 end) over (partition by doc_id order by i) as g from s),
+        runs as (select doc_id, g, min(i) as a, max(i) + 99 as b from g group by doc_id, g),
+        parts as (select r.doc_id, a, b, substr(h, 2 * coalesce(lag(b) over v, 0) + 1, 2 * (a - 1 - coalesce(lag(b) over v, 0))) as part
+                  from runs r join d on r.doc_id = d.doc_id window v as (partition by r.doc_id order by a)),
+        kept as (select doc_id, sum(b - a + 1) as n_removed, count(*) as n_spans, string_agg(part, '' order by a) as front, max(b) as last from parts group by doc_id)
+        select d.doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+               sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+        from d left join kept on d.doc_id = kept.doc_id""",
+    "op8_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        p as (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35),
+        k as (select doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) as k from p),
+        f as (select doc_id, i from (select doc_id, i, count(*) over (partition by k) as n from k) where n > 1),
+        s as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from f),
+        g as (select doc_id, i, sum(case when before is null or i > before + 35 then 1 else 0 end) over (partition by doc_id order by i) as g from s),
+        runs as (select doc_id, g, min(i) as a, max(i) + 34 as b from g group by doc_id, g),
+        parts as (select r.doc_id, a, b, list_slice(w, coalesce(lag(b) over v, 0) + 1, a - 1) as part
+                  from runs r join d on r.doc_id = d.doc_id window v as (partition by r.doc_id order by a)),
+        kept as (select doc_id, sum(b - a + 1) as n_removed, flatten(list(part order by a)) as front, max(b) as last from parts group by doc_id)
+        select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+               sha256(array_to_string(list_concat(coalesce(front, []), list_slice(w, coalesce(last, 0) + 1, len(w))), ' ')) as kept_sha256
+        from d left join kept on d.doc_id = kept.doc_id""",
 }
