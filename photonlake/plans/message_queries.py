@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from photonlake.functions.shared import new_folder
 from photonlake.operators import flatten, inertial, routing
 from photonlake.plans.register import query
 from photonlake.sources import recordings
@@ -180,3 +181,20 @@ def multiarray_shape(spark, sf_dir):
 @query("select stream, seq, t, wx as value from fx_imu")
 def flatten_scalar(spark, sf_dir):
     return flatten.flatten_scalar(nested(spark, sf_dir, "fx_imu", data="wx"))
+
+
+@query("""select substr(topic, 2) as "group", seq, bag_time_us as t, value from fx_messages where topic in ('/click', '/view')""")
+def dataset_write(spark, sf_dir):
+    """Routed messages written as a dataset, and two of its groups read back."""
+    m = messages(spark, sf_dir)
+    out = new_folder(spark, "dataset")
+    rows = routing.route(m, message_plan(m)).withColumns({"stream": F.col("user_id") % 4, "t": F.col("bag_time_us")})
+    recordings.write_dataset(rows.select("group", "stream", "t", "seq", "value"), out)
+    return spark.read.parquet(out).filter(F.col("group").isin("click", "view")).select("group", "seq", "t", "value")
+
+
+@query("select topic, seq, bag_time_us, value from fx_messages where topic in ('/signup', '/error')")
+def read_messages(spark, sf_dir):
+    out = new_folder(spark, "messages")
+    messages(spark, sf_dir).write.partitionBy("topic").parquet(out)
+    return recordings.read_messages(spark, out, ["/signup", "/error"]).select("topic", "seq", "bag_time_us", "value")
