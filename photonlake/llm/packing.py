@@ -24,7 +24,6 @@ from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -279,14 +278,15 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     shared = spark.sparkContext.broadcast((first, slots(made)))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
 
-    def place(frames):
+    def place(batches):
         first, s = shared.value
         wide = int(first[:, -1].max(initial=0)) + 1
         keys = s["length"] * wide + s["rank"]
-        for f in frames:
-            length = f["length"].to_numpy()
-            rank = f["r"].to_numpy() - 1 + first[length, f["salt"].to_numpy()]
+        for b in batches:
+            length = b.column("length").to_numpy()
+            rank = b.column("r").to_numpy() - 1 + first[length, b.column("salt").to_numpy()]
             at = np.searchsorted(keys, length * wide + rank, "right") - 1
-            yield pd.DataFrame({**{c: f[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}, "sequence_id": s["sequence"][at] + rank - s["rank"][at], "offset": s["offset"][at]})
+            kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.record_batch([*(b.column(c) for c in kept), pa.array(s["sequence"][at] + rank - s["rank"][at]), pa.array(s["offset"][at])], [*kept, "sequence_id", "offset"])
 
-    return cut.withColumn("r", F.row_number().over(order)).mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return cut.withColumn("r", F.row_number().over(order)).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -417,3 +417,27 @@ def test_nnls_meets_its_conditions():
     x = packing.nnls(a, b)
     slope = a.T @ (b - a @ x)
     assert (x >= 0).all() and (slope < 1e-6).all() and np.abs(slope[x > 1e-9]).max(initial=0) < 1e-6
+
+
+def test_rows_without_a_key(spark, small):
+    """They are returned, once each, and get no one else's results."""
+    text = " ".join(f"w{k}" for k in range(80))
+    df = docs_of(spark, [text, text, None, "token = abcdef123", text], [None, None, None, None, 7])
+    items = spark.createDataFrame([(1, "zzz yyy xxx www vvv uuu ttt sss rrr")], "item_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (None, 0)], "doc_id long, toxic int")
+    for out in (
+        token_count.token_counts(df),
+        simhash.near_duplicates(df),
+        suffix_dedup.digest(df),
+        secrets.digest(secrets.secret_spans(df)),
+        language_id.held_out_query(df),
+        toxicity.held_out_query(df, labels),
+        substring_dedup.digest(df),
+        packing.packed(df),
+    ):
+        rows = out.collect()
+        assert sorted(r.doc_id is None for r in rows) == [False, True, True, True, True], out.columns
+    assert {r.n_removed for r in suffix_dedup.digest(df).collect()} == {0}
+    assert decontaminate.contaminated(df, items).collect() == []
+    assert simhash.keep_first(df).count() == 5
+    assert decontaminate.clean(df, items).count() == 5
