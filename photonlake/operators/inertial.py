@@ -52,12 +52,20 @@ def stream_time_offset(df: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def rate_hz(samples: DataFrame, window_us: int = 1_000_000, buckets: int | None = None) -> DataFrame:
-    """Rate over the last second of each sample: (n - 1) / span, null for one sample or no span. Rows within a window's
-    length before a bucket are copied into it, so that a stream runs in many tasks."""
-    df = bucketed(samples.select("stream", "seq", "t"), ["stream"], "t", buckets).withColumn("_own", F.lit(True))
-    starts = df.groupBy("stream", "_bucket").agg(F.min("t").alias("_start"))
-    halo = df.alias("d").join(starts.alias("s"), (F.col("d.stream") == F.col("s.stream")) & (F.col("s._bucket") > F.col("d._bucket")) & (F.col("d.t") >= F.col("s._start") - window_us))
-    both = df.unionByName(halo.select("d.stream", "d.seq", "d.t", "s._bucket", F.lit(False).alias("_own")))
+    """Rate over the last second of each sample: (n - 1) / span, null for one sample or no span. So that a stream runs in
+    many tasks, the rows at most a window before a later bucket's start are copied into that bucket."""
+    df = bucketed(samples.select("stream", "seq", "t"), ["stream"], "t", buckets)
+    by_bucket = Window.partitionBy("stream").orderBy("_bucket")
+    spans = df.groupBy("stream", "_bucket").agg(F.min("t").alias("_start"), F.max("t").alias("_end")).withColumn("_next", F.lead("_start").over(by_bucket))
+    late = df.join(spans.select("stream", "_bucket", "_next"), ["stream", "_bucket"]).filter(F.col("t") >= F.col("_next") - window_us).drop("_next")
+    a, b = spans.alias("a"), spans.alias("b")  # a row a bucket: how many later buckets can one row reach?
+    reach = a.join(b, (F.col("a.stream") == F.col("b.stream")) & (F.col("b._bucket") > F.col("a._bucket")) & (F.col("b._start") <= F.col("a._end") + window_us))
+    most = reach.groupBy("a.stream", "a._bucket").agg(F.max(F.col("b._bucket") - F.col("a._bucket")).alias("k")).agg(F.max("k")).first()[0] or 0
+    both = df.withColumn("_own", F.lit(True))
+    if most:
+        copies = late.withColumn("_bucket", F.explode(F.sequence(F.col("_bucket") + 1, F.col("_bucket") + most)))
+        near = copies.join(spans.select("stream", "_bucket", "_start"), ["stream", "_bucket"]).filter(F.col("t") >= F.col("_start") - window_us)
+        both = both.unionByName(near.select("stream", "seq", "t", "_bucket", F.lit(False).alias("_own")))
     w = Window.partitionBy("stream", "_bucket").orderBy("t").rangeBetween(-window_us, 0)
     n, span = F.count("*").over(w), F.col("t") - F.min("t").over(w)
     return both.withColumn("rate_hz", F.when((n >= 2) & (span > 0), (n - 1) / (span / 1e6))).filter("_own").select("stream", "seq", "t", "rate_hz")

@@ -82,15 +82,19 @@ def late_packets(packets: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "stream long, packet_id long, accepted boolean")
 
 
-def noise_filter(events: DataFrame, duration_us: int, rows_kept: str = "1 hour") -> DataFrame:
-    """The background-activity filter with each pixel's last support time as state. Rows older than a pixel's state are
-    judged by the support seen so far."""
-    own = events.select("stream", "x", "y", "t", "seq", "p", F.lit(True).alias("own"))
+def noise_filter(events: DataFrame, duration_us: int, delay: str = "1 second") -> DataFrame:
+    """The background-activity filter with each pixel's last support time as state, which goes once the watermark has
+    passed all it can support. Rows older than a pixel's state are judged by the support seen so far."""
+    events = with_ts(events, delay)
+    own = events.select("stream", "x", "y", "t", "seq", "p", F.lit(True).alias("own"), "ts")
     near = F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in AROUND))
-    support = events.select("stream", "t", "seq", F.explode(near).alias("n")).select("stream", F.col("n.x").alias("x"), F.col("n.y").alias("y"), "t", "seq", F.lit(None).cast("int").alias("p"), F.lit(False).alias("own"))
+    support = events.select("stream", "t", "seq", "ts", F.explode(near).alias("n")).select("stream", F.col("n.x").alias("x"), F.col("n.y").alias("y"), "t", "seq", F.lit(None).cast("int").alias("p"), F.lit(False).alias("own"), "ts")
     schema = "stream long, x int, y int, t long, seq long, p int"
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["t", "seq"])
         keep = []
@@ -100,9 +104,10 @@ def noise_filter(events: DataFrame, duration_us: int, rows_kept: str = "1 hour")
                 last = int(t) if last is None else max(last, int(t))
         if last is not None:
             state.update((last,))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), (last + duration_us) // 1000) + 1)
         yield rows[keep][["stream", "x", "y", "t", "seq", "p"]].astype({"p": "int32"})
 
-    return own.unionByName(support).groupBy("stream", "x", "y").applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    return own.unionByName(support).groupBy("stream", "x", "y").applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def attitude(imu: DataFrame) -> DataFrame:

@@ -195,3 +195,9 @@ def test_empty_tables(spark):
     w = windows.tumbling(e, 1000)
     for df in (windows.window_counts(w), windows.decimate(w, 3), windows.dense_frame(w, 4, 4), filters.background_activity_filter(e), recordings.recording_span(e), flatten.packetize(e), rank(e, ["stream"], ["t"], "r")):
         assert df.collect() == []
+
+
+def test_rate_in_many_buckets(spark, small):
+    imu = sensor_queries.imu(spark, small)
+    rates = lambda n: sorted((r.seq, r.rate_hz) for r in inertial.rate_hz(imu, buckets=n).collect())
+    assert rates(1) == rates(40)
