@@ -77,29 +77,48 @@ def decode_single(words: DataFrame) -> DataFrame:
     return words.filter((F.col("kind") == ADDR_X) & F.col("y").isNotNull()).select("stream", "packet_id", "pos", F.lit(0).alias("bit"), "t", x.alias("x"), "y", p.alias("p"))
 
 
-def decode_vector(words: DataFrame) -> DataFrame:
-    """Events of vector words: one for every set bit, from the base on; each vector moves the base by its width. A packet
-    without base words gives none; vectors before its first base count from 0 with polarity 0."""
+def _with_base(words: DataFrame) -> DataFrame:
+    """`_moved`: how far all vectors before a word have moved; `_base`: the governing base word; `_any`: the packet has one."""
     own = Window.partitionBy("stream", "packet_id").orderBy("pos")
-    upto, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("stream", "packet_id")
     is_base = F.col("kind") == VECT_BASE_X
     width = F.when(F.col("kind") == VECT_12, 12).when(F.col("kind") == VECT_8, 8).otherwise(0)
     x, p = _xp(F.col("payload"))
-    df = words.withColumns({"_moved": F.coalesce(F.sum(width).over(before), F.lit(0)), "_any": F.bool_or(is_base).over(whole)})
-    df = df.withColumn("_base", F.last(F.when(is_base, F.struct(x.alias("x"), p.alias("p"), F.col("_moved").alias("m"))), ignorenulls=True).over(upto))
-    df = df.filter(F.col("kind").isin(VECT_12, VECT_8) & F.col("_any") & F.col("y").isNotNull())
-    df = df.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(11)))).filter(F.expr("shiftright(payload, bit) & 1") == 1)
+    moved = F.coalesce(F.sum(width).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = words.withColumns({"_moved": moved, "_any": F.bool_or(is_base).over(Window.partitionBy("stream", "packet_id"))})
+    base = F.when(is_base, F.struct(x.alias("x"), p.alias("p"), F.col("_moved").alias("m")))
+    return df.withColumn("_base", F.last(base, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _emitted(df: DataFrame) -> DataFrame:
+    """The events of each word, from its `bit` numbers (one 0 for a single pixel)."""
+    x, p = _xp(F.col("payload"))
+    single = F.col("kind") == ADDR_X
     at = F.coalesce("_base.x", F.lit(0)) + F.col("_moved") - F.coalesce("_base.m", F.lit(0)) + F.col("bit")
-    return df.select("stream", "packet_id", "pos", "bit", "t", at.cast("int").alias("x"), "y", F.coalesce("_base.p", F.lit(0)).alias("p"))
+    return df.select("stream", "packet_id", "pos", "bit", "t", F.when(single, x).otherwise(at).cast("int").alias("x"), "y", F.when(single, p).otherwise(F.coalesce("_base.p", F.lit(0))).alias("p"))
+
+
+def _set_bits() -> Column:
+    return F.filter(F.sequence(F.lit(0), F.lit(11)), lambda b: F.getbit(F.col("payload").cast("long"), b) == 1)
+
+
+def decode_vector(words: DataFrame) -> DataFrame:
+    """Events of vector words: one for every set bit, from the base on; each vector moves the base by its width. A packet
+    without base words gives none; vectors before its first base count from 0 with polarity 0."""
+    df = _with_base(words).filter(F.col("kind").isin(VECT_12, VECT_8) & F.col("_any") & F.col("y").isNotNull())
+    return _emitted(df.withColumn("bit", F.explode(_set_bits())))
+
+
+def decode_words(words: DataFrame) -> DataFrame:
+    """The events of `decode_single` and `decode_vector` together, in one pass over the words."""
+    bits = F.when(F.col("kind") == ADDR_X, F.array(F.lit(0))).when(F.col("kind").isin(VECT_12, VECT_8) & F.col("_any"), _set_bits())
+    return _emitted(_with_base(words).filter(F.col("y").isNotNull()).withColumn("bit", F.explode(bits)))
 
 
 def decode(packets: DataFrame, mode: str = "packet") -> DataFrame:
     """All events in stream order (packet_id, pos, bit). In `packet` mode every packet stands alone and has low times
     only; in `absolute` and `sensor` mode the clock and the row go on."""
     words = packet_words(packets)
-    words = sensor_row(low_time(words)) if mode == "packet" else full_time(words)
-    return decode_single(words).unionByName(decode_vector(words))
+    return decode_words(sensor_row(low_time(words)) if mode == "packet" else full_time(words))
 
 
 def anchor_time(events: DataFrame, packets: DataFrame, mode: str, use_bag_time: bool = False) -> DataFrame:
@@ -108,12 +127,16 @@ def anchor_time(events: DataFrame, packets: DataFrame, mode: str, use_bag_time:
     if mode == "sensor":
         return events
     anchor = F.col("bag_time_us") if use_bag_time else F.floor(F.col("time_base_ns") / 1000).cast("long")
+    anchors = packets.select("stream", "packet_id", anchor.alias("_a"))
+    if mode == "packet":
+        first = F.first("t").over(Window.partitionBy("stream", "packet_id").orderBy("pos", "bit"))
+        return events.withColumn("_first", first).join(anchors, ["stream", "packet_id"]).withColumn("t", F.col("t") + F.col("_a") - F.col("_first")).drop("_first", "_a")
     first = events.groupBy("stream", "packet_id").agg(F.min_by("t", F.struct("pos", "bit")).alias("_first"))
-    shift = first.join(packets.select("stream", "packet_id", anchor.alias("_a")), ["stream", "packet_id"]).withColumn("_shift", F.col("_a") - F.col("_first"))
+    shift = first.join(anchors, ["stream", "packet_id"]).withColumn("_shift", F.col("_a") - F.col("_first"))
     if mode == "absolute":
         one = shift.groupBy("stream").agg(F.min_by("_shift", "packet_id").alias("_shift"))
         return events.join(one, "stream").withColumn("t", F.col("t") + F.col("_shift")).drop("_shift")
-    return events.join(shift.select("stream", "packet_id", "_shift"), ["stream", "packet_id"]).withColumn("t", F.col("t") + F.col("_shift")).drop("_shift")
+    raise ValueError(f"unknown mode {mode}")
 
 
 def monotonic_time(events: DataFrame, order: list[str], buckets: int | None = None, bucket: str | None = None) -> DataFrame:
