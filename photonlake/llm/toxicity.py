@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import arrow_map, bounded_sample, id_text, texts
+from photonlake.llm.common import arrow_map, bounded_sample, id_text, stored, texts
 
 FIT_ROWS = 8_000
 MAX_FEATURES = 1_500
@@ -145,25 +145,59 @@ def features(word: str) -> tuple[int, ...]:
     return tuple(xxhash.xxh64_intdigest(part) >> 1 for part in (f"={word}", *(word[:k] for k in (4, 5, 6) if len(word) >= k)))
 
 
-def feature_rows(sample: DataFrame, costs: list[float]) -> pd.DataFrame:
-    """Of each row of a bounded sample: its label, its features and their counts."""
+def _token_features(texts_: list[str | None], costs: list[float]):
+    """For each text its features and their counts."""
+    seen: dict[str, tuple[int, ...]] = {}
+    for text in texts_:
+        found: list[int] = []
+        for t in tokens(text or ""):
+            if t not in seen:
+                seen[t] = features(restored(t, costs))
+            found += seen[t]
+        yield np.unique(np.array(found, np.int64), return_counts=True)
+
+
+def feature_frequencies(sample: DataFrame, costs: list[float]) -> DataFrame:
+    """feature, n (texts with it), n1 (of label 1); every batch is summed before it is shuffled."""
     shared = sample.sparkSession.sparkContext.broadcast(costs)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: dict[str, tuple[int, ...]] = {}
-        feats, counts = [], []
-        for text in texts(batch):
-            all_: list[int] = []
-            for t in tokens(text or ""):
-                if t not in seen:
-                    seen[t] = features(restored(t, shared.value))
-                all_ += seen[t]
-            f, n = np.unique(np.array(all_, np.int64), return_counts=True)
-            feats.append(f.tobytes())
-            counts.append(np.minimum(n, 65535).astype(np.uint16).tobytes())
-        return pa.record_batch([batch.column("toxic"), pa.array(feats, pa.binary()), pa.array(counts, pa.binary())], ["toxic", "feats", "counts"])
-
-    return arrow_map(sample.select("text", "toxic"), run, "toxic int, feats binary, counts binary").toPandas()
+        label = batch.column("toxic").to_numpy()
+        found = [f for f, _ in _token_features(texts(batch), shared.value)]
+        names, at = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_inverse=True)
+        ones = np.bincount(at, np.repeat(label, [len(f) for f in found]), len(names)).astype(np.int64)
+        return pa.record_batch([pa.array(names), pa.array(np.bincount(at, minlength=len(names))), pa.array(ones)], ["feature", "n", "n1"])
+
+    return arrow_map(sample.select("text", "toxic"), run, "feature long, n long, n1 long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+
+
+def chosen_features(frequencies: DataFrame, d: int, d1: int) -> list[int]:
+    """Those that chi-square ties to a label, at most MAX_FEATURES."""
+    gap = F.col("n1") * F.lit(float(d - d1)) - (F.col("n") - F.col("n1")) * F.lit(float(d1))
+    chi = gap * gap * d / (F.lit(float(d1) * (d - d1)) * F.col("n") * (d - F.col("n")))
+    kept = frequencies.filter((F.col("n") >= 3) & (F.col("n") < d)).withColumn("chi", chi).filter("chi > 12")
+    return [r["feature"] for r in kept.orderBy(F.desc("chi"), "feature").limit(MAX_FEATURES).collect()]
+
+
+def feature_matrix(sample: DataFrame, costs: list[float], chosen: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """log(1 + count) of the chosen features in the rows of a bounded sample, and their labels."""
+    names = np.sort(np.array(chosen, np.int64))
+    shared = sample.sparkSession.sparkContext.broadcast((costs, names))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        costs, names = shared.value
+        at, counts = [], []
+        for f, n in _token_features(texts(batch), costs):
+            _, k, own = np.intersect1d(names, f, assume_unique=True, return_indices=True)
+            at.append(k.astype(np.int32).tobytes())
+            counts.append(n[own].astype(np.float32).tobytes())
+        return pa.record_batch([batch.column("toxic"), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], ["toxic", "at", "counts"])
+
+    rows = arrow_map(sample.select("text", "toxic"), run, "toxic int, at binary, counts binary").collect()
+    x = np.zeros((len(rows), len(names)))
+    for k, r in enumerate(rows):
+        x[k, np.frombuffer(r["at"], np.int32)] = np.log1p(np.frombuffer(r["counts"], np.float32))
+    return x, np.array([r["toxic"] for r in rows], float)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
@@ -183,34 +217,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12)
     return w
 
 
-def fit(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    """`docs`: all documents, for the language model. `labelled`: doc_id, text and toxic of rows to learn from."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
+    """`docs`: all documents, for the language model. `labels`: doc_id and toxic of rows to learn from. The labels are
+    sampled before they meet the texts, so at most about `fit_rows` labels are broadcast."""
     costs = trigram_costs(trigram_counts(docs))
-    rows = labelled.filter(F.col("toxic").isin(0, 1)).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    data = feature_rows(bounded_sample(rows, "doc_id", rows.count(), fit_rows, 7), costs)
-    y = data["toxic"].to_numpy(float)
-    share = (y.sum() + 0.5) / (len(y) + 1)
+    own = bounded_sample(labels, "doc_id", labels.count(), fit_rows, 7)
+    sample = stored(id_text(docs).join(F.broadcast(own), "doc_id").select("text", "toxic"), "labelled")
+    d, d1 = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share = (d1 + 0.5) / (d + 1)
     model = {"costs": costs, "weights": {}, "base": math.log(share / (1 - share))}
-    if not 0 < y.sum() < len(y):
+    chosen = chosen_features(feature_frequencies(sample, costs), d, d1) if 0 < d1 < d else []
+    if not chosen:
         return model
-    feats = [np.frombuffer(f, np.int64) for f in data["feats"]]
-    names, at = np.unique(np.concatenate(feats), return_inverse=True)
-    row = np.repeat(np.arange(len(y)), [len(f) for f in feats])
-    n1 = np.bincount(at, y[row], len(names))
-    n = np.bincount(at, minlength=len(names))
-    d1, d = y.sum(), len(y)
-    gap = n1 * (d - d1) - (n - n1) * d1
-    chi = np.where((n >= 3) & (n < d), gap.astype(float) ** 2 * d / np.maximum(d1 * (d - d1) * n * (d - n), 1.0), 0)
-    keep = np.argsort(-chi, kind="stable")[:MAX_FEATURES]
-    keep = keep[chi[keep] > 12]
-    place = np.full(len(names), -1)
-    place[keep] = np.arange(len(keep))
-    counts = np.concatenate([np.frombuffer(c, np.uint16) for c in data["counts"]])
-    used = place[at] >= 0
-    x = np.zeros((len(y), len(keep)))
-    x[row[used], place[at][used]] = np.log1p(counts[used])
-    w = logistic(x, y)
-    return model | {"weights": {int(f): float(v) for f, v in zip(names[keep], w[:-1], strict=True)}, "base": float(w[-1])}
+    w = logistic(*feature_matrix(sample, costs, chosen))
+    return model | {"weights": {int(f): float(v) for f, v in zip(sorted(chosen), w[:-1], strict=True)}, "base": float(w[-1])}
 
 
 class Scorer:
@@ -257,16 +277,15 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, score double")
 
 
-def with_labels(docs: DataFrame, labels: DataFrame, modulus: int = 5, fold: int = 0) -> DataFrame:
-    """doc_id, text, toxic of the labelled rows outside the fold. Repeated labels of a document: the largest holds."""
-    own = labels.filter(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % modulus != fold))
-    own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    return id_text(docs).join(own, "doc_id")
+def learnable(labels: DataFrame, modulus: int = 5, fold: int = 0) -> DataFrame:
+    """doc_id and toxic of the labels outside the fold. Repeated labels of a document: the largest holds."""
+    own = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % modulus != fold))
+    return own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
 
 
 def held_out_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's query."""
-    out = score(docs, fit(docs, with_labels(docs, labels)))
+    out = score(docs, fit(docs, learnable(labels)))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
@@ -274,7 +293,7 @@ def held_out_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """`docs` without the rows whose score reaches the threshold; columns stay. The score is computed beside the row,
     so nothing is joined back."""
-    model = fit(docs, with_labels(docs, labels))
+    model = fit(docs, learnable(labels))
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.pandas_udf("double")
