@@ -126,7 +126,7 @@ def restored(token: str, costs: list[float]) -> str:
     core = EDGE.sub("", EDGE.sub("", token))
     if core.isalpha() and not TRIPLE.search(core):
         return core
-    if len(core) > MAX_LATTICE or 2 * sum(map(str.isalpha, core)) < len(core):
+    if len(core) > MAX_LATTICE or 3 * sum(map(str.isalpha, core)) < len(core):
         return core
     return decode(core, costs)
 
