@@ -92,6 +92,17 @@ def from_planes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind) if data else np.zeros(0, kind)
 
 
+def short(x: np.ndarray) -> np.ndarray:
+    """The low 48 bits: enough for a class, which is only told from the others of its 64-bit key."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1).view("V6")
+
+
+def widened(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, :6] = x.view(np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
 def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs sorted by document and lo, touching ones as one."""
     if not len(doc):
@@ -142,17 +153,17 @@ def span_runs(docs: DataFrame, units: Callable[[bytes], np.ndarray], width: int,
             else:
                 repeat[head[size == 1]] = False
             head.sort()
-            yield packed((key[head] % np.uint64(n)).astype(np.int64), {"doc": doc[head], "lo": lo[head].astype(np.int32), "hi": (hi - lo)[head].astype(np.int16), "key": key[head], "cls": cls[head], "many": repeat[head]}, 0)
+            yield packed((key[head] % np.uint64(n)).astype(np.int64), {"doc": doc[head], "lo": lo[head].astype(np.int32), "hi": (hi - lo)[head].astype(np.int16), "key": key[head], "cls": short(cls[head])}, 0)
             d, a, b = merged(doc[repeat], lo[repeat], hi[repeat])
             if len(d):
                 none = np.zeros(len(d), np.uint64)
-                yield packed((mixed(d.astype(np.uint64)) % np.uint64(n)).astype(np.int64), {"doc": d, "lo": a.astype(np.int32), "hi": b.astype(np.int32), "key": none, "cls": none, "many": none.astype(bool)}, 1)
+                yield packed((mixed(d.astype(np.uint64)) % np.uint64(n)).astype(np.int64), {"doc": d, "lo": a.astype(np.int32), "hi": b.astype(np.int32), "key": none, "cls": short(none)}, 1)
 
     def resolve(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         part = table.column("part").to_numpy()
         take = lambda name, kind, want: np.concatenate([np.zeros(0, kind), *(from_planes(x, kind) for x, p in zip(table.column(name).to_pylist(), part, strict=True) if p == want)])
         out = [(take("doc", "<i8", 1), take("lo", "<i4", 1).astype(np.int64), take("hi", "<i4", 1).astype(np.int64), DECIDED, None)]
-        doc, lo, key, cls = take("doc", "<i8", 0), take("lo", "<i4", 0).astype(np.int64), take("key", "<u8", 0), take("cls", "<u8", 0)
+        doc, lo, key, cls = take("doc", "<i8", 0), take("lo", "<i4", 0).astype(np.int64), take("key", "<u8", 0), widened(take("cls", "V6", 0))
         hi = lo + take("hi", "<i2", 0)
         if len(doc):
             by = np.lexsort((lo, doc, cls, key))
@@ -176,7 +187,7 @@ def span_runs(docs: DataFrame, units: Callable[[bytes], np.ndarray], width: int,
         keys = np.concatenate([o[4] if o[4] is not None else np.zeros(len(o[0]), np.int64) for o in out])
         return pa.table([*map(pa.array, cols), pa.array(kind), pa.array(keys)], ["doc_id", "lo", "hi", "kind", "key"])
 
-    dealt = rows.mapInArrow(emit, "bucket int, part int, doc binary, lo binary, hi binary, key binary, cls binary, many binary")
+    dealt = rows.mapInArrow(emit, "bucket int, part int, doc binary, lo binary, hi binary, key binary, cls binary")
     return dealt.groupBy("bucket").applyInArrow(resolve, RUNS)
 
 

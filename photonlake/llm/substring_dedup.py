@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from photonlake.llm.common import byte_texts, stored
-from photonlake.llm.repeats import DECIDED, OPEN, Hashes, bucket_count, covered, from_planes, merged, packed, run_arrays, span_runs, with_runs
+from photonlake.llm.repeats import DECIDED, ENTRIES, OPEN, Hashes, covered, from_planes, merged, packed, run_arrays, span_runs, with_runs
 
 WIDTH = 35
 GRAM = 10
@@ -33,10 +34,10 @@ def word_values(data: bytes) -> np.ndarray:
     return np.array([digest(w) for w in data.split()], np.uint64)
 
 
-def boundary_runs(docs: DataFrame, open_: DataFrame, width: int, per_byte: float) -> DataFrame:
+def boundary_runs(docs: DataFrame, open_: DataFrame, width: int) -> DataFrame:
     """doc_id, lo, hi: windows of open spans whose word sequence starts elsewhere too."""
     rows = with_runs(docs, open_, "inner")
-    n = bucket_count(rows.select("text"), per_byte)
+    n = max(8, (open_.agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0) // ENTRIES)
 
     def emit(batches):
         for batch in batches:
@@ -70,7 +71,7 @@ def boundary_runs(docs: DataFrame, open_: DataFrame, width: int, per_byte: float
 def duplicate_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, per_byte: float = PER_BYTE) -> DataFrame:
     """doc_id, lo, hi, key: all windows (by first word) whose word sequence starts elsewhere too."""
     runs = stored(span_runs(docs, word_values, width, gram, per_byte, first_stays=False), "runs")
-    edges = boundary_runs(docs, runs.filter(f"kind = {OPEN}"), width, per_byte)
+    edges = boundary_runs(docs, runs.filter(f"kind = {OPEN}"), width)
     return runs.filter(f"kind = {DECIDED}").select("doc_id", "lo", "hi", "key").unionByName(edges.selectExpr("doc_id", "lo", "hi", "0L as key"))
 
 

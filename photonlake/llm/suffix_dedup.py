@@ -20,13 +20,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from photonlake.llm.common import byte_texts, stored
-from photonlake.llm.repeats import DECIDED, OPEN, bucket_count, covered, from_planes, merged, planes, run_arrays, span_runs, with_runs
+from photonlake.llm.repeats import DECIDED, OPEN, covered, from_planes, merged, planes, run_arrays, span_runs, with_runs
 
 WIDTH = 100
 GRAM = 32
 PER_BYTE = 0.029
+BUCKET_BYTES = 1_500_000
 _BYTE = np.random.default_rng(1).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -34,13 +36,15 @@ def byte_values(data: bytes) -> np.ndarray:
     return _BYTE[np.frombuffer(data, np.uint8)]
 
 
-def _names(*columns: np.ndarray) -> tuple[np.ndarray, int]:
-    """Dense ranks of the rows of some integer columns, from 1."""
-    name = columns[0].astype(np.int64)
+def _joined(*columns: np.ndarray) -> np.ndarray:
+    """One integer for each row of some integer columns, in the rows' order; ranks stand in where 63 bits don't do."""
+    out = columns[0].astype(np.int64)
     for c in columns[1:]:
-        name = np.unique(name * (int(c.max(initial=0)) + 1) + c, return_inverse=True)[1]
-    _, name = np.unique(name, return_inverse=True)
-    return name + 1, int(name.max(initial=-1)) + 1
+        wide = int(c.max(initial=0)) + 1
+        if (int(out.max(initial=0)) + 1) * wide >= 1 << 63:
+            out = np.unique(out, return_inverse=True)[1]
+        out = out * wide + c
+    return out
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -51,26 +55,29 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     t = np.r_[s.astype(np.int64), 0, 0, 0]
     first, second = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # a dummy triple ends the first row if n = 1 mod 3
     cover = np.r_[first, second]
-    name, kinds = _names(t[cover], t[cover + 1], t[cover + 2])
-    if kinds < len(cover):
-        order = suffix_array(name)
+    triple = _joined(t[cover], t[cover + 1], t[cover + 2])
+    order = np.argsort(triple)
+    new = np.r_[1, triple[order][1:] != triple[order][:-1]]
+    if not new.all():
         name = np.empty(len(cover), np.int64)
-        name[order] = np.arange(1, len(cover) + 1)
+        name[order] = np.cumsum(new)
+        order = suffix_array(name)
     rank = np.zeros(n + 3, np.int64)
-    rank[cover] = name
-    sampled = cover[np.argsort(name, kind="stable")]
+    rank[cover[order]] = np.arange(1, len(cover) + 1)
+    sampled = cover[order]
     sampled = sampled[sampled < n]
     # the rest, by first symbol and the rank behind it; then where they fall among the sampled ones
     wide = int(rank.max()) + 1
     rest = np.arange(0, n, 3)
     low = t[rest] * wide + rank[rest + 1]
-    order = np.argsort(low, kind="stable")
+    order = np.argsort(low)
     rest, low = rest[order], low[order]
     one = sampled[sampled % 3 == 1]
     two = sampled[sampled % 3 == 2]
     below = np.searchsorted(t[one] * wide + rank[one + 1], low)
-    pair = np.unique(np.r_[t[two] * (int(t.max()) + 1) + t[two + 1], t[rest] * (int(t.max()) + 1) + t[rest + 1]], return_inverse=True)[1]
-    below = below + np.searchsorted(pair[: len(two)] * wide + rank[two + 2], pair[len(two) :] * wide + rank[rest + 2])
+    both = np.r_[two, rest]
+    key = _joined(t[both], t[both + 1], rank[both + 2])
+    below = below + np.searchsorted(key[: len(two)], key[len(two) :])
     out = np.empty(n, np.int64)
     place = below + np.arange(len(rest))
     free = np.ones(n, bool)
@@ -114,10 +121,10 @@ def open_repeats(doc: np.ndarray, lo: np.ndarray, size: np.ndarray, text: np.nda
     return d[later], at[later]
 
 
-def boundary_runs(docs: DataFrame, open_: DataFrame, width: int, per_byte: float) -> DataFrame:
+def boundary_runs(docs: DataFrame, open_: DataFrame, width: int) -> DataFrame:
     """doc_id, lo, hi: windows of open spans that repeat an earlier one."""
     rows = with_runs(docs, open_, "inner")
-    n = bucket_count(rows.select("text"), per_byte)
+    n = max(8, (open_.agg(F.sum(F.col("hi") - F.col("lo") + width)).first()[0] or 0) // BUCKET_BYTES)
 
     def emit(batches):
         for batch in batches:
@@ -154,7 +161,7 @@ def boundary_runs(docs: DataFrame, open_: DataFrame, width: int, per_byte: float
 def duplicate_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, per_byte: float = PER_BYTE) -> DataFrame:
     """doc_id, lo, hi, key: all windows (by first byte) that also start earlier."""
     runs = stored(span_runs(docs, byte_values, width, gram, per_byte, first_stays=True), "runs")
-    edges = boundary_runs(docs, runs.filter(f"kind = {OPEN}"), width, per_byte)
+    edges = boundary_runs(docs, runs.filter(f"kind = {OPEN}"), width)
     return runs.filter(f"kind = {DECIDED}").select("doc_id", "lo", "hi", "key").unionByName(edges.selectExpr("doc_id", "lo", "hi", "0L as key"))
 
 
