@@ -24,8 +24,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-
 CODE_BITS = 256
 EPS = 3.0
 BLOCK = 4096
@@ -108,7 +106,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     for r in rows.mapInArrow(sums, "d int, s double").groupBy("d").agg(F.sum("s").alias("s")).collect():  # dim rows
         centre[r["d"]] = r["s"] / n
     turn = rotation(dim, max(code_bits, dim), seed)
-    blocks, query_blocks = -(-n // block), -(-n // (20 * QUERY_BLOCK))
+    blocks, query_blocks = -(-n // block), max(1, -(-rows.filter(is_query).count() // QUERY_BLOCK))
     shared = spark.sparkContext.broadcast((centre, turn))
 
     def index(key_: tuple[pa.Scalar, ...], frame: pa.Table) -> pa.Table:
