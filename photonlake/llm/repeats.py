@@ -15,17 +15,19 @@ documents share costs one entry a batch. Hashes have 64 bits.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photonlake.llm.common import byte_texts, id_text, mixed
 
 BASE = 0x9E3779B97F4A7C15
-ENTRIES = 400_000  # aimed at for each bucket
+ENTRIES = 150_000  # aimed at for each bucket
+SLICE_BYTES = 8 << 20  # of text that a task looks at together
 DECIDED, OPEN = 0, 1
 RUNS = "doc_id long, lo long, hi long, kind int, key long"
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -121,6 +123,17 @@ def packed(bucket: np.ndarray, columns: dict[str, np.ndarray], part: int) -> pa.
     return pa.record_batch([pa.array(b[cut].astype(np.int32), pa.int32()), pa.array(np.full(len(groups), part, np.int32)), *blobs], ["bucket", "part", *columns])
 
 
+def slices(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of text (a longer text alone), so memory doesn't follow the batch."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def bucket_count(docs: DataFrame, per_byte: float) -> int:
     """Buckets for about ENTRIES entries each, from the bytes of all texts."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -134,7 +147,7 @@ def span_runs(docs: DataFrame, units: Callable[[bytes], np.ndarray], width: int,
     n = bucket_count(rows, per_byte)
 
     def emit(batches):
-        for batch in batches:
+        for batch in slices(batches):
             order = np.argsort(batch.column("doc_id").to_numpy(), kind="stable")
             ids, data = batch.column("doc_id").to_numpy()[order], byte_texts(batch)
             found = [spans(units(data[k]), width, gram) for k in order]

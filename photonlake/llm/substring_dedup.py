@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photonlake.llm.common import byte_texts, stored
-from photonlake.llm.repeats import DECIDED, ENTRIES, OPEN, Hashes, covered, from_planes, merged, packed, run_arrays, span_runs, with_runs
+from photonlake.llm.repeats import DECIDED, ENTRIES, OPEN, Hashes, covered, from_planes, merged, packed, run_arrays, slices, span_runs, with_runs
 
 WIDTH = 35
 GRAM = 10
@@ -40,7 +40,7 @@ def boundary_runs(docs: DataFrame, open_: DataFrame, width: int) -> DataFrame:
     n = max(8, (open_.agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0) // ENTRIES)
 
     def emit(batches):
-        for batch in batches:
+        for batch in slices(batches):
             docs_, starts, hashes = [], [], []
             for doc, data, runs in zip(batch.column("doc_id").to_pylist(), byte_texts(batch), run_arrays(batch.column("runs")), strict=True):
                 x = word_values(data or b"")

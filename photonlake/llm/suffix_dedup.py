@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photonlake.llm.common import byte_texts, stored
-from photonlake.llm.repeats import DECIDED, OPEN, covered, from_planes, merged, planes, run_arrays, span_runs, with_runs
+from photonlake.llm.repeats import DECIDED, OPEN, covered, from_planes, merged, planes, run_arrays, slices, span_runs, with_runs
 
 WIDTH = 100
 GRAM = 32
 PER_BYTE = 0.029
-BUCKET_BYTES = 1_500_000
+BUCKET_BYTES = 750_000
 _BYTE = np.random.default_rng(1).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -127,7 +127,7 @@ def boundary_runs(docs: DataFrame, open_: DataFrame, width: int) -> DataFrame:
     n = max(8, (open_.agg(F.sum(F.col("hi") - F.col("lo") + width)).first()[0] or 0) // BUCKET_BYTES)
 
     def emit(batches):
-        for batch in batches:
+        for batch in slices(batches):
             doc, lo, size, key, parts = [], [], [], [], []
             for d, data, runs in zip(batch.column("doc_id").to_pylist(), byte_texts(batch), run_arrays(batch.column("runs")), strict=True):
                 data = data or b""
