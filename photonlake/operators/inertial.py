@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,27 +76,34 @@ def valid_dt(imu: DataFrame, most_us: int = 100_000) -> DataFrame:
     return imu.withColumn("dt", dt).withColumn("valid", F.coalesce((F.col("dt") > 0) & (F.col("dt") < most_us / 1e6), F.lit(False)))
 
 
-def mahony_step(q: np.ndarray, bias: np.ndarray, gyro: np.ndarray, accel: np.ndarray, dt: float) -> tuple[np.ndarray, np.ndarray]:
-    """One step of the published complementary filter on rotations (Mahony 2008). q: body to world, (w, x, y, z)."""
-    norm = np.linalg.norm(accel)
-    if norm > 1.0:
-        w, x, y, z = q
-        expected = np.array([2 * (x * y + w * z), w * w - x * x + y * y - z * z, 2 * (y * z - w * x)])
-        error = np.cross(-accel / norm, expected)
-        bias = bias + KI * dt * error
-        gyro = gyro + KP * error + bias
-    rate = np.concatenate([[-q[1:] @ gyro], q[0] * gyro + np.cross(q[1:], gyro)])
-    q = q + 0.5 * dt * rate
-    return q / np.linalg.norm(q), bias
+def cross(a: tuple, b: tuple) -> tuple:
+    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
 
 
-def attitude_of(rows: pd.DataFrame, q: np.ndarray, bias: np.ndarray, last: int | None) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, int | None]:
+def mahony_step(q: tuple, bias: tuple, gyro: tuple, accel: tuple, dt: float) -> tuple[tuple, tuple]:
+    """One step of the published complementary filter on rotations (Mahony 2008). q: body to world, (w, x, y, z). Plain
+    floats: three numbers are too few for arrays to pay."""
+    w, x, y, z = q
+    norm = math.sqrt(sum(c * c for c in accel))
+    if norm > 1.0:
+        expected = (2 * (x * y + w * z), w * w - x * x + y * y - z * z, 2 * (y * z - w * x))
+        error = cross(tuple(-c / norm for c in accel), expected)
+        bias = tuple(b + KI * dt * e for b, e in zip(bias, error, strict=True))
+        gyro = tuple(g + KP * e + b for g, e, b in zip(gyro, error, bias, strict=True))
+    turned = cross((x, y, z), gyro)
+    rate = (-(x * gyro[0] + y * gyro[1] + z * gyro[2]), *(w * g + c for g, c in zip(gyro, turned, strict=True)))
+    q = tuple(c + 0.5 * dt * r for c, r in zip(q, rate, strict=True))
+    size = math.sqrt(sum(c * c for c in q))
+    return tuple(c / size for c in q), bias
+
+
+def attitude_of(rows: pd.DataFrame, q: tuple, bias: tuple, last: int | None) -> tuple[pd.DataFrame, tuple, tuple, int | None]:
     """The quaternion after each row of one stream, sorted by time; steps that aren't in (0, 0.1 s) don't integrate."""
     out = []
     for r in rows.itertuples(index=False):
         dt = (r.t - last) / 1e6 if last is not None else 0.0
         if 0 < dt < 0.1:
-            q, bias = mahony_step(q, bias, np.array([r.wx, r.wy, r.wz]), np.array([r.ax, r.ay, r.az]), dt)
+            q, bias = mahony_step(q, bias, (r.wx, r.wy, r.wz), (r.ax, r.ay, r.az), dt)
         last = int(r.t)
         out.append((r.stream, r.seq, r.t, *q))
     return pd.DataFrame(out, columns=["stream", "seq", "t", "qw", "qx", "qy", "qz"]), q, bias, last
@@ -113,7 +119,7 @@ def attitude(imu: DataFrame) -> DataFrame:
         for f in frames:
             for key, part in f.groupby("stream", sort=False):
                 if key != stream:
-                    stream, state = key, (np.array([1.0, 0, 0, 0]), np.zeros(3), None)
+                    stream, state = key, ((1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0), None)
                 out, *state = attitude_of(part, *state)
                 yield out
 

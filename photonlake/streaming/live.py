@@ -114,10 +114,10 @@ def attitude(imu: DataFrame) -> DataFrame:
     """The attitude filter with quaternion, bias and last time as state of each stream; late rows don't integrate."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        q, bias, last = np.array([1.0, 0, 0, 0]), np.zeros(3), None
+        q, bias, last = (1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0), None
         if state.exists:
             s = state.get
-            q, bias, last = np.array(s[:4]), np.array(s[4:7]), s[7]
+            q, bias, last = tuple(s[:4]), tuple(s[4:7]), s[7]
         rows = pd.concat(list(frames)).sort_values(["t", "seq"])
         out, q, bias, last = inertial.attitude_of(rows, q, bias, last)
         state.update((*map(float, q), *map(float, bias), int(last)))
