@@ -1,16 +1,19 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 Texts and items are folded to one symbol a character: letters and digits in lower case, every run of anything else as
-one gap. A document's windows have an item's length; a window is looked at where at least `MIN_SEEDS` character n-grams
-of the item stand in it on nearly one diagonal, which fixes where it starts. The CGK random walk reads a string with
-random pauses, so that two strings at a small edit distance give sequences at a small Hamming distance; `WALKS` walks
-are tried, since one may drift. Of each sequence, samples of `BITS` positions are compared; their number follows from
-the recall wanted for windows at the largest distance. What collides is verified: the edit distance of the item to the best part of the document around the
-window must be at most (1 - similarity) of the item's length.
+one gap. A document's windows have an item's length. An item that may have k edits is cut into k + 1 pieces, one of which
+stands unedited in every match (pigeonhole bound), so every place of a piece in a document gives a window; windows whose
+neighbouring pieces rule out a match are dropped before the embedding, by the same bound, so none is lost here. The CGK
+random walk reads a string with random pauses, so that two strings at a small edit distance give sequences at a small
+Hamming distance; `WALKS` walks are tried, since one may drift. Of each sequence, samples of `BITS` positions are compared;
+their number follows from the recall wanted for windows at the largest distance. What collides is verified: the edit
+distance of the item to the best part of the document around the window must be at most (1 - similarity) of the item's
+length.
 
 The items are broadcast to the tasks, in groups of bounded size (`GROUP_SYMBOLS`), one pass over the documents each; no
-document is shuffled. Null and empty texts match nothing; items shorter than `MIN_ITEM` symbols are left out, since
-ordinary prose holds them. Repeated rows are reported each. Items that are equal after folding are all reported.
+document is shuffled. Null and empty texts match nothing. Items so short that no edit is allowed (under 10 symbols at 0.9)
+are found where they stand as whole words. Repeated rows are reported each. Items that are equal after folding are all
+reported.
 """
 
 from __future__ import annotations
@@ -26,14 +29,14 @@ from photonlake.llm.common import id_text, texts
 
 SIMILARITY = 0.9
 RECALL = 0.95
-SEED_LENGTH = 12
-MIN_SEEDS = 2
-MIN_ITEM = 25
+SEED_LENGTH = 9
+#: Pieces that are compared together around a seed, step by step.
+GROUPS = (2, 4, 8)
 BITS = 4
 WALKS = 3
 #: Share of equal positions of two embedded strings at the largest distance, as measured (see tests).
 AGREEMENT = 0.42
-DIAGONAL = 16
+SEEDS = 1 << 16
 GROUP_SYMBOLS = 8_000_000
 CHUNK = 1 << 21
 CACHED = 1 << 15
@@ -62,15 +65,38 @@ def fold(text: str | None) -> np.ndarray:
     return s[:-1] if len(s) and s[-1] == 0 else s
 
 
-def grams(s: np.ndarray) -> np.ndarray:
-    """32-bit hashes of all 12-grams: of pairs, of fours, of eights, and of an eight with the four behind it."""
-    if len(s) < SEED_LENGTH:
-        return np.zeros(0, np.uint32)
-    h = s.astype(np.uint32) + np.uint32(1)
-    two = h[:-1] * np.uint32(0x9E3779B1) + h[1:]
-    four = two[:-2] * np.uint32(0x85EBCA77) ^ (two[2:] * np.uint32(0x2C1B3C6D) >> np.uint32(3))
-    eight = four[:-4] * np.uint32(0xC2B2AE3D) ^ (four[4:] * np.uint32(0x297A2D39) >> np.uint32(5))
-    return eight[:-4] * np.uint32(0x27D4EB2F) ^ (four[8:] * np.uint32(0x165667B1) >> np.uint32(7))
+def keys(buffer: np.ndarray, at: int, n: int, size: int) -> np.ndarray:
+    """64-bit keys of the n grams of `size` (at most SEED_LENGTH) symbols that begin at buffer[at:]; equal grams have equal
+    keys. `buffer` must go on for 8 behind the last."""
+    key = np.ndarray((max(0, n),), "<u8", buffer, at, (1,)).copy()
+    if size < 8:
+        key &= np.uint64((1 << 8 * size) - 1)
+    key *= np.uint64(0x9E3779B97F4A7C15)
+    if size > 8:
+        key += buffer[at + 8 : at + 8 + len(key)].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return key
+
+
+def extended(text: np.ndarray, at: np.ndarray, pattern: np.ndarray, by: np.ndarray, length: np.ndarray, step: int, most: int) -> np.ndarray:
+    """The edits between `length` symbols of `pattern` from `by` on and the text from `at` on, which may end anywhere; both
+    are read in direction `step`. Exact up to `most`, over that some larger number."""
+    order = np.argsort(-length, kind="stable")
+    at, by, length = at[order], by[order], length[order]
+    cost = np.full((2 * most + 1, len(at)), most + 1, np.int16)  # by diagonal: text minus pattern, from -most on
+    cost[most:] = np.arange(most + 1)[:, None]
+    live = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")  # with length > i
+    for i, n in enumerate(live.tolist()):
+        symbol, from_, old = pattern[by[:n] + step * i], at[:n] + step * (i - most), cost[:, :n]
+        for d in range(2 * most + 1):
+            new = old[d] + (text[from_ + step * d] != symbol) if i + d >= most else np.full(n, most + 1, np.int16)
+            if d < 2 * most:
+                np.minimum(new, old[d + 1] + 1, out=new)
+            if d:
+                np.minimum(new, old[d - 1] + 1, out=new)
+            old[d] = new
+    out = np.empty(len(at), np.int16)
+    out[order] = cost.min(0)
+    return out
 
 
 def walk_bits(steps: int, seed: int = 17) -> np.ndarray:
@@ -134,10 +160,9 @@ class Items:
 
     def __init__(self, ids: list[int], folded: list[bytes], similarity: float, recall: float):
         self.ids, self.folded = ids, folded
-        self.most = [int((1 - similarity) * len(f) + 1e-9) for f in folded]
         self.lengths = np.array([len(f) for f in folded])
-        tables = tables_for(recall)
-        tables = -(-tables_for(recall) // WALKS)
+        self.most = np.array([int((1 - similarity) * len(f) + 1e-9) for f in folded])
+        tables = tables_for(recall)  # for each walk, since walks drift together
         longest = int(self.lengths.max(initial=1))
         self.moves, self.longest = [walk_bits(2 * longest, seed) for seed in range(WALKS)], longest
         self.steps = np.stack([sampled_steps(len(f), tables) for f in folded])
@@ -148,68 +173,90 @@ class Items:
         self.codes = [np.empty((2 * longest, len(folded)), np.uint8) for _ in self.moves]
         for code, moves in zip(self.codes, self.moves, strict=True):
             code[:, order] = embed(flat, start, self.lengths[order], moves)
-        found = [grams(a) for a in arrays]
-        self.gram = np.concatenate(found)
-        item = np.repeat(np.arange(len(found)), [len(g) for g in found])
-        offset = np.concatenate([np.arange(len(g)) for g in found])
-        order = np.argsort(self.gram, kind="stable")
-        self.gram, self.item, self.offset = self.gram[order], item[order], offset[order]
-        self.bits = 22
-        self.known = np.zeros(1 << self.bits, bool)
-        self.known[self._slot(self.gram)] = True
-
-    def _slot(self, g: np.ndarray) -> np.ndarray:
-        return g * np.uint32(0x9E3779B1) >> np.uint32(32 - self.bits)
-
-    def windows(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, start) of the windows of `flat` with enough seeds on nearly one diagonal."""
-        where, hashes = [], []
-        for k in range(0, len(flat), CACHED):  # short arrays stay in the processor's cache
-            g = grams(flat[k : k + CACHED + SEED_LENGTH - 1])
-            hit = self.known[self._slot(g)].nonzero()[0]
-            where.append(hit + k)
-            hashes.append(g[hit])
-        at, g = np.concatenate(where or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint32)])
-        low, high = np.searchsorted(self.gram, g), np.searchsorted(self.gram, g, "right")
-        n = high - low
-        at = np.repeat(at, n)
-        entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(at))
-        item, start = self.item[entry], at - self.offset[entry]
-        order = np.lexsort((start, item))
-        item, start = item[order], start[order]
-        # stretches of starts no further apart than DIAGONAL, if they have enough of them
-        new = np.flatnonzero(np.r_[True, (np.diff(item) != 0) | (np.diff(start) > DIAGONAL)]) if len(item) else np.zeros(0, int)
-        size = np.diff(np.r_[new, len(item)])
-        new, size = new[size >= MIN_SEEDS], size[size >= MIN_SEEDS]
-        pick = np.stack([new, new + size // 2, new + size - 1], 1)  # gaps and insertions move the start; these differ then
-        fresh = np.c_[np.ones(len(new), bool), np.diff(start[pick], axis=1) > 0] if len(new) else np.zeros((0, 3), bool)
-        return item[pick[fresh]], start[pick[fresh]]
+        # edits + 1 pieces of each item: one of them stands unedited in every match
+        self.flat = np.concatenate([*arrays, np.full(16, PAD, np.uint8)])
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        self.cuts = np.concatenate([np.arange(k + 2) * n // (k + 1) for n, k in zip(self.lengths.tolist(), self.most.tolist(), strict=True)])
+        self.cut_at = np.cumsum(self.most + 2) - (self.most + 2)
+        self.seed = np.minimum(self.lengths // (self.most + 1), SEED_LENGTH)
+        self.tables = {}
+        for size in np.unique(self.seed).tolist():
+            own = (self.seed == size).nonzero()[0]
+            item = np.repeat(own, self.most[own] + 1)
+            number = np.concatenate([np.arange(k + 1) for k in self.most[own].tolist()])
+            key = np.concatenate([keys(self.flat, at, 1, size) for at in (self.begin[item] + self.cuts[self.cut_at[item] + number]).tolist()])
+            order = np.argsort(key, kind="stable")
+            bits = min(26, max(14, 6 + len(key).bit_length()))
+            known = np.zeros(1 << bits, bool)
+            known[key >> np.uint64(64 - bits)] = True
+            self.tables[size] = (known, np.uint64(64 - bits), key[order], item[order], number[order])
+
+    def closer(self, text: np.ndarray, at: np.ndarray, item: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Which seeds (piece `number` of `item` stands at text[at]) can belong to a match. A group of t neighbouring
+        pieces that has t or more edits isn't the one that the pigeonhole bound promises; then neither are its pieces."""
+        left = np.arange(len(at))
+        offset = self.cuts[self.cut_at[item] + number]
+        for group in GROUPS:
+            i, a = item[left], at[left]
+            low = number[left] // group * group
+            high = np.minimum(low + group, self.most[i] + 1)
+            before = offset[left] - self.cuts[self.cut_at[i] + low]
+            behind = self.cuts[self.cut_at[i] + high] - offset[left] - self.seed[i]
+            by, most = self.begin[i] + offset[left], int((high - low).max(initial=1)) - 1
+            edits = extended(text, a - 1, self.flat, by - 1, before, -1, most) + extended(text, a + self.seed[i], self.flat, by + self.seed[i], behind, 1, most)
+            left = left[edits < high - low]
+        i, a = item[left], at[left]
+        whole = (self.most[i] > 0) | np.isin(text[a - 1], (0, PAD)) & np.isin(text[a + self.lengths[i]], (0, PAD))
+        return left[whole]
+
+    def windows(self, text: np.ndarray, margin: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, document, start) of the windows of `text` that may hold an item; text[margin:-margin] are documents."""
+        found = []
+        for size, (known, shift, gram, items, numbers) in self.tables.items():
+            hits, waiting = [], 0
+            for k in range(margin, len(text) - margin, CACHED):  # short arrays stay in the processor's cache
+                key = keys(text, k, min(CACHED, len(text) - margin - k), size)
+                hit = known[key >> shift].nonzero()[0]
+                low, high = (np.searchsorted(gram, key[hit], side) for side in ("left", "right"))
+                hits.append(np.stack([hit + k, low, high - low])[:, high > low])
+                waiting += int((high - low).sum())
+                if waiting < SEEDS and k + CACHED < len(text) - margin:
+                    continue
+                at, low, n = np.concatenate(hits, 1)
+                hits, waiting = [], 0
+                for cut in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // SEEDS)) + 1):
+                    own = n[cut]
+                    entry = np.repeat(low[cut] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+                    where, item, number = np.repeat(at[cut], own), items[entry], numbers[entry]
+                    good = self.closer(text, where, item, number)
+                    where, item, number = where[good], item[good], number[good]
+                    found.append(np.stack([item, np.searchsorted(first, where, "right") - 1, where - self.cuts[self.cut_at[item] + number]]))
+        return tuple(np.unique(np.concatenate(found or [np.zeros((3, 0), np.int64)], 1), axis=1))
 
     def matches(self, flat: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document position, item, distance, end) of the matches in `flat`, documents one after another; first:
         where each begins."""
-        item, start = self.windows(flat)
+        margin = 2 * self.longest + 16
+        text = np.r_[np.full(margin, PAD, np.uint8), flat, np.full(margin, PAD, np.uint8)]
+        item, document, start = self.windows(text, margin, first + margin)
+        near = self.most[item] == 0
         order = np.argsort(-self.lengths[item], kind="stable")
-        item, start = item[order], start[order]
-        last = np.r_[first[1:], len(flat)]
-        padded = np.r_[flat, np.full(2 * self.longest, PAD, np.uint8)]
-        hits = []
         for k in range(0, len(item), WINDOWS):
-            own = item[k : k + WINDOWS]
-            near = np.zeros(len(own), bool)
+            part = order[k : k + WINDOWS]
+            own = item[part]
             for moves, codes in zip(self.moves, self.codes, strict=True):
-                code = embed(padded, np.clip(start[k : k + WINDOWS], 0, len(flat)), self.lengths[own], moves)
+                code = embed(text, start[part], self.lengths[own], moves)
                 equal = code == codes[: len(code), own]
-                near |= equal[self.steps[own], np.arange(len(own))[:, None, None]].all(2).any(1)
-            hits.append(k + near.nonzero()[0])
+                near[part] |= equal[self.steps[own], np.arange(len(own))[:, None, None]].all(2).any(1)
+        item, document, start = item[near], document[near], start[near] - margin
+        last = np.r_[first[1:], len(flat)]
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for k in np.concatenate(hits or [np.zeros(0, np.int64)]).tolist():
-            i, s = int(item[k]), int(start[k])
-            length, slack = int(self.lengths[i]), self.most[i]
-            d = int(np.searchsorted(first, max(0, s + length // 2), "right")) - 1
-            if best.get((d, i), (slack + 1,))[0] * 4 <= slack:
-                continue  # the same passage from another start
-            a, b = max(int(first[d]), s - 2 * slack - DIAGONAL), min(int(last[d]), s + length + 2 * slack + DIAGONAL)
+        # starts whose regions overlap are looked at once
+        new = np.flatnonzero(np.r_[True, (np.diff(item) != 0) | (np.diff(document) != 0) | (np.diff(start) > self.lengths[item[1:]])]) if len(item) else np.zeros(0, int)
+        for k, e in zip(new.tolist(), np.r_[new, len(item)][1:].tolist(), strict=True):
+            i, d = int(item[k]), int(document[k])
+            length, slack = int(self.lengths[i]), int(self.most[i])
+            a, b = max(int(first[d]), int(start[k]) - slack), min(int(last[d]), int(start[e - 1]) + length + slack)
             distance, end = best_distance(self.folded[i], flat[a:b].tobytes())
             if distance <= slack and (distance, a + end) < best.get((d, i), (slack + 1, 0)):
                 best[d, i] = (distance, a + end)
@@ -221,7 +268,7 @@ def item_groups(items: DataFrame, similarity: float, recall: float, bound: int =
     ids, folded, size = [], [], 0
     for r in items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").toLocalIterator():
         f = fold(r["text"]).tobytes()
-        if len(f) < MIN_ITEM:
+        if not f:
             continue
         if size + len(f) > bound and ids:
             yield Items(ids, folded, similarity, recall)

@@ -355,6 +355,28 @@ def test_decontamination(spark, small):
     assert decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), odd).collect() == []
 
 
+def test_decontamination_of_short_and_edited_items(spark):
+    """Items of 5 to 60 symbols with as many edits as similarity 0.9 allows, evenly apart so that few long grams are left."""
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(n))
+    items = [(k, say(n)) for k, n in enumerate([5, 9, 12, 19, 20, 25, 30, 40, 60] * 40)]
+    rows = []
+    for k, text in items:
+        edits, out = len(text) // 10, list(text)
+        for e in range(edits):
+            at = (2 * e + 1) * len(text) // (2 * edits)
+            out[at] = ("z", "", out[at] + "z")[(k + e) % 3]
+        rows.append((k, f"xyz xyz {''.join(out)} zyx zyx"))
+    rows += [(5000, f"xyz{items[0][1]} {items[0][1]}zyx")]  # inside of words
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(docs, table).collect()}
+    assert not {d for d, i in got if d != i}
+    for n in (5, 9, 12, 19, 20, 25, 30, 40, 60):
+        own = [k for k, t in items if len(t) == n]
+        assert sum((k, k) in got for k in own) >= (0.95 if n > 9 else 1) * len(own), n
+    assert all(n <= len(items[k][1]) // 10 for (k, _), n in got.items())
+
+
 def test_best_distance():
     rng = random.Random(7)
     for _ in range(60):
