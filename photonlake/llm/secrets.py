@@ -3,7 +3,9 @@
 Three base kinds are matched leftmost and without overlap, each on its own: `assign`, `access` and `hex`. Beyond them,
 a value after a wider set of credential words (with `:`, `=` or "is") is priced by dynamic programming: the cheapest
 segmentation into dictionary words, dates, repeats, sequences, keyboard walks and brute-force spans, in log10 guesses.
-Values that cost at least `min_log10` guesses are reported as kind `guess`, unless they lie inside an `assign` match.
+Values that cost at least `min_log10` guesses are reported as kind `guess`, unless they lie inside an `assign` match; one
+that reaches further is reported beside it. A value of any length is taken whole: to the closing quote if it begins with
+a quote, and at most to the next character that isn't printable ASCII.
 
 Nulls count as empty texts: no spans. Positions are code points, ends exclusive. Repeated rows are scanned row by row.
 """
@@ -23,10 +25,11 @@ from photonlake.llm.common import arrow_map, id_text, texts
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(r"""(?i:\b(?:pass|pwd|passphrase|passcode|password|passwd|secret|token|api_?key|auth|credentials?|private_?key|access_?key|client_?key|login))["']?(?:\x20*[:=]\x20*|\x20is\x20)["']?([!-&(-~]{6,64})""", re.ASCII)
+CONTEXT = re.compile(r"""(?i:(?<![A-Za-z0-9])(?:pass|pwd|passphrase|passcode|password|passwd|secret|token|api_?key|auth|credentials?|private_?key|access_?key|client_?key|login))["']?(?:\x20*[:=]\x20*|\x20is\x20)(?:"((?:\\[!-~]|[!#-~]){6,})|'((?:\\[!-~]|[!-&(-~]){6,})|([!#-&(-~][!-~]{5,}))""", re.ASCII)
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "login")
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10 = 8.0
+LONG = 64
 
 #: Frequent words in passwords, most frequent first; the rank is the number of guesses.
 COMMON = (
@@ -56,41 +59,61 @@ def _walks(low: str, i: int) -> int:
     return best
 
 
-@lru_cache(maxsize=100_000)
-def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON)) -> float:
-    """log10 of the guesses of the cheapest segmentation of `value`. best[j] is the cheapest cost of the first j
-    characters; each span that ends at j adds its own cost, and every span after the first a factor of 2 for order."""
+def _cost(value: str, words: tuple[str, ...], enough: float) -> float:
+    """best[j] is the cheapest cost of the first j characters; each span that ends at j adds its own cost, and every span
+    after the first a factor of 2 for order. Spans of one repeated character are at most LONG characters or reach its end;
+    brute force over more than LONG characters goes by a running minimum. So a long value takes time in its length."""
     low = value.lower()
     plain = low.translate(PLAIN)
     rank = {w: k + 1 for k, w in reversed(list(enumerate(words)))}
     longest = max(map(len, words), default=0)
     n = len(value)
-    spans: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: start, cost
-    for i in range(n):
-        for j in range(i + 3, min(n, i + longest) + 1):
-            for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
+    spans: dict[int, list[tuple[int, float]]] = {}  # by end: start, cost
+    best, far, begin, run = [0.0] * (n + 1), math.inf, 0, 0
+    for j in range(n + 1):
+        if j:
+            best[j] = far + j
+            for i in range(max(0, j - LONG), j):  # brute force: 10 guesses a character
+                best[j] = min(best[j], best[i] + (j - i) * 1.0 + (0.3 if i else 0.0))
+            for i, own in spans.pop(j, ()):
+                best[j] = min(best[j], best[i] + own + (0.3 if i else 0.0))
+            if j >= LONG:
+                i = j - LONG
+                far = min(far, best[i] + (0.3 if i else 0.0) - i)
+                # every way to the end stops in the last LONG places, or costs more than LONG, or repeats one character over them
+                if enough <= LONG and begin > i and min(best[i + 1 : j + 1]) >= enough:
+                    return min(best[i + 1 : j + 1])
+        if j == n:
+            break
+        for k in range(j + 3, min(n, j + longest) + 1):
+            for form, extra in ((low[j:k], 0.0), (plain[j:k], 0.5)):
                 if form in rank:
-                    upper = 0.0 if value[i:j] == low[i:j] else math.log10(2) * (1 if value[i:j].istitle() or value[i:j].isupper() else j - i)
-                    spans[j].append((i, math.log10(rank[form] + 1) + extra + upper))
+                    upper = 0.0 if value[j:k] == low[j:k] else math.log10(2) * (1 if value[j:k].istitle() or value[j:k].isupper() else k - j)
+                    spans.setdefault(k, []).append((j, math.log10(rank[form] + 1) + extra + upper))
                     break
-        if m := DATE.match(value, i):
-            spans[m.end()].append((i, math.log10(120) + (math.log10(365) if m.end() - i > 4 else 0)))
-        for j in range(i + 1, n):
-            if low[j] != low[i]:
-                break
-            spans[j + 1].append((i, 1.0 + math.log10(j - i + 1)))
-        for k in range(3, _walks(low, i) + 1):
-            spans[i + k].append((i, math.log10(40) + math.log10(k)))
-    best = [0.0] + [math.inf] * n
-    for j in range(1, n + 1):
-        for i in range(j):  # brute force: 10 guesses a character
-            cost = best[i] + (j - i) * 1.0 + (0.3 if i else 0.0)
-            best[j] = min(best[j], cost)
-        for i, own in spans[j]:
-            best[j] = min(best[j], best[i] + own + (0.3 if i else 0.0))
+        if m := DATE.match(value, j):
+            spans.setdefault(m.end(), []).append((j, math.log10(120) + (math.log10(365) if m.end() - j > 4 else 0)))
+        if run <= j:
+            begin, run = j, j + 1
+            while run < n and low[run] == low[j]:
+                run += 1
+        for k in {*range(j + 2, min(run, j + LONG) + 1), *([run] if run > j + 1 else [])}:
+            spans.setdefault(k, []).append((j, 1.0 + math.log10(k - j)))
+        for k in range(3, _walks(low, j) + 1):
+            spans.setdefault(j + k, []).append((j, math.log10(40) + math.log10(k)))
     return best[n]
 
 
+@lru_cache(maxsize=100_000)
+def _short_cost(value: str, words: tuple[str, ...]) -> float:
+    return _cost(value, words, math.inf)
+
+
+def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON), enough: float = math.inf) -> float:
+    """log10 of the guesses of the cheapest segmentation of `value`, or some number from `enough` on if that many are needed."""
+    return _short_cost(value, words) if len(value) <= LONG else _cost(value, words, enough)
+
+
 def scan(text: str, min_log10: float = MIN_LOG10) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end), by start and then kind."""
     low = text.lower()
@@ -99,10 +122,10 @@ def scan(text: str, min_log10: float = MIN_LOG10) -> list[tuple[str, int, int]]:
         found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         taken = [(a, b) for _, a, b in found]
         for m in CONTEXT.finditer(text):
-            start, end = m.span(1)
+            start, end = m.span(m.lastindex)
             while end > start and text[end - 1] in "\"',;)]}>":
                 end -= 1
-            if end - start >= 6 and not any(a < end and start < b for a, b in taken) and guess_cost(text[start:end]) >= min_log10:
+            if end - start >= 6 and not any(a <= start and end <= b for a, b in taken) and guess_cost(text[start:end], enough=min_log10) >= min_log10:
                 found.append(("guess", start, end))
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]

@@ -249,6 +249,20 @@ def test_secrets(spark):
     assert clean[0] == 'x [SECRET]" y' and clean[6] is None and clean[5] == SECRETS[5]
 
 
+def test_guesses_take_the_whole_value(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("ABCDEFGHJKLMabcdefghjkm#%!?23456789") for _ in range(160))
+    texts = [f"auth: {long} end", "password: Hunter#kX9vQ2!mZ7 end", "AWS_SECRET_ACCESS_KEY=kX9#vQ2!mZ7@ end", "db_pwd: kX9#vQ2!mZ7@ end"]
+    texts += [f"login: {'=' * 160} end", f'{{"auth":"{long}","name":"harmless"}}', f"auth: {long * 2000} end", "pwd: kX9'vQ2!mZ7@ end", "pwd: 'kX9#vQ2!mZ7@' end"]
+    got = {r.doc_id: r.text for r in secrets.redact(docs_of(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == [
+        "auth: [SECRET] end", "[SECRET] end", "AWS_SECRET_ACCESS_KEY=[SECRET] end", "db_pwd: [SECRET] end",
+        texts[4], '{"auth":"[SECRET]","name":"harmless"}', "auth: [SECRET] end", "pwd: [SECRET] end", "pwd: '[SECRET]' end",
+    ]
+    assert secrets.scan(texts[0]) == [("guess", 6, 166)]
+    assert secrets.scan(texts[1]) == [("assign", 0, 16), ("guess", 10, 27)]
+
+
 def test_guess_cost_is_the_cheapest_segmentation():
     assert secrets.guess_cost("password") < 1 < secrets.guess_cost("zkqvjxbw")
     assert secrets.guess_cost("2019-04-17") < 5 and secrets.guess_cost("aaaaaaaaaa") < 3 and secrets.guess_cost("qwertyuiop") < 4
