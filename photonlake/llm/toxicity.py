@@ -4,8 +4,9 @@ Channel: a written character stands for itself, for the letters that leetspeak w
 inside a word, or a repetition of the character before it), or for any letter if it is a mask. Source: a character
 trigram model counted over all documents. The decoder finds the cheapest letter string through the lattice; state is
 the last two letters. Words of letters without a character three times in a row have a lattice of one path and pass as
-they are. Runs of three or more single characters are joined first ("i d i o t"). Lattices of over `MAX_LATTICE`
-characters are names, hashes or links, not words; those tokens pass as they are too.
+they are. Every other token is decoded, whatever its length and share of letters; runs of one character are shortened to
+four first. Symbols around a word may be letters of it or go at little cost. Runs of three or more single characters are
+joined ("i d i o t"), and the lattice may put gaps between words there and at separators.
 
 Score: logistic regression on how often restored words and their first 4, 5 and 6 letters stand in a text, over those
 features that the labelled sample ties to either label (chi-square). The sample is bounded by `fit_rows`; the language
@@ -33,7 +34,7 @@ from photonlake.llm.common import arrow_map, bounded_sample, id_text, stored, te
 
 FIT_ROWS = 8_000
 MAX_FEATURES = 1_500
-MAX_LATTICE = 32
+MAX_LATTICE, BEAM = 32, 64
 SYMBOLS = 28  # the gap between words, a to z, any other letter
 OTHER = 27
 #: What leetspeak may write for a letter.
@@ -41,9 +42,11 @@ LEET = {"4": "a", "@": "a", "8": "b", "(": "c", "3": "e", "6": "g", "9": "g", "1
 MASKS = "*#?"
 SEPARATORS = ".-_~'*,/\\:"
 COST_SELF, COST_LEET, COST_MASK, COST_DROP, COST_REPEAT, COST_KEEP = 0.05, 1.0, 3.0, 0.7, 0.7, 6.0
+COST_EDGE, COST_GAP = 0.7, 1.5
 #: What stands around a word: opening marks; closing punctuation and all after it; trailing masks; a symbol three times.
 EDGE = re.compile(r"^\W+(?=\w)|(?:[,.;:!?\"')\]|][\W_]*|[#*%&]+|(\W)\1\1+)$")
 TRIPLE = re.compile(r"(.)\1\1")
+LONG_RUN = re.compile(r"(.)\1{4,}")
 SPACED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
 TABLE = 0x250
 
@@ -96,46 +99,87 @@ def trigram_costs(counts: np.ndarray) -> list[float]:
 
 
 def decode(token: str, costs: list[float]) -> str:
-    """The cheapest letters for a token. A candidate's letters extend the state; dropping a character keeps it."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The cheapest letters for a token."""
+    return cheapest(token, costs)[1]
+
+
+def cheapest(token: str, costs: list[float], edges: frozenset[int] = frozenset(), gaps: bool = False, spaced: bool = False, most: float = math.inf) -> tuple[float, str]:
+    """The cost and letters of the cheapest way through a token's lattice, which is known to cost at most `most`. A candidate's letters extend the state; dropping a character keeps it. Characters
+    at `edges` may go at little cost, `gaps` lets a separator be the gap between two words, and `spaced` lets a gap stand
+    before any character. Behind `MAX_LATTICE` characters the `BEAM` cheapest states go on."""
+    best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     before = ""
-    for c in token:
+    for k, c in enumerate(token):
         if c.isalpha():
             options = [(COST_SELF, c, symbol(c))]
         else:
             options = [(COST_LEET, x, ord(x) - 96) for x in LEET.get(c, "")]
             if c in MASKS:
                 options += [(COST_MASK, chr(96 + k), k) for k in range(1, 27)]
-        drop = COST_REPEAT if c == before else COST_DROP if c in SEPARATORS else COST_KEEP if not options else math.inf
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
+        drop = COST_EDGE if k in edges else COST_REPEAT if c == before else COST_DROP if c in SEPARATORS else COST_KEEP if not options else math.inf
+        if spaced and k:
+            for (a, b), (cost, text) in list(best.items()):
+                total = cost + costs[(a * SYMBOLS + b) * SYMBOLS]
+                if b and total < best.get((b, 0), (math.inf,))[0]:
+                    best[b, 0] = (total, (text, " "))
+        if gaps and k not in edges and c in SEPARATORS:
+            options = [*options, (COST_GAP, " ", 0)]
+        nxt: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, text) in best.items():
             if drop < math.inf and cost + drop < nxt.get((a, b), (math.inf,))[0]:
                 nxt[a, b] = (cost + drop, text)
             for own, x, s in options:
                 total = cost + own + costs[(a * SYMBOLS + b) * SYMBOLS + s]
-                if total < nxt.get((b, s), (math.inf,))[0]:
-                    nxt[b, s] = (total, text + x)
+                if total <= most and total < nxt.get((b, s), (math.inf,))[0]:
+                    nxt[b, s] = (total, (text, x))
+        if k >= MAX_LATTICE and len(nxt) > BEAM:
+            nxt = dict(sorted(nxt.items(), key=lambda x: x[1][0])[:BEAM])
         best, before = nxt, c
-    return min(((cost + costs[(a * SYMBOLS + b) * SYMBOLS], text) for (a, b), (cost, text) in best.items()))[1]
+    ends = [(cost + costs[(a * SYMBOLS + b) * SYMBOLS], text) for (a, b), (cost, text) in best.items()]
+    least = min(cost for cost, _ in ends)
+    return least, min(_joined(text) for cost, text in ends if cost == least)
+
+
+def _joined(text: tuple) -> str:
+    out = []
+    while text:
+        text, x = text
+        out.append(x)
+    return "".join(reversed(out))
+
+
+class Spaced(str):
+    """Letters that stood with single spaces between them; some of those may have been borders of words."""
 
 
 def restored(token: str, costs: list[float]) -> str:
-    """A lower-case token as a word."""
-    if token.isalpha() and not TRIPLE.search(token):
+    """A lower-case token as a word, or as several with spaces between them."""
+    spaced = isinstance(token, Spaced)
+    if token.isalpha() and not spaced and not TRIPLE.search(token):
         return token
-    core = EDGE.sub("", EDGE.sub("", token))
-    if core.isalpha() and not TRIPLE.search(core):
-        return core
-    if len(core) > MAX_LATTICE or 3 * sum(map(str.isalpha, core)) < len(core):
+    token = LONG_RUN.sub(r"\1\1\1\1", token)
+    at, core = 0, token
+    if m := EDGE.search(core):
+        at, core = (m.end(), core[m.end() :]) if m.start() == 0 and m.end() < len(core) else (0, core[: m.start()])
+    core = EDGE.sub("", core)
+    marks = lambda part: "".join(c for c in part if c in LEET or c in MASKS)  # noqa: E731  (others can only go)
+    front, back = marks(token[:at]), marks(token[at + len(core) :])
+    if not front and not back and core.isalpha() and not spaced and not TRIPLE.search(core):
         return core
-    return decode(core, costs)
+    whole = front + core + back
+    edges = frozenset([*range(len(front)), *range(len(front) + len(core), len(whole))])
+    bound = cheapest(core, costs, frozenset(), True, spaced)[0] + COST_EDGE * len(edges) + 1e-9  # the way that drops all edges
+    return " ".join(cheapest(whole, costs, edges, True, spaced, bound)[1].split())
 
 
 def tokens(text: str) -> list[str]:
-    low = text.lower()
-    if SPACED.search(low):
-        low = SPACED.sub(lambda m: m[0].replace(" ", ""), low)
-    return low.split()
+    """Words; runs of single characters with spaces between them are one `Spaced` word."""
+    low, out, at = text.lower(), [], 0
+    for m in SPACED.finditer(low):
+        out += low[at : m.start()].split()
+        out.append(Spaced(m[0].replace(" ", "")))
+        at = m.end()
+    return out + low[at:].split()
 
 
 def features(word: str) -> tuple[int, ...]:
@@ -147,13 +191,14 @@ def features(word: str) -> tuple[int, ...]:
 
 def _token_features(texts_: list[str | None], costs: list[float]):
     """For each text its features and their counts."""
-    seen: dict[str, tuple[int, ...]] = {}
+    seen: dict[tuple[str, bool], tuple[int, ...]] = {}
     for text in texts_:
         found: list[int] = []
         for t in tokens(text or ""):
-            if t not in seen:
-                seen[t] = features(restored(t, costs))
-            found += seen[t]
+            key = (t, isinstance(t, Spaced))
+            if key not in seen:
+                seen[key] = tuple(f for word in restored(t, costs).split() for f in features(word))
+            found += seen[key]
         yield np.unique(np.array(found, np.int64), return_counts=True)
 
 
@@ -243,11 +288,12 @@ class Scorer:
         weights, costs, seen = self.model["weights"], self.model["costs"], self.seen
         found: dict[int, int] = {}
         for t in tokens(text or ""):
-            hits = seen.get(t)
+            key = (t, isinstance(t, Spaced))
+            hits = seen.get(key)
             if hits is None:
                 if len(seen) > 500_000:
                     seen.clear()
-                hits = seen[t] = tuple(f for f in features(restored(t, costs)) if f in weights)
+                hits = seen[key] = tuple(f for word in restored(t, costs).split() for f in features(word) if f in weights)
             for f in hits:
                 found[f] = found.get(f, 0) + 1
         z = self.model["base"] + sum(weights[f] * math.log1p(n) for f, n in sorted(found.items()))

@@ -298,6 +298,15 @@ def test_viterbi_restores_and_keeps():
     assert toxicity.tokens("an i d i o t here") == ["an", "idiot", "here"]
 
 
+def test_viterbi_restores_what_is_most_obfuscated():
+    text = "the stupid idiot and you asshole shit you idiot said the loser to you in the stupid shit town asshole " * 30
+    s = np.array([0, 0, *(toxicity.symbol(c) for c in text), 0])
+    costs = toxicity.trigram_costs(np.bincount((s[:-2] * 28 + s[1:-1]) * 28 + s[2:], minlength=28**3).astype(float))
+    for written, word in (("5h17", "shit"), ("$tupid", "stupid"), ("@sshole", "asshole"), ("4$$h0l3", "asshole"), ("i" + "." * 40 + "d.i.o.t", "idiot"), ("l" + "o" * 90 + "ser", "loser"), ("(stupid)!", "stupid")):
+        assert toxicity.restored(written, costs) == word
+    assert [toxicity.restored(t, costs) for t in toxicity.tokens("the y o u i d i o t said")] == ["the", "you idiot", "said"]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(4)
     costs = toxicity.trigram_costs(rng.integers(0, 50, 28**3).astype(float))
