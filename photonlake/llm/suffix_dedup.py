@@ -1,15 +1,16 @@
 """Byte deduplication by difference-cover suffix arrays.
 
-Suffixes matter only where a string of `width` bytes can repeat, and a suffix array of all bytes would be far larger than
-the input. So spans (see `repeats`) first settle what repeats as a whole; what stays open is text around the ends of
-repeats. Its spans are shuffled by anchor, so that all suffixes that can share `width` bytes meet in one bucket, and each
-bucket sorts its suffixes by the difference cover modulo 3: triples at positions 1 and 2 modulo 3 are sorted and named,
-the names sorted by recursion, the suffixes at 0 modulo 3 merged in by their first byte and the rank behind it. Suffixes
-that agree in `width` bytes are then neighbours; adjacent prefixes are compared byte by byte, and all members of a class
-but the first (by doc_id, then start) are repeats.
-
-Texts are UTF-8; nulls are empty. Matches never cross documents. Strings are judged on the input. Rows that share a
-doc_id are taken as copies of each other, none earlier than the other; runs found in one hold for all. Rows without a
+Suffixes matter only where a string of `width` bytes can repeat, and a suffix array of all bytes would be many times the
+input (README has figures). So blocks (see `repeats`) first settle what repeats as a whole, by 128-bit digests of their
+bytes; what stays open is text around the ends of repeats. Its stretches are shuffled by anchor, so that all suffixes that
+can share `width` bytes meet in one bucket, and each bucket sorts its suffixes by the difference cover modulo 3: triples at
+positions 1 and 2 modulo 3 are sorted and named, the names sorted by recursion, the suffixes at 0 modulo 3 merged in by
+their first byte and the rank behind it. Suffixes that agree in `width` bytes are then neighbours; adjacent prefixes are
+compared byte by byte, and all members of a class but the first (by doc_id, then start) are repeats. Windows of anchors that
+stand in too many surroundings for one bucket are compared by their own 128-bit digests, spread over all buckets.
+
+Texts are UTF-8; nulls are empty. Matches never cross documents. Strings are judged on the input. Rows that share a doc_id
+are one document of several texts: of two equal strings the later start goes, and of equal starts neither. Rows without a
 doc_id are returned as they are and take no part.
 """
 
@@ -19,11 +20,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photonlake.llm.common import byte_texts, stored
-from photonlake.llm.repeats import DECIDED, OPEN, covered, from_planes, merged, planes, run_arrays, slices, span_runs, with_runs
+from photonlake.llm.repeats import DECIDED, FIELDS, OPEN, PACKED, RUNS, Units, WIDE, block_runs, covered, finished, from_planes, keyed, merged, packed, resolved, run_arrays, slices, window_entries, with_runs
 
 WIDTH = 100
 GRAM = 32
@@ -32,8 +34,9 @@ BUCKET_BYTES = 750_000
 _BYTE = np.random.default_rng(1).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def byte_values(data: bytes) -> np.ndarray:
-    return _BYTE[np.frombuffer(data, np.uint8)]
+def byte_units(data: bytes) -> Units:
+    at = np.arange(len(data) + 1)
+    return Units(_BYTE[np.frombuffer(data, np.uint8)], data, at[:-1], at[1:])
 
 
 def _joined(*columns: np.ndarray) -> np.ndarray:
@@ -87,13 +90,11 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def open_repeats(doc: np.ndarray, lo: np.ndarray, size: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the windows of some stretches that repeat an earlier one. text: all stretches, one after another."""
+def open_repeats(doc: np.ndarray, row: np.ndarray, lo: np.ndarray, size: np.ndarray, text: np.ndarray, width: int) -> dict[str, np.ndarray]:
+    """Runs of the windows of some stretches that repeat an earlier one. text: all stretches, one after another."""
     begin = np.cumsum(size) - size
-    gap = np.zeros(len(text) + len(size), np.int64)  # each stretch is followed by a 1, its bytes are 2 and up
-    where = np.arange(len(text)) + np.repeat(np.arange(len(size)), size)
-    gap[:] = 1
-    gap[where] = text.astype(np.int64) + 2
+    gap = np.ones(len(text) + len(size), np.int64)  # each stretch is followed by a 1, its bytes are 2 and up
+    gap[np.arange(len(text)) + np.repeat(np.arange(len(size)), size)] = text.astype(np.int64) + 2
     order = suffix_array(gap)
     stretch = np.repeat(np.arange(len(size)), size + 1)[order]
     inside = order - (begin + np.arange(len(size)))[stretch]
@@ -112,70 +113,83 @@ def open_repeats(doc: np.ndarray, lo: np.ndarray, size: np.ndarray, text: np.nda
             ok[live] = gap[a[live] + j] == gap[b[live] + j]
         same[k : k + len(b)] = ok
     cls = np.cumsum(~same)
-    d, at = doc[stretch], lo[stretch] + inside
+    d, r, at = doc[stretch], row[stretch], lo[stretch] + inside
     by = np.lexsort((at, d, cls))
-    cls, d, at = cls[by], d[by], at[by]
+    cls, d, r, at = cls[by], d[by], r[by], at[by]
     start = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]) if len(cls) else np.zeros(0, np.int64)
     head = np.repeat(start, np.diff(np.r_[start, len(cls)]))
     later = (d != d[head]) | (at != at[head])
-    return d[later], at[later]
+    return merged({"doc_id": d[later], "row": r[later], "lo": at[later], "hi": at[later], "source": d[head[later]], "at": at[head[later]]})
 
 
-def boundary_runs(docs: DataFrame, open_: DataFrame, width: int) -> DataFrame:
-    """doc_id, lo, hi: windows of open spans that repeat an earlier one."""
-    rows = with_runs(docs, open_, "inner")
+STRETCH = 3  # the part number of packed stretches, beside those of single windows
+PACKED_OPEN = PACKED + ", body binary"
+
+
+def boundary_runs(docs: DataFrame, runs: DataFrame, width: int) -> DataFrame:
+    """RUNS of the windows of undecided blocks that repeat an earlier one: OPEN blocks as stretches of text, by anchor, WIDE
+    ones window by window."""
+    open_ = runs.filter(f"kind <> {DECIDED}")
     n = max(8, (open_.agg(F.sum(F.col("hi") - F.col("lo") + width)).first()[0] or 0) // BUCKET_BYTES)
 
     def emit(batches):
         for batch in slices(batches):
-            doc, lo, size, key, parts = [], [], [], [], []
-            for d, data, runs in zip(batch.column("doc_id").to_pylist(), byte_texts(batch), run_arrays(batch.column("runs")), strict=True):
-                data = data or b""
-                for a, b, k in zip(*(r.tolist() for r in runs), strict=True):
-                    if b + width <= len(data):
-                        doc.append(d)
-                        lo.append(a)
-                        size.append(b + width - a)
-                        key.append(k)
-                        parts.append(data[a : b + width])
-            if not doc:
-                continue
-            doc, lo, size = np.array(doc, np.int64), np.array(lo, np.int32), np.array(size, np.int32)
-            bucket = (np.array(key, np.int64).view(np.uint64) % np.uint64(n)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
-            groups = np.split(order, cut[1:])
-            yield pa.record_batch([pa.array(bucket[order[cut]].astype(np.int32)), *(pa.array([planes(x[g]) for g in groups], pa.binary()) for x in (doc, lo, size)), pa.array([b"".join([parts[i] for i in g]) for g in groups], pa.binary())], ["bucket", "doc", "lo", "size", "body"])
+            order = np.argsort(batch.column("doc_id").to_numpy(), kind="stable").tolist()
+            ids, rows, data, own = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), byte_texts(batch), run_arrays(batch.column("runs"))
+            doc, row, lo, size, key, parts, wide = [], [], [], [], [], [], []
+            for k in order:
+                text, r = data[k] or b"", own[k]
+                ok = r["hi"] + width <= len(text)
+                some = ok & (r["kind"] == WIDE)
+                if some.any():
+                    wide.append((ids[k], rows[k], byte_units(text), r["lo"][some], r["hi"][some]))
+                for a, b, c in zip(*(r[c][ok & ~some].tolist() for c in ("lo", "hi", "key")), strict=True):
+                    doc.append(ids[k])
+                    row.append(rows[k])
+                    lo.append(a)
+                    size.append(b + width - a)
+                    key.append(c)
+                    parts.append(text[a : b + width])
+            for rest in window_entries(wide, width, n, True):
+                yield rest.append_column("body", pa.nulls(rest.num_rows, pa.binary()))
+            if doc:
+                bucket = (np.array(key, np.int64).view(np.uint64) % np.uint64(n)).astype(np.int64)
+                columns = {"doc": np.array(doc, "<i8"), "row": np.array(row, "<i8"), "lo": np.array(lo, "<i4"), "n": np.array(size, "<i4")}
+                by = np.argsort(bucket, kind="stable")
+                groups = np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1)
+                yield packed(bucket, columns, STRETCH).append_column("body", pa.array([b"".join([parts[i] for i in g]) for g in groups], pa.binary()))
 
     def sort(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        take = lambda name, kind: np.concatenate([from_planes(x, kind) for x in table.column(name).to_pylist()])
-        text = np.frombuffer(b"".join(table.column("body").to_pylist()), np.uint8)
-        doc, at = open_repeats(take("doc", "<i8"), take("lo", "<i4").astype(np.int64), take("size", "<i4").astype(np.int64), text, width)
-        order = np.lexsort((at, doc))
-        d, a, b = merged(doc[order], at[order], at[order])
-        return pa.table([pa.array(d), pa.array(a), pa.array(b)], ["doc_id", "lo", "hi"])
+        out = resolved(table.drop_columns(["body"]), True, 1)
+        own = table.filter(pc.equal(table.column("part"), STRETCH))
+        if own.num_rows:
+            doc, row, lo, size = (np.concatenate([from_planes(x, kind) for x in own.column(c).to_pylist()]).astype(np.int64) for c, kind in (("doc", "<i8"), ("row", "<i8"), ("lo", "<i4"), ("n", "<i4")))
+            found = open_repeats(doc, row, lo, size, np.frombuffer(b"".join(own.column("body").to_pylist()), np.uint8), width)
+            none = np.zeros(len(found["lo"]), np.int64)
+            found |= {"kind": (none + DECIDED).astype(np.int32), "key": none}
+            out = pa.concat_tables([out, pa.table([pa.array(found[c]) for c in FIELDS], FIELDS)])
+        return out
 
-    return rows.select("doc_id", "text", "runs").mapInArrow(emit, "bucket int, doc binary, lo binary, size binary, body binary").groupBy("bucket").applyInArrow(sort, "doc_id long, lo long, hi long")
+    return with_runs(keyed(docs), open_, "inner").mapInArrow(emit, PACKED_OPEN).groupBy("bucket").applyInArrow(sort, RUNS).filter(f"kind = {DECIDED}")
 
 
-def duplicate_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, per_byte: float = PER_BYTE) -> DataFrame:
-    """doc_id, lo, hi, key: all windows (by first byte) that also start earlier."""
-    runs = stored(span_runs(docs, byte_values, width, gram, per_byte, first_stays=True), "runs")
-    edges = boundary_runs(docs, runs.filter(f"kind = {OPEN}"), width)
-    return runs.filter(f"kind = {DECIDED}").select("doc_id", "lo", "hi", "key").unionByName(edges.selectExpr("doc_id", "lo", "hi", "0L as key"))
+def duplicate_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, per_byte: float = PER_BYTE, **limits) -> DataFrame:
+    """RUNS of all windows (by first byte) that also start earlier."""
+    runs = stored(block_runs(docs, byte_units, width, gram, per_byte, True, **limits), "runs")
+    return runs.filter(f"kind = {DECIDED}").unionByName(boundary_runs(docs, runs, width))
 
 
-def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = WIDTH, **limits) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay)."""
-    return _finish(docs, width, lambda kept: pa.array(kept, pa.binary()), "kept binary")
+    return _finish(docs, width, lambda kept: pa.array(kept, pa.binary()), "kept binary", **limits)
 
 
-def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def digest(docs: DataFrame, width: int = WIDTH, **limits) -> DataFrame:
     """The contract's columns."""
-    return _finish(docs, width, lambda kept: pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "kept_sha256 string")
+    return _finish(docs, width, lambda kept: pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "kept_sha256 string", **limits)
 
 
-def _finish(docs: DataFrame, width: int, form, column: str) -> DataFrame:
+def _finish(docs: DataFrame, width: int, form, column: str, **limits) -> DataFrame:
     name = column.split()[0]
 
     def finish(batches):
@@ -189,11 +203,10 @@ def _finish(docs: DataFrame, width: int, form, column: str) -> DataFrame:
                     runs_.append(0)
                     kept.append(data)
                     continue
-                mark = covered(len(data), runs[0], runs[1], width)
+                mark = covered(len(data), runs["lo"], runs["hi"], width)
                 gone.append(int(mark.sum()))
                 runs_.append(int(np.count_nonzero(mark & ~np.r_[False, mark[:-1]])))
                 kept.append(np.frombuffer(data, np.uint8)[~mark].tobytes())
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, gone, runs_)), form(kept)], ["doc_id", "n_bytes", "n_removed", "n_spans", name])
 
-    rows = with_runs(docs, duplicate_runs(docs, width), "left")
-    return rows.select("doc_id", "text", "runs").mapInArrow(finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, {column}")
+    return finished(docs, duplicate_runs(docs, width, **limits), finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, {column}")

@@ -166,12 +166,16 @@ def test_suffix_array():
             assert suffix_dedup.suffix_array(np.array(s, np.int64)).tolist() == sorted(range(n), key=lambda i: s[i:])
 
 
-def test_spans_are_content_defined():
+def test_blocks_are_content_defined():
     rng = np.random.default_rng(3)
-    shared, a, b = (rng.integers(0, 1 << 63, n, np.uint64) for n in (90, 41, 17))
-    one, two = (repeats.spans(np.r_[x, shared, x], 35, 10) for x in (a, b))
-    inside = lambda s, off: {(lo - off, hi - off, int(c)) for lo, hi, _, c in zip(*(v.tolist() for v in s), strict=True) if lo > off and hi < off + 90 - 35}
-    assert inside(one, 41) == inside(two, 17) and inside(one, 41)
+    shared, a, b = (bytes(rng.integers(97, 123, n, np.uint8)) for n in (190, 41, 17))
+    found = []
+    for x in (a, b):
+        u = suffix_dedup.byte_units(x + shared + x)
+        lo, hi, _ = repeats.blocks(u, 100, 32)
+        inside = (lo > len(x)) & (hi < len(x) + 190 - 100)
+        found.append({(i - len(x), j - len(x), tuple(c)) for i, j, c in zip(lo[inside].tolist(), hi[inside].tolist(), repeats.digests(u, lo, hi, 100)[inside].tolist(), strict=True)})
+    assert found[0] == found[1] and found[0]
 
 
 def removed(total, starts, width):
@@ -198,22 +202,75 @@ def test_byte_dedup(spark, prose, extra):
     assert suffix_dedup.digest(docs_of(spark, [])).collect() == []
 
 
-def test_byte_dedup_of_repeated_rows(spark):
-    text = "q" + "".join(chr(97 + k * k % 23) for k in range(200))
-    got = suffix_dedup.digest(docs_of(spark, [text, text, text], [4, 4, 9])).collect()
-    assert sorted((r.doc_id, r.n_removed) for r in got) == sorted([(4, got[0].n_removed if got[0].doc_id == 4 else got[1].n_removed)] * 2 + [(9, len(text))])
+#: Anchors that all collide, and anchors that stand in too many surroundings at once.
+LIMITS = [{}, {"key_bits": 2}, {"key_bits": 0}, {"per_batch": 1}, {"most": 1}, {"per_batch": 2, "most": 3, "key_bits": 5}]
+
+
+def bytes_by_hand(rows, width=100):
+    """(doc_id, bytes, removed, spans, hash) of (doc_id, text) rows; rows of one doc_id are one document."""
+    least, out = {}, []
+    for i, t in rows:
+        data = (t or "").encode()
+        for k in range(len(data) - width + 1):
+            part = data[k : k + width]
+            least[part] = min(least.get(part, (i, k)), (i, k))
+    for i, t in rows:
+        data = (t or "").encode()
+        m = removed(len(data), [k for k in range(len(data) - width + 1) if least[data[k : k + width]] < (i, k)], width)
+        out.append((i, len(data), sum(m), sum(1 for k, x in enumerate(m) if x and not (k and m[k - 1])), hashlib.sha256(bytes(c for c, x in zip(data, m, strict=True) if not x)).hexdigest()))
+    return sorted(out)
+
+
+def words_by_hand(rows, width=35):
+    n, out = Counter(), []
+    words = [(i, re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t in rows]
+    for _, w in words:
+        n.update(tuple(w[k : k + width]) for k in range(len(w) - width + 1))
+    for i, w in words:
+        m = removed(len(w), [k for k in range(len(w) - width + 1) if n[tuple(w[k : k + width])] > 1], width)
+        out.append((i, len(w), sum(m), hashlib.sha256(" ".join(x for x, y in zip(w, m, strict=True) if not y).encode()).hexdigest()))
+    return sorted(out)
+
+
+def many_surroundings(prose):
+    """One passage of 50 words in many surroundings, and cut at many places."""
+    rng = random.Random(12)
+    passage = " ".join(w for w in prose[-3].split()[100:150])
+    return [f"{' '.join(rng.choice('abcdefg') * 3 for _ in range(40))} {passage[k % 7 :]} {' '.join(rng.choice('hijklm') * 2 for _ in range(40))}" for k in range(60)]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_dedup_whatever_collides(spark, prose, limits):
+    texts = [*prose, *many_surroundings(prose)]
+    df = docs_of(spark, texts)
+    assert sorted(map(tuple, suffix_dedup.digest(df, **limits).collect())) == bytes_by_hand(list(enumerate(texts)))
+    assert sorted(map(tuple, substring_dedup.digest(df, **limits).collect())) == words_by_hand(list(enumerate(texts)))
+
+
+def test_dedup_of_rows_that_share_a_doc_id(spark, prose):
+    """Each row keeps its own runs; equal rows are copies of each other."""
+    a, b, c = prose[-3][:900], prose[-3][300:1500], prose[5] * 3
+    rows = [(4, a), (4, b), (4, "x" + a), (4, c), (9, a), (9, a), (2, None), (3, c), (3, c), (11, prose[-3][2000:3000]), (11, prose[-3][4000:5000])]
+    df = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    assert sorted(map(tuple, suffix_dedup.digest(df).collect())) == bytes_by_hand(rows)
+    assert sorted(map(tuple, substring_dedup.digest(df).collect())) == words_by_hand(rows)
+
+
+def test_factors_follow_one_source(spark, prose):
+    texts = [*prose, " ".join(prose[-3].split()[500:900]), " ".join([*prose[-3].split()[10:60], *prose[3].split()])]
+    words = [(t or "").split() for t in texts]  # no other white space in these
+    got = substring_dedup.factors(docs_of(spark, texts)).collect()
+    assert got
+    for r in got:
+        assert r.n_words >= 35 and (r.source_id, r.source_start) != (r.doc_id, r.start)
+        assert words[r.doc_id][r.start : r.start + r.n_words] == words[r.source_id][r.source_start : r.source_start + r.n_words]
+    own = [(r.start, r.n_words, r.source_id, r.source_start) for r in got if r.doc_id == len(prose)]
+    assert own == [(0, 400, len(prose) - 3, 500)]
 
 
 def test_substring_dedup(spark, prose):
-    n, want = Counter(), {}
-    words = [re.findall("[^\x20\x09-\x0d]+", t or "") for t in prose]
-    for w in words:
-        n.update(tuple(w[k : k + 35]) for k in range(len(w) - 34))
-    for i, w in enumerate(words):
-        m = removed(len(w), [k for k in range(len(w) - 34) if n[tuple(w[k : k + 35])] > 1], 35)
-        want[i] = (len(w), sum(m), hashlib.sha256(" ".join(x for x, y in zip(w, m, strict=True) if not y).encode()).hexdigest())
-    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.digest(docs_of(spark, prose)).collect()}
-    assert got == want and sum(v[1] for v in want.values()) > 100
+    got = sorted(map(tuple, substring_dedup.digest(docs_of(spark, prose)).collect()))
+    assert got == words_by_hand(list(enumerate(prose))) and sum(r[2] for r in got) > 100
     twice = substring_dedup.deduplicated(docs_of(spark, [prose[3], prose[3], None], [1, 1, 2])).collect()
     assert sorted((r.doc_id, r.kept_text) for r in twice if r.doc_id == 2) == [(2, "")]
 
