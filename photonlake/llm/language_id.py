@@ -5,11 +5,14 @@ a naive-Bayes log-odds between the languages whose bit is 1 and those whose bit
 every codeword by a margin-weighted logistic loss, so a weak bit counts little, and the codeword of least loss wins.
 `ambiguous` is set where the runner-up is closer than `min_gap`.
 
-Fitting reads a bounded sample of labelled rows (`fit_rows`, chosen by a hash of doc_id); n-gram counts are summed in
-the executors and only languages x buckets counts come to the driver. Prediction reads every whole text.
-
-Null texts and texts without letters give `und`, score 0. Without any labelled row every text gives `und`. Rows without
-a language don't take part in fitting. With one language only, every text with letters gets it, score 1.
+Fitting reads a bounded sample of labelled rows (`fit_rows`, chosen by a hash of doc_id); n-gram counts and the sums over
+languages stay in the executors, and only the languages' totals and buckets x bits weights come to the driver. Prediction
+reads every whole text.
+
+Null texts and texts without letters give `und`, score 0; emoji, digits and punctuation of any script are no letters. Without
+any labelled row every text gives `und`. Rows without a language don't take part in fitting. With one language only, every
+text with letters gets it, score 1. Repeated rows count each in fitting and are predicted each; a very long text weighs by
+its length in fitting and is read whole.
 """
 
 from __future__ import annotations
@@ -17,28 +20,25 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import arrow_map, bounded_sample, mixed, texts
+from photonlake.llm.common import arrow_map, bounded_sample, mixed, stored, texts
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3, 4)
 FIT_ROWS = 20_000
-MAX_LANGUAGES = 256
 SHARPNESS = 10.0
-#: Letters of the Latin blocks and beyond: everything str.isalpha() accepts below this point is looked up in a table.
-TABLE = 0x3000
-_LETTER = np.array([chr(c).isalpha() for c in range(TABLE)])
+#: Languages whose counts a task holds at once.
+HELD = 64
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def letters(text: str) -> np.ndarray:
-    """Code points of the lower-cased text with every run of other characters as one 0."""
+    """Code points of the letters (Unicode categories L*) of the lower-cased text, every run of other characters as one 0."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    known = points < TABLE
-    keep = np.where(known, _LETTER[np.where(known, points, 0)], True)
+    keep = _LETTER[points]
     points = np.where(keep, points, 0).astype(np.uint64)
     return points[keep | np.r_[True, keep[:-1]]]
 
@@ -68,38 +68,65 @@ def codewords(n: int) -> np.ndarray:
     return np.stack([rng.permutation(half) for _ in range(int(np.ceil(15 * np.log2(n))))], 1)
 
 
-def language_counts(sample: DataFrame) -> pd.DataFrame:
+def language_counts(sample: DataFrame) -> DataFrame:
     """lang, bucket, n: n-gram counts, summed over the rows of a task before they are shuffled."""
 
+    def packed(total):
+        for lang, n in total.items():
+            at = n.nonzero()[0]
+            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), texts(batch), strict=True):
                 if text:
+                    if lang not in total and len(total) >= HELD:
+                        yield from packed(total)
+                        total = {}
                     total[lang] = total.get(lang, 0) + buckets(text)
-        for lang, n in total.items():
-            at = n.nonzero()[0]
-            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+        yield from packed(total)
+
+    return sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def bit_weights(counts: DataFrame, names: list[str], totals: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """buckets x bits log-odds, summed over languages in the executors."""
+    smooth = 0.5 / (totals + 0.5 * BUCKETS)
+    base = [np.where(code == sign, smooth[:, None], 0).sum(0) for sign in (1, -1)]
+    size = [(code == sign).sum(0) for sign in (1, -1)]
+    odds = lambda plus, minus: np.log((base[0] + plus) / size[0]) - np.log((base[1] + minus) / size[1])
+    shared = counts.sparkSession.sparkContext.broadcast((np.array(names), totals, code))
+
+    def weigh(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        names, totals, code = shared.value
+        at = np.searchsorted(names, np.array(table.column("lang").to_pylist()))
+        share = table.column("n").to_numpy() / (totals[at] + 0.5 * BUCKETS)
+        bucket, own = np.unique(table.column("bucket").to_numpy(), return_inverse=True)
+        sums = np.zeros((2, len(bucket), code.shape[1]))
+        for part in np.split(np.arange(len(own)), range(4096, len(own), 4096)):
+            for k, sign in enumerate((1, -1)):
+                np.add.at(sums[k], own[part], share[part, None] * (code[at[part]] == sign))
+        weights = odds(*sums).astype(np.float32)
+        return pa.table([pa.array(bucket), pa.array([w.tobytes() for w in weights], pa.binary())], ["bucket", "weights"])
 
-    return sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.repeat(odds(0, 0).astype(np.float32)[None], BUCKETS, 0)
+    for r in counts.groupBy(F.col("bucket") % 64).applyInArrow(weigh, "bucket long, weights binary").toLocalIterator():
+        out[r["bucket"]] = np.frombuffer(r["weights"], np.float32)
+    return out
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict | None:
     """The classifiers of all bits. `docs`: doc_id, text and lang of the rows that may be learned from."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample = bounded_sample(rows, "doc_id", rows.count(), fit_rows, 6).select(F.col("lang").cast("string").alias("lang"), "text")
-    found = language_counts(sample)
-    names = sorted(found["lang"].unique())
-    if not names:
+    counts = stored(language_counts(sample), "grams")
+    found = sorted((r["lang"], r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect())
+    if not found:
         return None
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {MAX_LANGUAGES} fit the driver")
-    counts = np.zeros((len(names), BUCKETS))
-    counts[np.searchsorted(names, found["lang"]), found["bucket"]] = found["n"]
-    share = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS)
+    names, totals = [x for x, _ in found], np.array([n for _, n in found], float)
     code = codewords(len(names))
-    weights = np.stack([np.log(share[bit > 0].mean(0)) - np.log(share[bit < 0].mean(0)) for bit in code.T], 1) if code.size else np.zeros((BUCKETS, 0))
-    return {"names": names, "code": code, "weights": weights.astype(np.float32)}
+    return {"names": names, "code": code, "weights": bit_weights(counts, names, totals, code) if code.size else np.zeros((BUCKETS, 0), np.float32)}
 
 
 def predict(docs: DataFrame, model: dict | None, min_gap: float = 0.2) -> DataFrame:

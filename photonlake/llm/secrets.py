@@ -2,19 +2,23 @@
 
 Three base kinds are matched leftmost and without overlap, each on its own: `assign`, `access` and `hex`. Beyond them,
 a value after a wider set of credential words (with `:`, `=` or "is") is priced by dynamic programming: the cheapest
-segmentation into dictionary words, dates, repeats, sequences, keyboard walks and brute-force spans, in log10 guesses.
+segmentation into dictionary words, dates, repeats, sequences, keyboard walks and brute-force spans, in log10 guesses. The
+dictionary is the frequent password words below and the `DICTIONARY` words that most documents hold, counted over all of
+them, so that prose ("the password is important") costs little.
 Values that cost at least `min_log10` guesses are reported as kind `guess`, unless they lie inside an `assign` match; one
 that reaches further is reported beside it. A value of any length is taken whole: to the closing quote if it begins with
 a quote, and at most to the next character that isn't printable ASCII.
 
-Nulls count as empty texts: no spans. Positions are code points, ends exclusive. Repeated rows are scanned row by row.
+Nulls count as empty texts: no spans. An empty table gives no rows. Positions are code points, ends exclusive. Repeated rows are scanned row by row.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
+import uuid
+from collections import Counter
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +34,9 @@ CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "auth", "credential",
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10 = 8.0
 LONG = 64
+ORDER = 0.3
+DICTIONARY, IN_DOCUMENTS, HELD_WORDS = 50_000, 5, 200_000
+LETTERS = re.compile("[a-z]{3,20}")
 
 #: Frequent words in passwords, most frequent first; the rank is the number of guesses.
 COMMON = (
@@ -59,62 +66,102 @@ def _walks(low: str, i: int) -> int:
     return best
 
 
-def _cost(value: str, words: tuple[str, ...], enough: float) -> float:
-    """best[j] is the cheapest cost of the first j characters; each span that ends at j adds its own cost, and every span
-    after the first a factor of 2 for order. Spans of one repeated character are at most LONG characters or reach its end;
-    brute force over more than LONG characters goes by a running minimum. So a long value takes time in its length."""
-    low = value.lower()
-    plain = low.translate(PLAIN)
-    rank = {w: k + 1 for k, w in reversed(list(enumerate(words)))}
-    longest = max(map(len, words), default=0)
-    n = len(value)
-    spans: dict[int, list[tuple[int, float]]] = {}  # by end: start, cost
-    best, far, begin, run = [0.0] * (n + 1), math.inf, 0, 0
-    for j in range(n + 1):
-        if j:
-            best[j] = far + j
-            for i in range(max(0, j - LONG), j):  # brute force: 10 guesses a character
-                best[j] = min(best[j], best[i] + (j - i) * 1.0 + (0.3 if i else 0.0))
-            for i, own in spans.pop(j, ()):
-                best[j] = min(best[j], best[i] + own + (0.3 if i else 0.0))
-            if j >= LONG:
-                i = j - LONG
-                far = min(far, best[i] + (0.3 if i else 0.0) - i)
-                # every way to the end stops in the last LONG places, or costs more than LONG, or repeats one character over them
-                if enough <= LONG and begin > i and min(best[i + 1 : j + 1]) >= enough:
-                    return min(best[i + 1 : j + 1])
-        if j == n:
-            break
-        for k in range(j + 3, min(n, j + longest) + 1):
-            for form, extra in ((low[j:k], 0.0), (plain[j:k], 0.5)):
-                if form in rank:
-                    upper = 0.0 if value[j:k] == low[j:k] else math.log10(2) * (1 if value[j:k].istitle() or value[j:k].isupper() else k - j)
-                    spans.setdefault(k, []).append((j, math.log10(rank[form] + 1) + extra + upper))
-                    break
-        if m := DATE.match(value, j):
-            spans.setdefault(m.end(), []).append((j, math.log10(120) + (math.log10(365) if m.end() - j > 4 else 0)))
-        if run <= j:
-            begin, run = j, j + 1
-            while run < n and low[run] == low[j]:
-                run += 1
-        for k in {*range(j + 2, min(run, j + LONG) + 1), *([run] if run > j + 1 else [])}:
-            spans.setdefault(k, []).append((j, 1.0 + math.log10(k - j)))
-        for k in range(3, _walks(low, j) + 1):
-            spans.setdefault(j + k, []).append((j, math.log10(40) + math.log10(k)))
-    return best[n]
-
-
-@lru_cache(maxsize=100_000)
-def _short_cost(value: str, words: tuple[str, ...]) -> float:
-    return _cost(value, words, math.inf)
-
-
-def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON), enough: float = math.inf) -> float:
-    """log10 of the guesses of the cheapest segmentation of `value`, or some number from `enough` on if that many are needed."""
-    return _short_cost(value, words) if len(value) <= LONG else _cost(value, words, enough)
-
-
-def scan(text: str, min_log10: float = MIN_LOG10) -> list[tuple[str, int, int]]:
+def word_counts(docs: DataFrame, most: int = DICTIONARY, least: int = IN_DOCUMENTS) -> list[str]:
+    """The words (3 to 20 letters a to z, lower-cased) that stand in at least `least` documents, by how many documents hold
+    them, the most frequent `most`. Counted over all documents and summed in each task before they are shuffled."""
+
+    def count(batches):
+        total: Counter[str] = Counter()
+        for batch in batches:
+            for text in texts(batch):
+                total.update(set(LETTERS.findall((text or "").lower())))
+                if len(total) > HELD_WORDS:
+                    yield pa.record_batch([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
+                    total = Counter()
+        yield pa.record_batch([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
+
+    counts = id_text(docs).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+class Guesser:
+    """log10 of the guesses that a value needs, under a dictionary (most frequent words first)."""
+
+    def __init__(self, words: Sequence[str] = ()):
+        self.rank: dict[str, int] = {}
+        for known in (COMMON, words):
+            for k, w in enumerate(known):
+                self.rank[w] = min(k + 1, self.rank.get(w, k + 1))
+        self.longest = max(map(len, self.rank))
+        self.seen: dict[str, float] = {}
+
+    def __call__(self, value: str, enough: float = math.inf) -> float:
+        """The cheapest segmentation of `value`, or some number from `enough` on if that many are needed."""
+        if len(value) > LONG:
+            return self._cost(value, enough)
+        found = self.seen.get(value)
+        if found is None:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            found = self.seen[value] = self._cost(value, math.inf)
+        return found
+
+    def word(self, value: str, low: str, plain: str) -> float | None:
+        """A dictionary word, its leetspeak (a factor of 3) or its capitals (2, or 2 a letter if they are mixed)."""
+        for form, extra in ((low, 0.0), (plain, 0.5)):
+            if form in self.rank:
+                upper = 0.0 if value == low else math.log10(2) * (1 if value.istitle() or value.isupper() else len(value))
+                return math.log10(self.rank[form] + 1) + extra + upper
+        return None
+
+    def _cost(self, value: str, enough: float) -> float:
+        """best[j] is the cheapest cost of the first j characters; each span that ends at j adds its own cost, and every
+        span after the first a factor of 2 for order. Spans of one repeated character are at most LONG characters or reach
+        its end; brute force over more than LONG characters goes by a running minimum. So a long value takes time in its
+        length."""
+        low = value.lower() if len(value.lower()) == len(value) else value
+        plain = low.translate(PLAIN)
+        n = len(value)
+        spans: dict[int, list[tuple[int, float]]] = {}  # by end: start, cost
+        best, far, begin, run = [0.0] * (n + 1), math.inf, 0, 0
+        for j in range(n + 1):
+            if j:
+                best[j] = far + j
+                for i in range(max(0, j - LONG), j):  # brute force: 10 guesses a character
+                    best[j] = min(best[j], best[i] + (j - i) * 1.0 + (ORDER if i else 0.0))
+                for i, own in spans.pop(j, ()):
+                    best[j] = min(best[j], best[i] + own + (ORDER if i else 0.0))
+                if j >= LONG:
+                    i = j - LONG
+                    far = min(far, best[i] + (ORDER if i else 0.0) - i)
+                    # every way to the end stops in the last LONG places, or costs more than LONG, or repeats one character over them
+                    if enough <= LONG and begin > i and min(best[i + 1 : j + 1]) >= enough:
+                        return min(best[i + 1 : j + 1])
+            if j == n:
+                break
+            for k in range(j + 3, min(n, j + self.longest) + 1):
+                own = self.word(value[j:k], low[j:k], plain[j:k])
+                if own is not None:
+                    spans.setdefault(k, []).append((j, own))
+            if value[j].isdigit():
+                for k in range(j + 4, min(n, j + 10) + 1):
+                    if DATE.fullmatch(value, j, k):
+                        spans.setdefault(k, []).append((j, math.log10(120) + (math.log10(365) if k - j > 4 else 0)))
+            if run <= j:
+                begin, run = j, j + 1
+                while run < n and low[run] == low[j]:
+                    run += 1
+            for k in {*range(j + 2, min(run, j + LONG) + 1), *([run] if run > j + 1 else [])}:
+                spans.setdefault(k, []).append((j, 1.0 + math.log10(k - j)))
+            for k in range(3, _walks(low, j) + 1):
+                spans.setdefault(j + k, []).append((j, math.log10(40) + math.log10(k)))
+        return best[n]
+
+
+guess_cost = Guesser()
+
+
+def scan(text: str, min_log10: float = MIN_LOG10, guesser: Guesser = guess_cost) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end), by start and then kind."""
     low = text.lower()
     found: list[tuple[str, int, int]] = []
@@ -125,7 +172,7 @@ def scan(text: str, min_log10: float = MIN_LOG10) -> list[tuple[str, int, int]]:
             start, end = m.span(m.lastindex)
             while end > start and text[end - 1] in "\"',;)]}>":
                 end -= 1
-            if end - start >= 6 and not any(a <= start and end <= b for a, b in taken) and guess_cost(text[start:end], enough=min_log10) >= min_log10:
+            if end - start >= 6 and not any(a <= start and end <= b for a, b in taken) and guesser(text[start:end], min_log10) >= min_log10:
                 found.append(("guess", start, end))
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]
@@ -133,21 +180,41 @@ def scan(text: str, min_log10: float = MIN_LOG10) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def secret_spans(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
-    """doc_id and the spans of every document, as an array of (kind, start, end). No shuffle."""
+_GUESSERS: dict[str, Guesser] = {}
+
+
+def _shared_guesser(docs: DataFrame, words: Sequence[str] | None) -> Callable[[], Guesser]:
+    """A dictionary counted from `docs` (or given), broadcast; each Python worker builds it once."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(word_counts(docs) if words is None else list(words)), uuid.uuid4().hex
+
+    def get() -> Guesser:
+        if name not in _GUESSERS:
+            _GUESSERS.clear()
+            _GUESSERS[name] = Guesser(shared.value)
+        return _GUESSERS[name]
+
+    return get
+
+
+def secret_spans(docs: DataFrame, min_log10: float = MIN_LOG10, words: Sequence[str] | None = None) -> DataFrame:
+    """doc_id and the spans of every document, as an array of (kind, start, end). words: the dictionary, counted from the
+    documents if none is given. No text is shuffled."""
+    guesser = _shared_guesser(docs, words)
     schema = "doc_id long, found array<struct<kind:string,start:long,end:long>>"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t or "", min_log10)] for t in texts(batch)]
+        own = guesser()
+        rows = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t or "", min_log10, own)] for t in texts(batch)]
         return pa.record_batch([batch.column("doc_id"), pa.array(rows, kind)], ["doc_id", "found"])
 
     return arrow_map(id_text(docs), run, schema)
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", min_log10: float = MIN_LOG10) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", min_log10: float = MIN_LOG10, words: Sequence[str] | None = None) -> DataFrame:
     """`docs` with every found span of `text` replaced by `mark`; other columns stay, rows stay. `n_chars`, where there
-    is one, follows the text. Overlapping spans are replaced as one."""
+    is one, follows the text. Overlapping spans are replaced as one. words: as in secret_spans."""
+    guesser = _shared_guesser(docs, words)
 
     @F.pandas_udf("string")
     def cleaned(col):
@@ -155,7 +222,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", min_log10: float = MIN_LOG10
             if text is None:
                 return None
             out, at = [], 0
-            for _, start, end in scan(text, min_log10):
+            for _, start, end in scan(text, min_log10, guesser()):
                 if start >= at:
                     out += [text[at:start], mark]
                 at = max(at, end)
@@ -181,4 +248,4 @@ def digest(spans: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["digest", "guess_cost", "redact", "scan", "secret_spans"]
+__all__ = ["Guesser", "digest", "guess_cost", "redact", "scan", "secret_spans", "word_counts"]

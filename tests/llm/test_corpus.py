@@ -95,6 +95,8 @@ def test_vectors(spark):
         hits += len({i for _, i in best} & {i for i, _ in found.values()})
         assert all(abs(found[k + 1][1] + best[k][0]) < 1e-9 for k in range(5))
     assert hits / total >= 0.95
+    large = spark.createDataFrame([(i, [float(v) * 10.0 ** (20 + 50 * (i % 3)) for v in r[:8]]) for i, r in enumerate(x[:60])], "vec_id long, embedding array<double>")
+    assert vector_search.nearest(large, F.col("vec_id") % 20 == 0, k=5).count() == 15
     assert vector_search.nearest(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
@@ -327,6 +329,55 @@ def test_guess_cost_is_the_cheapest_segmentation():
     assert secrets.guess_cost("password2019") < secrets.guess_cost("password") + secrets.guess_cost("2019") + 0.5
 
 
+def test_guess_cost_by_all_segmentations():
+    words = ["summer", "sum", "mer", "winter2"]
+    guesser = secrets.Guesser(words)
+    rank = {w: k + 1 for k, w in enumerate(secrets.COMMON)}
+    rank |= {w: min(k + 1, rank.get(w, k + 1)) for k, w in enumerate(words)}
+    rows = ["1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "0123456789"]
+
+    def span(x):
+        low, costs = x.lower(), [float(len(x))]
+        upper = 0 if x == low else np.log10(2) * (1 if x.istitle() or x.isupper() else len(x))
+        if len(x) > 2 and low in rank:
+            costs.append(np.log10(rank[low] + 1) + upper)
+        elif len(x) > 2 and (plain := low.translate(str.maketrans("@4310$57", "aaeiosst"))) in rank:
+            costs.append(np.log10(rank[plain] + 1) + 0.5 + upper)
+        if re.fullmatch(r"(19|20)\d\d", x):
+            costs.append(np.log10(120))
+        elif len(x) > 4 and secrets.DATE.fullmatch(x):
+            costs.append(np.log10(120 * 365))
+        if len(x) > 1 and len(set(low)) == 1:
+            costs.append(1 + np.log10(len(x)))
+        if len(x) > 2 and any(low in r or low[::-1] in r for r in rows):
+            costs.append(np.log10(40 * len(x)))
+        return min(costs)
+
+    def best(x):
+        return min(sum(map(span, parts)) + 0.3 * (len(parts) - 1) for parts in cuts(x))
+
+    def cuts(x):
+        for m in range(2 ** (len(x) - 1)):
+            at = [0, *(k + 1 for k in range(len(x) - 1) if m >> k & 1), len(x)]
+            yield [x[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    rng = random.Random(2)
+    parts = ["summer", "Sum", "MER", "p4ss", "2019", "20190417", "aaa", "qwe", "321", "x", "#", "Z", "9"]
+    for _ in range(60):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))[:11]
+        assert guesser(value) == pytest.approx(best(value)), value
+
+
+def test_prose_is_no_secret(spark):
+    """The dictionary is counted from the documents."""
+    said = ["the password is important to all", "the token is available everywhere", "the secret is something important"]
+    df = docs_of(spark, [*said, *(f"important things available {k} something everywhere" for k in range(6)), "the password is xqvzkwjpgh here", None, ""])
+    found = {r.doc_id: r.spans for r in secrets.digest(secrets.secret_spans(df)).collect()}
+    assert [k for k, v in found.items() if v] == [9]
+    assert {"important", "available", "everywhere", "something"} <= set(secrets.word_counts(df)) and "xqvzkwjpgh" not in secrets.word_counts(df)
+    assert secrets.secret_spans(docs_of(spark, [])).collect() == []
+
+
 def test_language(spark, small):
     rng = random.Random(6)
     alphabets = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "dd": "pqrst", "ee": "uvwxy", "ff": "abfgk"}
@@ -345,6 +396,50 @@ def test_language(spark, small):
     assert min((a != b).sum() for k, a in enumerate(code) for b in code[:k]) >= 10
 
 
+def test_language_letters_only(spark):
+    texts = ["\U0001f600\U0001f389", "\u3002\uff01\uff1f\u300c\u300d", "\uff11\uff12 34 !", "\u2014 \u2026", "abc", "\u65e5\u672c", "\U00020000"]
+    df = docs_of(spark, [*texts, *(["abc def"] * 40)])
+    got = {r.doc_id: r.lang_pred for r in language_id.held_out_query(df).collect()}
+    assert [got[k] for k in range(len(texts))] == ["und"] * 4 + ["en"] * 3
+
+
+def test_language_by_hand(spark, small):
+    """Every prediction of the query, computed anew from the definition."""
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    rows = df.collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    total = {}
+    for r in rows:
+        if not held(r.doc_id) and r.lang is not None and r.text is not None:
+            total.setdefault(r.lang, []).append(language_id.buckets(r.text))
+    names = sorted(total)
+    n = np.array([sum(total[x]) for x in names], float)
+    share = (n + 0.5) / (n.sum(1, keepdims=True) + 0.5 * n.shape[1])
+    code = language_id.codewords(len(names))
+    want = {}
+    for r in rows:
+        own = language_id.buckets(r.text or "")
+        losses = []
+        for word in code:
+            loss = 0.0
+            for bit in range(code.shape[1]):
+                plus, minus = (share[code[:, bit] == sign].mean(0) for sign in (1, -1))
+                loss += np.log1p(np.exp(-word[bit] * 10.0 * float(own @ np.log(plus / minus)) / max(1, own.sum())))
+            losses.append(loss)
+        want[r.doc_id] = names[int(np.argmin(losses))] if own.any() else "und"
+    got = {r.doc_id: r.lang_pred for r in language_id.held_out_query(df).collect()}
+    assert got == want
+    real = [r for r in rows if held(r.doc_id) and r.lang and r.text and len(r.text) > 40]
+    assert sum(got[r.doc_id] == r.lang for r in real) / len(real) > 0.9
+
+
+def test_many_languages(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice(f"abcdefghij{chr(0x561 + i % 90)}") for _ in range(50)), f"l{i % 300:03d}") for i in range(900)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model["names"]) == 300 and np.isfinite(model["weights"]).all()
+
+
 def test_viterbi_restores_and_keeps():
     text = "the stupid idiot is a moron and the loser said so to the other idiot in the stupid town " * 30
     s = np.array([0, 0, *(toxicity.symbol(c) for c in text), 0])
