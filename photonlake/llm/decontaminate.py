@@ -10,22 +10,26 @@ their number follows from the recall wanted for windows at the largest distance.
 distance of the item to the best part of the document around the window must be at most (1 - similarity) of the item's
 length.
 
-The items are broadcast to the tasks, in groups of bounded size (`GROUP_SYMBOLS`), one pass over the documents each; no
-document is shuffled. Null and empty texts match nothing. Items so short that no edit is allowed (under 10 symbols at 0.9)
-are found where they stand as whole words. Repeated rows are reported each. Items that are equal after folding are all
-reported.
+The items are broadcast to the tasks, in groups of bounded size (`GROUP_SYMBOLS`), one pass over the documents each and one
+group at a time; of an item's sequences only the sampled positions are kept. No document is shuffled. Symbols are compared
+as they are; one byte of each is enough to search by. Null and empty texts match nothing. Items so short that no edit is allowed (under 10 symbols at 0.9)
+are found where they stand as whole words. Repeated rows are reported each, as are repeated item_ids and items that
+are equal after folding. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
+from functools import lru_cache, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import id_text, texts
+from photonlake.llm.common import id_text, stored, texts
 
 SIMILARITY = 0.9
 RECALL = 0.95
@@ -39,30 +43,32 @@ AGREEMENT = 0.42
 SEEDS = 1 << 16
 GROUP_SYMBOLS = 8_000_000
 CHUNK = 1 << 21
+#: Bytes of embedded sequences at a time.
+SEQUENCES = 1 << 25
 CACHED = 1 << 15
 WINDOWS = 1 << 14
-TABLE = 0x3000
 PAD = 255
 
 
-def _fold_table() -> np.ndarray:
-    out = np.zeros(TABLE, np.uint8)
-    for c in range(TABLE):
-        if chr(c).isalnum():
-            low = ord(chr(c).lower()[0])
-            out[c] = low if low < 254 else 1 + low % 253
-    return out
-
+@lru_cache(maxsize=1)
+def _fold_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point its symbol (letters and digits in lower case, 0 for the rest), and that in one byte."""
+    wide = np.zeros(0x110000, np.uint32)
+    for c in map(chr, range(len(wide))):
+        if c.isalnum():
+            wide[ord(c)] = ord(c.lower()[0])
+    return wide, np.where(wide < 254, wide, 1 + wide % 253).astype(np.uint8)
 
-_FOLD = _fold_table()
 
-
-def fold(text: str | None) -> np.ndarray:
-    """Symbols: 0 is a gap, of which there is none at the ends and never two in a row."""
+def fold(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols, and the same in one byte each: 0 is a gap, of which there is none at the ends and never two in a row. The
+    bytes are searched, since equal symbols have equal bytes; what is found is verified in symbols."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.where(points < TABLE, _FOLD[np.minimum(points, TABLE - 1)], (1 + points % 253).astype(np.uint8))
-    s = s[(s > 0) | np.r_[False, s[:-1] > 0]] if len(s) else s
-    return s[:-1] if len(s) and s[-1] == 0 else s
+    wide, byte = (t[points] for t in _fold_tables())
+    keep = (byte > 0) | np.r_[False, byte[:-1] > 0] if len(byte) else np.zeros(0, bool)
+    wide, byte = wide[keep], byte[keep]
+    end = len(byte) - 1 if len(byte) and byte[-1] == 0 else len(byte)
+    return wide[:end], byte[:end]
 
 
 def keys(buffer: np.ndarray, at: int, n: int, size: int) -> np.ndarray:
@@ -117,6 +123,19 @@ def embed(flat: np.ndarray, start: np.ndarray, length: np.ndarray, moves: np.nda
     return out
 
 
+def embedded_samples(flat: np.ndarray, start: np.ndarray, length: np.ndarray, moves: np.ndarray, steps: np.ndarray, most: int) -> np.ndarray:
+    """What the sequences hold at `steps` (windows x tables x BITS); at most about `most` bytes of sequences at a time."""
+    out = np.empty(steps.shape, np.uint8)
+    order = np.argsort(-length, kind="stable")
+    at = 0
+    while at < len(order):
+        part = order[at : at + max(1, most // max(1, 2 * int(length[order[at]])))]
+        code = embed(flat, start[part], length[part], moves)
+        out[part] = code[steps[part], np.arange(len(part))[:, None, None]]
+        at += len(part)
+    return out
+
+
 def sampled_steps(length: int, tables: int, seed: int = 23) -> np.ndarray:
     """tables x BITS of the 2 * length steps, in which the walk on average reads the whole string."""
     return np.random.default_rng(seed + length).integers(0, 2 * length, (tables, BITS))
@@ -126,7 +145,7 @@ def tables_for(recall: float, agreement: float = AGREEMENT, bits: int = BITS) ->
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agreement**bits)))
 
 
-def best_distance(item: bytes, region: bytes) -> tuple[int, int]:
+def best_distance(item: Sequence[int], region: Sequence[int]) -> tuple[int, int]:
     """(distance, end) of the part of `region` nearest to `item`, by bit-parallel dynamic programming."""
     m = len(item)
     if not m:
@@ -158,21 +177,18 @@ def best_distance(item: bytes, region: bytes) -> tuple[int, int]:
 class Items:
     """A group of items, ready to be looked for."""
 
-    def __init__(self, ids: list[int], folded: list[bytes], similarity: float, recall: float):
-        self.ids, self.folded = ids, folded
-        self.lengths = np.array([len(f) for f in folded])
-        self.most = np.array([int((1 - similarity) * len(f) + 1e-9) for f in folded])
+    def __init__(self, ids: list[int], folded: list[tuple[np.ndarray, np.ndarray]], similarity: float, recall: float):
+        self.ids, self.folded, arrays = ids, [f[0].tolist() for f in folded], [f[1] for f in folded]
+        self.lengths = np.array([len(x) for x in arrays])
+        self.most = np.array([int((1 - similarity) * n + 1e-9) for n in self.lengths.tolist()])
         tables = tables_for(recall)  # for each walk, since walks drift together
-        longest = int(self.lengths.max(initial=1))
-        self.moves, self.longest = [walk_bits(2 * longest, seed) for seed in range(WALKS)], longest
-        self.steps = np.stack([sampled_steps(len(f), tables) for f in folded])
-        arrays = [np.frombuffer(f, np.uint8) for f in folded]
-        order = np.argsort(-self.lengths, kind="stable")
-        flat = np.concatenate([x for k in order for x in (arrays[k], np.full(2 * len(arrays[k]), PAD, np.uint8))])
-        start = np.cumsum(np.r_[0, 3 * self.lengths[order][:-1]])
-        self.codes = [np.empty((2 * longest, len(folded)), np.uint8) for _ in self.moves]
-        for code, moves in zip(self.codes, self.moves, strict=True):
-            code[:, order] = embed(flat, start, self.lengths[order], moves)
+        self.longest = int(self.lengths.max(initial=1))
+        self.moves = [walk_bits(2 * self.longest, seed) for seed in range(WALKS)]
+        drawn = {n: sampled_steps(n, tables) for n in set(self.lengths.tolist())}
+        self.steps = np.stack([drawn[n] for n in self.lengths.tolist()])
+        flat = np.concatenate([x for own in arrays for x in (own, np.full(2 * len(own), PAD, np.uint8))])
+        start = 3 * (np.cumsum(self.lengths) - self.lengths)
+        self.codes = [embedded_samples(flat, start, self.lengths, moves, self.steps, SEQUENCES) for moves in self.moves]
         # edits + 1 pieces of each item: one of them stands unedited in every match
         self.flat = np.concatenate([*arrays, np.full(16, PAD, np.uint8)])
         self.begin = np.cumsum(self.lengths) - self.lengths
@@ -233,21 +249,18 @@ class Items:
                     found.append(np.stack([item, np.searchsorted(first, where, "right") - 1, where - self.cuts[self.cut_at[item] + number]]))
         return tuple(np.unique(np.concatenate(found or [np.zeros((3, 0), np.int64)], 1), axis=1))
 
-    def matches(self, flat: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(document position, item, distance, end) of the matches in `flat`, documents one after another; first:
-        where each begins."""
+    def matches(self, flat: np.ndarray, wide: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document position, item, distance, end) of the matches in `flat` (bytes) and `wide` (symbols), documents one
+        after another; first: where each begins."""
         margin = 2 * self.longest + 16
         text = np.r_[np.full(margin, PAD, np.uint8), flat, np.full(margin, PAD, np.uint8)]
         item, document, start = self.windows(text, margin, first + margin)
         near = self.most[item] == 0
-        order = np.argsort(-self.lengths[item], kind="stable")
         for k in range(0, len(item), WINDOWS):
-            part = order[k : k + WINDOWS]
-            own = item[part]
+            own = item[k : k + WINDOWS]
             for moves, codes in zip(self.moves, self.codes, strict=True):
-                code = embed(text, start[part], self.lengths[own], moves)
-                equal = code == codes[: len(code), own]
-                near[part] |= equal[self.steps[own], np.arange(len(own))[:, None, None]].all(2).any(1)
+                code = embedded_samples(text, start[k : k + WINDOWS], self.lengths[own], moves, self.steps[own], SEQUENCES)
+                near[k : k + WINDOWS] |= (code == codes[own]).all(2).any(1)
         item, document, start = item[near], document[near], start[near] - margin
         last = np.r_[first[1:], len(flat)]
         best: dict[tuple[int, int], tuple[int, int]] = {}
@@ -257,7 +270,7 @@ class Items:
             i, d = int(item[k]), int(document[k])
             length, slack = int(self.lengths[i]), int(self.most[i])
             a, b = max(int(first[d]), int(start[k]) - slack), min(int(last[d]), int(start[e - 1]) + length + slack)
-            distance, end = best_distance(self.folded[i], flat[a:b].tobytes())
+            distance, end = best_distance(self.folded[i], wide[a:b].tolist())
             if distance <= slack and (distance, a + end) < best.get((d, i), (slack + 1, 0)):
                 best[d, i] = (distance, a + end)
         return [(d, i, distance, end - int(first[d])) for (d, i), (distance, end) in best.items()]
@@ -267,54 +280,74 @@ def item_groups(items: DataFrame, similarity: float, recall: float, bound: int =
     """The items in groups of at most `bound` symbols, read in a stream; the driver holds one group at a time."""
     ids, folded, size = [], [], 0
     for r in items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").toLocalIterator():
-        f = fold(r["text"]).tobytes()
-        if not f:
+        f = fold(r["text"])
+        if not len(f[0]):
             continue
-        if size + len(f) > bound and ids:
+        if size + len(f[0]) > bound and ids:
             yield Items(ids, folded, similarity, recall)
             ids, folded, size = [], [], 0
         ids.append(r["item_id"])
         folded.append(f)
-        size += len(f)
+        size += len(f[0])
     if ids:
         yield Items(ids, folded, similarity, recall)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def found_in(group: Items, texts_: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
+    """(position of the text, item, distance, end) of all matches, about CHUNK symbols looked at together."""
+    at = size = 0
+    folded: list[tuple[np.ndarray, np.ndarray]] = []
+    for k, text in enumerate(texts_):
+        folded.append(fold(text))
+        size += len(folded[-1][0]) + 1
+        if size >= CHUNK or k + 1 == len(texts_):
+            wide, flat = (np.concatenate([x for f in folded for x in (f[c], np.array([PAD], f[c].dtype))]) for c in (0, 1))
+            first = np.cumsum([0, *(len(f[0]) + 1 for f in folded[:-1])])
+            yield from ((at + d, i, n, e) for d, i, n, e in group.matches(flat, wide, first))
+            at, folded, size = k + 1, [], 0
+
+
+def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, bound: int = GROUP_SYMBOLS) -> DataFrame:
     """doc_id, item_id, distance, similarity and end_symbol (where the match ends in the folded text) of every document
     and item that are found together."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance int, similarity double, end_symbol long"
-    rows, out = id_text(docs).filter("text is not null"), None
-    for group in item_groups(items, similarity, recall):
-        shared = spark.sparkContext.broadcast(group)
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64())
+    rows, parts, last = id_text(docs).filter("text is not null"), [], None
+    for group in item_groups(items, similarity, recall, bound):
+        if last is not None:  # one group's broadcast at a time: the part before is written first
+            parts[-1] = stored(parts[-1], "matches")
+            last.destroy()
+        shared = last = spark.sparkContext.broadcast(group)
 
         def find(batches, shared=shared):
             group = shared.value
             for batch in batches:
-                ids, folded = batch.column("doc_id").to_pylist(), []
-                at = size = 0
-                everything = texts(batch)
-                for k, text in enumerate(everything):
-                    folded.append(fold(text))
-                    size += len(folded[-1]) + 1
-                    if size >= CHUNK or k + 1 == len(everything):
-                        gap = np.array([PAD], np.uint8)
-                        flat = np.concatenate([x for f in folded for x in (f, gap)])
-                        first = np.cumsum([0, *(len(f) + 1 for f in folded[:-1])])
-                        found = [(ids[at + d], group.ids[i], n, 1 - n / len(group.folded[i]), e) for d, i, n, e in group.matches(flat, first)]
-                        if found:
-                            cols = list(zip(*found, strict=True))
-                            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64())
-                            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "distance", "similarity", "end_symbol"])
-                        at, folded, size = k + 1, [], 0
-
-        part = rows.mapInArrow(find, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+                ids = batch.column("doc_id").to_pylist()
+                found = [(ids[d], group.ids[i], n, 1 - n / len(group.folded[i]), e) for d, i, n, e in found_in(group, texts(batch))]
+                if found:
+                    cols = zip(*found, strict=True)
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "distance", "similarity", "end_symbol"])
+
+        parts.append(rows.mapInArrow(find, schema))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+def _holder(shared):
+    """Whether a text holds an item of a broadcast group."""
+
+    @F.pandas_udf("boolean")
+    def holds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for col in parts:
+            bad = np.zeros(len(col), bool)
+            bad[[d for d, _, _, _ in found_in(shared.value, col.tolist())]] = True
+            yield pd.Series(bad)
+
+    return holds
 
 
 def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """`docs` without the documents that hold an item; columns stay, rows without a doc_id stay."""
-    bad = contaminated(docs, items, similarity, recall).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """`docs` without the rows whose text holds an item; columns stay. The text is judged beside its row: no shuffle."""
+    for group in item_groups(items, similarity, recall):
+        docs = docs.filter(~_holder(docs.sparkSession.sparkContext.broadcast(group))(F.col("text").cast("string")))
+    return docs

@@ -552,6 +552,62 @@ def test_decontamination_of_short_and_edited_items(spark):
     assert all(n <= len(items[k][1]) // 10 for (k, _), n in got.items())
 
 
+def test_decontamination_against_all_pairs(spark):
+    """Every document with every item, by edit distance: nothing else is found, and at least 0.9 of each kind of edits are."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz      "
+    say = lambda n, of=letters: "".join(rng.choice(of) for _ in range(n))
+    cjk = "".join(map(chr, range(0x4E00, 0x4E80)))
+    items = [say(rng.randint(12, 120)) for _ in range(36)] + [say(30, cjk) for _ in range(4)]
+    rows, kinds = [], {}
+    for i, text in enumerate(items):
+        n = len(decontaminate.fold(text)[0])
+        for kind in ("same", "spread", "random", "spread"):
+            out = list(text)
+            places = [(2 * e + 1) * len(out) // (2 * (n // 10)) for e in range(n // 10)] if kind == "spread" else rng.sample(range(len(out)), n // 10) if kind == "random" else []
+            for at in places:
+                out[at] = "Q" if text[at] != "q" else "V"
+            kinds[len(rows)] = kind
+            rows.append((len(rows), f"{say(40)} -- {''.join(out)} -- {say(40)}"))
+    moved = "".join(chr(ord(c) + 253) for c in items[-1])  # equal to the item in one byte a symbol
+    rows += [(len(rows), f"{say(30)} {moved} {say(9)}"), (len(rows) + 1, say(400))]
+    folded = [decontaminate.fold(t)[0].tolist() for t in items]
+    want = {}
+    for d, text in rows:
+        own = decontaminate.fold(text)[0].tolist()
+        for i, f in enumerate(folded):
+            n, _ = decontaminate.best_distance(f, own)
+            if n <= int(0.1 * len(f) + 1e-9):
+                want[d, i] = n
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for bound in (decontaminate.GROUP_SYMBOLS, 700):
+        got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(docs, table, bound=bound).collect()}
+        assert set(got) <= set(want) and all(n == want[k] for k, n in got.items())
+        for kind in ("same", "spread", "random"):
+            own = [k for k in want if kinds.get(k[0]) == kind]
+            assert len(own) >= 30 and sum(k in got for k in own) >= (1 if kind == "same" else 0.9) * len(own), kind
+    kept = {r.doc_id for r in decontaminate.clean(docs, table).collect()}
+    assert kept == {d for d, _ in rows} - {d for d, _ in got}
+
+
+def test_agreement_of_embedded_strings():
+    """AGREEMENT, which sets the number of samples: the mean share of equal positions at the largest distance."""
+    rng, shares = random.Random(5), []
+    for n in (20, 40, 80, 160, 300):
+        for _ in range(40):
+            a = [rng.randrange(1, 28) for _ in range(n)]
+            b = list(a)
+            for at in sorted(rng.sample(range(n), n // 10), reverse=True):
+                b[at : at + 1] = rng.choice(([rng.randrange(28, 40)], [], [b[at], 30]))
+            flat = np.array([*a, *[255] * 2 * n, *b, *[255] * 3 * n], np.uint8)
+            best = 0.0
+            for seed in range(decontaminate.WALKS):
+                code = decontaminate.embed(flat, np.array([0, 3 * n]), np.array([n, n]), decontaminate.walk_bits(2 * n, seed))
+                best = max(best, (code[:, 0] == code[:, 1]).mean())
+            shares.append(best)
+    assert np.mean(np.array(shares) >= decontaminate.AGREEMENT) > 0.85
+
+
 def test_best_distance():
     rng = random.Random(7)
     for _ in range(60):
