@@ -62,6 +62,13 @@ def id_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow for a function of one batch."""
 

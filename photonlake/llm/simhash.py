@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import arrow_map, bounded_sample, byte_texts, id_text, stored
+from photonlake.llm.common import arrow_map, bounded_sample, byte_texts, id_text, mixed, stored, unused
 from photonlake.llm.components import components
 
 WORDS = 3
@@ -31,6 +31,13 @@ RADIUS = 3
 SAMPLE = 1 << 15
 LEAF = 512
 BLOCK = 4096
+#: Of the stage that removes near duplicates.
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 20, 7
+GROUPED = 200_000
+SALTS = np.random.default_rng(3).integers(1, 1 << 63, 4, np.uint64)
+TIMES = np.random.default_rng(4).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
+PLUS = np.random.default_rng(5).integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 
 
 def fingerprint(data: bytes | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -184,7 +191,8 @@ def near_links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id that links reach)."""
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id that links reach). Rows without a doc_id get a
+    fingerprint, and the component of an equal one if there is one, else none."""
     rows = stored(fingerprints(docs), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
     roots = components(near_links(fps.filter("id is not null"), radius))
@@ -192,10 +200,164 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """`docs` with one row for each component: the one with the smallest doc_id. Rows that repeat that doc_id go too,
-    rows without a doc_id stay. Columns stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), radius)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_first"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+def sketch(data: bytes | None) -> tuple[bytes, np.ndarray]:
+    """The 256-bit fingerprint of a text's set of SHINGLE-word shingles, and the keys of its BANDS min-wise samples."""
+    parts = (data or b"").lower().split()
+    if not parts:
+        return bytes(32), np.zeros(BANDS, np.uint64)
+    joined = b" ".join(parts)
+    n = max(1, len(parts) - SHINGLE + 1)
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    starts = np.r_[0, ends[:-1] + 1][:n].tolist()
+    digest = xxhash.xxh64_intdigest
+    h = np.array(list({digest(joined[a:b], SEED) for a, b in zip(starts, ends[-n:].tolist(), strict=True)}), np.uint64)
+    ones, least = np.zeros(256, np.int64), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(h), 1 << 12):
+        own = h[at : at + (1 << 12)]
+        wide = np.stack([mixed(own ^ salt) for salt in SALTS], 1)
+        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        low = (own >> np.uint64(32)).astype(np.uint32)
+        least = np.minimum(least, (low[:, None] * TIMES + PLUS).min(0))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + column)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes(), keys
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, row (hash of the text), fp (32 bytes) and keys of every row with a doc_id."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [sketch(t) for t in byte_texts(batch)]
+        return pa.record_batch([batch.column("doc_id"), batch.column("row"), pa.array([f for f, _ in found], pa.binary()), pa.array([k.tobytes() for _, k in found], pa.binary())], ["doc_id", "row", "fp", "keys"])
+
+    rows = id_text(docs).filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
+    return arrow_map(rows, run, "doc_id long, row long, fp binary, keys binary")
+
+
+def farthest(similarity: float) -> int:
+    """The bits of 256 in which texts of this Jaccard similarity differ on average: sets of equal size enclose the angle
+    whose cosine is 2 s / (1 + s)."""
+    return int(256 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def apart(fp: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fp ^ other).sum(-1, dtype=np.int64)
+
+
+def group_links(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links that join exactly the members within `most` bits of each other, directly or over others. Members near a leader
+    are one cluster; clusters are compared member by member until a link joins them."""
+    left, clusters, out = np.arange(len(fp)), [], []
+    while len(left):
+        near = apart(fp[left], fp[left[0]]) <= most
+        own = left[near]
+        out += [(int(own[0]), x) for x in own[1:].tolist()]
+        clusters.append(own)
+        left = left[~near]
+    name = list(range(len(clusters)))
+    for j in range(len(clusters)):
+        for i in range(j):
+            if name[i] == name[j]:
+                continue
+            for x in clusters[j].tolist():
+                at = (apart(fp[clusters[i]], fp[x]) <= most).nonzero()[0]
+                if len(at):
+                    out.append((int(clusters[i][at[0]]), x))
+                    old, new = name[j], name[i]
+                    name = [new if c == old else c for c in name]
+                    break
+    return out
+
+
+def runs_of(keys: np.ndarray) -> list[np.ndarray]:
+    """Positions of each key that stands twice or more."""
+    order = np.argsort(keys, kind="stable")
+    cut = np.flatnonzero(np.diff(keys[order])) + 1
+    begin, end = np.r_[0, cut], np.r_[cut, len(order)]
+    many = end - begin > 1
+    return [order[a:b] for a, b in zip(begin[many].tolist(), end[many].tolist(), strict=True)]
+
+
+def sample_links(classes: DataFrame, most: int) -> DataFrame:
+    """Links (a, b) between distinct fingerprints that share a sample and lie within `most` bits. Before the shuffle, a batch
+    links what lies within a quarter of that of the first member it has of a sample, and sends only the others."""
+    n = max(8, classes.count() * BANDS // GROUPED)
+
+    def deal(batches):
+        for b in batches:
+            ids, fps = b.column("id").to_numpy(), np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint64).reshape(-1, 4)
+            keys = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.uint64)
+            at, sent, one, two = np.repeat(np.arange(len(ids)), BANDS), np.ones(len(keys), bool), [], []
+            for own in runs_of(keys):
+                near = apart(fps[at[own]], fps[at[own[0]]]) <= most // 4
+                near[0] = False
+                sent[own[near]] = False
+                one += [ids[at[own[0]]]] * int(near.sum())
+                two += ids[at[own[near]]].tolist()
+            k = sent.nonzero()[0]
+            buckets = (keys[k] % np.uint64(n)).astype(np.int32)
+            order = np.argsort(buckets, kind="stable")
+            groups = np.split(k[order], np.flatnonzero(np.diff(buckets[order])) + 1) if len(k) else []
+            pairs = np.array([one, two], np.int64).reshape(2, -1)
+            yield pa.record_batch([pa.array([int(keys[g[0]] % np.uint64(n)) for g in groups] + [0], pa.int32()), *(pa.array([x.tobytes() for x in columns] + [last], pa.binary()) for columns, last in (([keys[g] for g in groups], b""), ([ids[at[g]] for g in groups], b""), ([fps[at[g]] for g in groups], b""), ([pairs[:, :0]] * len(groups), pairs.T.tobytes())))], ["bucket", "keys", "ids", "fps", "pairs"])
+
+    def link(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        ids, fps, old = join("ids", np.int64), join("fps", np.uint64).reshape(-1, 4), join("pairs", np.int64).reshape(-1, 2)
+        found = [(ids[own[a]], ids[own[b]]) for own in runs_of(join("keys", np.uint64)) for a, b in group_links(fps[own], most)]
+        new = np.unique(np.r_[old, np.array(found, np.int64).reshape(-1, 2)], axis=0)
+        return pa.table([pa.array(new[:, 0]), pa.array(new[:, 1])], ["a", "b"])
+
+    return classes.select("id", "fp", "keys").mapInArrow(deal, "bucket int, keys binary, ids binary, fps binary, pairs binary").groupBy("bucket").applyInArrow(link, "a long, b long")
+
+
+def tree_links(classes: DataFrame, most: int) -> DataFrame:
+    """Links between fingerprints whose first 64 bits the vantage-point trees find within RADIUS, and which lie within
+    `most` of all 256."""
+    words = [F.conv(F.hex(F.substring("fp", 1 + 8 * k, 8)), 16, -10).cast("long") for k in range(4)]
+    coded = classes.select("id", *(w.alias(f"w{k}") for k, w in enumerate(words)))
+    heads = coded.groupBy("w0").agg(F.min("id").alias("id"))
+    same = coded.join(heads.withColumnRenamed("id", "head"), "w0").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    links = same.unionByName(near_links(stored(heads.select(F.col("w0").alias("fp"), "id"), "heads")))
+    side = lambda c: coded.select(F.col("id").alias(c), F.struct("w0", "w1", "w2", "w3").alias(f"f{c}"))
+    bits = sum((F.bit_count(F.col(f"fa.w{k}").bitwiseXOR(F.col(f"fb.w{k}"))) for k in range(1, 4)), F.bit_count(F.col("fa.w0").bitwiseXOR(F.col("fb.w0"))))
+    return links.join(side("a"), "a").join(side("b"), "b").filter(bits <= most).select("a", "b")
+
+
+def repeated(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row) of what goes: all but the smallest of each component of near duplicates; and of what stays, but stands on
+    several equal rows."""
+    rows = stored(sketches(docs), "sketches")
+    first = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("keys").alias("keys"))
+    classes = stored(first.withColumn("id", F.monotonically_increasing_id()), "classes")
+    most = farthest(similarity)
+    roots = components(sample_links(classes, most).unionByName(tree_links(classes, most)))
+    joined = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    kept = joined.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.row")
+    kept = stored(kept, "kept")
+    gone = rows.select("doc_id", "row").distinct().join(kept, ["doc_id", "row"], "left_anti")
+    again = rows.groupBy("doc_id", "row").count().filter("count > 1").select("doc_id", "row").join(kept, ["doc_id", "row"], "left_semi")
+    return stored(gone, "gone"), stored(again, "again")
+
+
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """`docs` with one row for each group of near duplicates, the one with the smallest doc_id (of several rows with it, the
+    one with the smallest text hash). Near duplicates: SHINGLE-word shingles of Jaccard similarity `similarity` or more, as
+    the 256-bit fingerprints tell it (standard error about 0.04). 3 of 64 bits, as the trees search, hold little more than
+    copies; so candidates also come from equal min-wise samples of ROWS shingles each, of which texts of similarity 0.8 share
+    one of BANDS with probability 0.99.
+
+    Rows without a doc_id stay; of rows equal in doc_id and text one stays (the least by a hash of all columns). Null texts
+    and texts without words are one group. Columns stay, whatever their names. Only keys are shuffled; the texts meet the list
+    of what goes, which is broadcast while it is small, as measured."""
+    gone, again = repeated(docs.select("doc_id", "text"), similarity)
+    key, row = unused(docs, "key"), unused(docs, "row")
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(row, F.xxhash64(F.col("text").cast("string")))
+    own = lambda df: df.select(F.col("doc_id").alias(key), F.col("row").alias(row))
+    kept = keyed.join(own(gone), [key, row], "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    one = kept.join(own(again), [key, row], "left_semi").groupBy(key, row).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("kept")).select("kept.*")
+    return kept.join(own(again), [key, row], "left_anti").select(*docs.columns).unionByName(one)

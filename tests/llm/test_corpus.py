@@ -130,11 +130,75 @@ def test_simhash(spark, prose):
     want = {i: (f"{int(f):016x}", c) for i, (f, c) in enumerate(zip(fps, linked(fps, range(len(fps))), strict=True))}
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs_of(spark, prose)).collect()}
     assert got == want
-    kept = sorted(r.doc_id for r in simhash.keep_first(docs_of(spark, prose)).collect())
-    assert kept == sorted({c for _, c in want.values()})
     assert simhash.near_duplicates(docs_of(spark, [])).collect() == []
 
 
+def shingles(text):
+    w = re.findall("[^\x20\x09-\x0d]+", (text or "").lower())
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_keep_first_at_similarity_08(spark):
+    """Copies with edits: what is more similar than 0.88 goes, what is less than 0.7 stays, whatever the length."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    texts, base = [], []
+    for n in (12, 30, 80, 200, 700) * 12:
+        base.append(len(texts))
+        text = [rng.choice(words) for _ in range(n)]
+        texts.append(" ".join(text))
+        for edits in (1, n // 60, n // 25, n // 8, n // 3):
+            own = list(text)
+            for at in rng.sample(range(n), edits):
+                own[at] = rng.choice(words)
+            texts.append(" ".join(own))
+    df = docs_of(spark, texts)
+    kept = {r.doc_id for r in simhash.keep_first(df).collect()}
+    sets = [shingles(t) for t in texts]
+    near = {True: [], False: []}
+    for b in base:
+        assert b in kept
+        for k in range(b + 1, b + 6):
+            most = max(len(sets[k] & sets[j]) / len(sets[k] | sets[j]) for j in range(b, b + 6) if j != k)
+            if most > 0.88 or most < 0.7:
+                near[most > 0.88].append(k not in kept)
+    assert len(near[True]) > 60 and np.mean(near[True]) > 0.95
+    assert len(near[False]) > 100 and np.mean(near[False]) < 0.05
+
+
+def test_keep_first_of_odd_rows(spark, prose):
+    """Repeated rows, rows that share a doc_id, rows without one, empty texts and clashing column names."""
+    rows = [(4, prose[3], "a"), (4, prose[3], "b"), (4, prose[7] * 3, "c"), (2, prose[3], "d"), (9, None, "e"), (8, "", "f"), (None, prose[3], "g"), (None, prose[3], "h"), (7, "z" * 70_000, "i"), (1, prose[8] * 2, "j"), (1, prose[8] * 2, "k")]
+    df = spark.createDataFrame([(i, t, x, 5, "c") for i, t, x in rows], "doc_id long, text string, row string, key int, keys string").repartition(4)
+    for _ in range(2):
+        got = simhash.keep_first(df)
+        assert got.columns == df.columns
+        found = sorted(r.row for r in got.collect())
+        assert found in (["c", "d", "f", "g", "h", "i", "j"], ["c", "d", "f", "g", "h", "i", "k"])
+        assert found == sorted(r.row for r in simhash.keep_first(df).collect())
+    assert simhash.keep_first(df.limit(0)).collect() == []
+
+
+def test_group_links_are_whole():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        centre = rng.integers(0, 1 << 63, (3, 4), np.uint64)
+        fp = np.array([[w ^ np.uint64(int(rng.integers(0, 1 << 62)) & int(rng.integers(0, 1 << 62)) & int(rng.integers(0, 1 << 62))) for w in centre[rng.integers(3)]] for _ in range(25)], np.uint64)
+        most = int(rng.integers(30, 90))
+        label = list(range(25))
+        for a, b in simhash.group_links(fp, most):
+            assert simhash.apart(fp[a], fp[b]) <= most
+            label = [label[a] if x == label[b] else x for x in label]
+        want = np.arange(25)
+        near = np.array([[simhash.apart(x, y) <= most for y in fp] for x in fp])
+        while True:
+            nxt = np.array([want[r].min() for r in near])
+            if (nxt == want).all():
+                break
+            want = nxt
+        assert [[x == y for y in label] for x in label] == [[x == y for y in want] for x in want]
+
+
 def test_vantage_point_shards_lose_no_link(spark):
     rng = np.random.default_rng(9)
     centres = rng.integers(0, 1 << 63, 300, np.uint64)
