@@ -1,14 +1,20 @@
 """A corpus pipeline: toxic documents go, one document of each near-duplicate group stays, documents that hold a benchmark
 item go, secrets are masked, and what is left is packed into sequences.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of `documents`."""
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of `documents`, and any
+others, whatever their names. Each judges what the stage before it kept. Texts aren't shuffled: what a row's text alone
+decides is decided beside the row, and near duplicates shuffle keys.
+
+Null texts and texts without words are scored like any text without known words, are one near-duplicate group (one row of
+them stays), hold no item and no secret, and pack as the end id alone. Repeated rows are near duplicates. Rows without a
+doc_id pass the near-duplicate stage. Very long texts are read whole. An empty table gives an empty result."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from photonlake.llm import decontaminate, packing, secrets, simhash, toxicity
-from photonlake.llm.common import stored, table
+from photonlake.llm.common import dropped, stored, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`; each result is written as Parquet in the shared folder and read again, and removed when
+    the next one is written."""
+    docs, old = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if old is not None:
+            dropped(old)
+        old = docs
     return STAGES[-1][1](spark, docs, sf_dir)

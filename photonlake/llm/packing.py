@@ -5,8 +5,8 @@ most capacity rows) reaches the driver. There, patterns of up to three lengths (
 that fill a sequence are enumerated, their repeat counts fitted to the histogram by non-negative least squares and
 rounded; the repeats are realised with the true lengths, and what is left goes, longest first, to the tightest sequence
 that still has room, or to a new one. The plan is a list of (lengths, repeats): its size follows the number of distinct
-lengths, not of documents. Pieces then get a rank within their length, salted so that a length that a third of all rows
-share is ranked by many tasks, and the rank gives the sequence and the place in it.
+lengths, not of documents. Pieces then get a rank within their length, with a salt for every million of them, so that a length that a
+third of all rows share is ranked by many tasks, and the rank gives the sequence and the place in it.
 
 Null and empty texts are one piece that holds the end id alone. Repeated rows are packed each. An empty table gives no
 rows. Very long texts give many pieces.
@@ -33,7 +33,7 @@ from photonlake.llm.common import id_text, stored, texts, vocabulary_path
 
 CAPACITY = 4096
 END_ID = 1
-SALTS = 256
+PER_SALT = 1_000_000  # pieces of one length that a task ranks
 UNIT = 32
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 LATIN = re.compile("[!-~\u00a1-\u017e]+")
@@ -181,7 +181,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, unit: int = UNIT)
             for u in kind:
                 a[u, k] += 1
         scale = np.sqrt(np.arange(units + 1) / units)  # long pieces are the harder to place
-        times = np.rint(nnls(a * scale[:, None], have * scale)).astype(int)
+        for _ in range(8):  # what there isn't can't be packed: lengths asked for too often weigh more
+            x = nnls(a * scale[:, None], have * scale)
+            over = a @ x > 1.001 * have
+            if not over.any():
+                break
+            scale[over] *= 3
+        times = np.rint(x).astype(int)
         for k in sorted(times.nonzero()[0], key=lambda k: kinds[k], reverse=True):
             todo = int(times[k])
             while todo:
@@ -266,25 +272,32 @@ def slots(made: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {"length": out[:, 0], "rank": out[:, 1], "sequence": out[:, 2], "offset": out[:, 3]}
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, per_salt: int = PER_SALT) -> DataFrame:
     """All pieces with sequence_id and offset."""
     spark = docs.sparkSession
-    cut = stored(pieces(docs, path, capacity, end_id), "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = cut.groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas()  # capacity x SALTS rows at most
-    first = np.zeros((capacity + 1, SALTS + 1), np.int64)
-    first[counts["length"].to_numpy(int), counts["salt"].to_numpy(int) + 1] = counts["n"]
-    first = first.cumsum(1)
-    made = plan({int(k): int(first[k, -1]) for k in first[:, -1].nonzero()[0]}, capacity)
-    shared = spark.sparkContext.broadcast((first, slots(made)))
+    cut = stored(pieces(docs, path, capacity, end_id), "pieces")
+    histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    salts = np.array([-(-histogram.get(k, 0) // per_salt) for k in range(capacity + 1)], np.int64)
+    dealt = spark.createDataFrame([(k, int(salts[k])) for k in histogram], "length long, salts long")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int")
+    cut = cut.join(F.broadcast(dealt), "length").withColumn("salt", salt)
+    cell = np.cumsum(salts) - salts  # of a length's first salt
+    first = np.zeros(int(salts.sum()), np.int64)
+    for r in cut.groupBy("length", "salt").agg(F.count("*").alias("n")).toLocalIterator():  # capacity + pieces / per_salt rows at most
+        first[cell[r["length"]] + r["salt"]] = r["n"]
+    first = np.cumsum(first) - first
+    first -= np.repeat(first[cell[salts > 0]], salts[salts > 0])
+    made = plan(histogram, capacity)
+    shared = spark.sparkContext.broadcast((first, cell, slots(made)))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    wide = max(histogram.values(), default=0) + 1
 
     def place(batches):
-        first, s = shared.value
-        wide = int(first[:, -1].max(initial=0)) + 1
+        first, cell, s = shared.value
         keys = s["length"] * wide + s["rank"]
         for b in batches:
             length = b.column("length").to_numpy()
-            rank = b.column("r").to_numpy() - 1 + first[length, b.column("salt").to_numpy()]
+            rank = b.column("r").to_numpy() - 1 + first[cell[length] + b.column("salt").to_numpy()]
             at = np.searchsorted(keys, length * wide + rank, "right") - 1
             kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.record_batch([*(b.column(c) for c in kept), pa.array(s["sequence"][at] + rank - s["rank"][at]), pa.array(s["offset"][at])], [*kept, "sequence_id", "offset"])

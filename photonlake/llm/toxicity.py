@@ -47,7 +47,7 @@ COST_EDGE, COST_GAP = 0.7, 1.5
 EDGE = re.compile(r"^\W+(?=\w)|(?:[,.;:!?\"')\]|][\W_]*|[#*%&]+|(\W)\1\1+)$")
 TRIPLE = re.compile(r"(.)\1\1")
 LONG_RUN = re.compile(r"(.)\1{4,}")
-SPACED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
+SPACED = re.compile(r"(?<!\S)(?:\S\s{1,3}){2,}\S(?!\S)")
 TABLE = 0x250
 
 
@@ -177,7 +177,7 @@ def tokens(text: str) -> list[str]:
     low, out, at = text.lower(), [], 0
     for m in SPACED.finditer(low):
         out += low[at : m.start()].split()
-        out.append(Spaced(m[0].replace(" ", "")))
+        out.append(Spaced("".join(m[0].split())))
         at = m.end()
     return out + low[at:].split()
 

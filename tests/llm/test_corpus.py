@@ -560,6 +560,12 @@ def test_toxicity(spark):
     held = [r for r in out if r.held_out and r.doc_id < 400]
     assert held and sum(r.predicted == (r.doc_id % 3 == 0) for r in held) / len(held) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+    model = toxicity.fit(df, toxicity.learnable(lab))  # every score of the query, computed anew from its model
+    for r in out:
+        z = model["base"]
+        restored = Counter(f for t in toxicity.tokens(dict(rows)[r.doc_id] or "") for w in toxicity.restored(t, model["costs"]).split() for f in toxicity.features(w))
+        z += sum(w * np.log1p(restored[f]) for f, w in model["weights"].items())
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)))
     none = toxicity.held_out_query(df, lab.limit(0)).collect()
     assert len({r.score for r in none}) == 1
     kept = {r.doc_id for r in toxicity.reject(df, lab).collect()}
@@ -711,6 +717,10 @@ def test_packing(spark, prose):
             at += length
         assert at <= 4096
     assert packing.packed(docs_of(spark, [])).collect() == []
+    few = packing.packed(docs_of(spark, texts), per_salt=2).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in few} == want
+    assert sorted((r.length, r.sequence_id - r.sequence_id + r.offset) for r in few) == sorted((r.length, r.offset) for r in got)
+    assert len({(r.sequence_id, r.offset) for r in few}) == len(few)
 
 
 def test_plan_uses_the_histogram_exactly():
