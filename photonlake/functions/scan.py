@@ -1,35 +1,47 @@
 """Running values inside one long stream, in parallel.
 
-`Window.partitionBy(stream).orderBy(t)` puts a whole recording into one task. These operators cut each stream into
-buckets at approximate quantiles of its time (all rows of one time in one bucket), summarise the buckets, carry the
-summaries forward over the few rows they are, and run the window inside a bucket alone.
+`Window.partitionBy(stream).orderBy(t)` puts a whole recording into one task. These operators cut each stream into buckets
+that follow each other in time (all rows of one time in one bucket), summarise the buckets, carry the summaries forward over
+the few rows they are, and run the window inside a bucket alone. Rows whose key is null are one stream of their own.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photonlake.functions.shared import stored
+
 ROWS_PER_BUCKET = 1_000_000
 
 
 def bucketed(df: DataFrame, keys: list[str], time: str, buckets: int | None = None, name: str = "_bucket") -> DataFrame:
-    """`df` with a bucket number that grows with time inside each key. Quantiles balance dense bursts."""
+    """`df` with a bucket number that grows with time inside each key, as a stored table: every reader sees the same cuts.
+
+    Rows are range-partitioned by key and time, so the sample behind the cuts balances long and short streams and dense
+    bursts alike, and finding a row's bucket is a binary search."""
     n = buckets or max(1, math.ceil(df.count() / ROWS_PER_BUCKET))
     if n == 1:
         return df.withColumn(name, F.lit(0))
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(time, [k / n for k in range(1, n)], 1000 + 10 * n).alias("_cuts"))
-    return df.join(cuts, keys).withColumn(name, F.size(F.filter("_cuts", lambda c: c < F.col(time)))).drop("_cuts")
+    return stored(df.repartitionByRange(n, *keys, time).withColumn(name, F.spark_partition_id()), "buckets")
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on `keys` in which null equals null; the keys come from the left."""
+    own = {k: f"_right_{k}" for k in keys}
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(o)) for k, o in own.items()))
+    return left.join(right.withColumnsRenamed(own), same, how).drop(*own.values())
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], how: str, value: Column, out: str, buckets: int | None = None, bucket: str | None = None, exclusive: bool = False) -> DataFrame:
     """`df` with the running sum, max or last non-null `value` up to and including each row (or before it), by (keys, order).
 
     `bucket` names a column that already orders the rows coarsely (a packet number); else time buckets are made."""
-    rows = df.withColumn("_v", value)
-    rows = rows.withColumn("_bucket", F.col(bucket)) if bucket else bucketed(rows, keys, order[0], buckets)
+    rows = df.withColumn("_bucket", F.col(bucket)) if bucket else bucketed(df, keys, order[0], buckets)
+    rows = rows.withColumn("_v", value)
     place = F.struct(*order)
     total = {"sum": F.sum("_v"), "max": F.max("_v"), "last": F.max_by("_v", F.when(F.col("_v").isNotNull(), place))}[how]
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
@@ -38,7 +50,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], how: str, value: C
     carry = rows.groupBy(*keys, "_bucket").agg(total.alias("_v")).withColumn("_carry", fold("_v").over(before)).drop("_v")
     local = fold("_v").over(inside)
     both = {"sum": F.coalesce(local, F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0)), "max": F.greatest(local, F.col("_carry")), "last": F.coalesce(local, F.col("_carry"))}[how]
-    return rows.join(carry, [*keys, "_bucket"]).withColumn(out, both).drop("_v", "_bucket", "_carry")
+    return null_safe(rows, carry, [*keys, "_bucket"]).withColumn(out, both).drop("_v", "_bucket", "_carry")
 
 
 def rank(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int | None = None) -> DataFrame:

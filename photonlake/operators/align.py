@@ -5,34 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.functions.scan import running
+from photonlake.functions.scan import bucketed, running
 
-SIDE = {"backward": 0, "forward": 1}
 
-
-def _asof(left: DataFrame, right: DataFrame, value: str, out: str, buckets: int | None, forward: bool) -> DataFrame:
-    """`left` with the newest right row at or before each row (or the oldest at or after it) as a struct. Right rows sort
-    before left rows of one time, so equal times meet; the running last value needs no range join."""
-    sign = -1 if forward else 1
-    tie = "rseq"
-    r = right.select("stream", (F.col("t") * sign).alias("_t"), F.lit(0).alias("_side"), (F.col("seq") * sign).alias("_o"), F.struct(F.col("t").alias("t"), F.col("seq").alias(tie), F.col(value).alias("value")).alias("_r"))
-    keep = [c for c in left.columns if c != "stream"]
-    l_ = left.select("stream", (F.col("t") * sign).alias("_t"), F.lit(1).alias("_side"), (F.col("seq") * sign).alias("_o"), F.struct(*keep).alias("_l"))
+def _together(left: DataFrame, right: DataFrame, value: str, buckets: int | None) -> DataFrame:
+    """Both sides as rows of one stored, bucketed table: _l or _r holds the row. Right rows sort before left rows of one
+    time, so equal times meet. Negated columns give the order backwards."""
+    r = right.select("stream", F.col("t").alias("_t"), F.lit(0).alias("_side"), F.col("seq").alias("_o"), F.struct("t", F.col("seq").alias("rseq"), F.col(value).alias("value")).alias("_r"))
+    l_ = left.select("stream", F.col("t").alias("_t"), F.lit(1).alias("_side"), F.col("seq").alias("_o"), F.struct(*(c for c in left.columns if c != "stream")).alias("_l"))
     both = r.withColumn("_l", F.lit(None).cast(l_.schema["_l"].dataType)).unionByName(l_.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)))
-    done = running(both, ["stream"], ["_t", "_side", "_o"], "last", F.col("_r"), out, buckets)
-    return done.filter("_side = 1").select("stream", "_l.*", out)
+    return bucketed(both, ["stream"], "_t", buckets, "_cut").withColumns({"_back_t": -F.col("_t"), "_back_o": -F.col("_o"), "_back_cut": -F.col("_cut")})
+
+
+def _newest(both: DataFrame, out: str) -> DataFrame:
+    return running(both, ["stream"], ["_t", "_side", "_o"], "last", F.col("_r"), out, bucket="_cut")
 
 
 def asof_backward(left: DataFrame, right: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
     """`left` with `value` of the newest right row at or before it (ties: the larger seq), and its time as `value_t`."""
-    df = _asof(left, right, value, "_b", buckets, False)
+    df = _newest(_together(left, right, value, buckets), "_b").filter("_side = 1").select("stream", "_l.*", "_b")
     return df.withColumns({value: F.col("_b.value"), "value_t": F.col("_b.t")}).drop("_b")
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, value: str, tolerance_us: int, default: Column | None = None, buckets: int | None = None) -> DataFrame:
-    """`left` with `value` of the right row nearest in time, the older one on a tie, or the default beyond the tolerance."""
-    df = _asof(left, right, value, "_b", buckets, False)
-    df = _asof(df, right, value, "_f", buckets, True)
+    """`left` with `value` of the right row nearest in time, the older one on a tie, or the default beyond the tolerance. One
+    stored table is looked through forwards and backwards."""
+    df = _newest(_together(left, right, value, buckets), "_b")
+    df = running(df, ["stream"], ["_back_t", "_side", "_back_o"], "last", F.col("_r"), "_f", bucket="_back_cut").filter("_side = 1").select("stream", "_l.*", "_b", "_f")
     back, ahead = F.col("t") - F.col("_b.t"), F.col("_f.t") - F.col("t")
     near = F.when(ahead.isNull() | (back <= ahead), F.col("_b")).otherwise(F.col("_f"))
     ok = F.abs(F.col("_n.t") - F.col("t")) <= tolerance_us

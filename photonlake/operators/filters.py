@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+CELLS = 64
+
+
 def background_activity_filter(events: DataFrame, duration_us: int = 2000) -> DataFrame:
     """Events that one of their 8 neighbours supports: it fired at most `duration_us` before, in stream order.
 
     The published background-activity filter (Delbruck 2008): the own pixel gives no support, rejected events do. Every
     event is sent to its neighbours as a support row; a pixel's rows are then looked through in order. Partitions are
-    pixels of a stream, so one stream runs in parallel."""
-    base = events.select("stream", "x", "y", "t", "seq", "p", F.lit(True).alias("_own"))
+    pixels of a stream over CELLS durations (support from the last duration of a cell goes to the next one, too), so one
+    stream, and one stuck pixel, run in parallel. Columns stay; an empty table gives none."""
+    span = CELLS * max(1, duration_us)
+    cell = F.floor(F.col("t") / span)
+    base = events.withColumns({"_own": F.lit(True), "_cell": cell})
     around = F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy))
-    support = events.select("stream", "t", "seq", F.explode(around).alias("_n")).select("stream", F.col("_n.x").alias("x"), F.col("_n.y").alias("y"), "t", "seq", F.lit(None).cast("int").alias("p"), F.lit(False).alias("_own"))
-    before = Window.partitionBy("stream", "x", "y").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    cells = F.when(F.floor((F.col("t") + duration_us) / span) > cell, F.array(cell, cell + 1)).otherwise(F.array(cell))
+    support = events.select("stream", "t", "seq", F.explode(around).alias("_n"), cells.alias("_cells"))
+    support = support.select("stream", F.col("_n.x").alias("x"), F.col("_n.y").alias("y"), "t", "seq", F.explode("_cells").alias("_cell"), F.lit(False).alias("_own"))
+    before = Window.partitionBy("stream", "x", "y", "_cell").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, -1)
     last = F.max(F.when(~F.col("_own"), F.col("t"))).over(before)
-    return base.unionByName(support).withColumn("_last", last).filter(F.col("_own") & (F.col("t") - F.col("_last") <= duration_us)).drop("_own", "_last")
+    return base.unionByName(support, allowMissingColumns=True).withColumn("_last", last).filter(F.col("_own") & (F.col("t") - F.col("_last") <= duration_us)).select(*events.columns)
 
 
 def clip_coords(events: DataFrame, width: int, height: int) -> DataFrame:
@@ -27,38 +35,93 @@ def clip_coords(events: DataFrame, width: int, height: int) -> DataFrame:
     return events.withColumns({"x": clamp("x", width), "y": clamp("y", height)})
 
 
-def distort(x: Column, y: Column, d: list[Column], fisheye: Column) -> tuple[Column, Column]:
-    """Where a lens moves a normalised point: radial-tangential (k1 k2 p1 p2 k3) or equidistant (k1 k2 k3 k4)."""
+def shown_at(x, y, d, fisheye):
+    """Where a lens shows a normalised point, of columns or of arrays: radial-tangential (k1 k2 p1 p2 k3) or, with `fisheye`,
+    equidistant (k1 k2 k3 k4)."""
     k1, k2, p1, p2, k3 = d
+    if fisheye:
+        r = np.maximum(np.hypot(x, y), 1e-12)
+        scale = shown_angle(np.arctan(r), d) / r
+        return x * scale, y * scale
     r2 = x * x + y * y
     radial = 1 + r2 * (k1 + r2 * (k2 + r2 * k3))
-    rx = x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x)
-    ry = y * radial + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
-    r = F.sqrt(r2)
-    a = F.atan(r)
+    return x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x), y * radial + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
+
+
+def shown_angle(a, d):
+    """The equidistant model: how far from the centre a ray at angle `a` is shown."""
     a2 = a * a
-    scale = F.when(r > 1e-12, a * (1 + a2 * (k1 + a2 * (k2 + a2 * (p1 + a2 * p2)))) / r).otherwise(1.0)
-    return F.when(fisheye, x * scale).otherwise(rx), F.when(fisheye, y * scale).otherwise(ry)
+    return a * (1 + a2 * (d[0] + a2 * (d[1] + a2 * (d[2] + a2 * d[3]))))
 
 
-def pixel_rays(calibration: DataFrame, rounds: int = 20) -> DataFrame:
-    """camera, v, u, rx, ry: for each sensor pixel the point at depth 1 that the lens shows there, by fixed-point
-    iteration of the lens formula. A chain of small projections keeps the plan linear in the rounds."""
+def angle_slope(a, d):
+    a2 = a * a
+    return 1 + a2 * (3 * d[0] + a2 * (5 * d[1] + a2 * (7 * d[2] + a2 * 9 * d[3])))
+
+
+def slopes(x, y, d):
+    """Derivatives of the radial-tangential model: of x by x, of x by y (which is that of y by x), of y by y."""
+    k1, k2, p1, p2, k3 = d
+    r2 = x * x + y * y
+    radial, bend = 1 + r2 * (k1 + r2 * (k2 + r2 * k3)), k1 + r2 * (2 * k2 + r2 * 3 * k3)
+    return radial + 2 * x * x * bend + 2 * p1 * y + 6 * p2 * x, 2 * x * y * bend + 2 * p1 * x + 2 * p2 * y, radial + 2 * y * y * bend + 6 * p1 * y + 2 * p2 * x
+
+
+def ray_through(x0: np.ndarray, y0: np.ndarray, d: tuple[float, ...], fisheye: bool, rounds: int = 40, most: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """The points that a lens shows at (x0, y0), NaN where it shows none there: Newton's method with bounded steps, over the
+    point or (equidistant) over the angle. A result counts if the lens puts it back within `most`, and if the model doesn't
+    fold between the centre and it."""
+    part = np.arange(1, 17)[:, None] / 16.0
+    with np.errstate(all="ignore"):
+        if fisheye:
+            r0 = np.hypot(x0, y0)
+            a = np.minimum(r0, 1.5)
+            for _ in range(rounds):
+                a = a - np.clip((shown_angle(a, d) - r0) / angle_slope(a, d), -0.2, 0.2)
+            scale = np.where(r0 > 1e-12, np.tan(a) / np.maximum(r0, 1e-12), 1.0)
+            x, y = x0 * scale, y0 * scale
+            rises = (angle_slope(a * part, d) > 0).all(0) & (a >= 0) & (a < np.pi / 2)
+        else:
+            x, y = x0.copy(), y0.copy()
+            for _ in range(rounds):
+                sx, sy = shown_at(x, y, d, False)
+                xx, xy, yy = slopes(x, y, d)
+                det = xx * yy - xy * xy
+                mx, my = (yy * (sx - x0) - xy * (sy - y0)) / det, (xx * (sy - y0) - xy * (sx - x0)) / det
+                short = np.minimum(1.0, 0.2 / np.maximum(np.hypot(mx, my), 1e-300))
+                x, y = x - short * mx, y - short * my
+            xx, xy, yy = slopes(x * part, y * part, d)
+            rises = ((xx * yy - xy * xy > 0) & (xx + yy > 0)).all(0)
+        sx, sy = shown_at(x, y, d, fisheye)
+        ok = rises & (np.abs(sx - x0) < most) & (np.abs(sy - y0) < most)
+    return np.where(ok, x, np.nan), np.where(ok, y, np.nan)
+
+
+def pixel_rays(calibration: DataFrame) -> DataFrame:
+    """camera, v, u, rx, ry: for each sensor pixel the point at depth 1 that the lens shows there; null where it shows none,
+    beyond the turning point of its formula. Missing coefficients are 0. The inversion is an iteration over whole columns of
+    pixels (NumPy in a Pandas UDF): as a Column expression its tree grows beyond what the optimizer takes."""
     grid = calibration.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-    d = [F.coalesce(F.get("d", F.lit(k)), F.lit(0.0)) for k in range(5)]
-    df = grid.withColumns({"_x0": (F.col("u") - F.element_at("k", 3)) / F.element_at("k", 1), "_y0": (F.col("v") - F.element_at("k", 6)) / F.element_at("k", 5)})
-    # the whole iteration is one fold over a sequence: its state is the current point
-    start = F.struct(F.col("_x0").alias("x"), F.col("_y0").alias("y"))
+    d = [F.coalesce(F.get("d", F.lit(k)).cast("double"), F.lit(0.0)) for k in range(5)]
+    x0, y0 = (F.col("u") - F.element_at("k", 3)) / F.element_at("k", 1), (F.col("v") - F.element_at("k", 6)) / F.element_at("k", 5)
 
-    def step(p: Column, _: Column) -> Column:
-        dx, dy = distort(p["x"], p["y"], d, F.col("fisheye"))
-        return F.struct((p["x"] + F.col("_x0") - dx).alias("x"), (p["y"] + F.col("_y0") - dy).alias("y"))
+    @F.pandas_udf("rx double, ry double")
+    def rays(x: pd.Series, y: pd.Series, k: pd.Series) -> pd.DataFrame:
+        out = np.full((len(x), 2), np.nan)
+        lens = pd.Series([tuple(v) for v in k])
+        for own in lens.unique():
+            at = (lens == own).to_numpy()
+            out[at] = np.stack(ray_through(x.to_numpy()[at], y.to_numpy()[at], own[:5], own[5] > 0), 1)
+        return pd.DataFrame({"rx": out[:, 0], "ry": out[:, 1]})
 
-    return df.withColumn("_p", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)).select("camera", "v", "u", F.col("_p.x").alias("rx"), F.col("_p.y").alias("ry"), "k", "width", "height")
+    lens = F.array(*d, F.coalesce(F.col("fisheye"), F.lit(False)).cast("double"))
+    df = grid.withColumn("_p", rays(x0, y0, lens))
+    known = lambda c: F.when(~F.isnan(f"_p.{c}"), F.col(f"_p.{c}")).alias(c)
+    return df.select("camera", "v", "u", known("rx"), known("ry"), "k", "width", "height")
 
 
 def rectified_intrinsics(rays: DataFrame) -> DataFrame:
-    """Of each camera the focal lengths and centre for which the rays of its border just fill the image."""
+    """Of each camera the focal lengths and centre for which the rays of its border, where it has any, just fill the image."""
     edge = lambda c: F.when(c, F.lit(True))
     left, right = edge(F.col("u") == 0), edge(F.col("u") == F.col("width") - 1)
     top, bottom = edge(F.col("v") == 0), edge(F.col("v") == F.col("height") - 1)
@@ -67,18 +130,18 @@ def rectified_intrinsics(rays: DataFrame) -> DataFrame:
     return agg.select("camera", fx.alias("fx"), fy.alias("fy"), (-F.col("l") * fx).alias("cx"), (-F.col("t") * fy).alias("cy"), "width", "height")
 
 
-def build_remap(calibration: DataFrame, rounds: int = 20) -> DataFrame:
-    """camera, x, y, ux, uy: where each sensor pixel falls in the rectified camera (not rounded)."""
-    rays = pixel_rays(calibration, rounds)
+def build_remap(calibration: DataFrame) -> DataFrame:
+    """camera, x, y, ux, uy: where each sensor pixel falls in the rectified camera (not rounded; null where it has no ray)."""
+    rays = pixel_rays(calibration)
     new = rectified_intrinsics(rays).drop("width", "height")
     return rays.join(new, "camera").select("camera", F.col("u").alias("x"), F.col("v").alias("y"), (F.col("rx") * F.col("fx") + F.col("cx")).alias("ux"), (F.col("ry") * F.col("fy") + F.col("cy")).alias("uy"), "width", "height")
 
 
 def round_remap(remap: DataFrame) -> DataFrame:
-    """Whole coordinates, half away from zero; what isn't a number or lies outside goes."""
-    ok = reduce(lambda a, b: a & b, [~F.isnan(c) for c in ("ux", "uy")])
-    df = remap.filter(ok).withColumns({"ux": F.round("ux").cast("int"), "uy": F.round("uy").cast("int")})
-    return df.filter("ux >= 0 and uy >= 0 and ux < width and uy < height").select("camera", "x", "y", "ux", "uy")
+    """Whole coordinates, half away from zero; what isn't a number or lies outside goes, before it is made an integer."""
+    inside = lambda c, n: F.col(c).isNotNull() & ~F.isnan(c) & (F.round(c) >= 0) & (F.round(c) < F.col(n))
+    kept = remap.filter(inside("ux", "width") & inside("uy", "height"))
+    return kept.select("camera", "x", "y", F.round("ux").cast("int").alias("ux"), F.round("uy").cast("int").alias("uy"))
 
 
 def undistort_events(events: DataFrame, remap: DataFrame) -> DataFrame:

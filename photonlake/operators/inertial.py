@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from photonlake.functions import quaternion
-from photonlake.functions.scan import bucketed
+from photonlake.functions.scan import bucketed, null_safe, running
 
 #: Standard gravity used for accelerations given in g, and the filter's gains.
 GRAVITY = 9.81007
@@ -52,28 +52,25 @@ def stream_time_offset(df: DataFrame, offsets: DataFrame) -> DataFrame:
 
 def rate_hz(samples: DataFrame, window_us: int = 1_000_000, buckets: int | None = None) -> DataFrame:
     """Rate over the last second of each sample: (n - 1) / span, null for one sample or no span. So that a stream runs in
-    many tasks, the rows at most a window before a later bucket's start are copied into that bucket."""
+    many tasks, the rows at most a window before a bucket's start are copied into that bucket: rows and starts meet by cells
+    of a window's width, of which a start has two."""
     df = bucketed(samples.select("stream", "seq", "t"), ["stream"], "t", buckets)
-    by_bucket = Window.partitionBy("stream").orderBy("_bucket")
-    spans = df.groupBy("stream", "_bucket").agg(F.min("t").alias("_start"), F.max("t").alias("_end")).withColumn("_next", F.lead("_start").over(by_bucket))
-    late = df.join(spans.select("stream", "_bucket", "_next"), ["stream", "_bucket"]).filter(F.col("t") >= F.col("_next") - window_us).drop("_next")
-    a, b = spans.alias("a"), spans.alias("b")  # a row a bucket: how many later buckets can one row reach?
-    reach = a.join(b, (F.col("a.stream") == F.col("b.stream")) & (F.col("b._bucket") > F.col("a._bucket")) & (F.col("b._start") <= F.col("a._end") + window_us))
-    most = reach.groupBy("a.stream", "a._bucket").agg(F.max(F.col("b._bucket") - F.col("a._bucket")).alias("k")).agg(F.max("k")).first()[0] or 0
-    both = df.withColumn("_own", F.lit(True))
-    if most:
-        copies = late.withColumn("_bucket", F.explode(F.sequence(F.col("_bucket") + 1, F.col("_bucket") + most)))
-        near = copies.join(spans.select("stream", "_bucket", "_start"), ["stream", "_bucket"]).filter(F.col("t") >= F.col("_start") - window_us)
-        both = both.unionByName(near.select("stream", "seq", "t", "_bucket", F.lit(False).alias("_own")))
+    starts = df.groupBy("stream", "_bucket").agg(F.min("t").alias("_start")).withColumnRenamed("_bucket", "_to")
+    cell = lambda c: F.floor(F.col(c) / window_us)
+    starts = starts.withColumn("_cell", F.explode(F.array(cell("_start") - 1, cell("_start"))))
+    near = null_safe(df.withColumn("_cell", cell("t")), starts, ["stream", "_cell"])
+    copies = near.filter((F.col("_bucket") < F.col("_to")) & (F.col("t") >= F.col("_start") - window_us))
+    both = df.withColumn("_own", F.lit(True)).unionByName(copies.select("stream", "seq", "t", F.col("_to").alias("_bucket"), F.lit(False).alias("_own")))
     w = Window.partitionBy("stream", "_bucket").orderBy("t").rangeBetween(-window_us, 0)
     n, span = F.count("*").over(w), F.col("t") - F.min("t").over(w)
     return both.withColumn("rate_hz", F.when((n >= 2) & (span > 0), (n - 1) / (span / 1e6))).filter("_own").select("stream", "seq", "t", "rate_hz")
 
 
-def valid_dt(imu: DataFrame, most_us: int = 100_000) -> DataFrame:
+def valid_dt(imu: DataFrame, most_us: int = 100_000, buckets: int | None = None) -> DataFrame:
     """Seconds since the stream's sample before, and whether the step may be integrated."""
-    dt = (F.col("t") - F.lag("t").over(Window.partitionBy("stream").orderBy("t", "seq"))) / 1e6
-    return imu.withColumn("dt", dt).withColumn("valid", F.coalesce((F.col("dt") > 0) & (F.col("dt") < most_us / 1e6), F.lit(False)))
+    dt = (F.col("t") - F.col("_before")) / 1e6
+    df = running(imu, ["stream"], ["t", "seq"], "last", F.col("t"), "_before", buckets, exclusive=True).withColumn("dt", dt).drop("_before")
+    return df.withColumn("valid", F.coalesce((F.col("dt") > 0) & (F.col("dt") < most_us / 1e6), F.lit(False)))
 
 
 def cross(a: tuple, b: tuple) -> tuple:

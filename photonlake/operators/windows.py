@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from photonlake.functions.scan import rank
+from photonlake.functions.scan import null_safe, rank
 
 WIN = ("stream", "win")
 
@@ -15,7 +15,7 @@ def tumbling(events: DataFrame, width_us: int, origin: int | None = None) -> Dat
     if origin is not None:
         return events.withColumn("win", F.floor((F.col("t") - origin) / width_us))
     first = events.groupBy("stream").agg(F.min("t").alias("_t0"))
-    return events.join(first, "stream").withColumn("win", F.floor((F.col("t") - F.col("_t0")) / width_us)).drop("_t0")
+    return null_safe(events, first, ["stream"]).withColumn("win", F.floor((F.col("t") - F.col("_t0")) / width_us)).drop("_t0")
 
 
 def window_counts(windows: DataFrame) -> DataFrame:
@@ -74,11 +74,14 @@ def event_histogram(windows: DataFrame) -> DataFrame:
 
 
 def dense_frame(windows: DataFrame, width: int, height: int) -> DataFrame:
-    """One array of width * height counts for each window, row by row, 0 where nothing fired."""
-    fired = windows.groupBy(*WIN, (F.col("y") * width + F.col("x")).alias("i")).agg(F.count("*").alias("n"))
-    cells = fired.groupBy(*WIN).agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)))
-    return cells.select(*WIN, grid.alias("frame"))
+    """One array of width * height counts for each window, row by row, 0 where nothing fired: the counts in order, each
+    behind as many zeros as cells were passed over. Events off the sensor don't count."""
+    on = windows.filter(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+    fired = on.groupBy(*WIN, (F.col("y") * width + F.col("x")).cast("int").alias("i")).agg(F.count("*").alias("n"))
+    cells = fired.groupBy(*WIN).agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("m"))
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n.cast("int"))
+    part = lambda c, k: F.concat(zeros(c["i"] - F.when(k > 0, F.get("m", k - 1)["i"]).otherwise(-1) - 1), F.array(c["n"]))
+    return cells.select(*WIN, F.concat(F.flatten(F.transform("m", part)), zeros(width * height - 1 - F.element_at("m", -1)["i"])).alias("frame"))
 
 
 def subsample(df: DataFrame, most: int, buckets: int | None = None) -> DataFrame:
@@ -89,3 +92,8 @@ def subsample(df: DataFrame, most: int, buckets: int | None = None) -> DataFrame
 
 def activity_by_polarity(windows: DataFrame) -> DataFrame:
     return windows.groupBy(*WIN).agg(F.count_if(F.col("p") == 1).alias("n_on"), F.count_if(F.col("p") == 0).alias("n_off"), F.count("*").alias("n"))
+
+
+def activity_total(activity: DataFrame) -> DataFrame:
+    """One row: windows and events over all streams."""
+    return activity.agg(F.count("*").alias("windows"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_on", "n_off", "n")))
