@@ -67,7 +67,7 @@ def slopes(x, y, d):
     return radial + 2 * x * x * bend + 2 * p1 * y + 6 * p2 * x, 2 * x * y * bend + 2 * p1 * x + 2 * p2 * y, radial + 2 * y * y * bend + 6 * p1 * y + 2 * p2 * x
 
 
-def ray_through(x0: np.ndarray, y0: np.ndarray, d: tuple[float, ...], fisheye: bool, rounds: int = 40, most: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+def ray_through(x0: np.ndarray, y0: np.ndarray, d: tuple[float, ...], fisheye: bool, rounds: int = 30, most: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
     """The points that a lens shows at (x0, y0), NaN where it shows none there: Newton's method with bounded steps, over the
     point or (equidistant) over the angle. A result counts if the lens puts it back within `most`, and if the model doesn't
     fold between the centre and it."""
@@ -97,11 +97,12 @@ def ray_through(x0: np.ndarray, y0: np.ndarray, d: tuple[float, ...], fisheye: b
     return np.where(ok, x, np.nan), np.where(ok, y, np.nan)
 
 
-def pixel_rays(calibration: DataFrame) -> DataFrame:
+def pixel_rays(calibration: DataFrame, tasks: int = 64) -> DataFrame:
     """camera, v, u, rx, ry: for each sensor pixel the point at depth 1 that the lens shows there; null where it shows none,
     beyond the turning point of its formula. Missing coefficients are 0. The inversion is an iteration over whole columns of
     pixels (NumPy in a Pandas UDF): as a Column expression its tree grows beyond what the optimizer takes."""
-    grid = calibration.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    lines = calibration.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).repartition(tasks, "camera", "v")
+    grid = lines.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
     d = [F.coalesce(F.get("d", F.lit(k)).cast("double"), F.lit(0.0)) for k in range(5)]
     x0, y0 = (F.col("u") - F.element_at("k", 3)) / F.element_at("k", 1), (F.col("v") - F.element_at("k", 6)) / F.element_at("k", 5)
 
@@ -121,11 +122,12 @@ def pixel_rays(calibration: DataFrame) -> DataFrame:
 
 
 def rectified_intrinsics(rays: DataFrame) -> DataFrame:
-    """Of each camera the focal lengths and centre for which the rays of its border, where it has any, just fill the image."""
-    edge = lambda c: F.when(c, F.lit(True))
-    left, right = edge(F.col("u") == 0), edge(F.col("u") == F.col("width") - 1)
-    top, bottom = edge(F.col("v") == 0), edge(F.col("v") == F.col("height") - 1)
-    agg = rays.groupBy("camera").agg(F.max(F.when(left, F.col("rx"))).alias("l"), F.min(F.when(right, F.col("rx"))).alias("r"), F.max(F.when(top, F.col("ry"))).alias("t"), F.min(F.when(bottom, F.col("ry"))).alias("b"), F.first("width").alias("width"), F.first("height").alias("height"))
+    """Of each camera the focal lengths and centre for which the rays of its border just fill the image. The border is the
+    outermost row and column on each side that have rays at all."""
+    seen = rays.filter("rx is not null")
+    ends = seen.groupBy("camera").agg(*(f(c).alias(f"_{n}") for n, f, c in (("left", F.min, "u"), ("right", F.max, "u"), ("top", F.min, "v"), ("bottom", F.max, "v"))))
+    at = lambda f, side, c, ray: f(F.when(F.col(c) == F.col(f"_{side}"), F.col(ray)))
+    agg = seen.join(ends, "camera").groupBy("camera").agg(at(F.max, "left", "u", "rx").alias("l"), at(F.min, "right", "u", "rx").alias("r"), at(F.max, "top", "v", "ry").alias("t"), at(F.min, "bottom", "v", "ry").alias("b"), F.first("width").alias("width"), F.first("height").alias("height"))
     fx, fy = (F.col("width") - 1) / (F.col("r") - F.col("l")), (F.col("height") - 1) / (F.col("b") - F.col("t"))
     return agg.select("camera", fx.alias("fx"), fy.alias("fy"), (-F.col("l") * fx).alias("cx"), (-F.col("t") * fy).alias("cy"), "width", "height")
 

@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from photonlake.functions.scan import running
+
 #: The least angle at which a ray may meet the floor, scored pixels a frame, accepted fits that are kept.
 MIN_ANGLE = math.radians(8)
 SCORED, HISTORY, MIN_HISTORY = 4000, 10, 3
-FIT_STATE = "stream long, frame_id long, t long, slope double, shift double, tolerance double, state string"
+FIT_STATE = "stream long, frame_id long, t long, slope double, shift double, tolerance double, state string, rejected boolean"
 
 
 def floor_candidates(rays: DataFrame, gravity: DataFrame | None = None) -> DataFrame:
@@ -35,6 +37,11 @@ def pick(n, frame, k, salt: int):
     return F.pmod(frame * 7919 + k * 104729 + salt * 15485863 + frame * k * 31, n)
 
 
+def votes_for(n, frame, i, scored: int):
+    """Whether pixel i of n is among about `scored`: its hash lies in the share scored / n of 32 bits."""
+    return F.pmod(i * 2654435761 + frame * 40503, F.lit(1 << 32)) * n < scored * (1 << 32)
+
+
 def _numbered(pixels: DataFrame) -> DataFrame:
     """Floor pixels with finite disparity, numbered in each frame, and their number."""
     ok = (F.col("w") > 0) & ~F.isnan("d") & (F.abs(F.col("d")) < float("inf"))
@@ -60,8 +67,9 @@ def hypotheses(candidates: DataFrame, iterations: int) -> DataFrame:
 
 def score_hypotheses(lines: DataFrame, candidates: DataFrame, tolerance: DataFrame, scored: int = SCORED, min_share: float = 0.25) -> DataFrame:
     """The best line of each frame: inliers minus candidates clearly below it, ties to the first; none if its inliers are
-    too few. At most `scored` pixels of a frame vote (a bound of the method), so a frame has iterations x scored pairs."""
-    voters = candidates.filter(F.col("i") < scored).join(tolerance, "frame_id")
+    too few. About `scored` pixels vote, spread over the whole frame by a multiplicative hash of their numbers (all, if there
+    are no more), so a frame has iterations x scored pairs."""
+    voters = candidates.filter(votes_for(F.col("n"), F.col("frame_id"), F.col("i"), scored)).join(tolerance, "frame_id")
     r = F.col("slope") * F.col("w") + F.col("intercept") - F.col("d")
     votes = lines.join(voters.select("frame_id", "w", "d", "tolerance"), "frame_id").groupBy("frame_id", "it").agg(
         F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.count("*").alias("m"),
@@ -95,7 +103,8 @@ class Gate:
         self.last: tuple[float, float, float] | None = None
         self.last_t: int | None = None
 
-    def __call__(self, t: int, fit: tuple[float, float, float] | None) -> tuple[tuple[float, float, float] | None, str]:
+    def __call__(self, t: int, fit: tuple[float, float, float] | None) -> tuple[tuple[float, float, float] | None, str, bool]:
+        """The fit that stands for the frame, its state, and whether the frame's own fit was rejected."""
         held = self.last_t is not None and t - self.last_t <= self.hold_us
         if not held:
             self.slopes.clear()
@@ -103,10 +112,8 @@ class Gate:
         if fit is not None and not rejected:
             self.last, self.last_t = fit, t
             self.slopes = [*self.slopes, fit[0]][-HISTORY:]
-            return fit, "fitted"
-        if held:
-            return self.last, "held"
-        return None, "rejected" if rejected else "dropped"
+            return fit, "fitted", False
+        return (self.last, "held", rejected) if held else (None, "dropped", rejected)
 
     def consistent(self, fit: tuple[float, float, float]) -> bool:
         if self.max_change <= 0:
@@ -123,14 +130,14 @@ def gate_rows(gate: Gate, rows: pd.DataFrame) -> pd.DataFrame:
     out = []
     for r in rows.itertuples(index=False):
         own = None if pd.isna(r.slope) else (float(r.slope), float(r.shift), float(r.tolerance))
-        fit, state = gate(int(r.t), own)
-        out.append((r.stream, r.frame_id, r.t, *(fit or (None, None, None)), state))
-    return pd.DataFrame(out, columns=["stream", "frame_id", "t", "slope", "shift", "tolerance", "state"])
+        fit, state, rejected = gate(int(r.t), own)
+        out.append((r.stream, r.frame_id, r.t, *(fit or (None, None, None)), state, rejected))
+    return pd.DataFrame(out, columns=["stream", "frame_id", "t", "slope", "shift", "tolerance", "state", "rejected"])
 
 
 def fit_gate(fits: DataFrame, max_change: float = 0.3, hold_us: int = 500_000) -> DataFrame:
-    """Every frame's fit after the gate, and its state: fitted, held (the last accepted fit stands in), rejected or
-    dropped. `fits` has one small row a frame, slope null where none was found. Streams run in parallel; the task holds
+    """Every frame's fit after the gate, and its state: fitted, held (the last accepted fit stands in) or dropped;
+    `rejected` marks fits that were found and not accepted, which are held or dropped like missing ones. `fits` has one small row a frame, slope null where none was found. Streams run in parallel; the task holds
     one batch of a stream and the gate."""
     rows = fits.select("stream", "frame_id", "t", "slope", "shift", "tolerance").repartition("stream").sortWithinPartitions("stream", "t", "frame_id")
 
@@ -145,11 +152,10 @@ def fit_gate(fits: DataFrame, max_change: float = 0.3, hold_us: int = 500_000) -
     return rows.mapInPandas(run, FIT_STATE)
 
 
-def fit_hold(fits: DataFrame, hold_us: int = 500_000) -> DataFrame:
+def fit_hold(fits: DataFrame, hold_us: int = 500_000, buckets: int | None = None) -> DataFrame:
     """Without a gate: the newest fit not older than `hold_us` stands in for a missing one; other frames go."""
-    upto = Window.partitionBy("stream").orderBy("t", "frame_id").rowsBetween(Window.unboundedPreceding, 0)
     own = F.when(F.col("slope").isNotNull(), F.struct("slope", "shift", "tolerance", F.col("t").alias("ft")))
-    df = fits.withColumn("_f", F.last(own, ignorenulls=True).over(upto)).filter(F.col("t") - F.col("_f.ft") <= hold_us)
+    df = running(fits, ["stream"], ["t", "frame_id"], "last", own, "_f", buckets).filter(F.col("t") - F.col("_f.ft") <= hold_us)
     return df.select("stream", "frame_id", "t", "_f.slope", "_f.shift", "_f.tolerance", (F.col("t") != F.col("_f.ft")).alias("held"))
 
 
@@ -158,9 +164,17 @@ def drop_low_frames(frames: DataFrame, min_height: float) -> DataFrame:
 
 
 def fit_report(gated: DataFrame, report_us: int = 5_000_000) -> DataFrame:
-    """By stream and report interval: frames by state, of all that aren't below the height, and the mean vote share."""
+    """By stream and report interval: frames fitted, held and dropped, rejected fits, frames below the height (`low`), and
+    the mean vote share of all but those. With a column `gy` (of the down direction) the tilt in degrees at the interval's
+    end, with `edge_share` the mean share of edges in frames that have a fit."""
     n = lambda s: F.count_if(F.col("state") == s).alias(s)
-    return gated.groupBy("stream", F.floor(F.col("t") / report_us).alias("report")).agg(n("fitted"), n("held"), n("rejected"), n("dropped"), n("low"), F.avg("vote_share").alias("mean_share"))
+    own = [n("fitted"), n("held"), n("dropped"), F.count_if(F.coalesce("rejected", F.lit(False))).alias("rejected"), n("low"), F.avg(F.when(F.col("state") != "low", F.coalesce("vote_share", F.lit(0.0)))).alias("mean_share")]
+    if "gy" in gated.columns:
+        last = F.max_by("gy", F.when(F.col("gy").isNotNull(), F.struct("t", "frame_id")))
+        own.append(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), last)))).alias("tilt"))
+    if "edge_share" in gated.columns:
+        own.append((F.sum(F.when(F.col("state").isin("fitted", "held"), F.col("edge_share"))) / F.greatest(F.count_if(F.col("state").isin("fitted", "held")), F.lit(1))).alias("mean_edges"))
+    return gated.groupBy("stream", F.floor(F.col("t") / report_us).alias("report")).agg(*own)
 
 
 def tilt_degrees(gravity: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photonlake.functions.scan import null_safe
+
 #: Image encodings as (bytes a value, channels, floating).
 ENCODINGS = {
     "mono8": (1, 1, False), "8UC1": (1, 1, False), "mono16": (2, 1, False), "16UC1": (2, 1, False), "rgb8": (1, 3, False),
@@ -66,14 +68,19 @@ def pixels_to_frame(pixels: DataFrame, encoding: str = "mono8") -> DataFrame:
 
 
 def harmonize_shapes(frames: DataFrame) -> DataFrame:
-    """Frames (height, width, values row by row) resampled to the shape of their stream's first frame: output row i of m
-    reads input row floor(i * (n - 1) / (m - 1))."""
-    first = frames.groupBy("stream").agg(F.min_by(F.struct("height", "width"), F.struct("t", "frame_id")).alias("_to"))
-    df = frames.join(first, "stream").withColumns({"_h": F.col("height"), "_w": F.col("width")})  # the result's names would hide these
+    """Frames (height, width, values row by row, a pixel's channels together) resampled to the shape of their stream's first
+    frame: output row i of m reads input row floor(i * (n - 1) / (m - 1)). `channels`, where there is such a column, too: extra
+    ones go, and a frame with fewer repeats its first one in all."""
+    many = "channels" in frames.columns
+    frames = frames if many else frames.withColumn("channels", F.lit(1))
+    first = frames.groupBy("stream").agg(F.min_by(F.struct("height", "width", "channels"), F.struct("t", "frame_id")).alias("_to"))
+    df = null_safe(frames, first, ["stream"]).withColumns({"_h": F.col("height"), "_w": F.col("width"), "_c": F.col("channels")})  # the result's names would hide these
     source = lambda i, n, m: F.when(m > 1, F.floor(i * (n - 1) / (m - 1))).otherwise(F.lit(0))
-    h, w = F.col("_to.height"), F.col("_to.width")
-    cells = F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: F.element_at("values", (source(F.floor(i / w), F.col("_h"), h) * F.col("_w") + source(i % w, F.col("_w"), w) + 1).cast("int")))
-    return df.select("stream", "frame_id", "t", h.alias("height"), w.alias("width"), cells.alias("values"))
+    h, w, c = F.col("_to.height"), F.col("_to.width"), F.col("_to.channels")
+    pixel = lambda i: source(F.floor(i / w), F.col("_h"), h) * F.col("_w") + source(i % w, F.col("_w"), w)
+    channel = lambda i: F.when(F.col("_c") >= c, i % c).otherwise(0)
+    cells = F.transform(F.sequence(F.lit(0), h * w * c - 1), lambda i: F.element_at("values", (pixel(F.floor(i / c)) * F.col("_c") + channel(i) + 1).cast("int")))
+    return df.select("stream", "frame_id", "t", h.alias("height"), w.alias("width"), *([c.alias("channels")] if many else []), cells.alias("values"))
 
 
 def frame_check(frames: DataFrame, calibration: DataFrame, encoding: str = "32FC1", bytes_per_value: int = 4) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from photonlake.operators import decode, filters, flatten, scoring, windows
@@ -109,6 +110,11 @@ def activity_by_polarity(spark, sf_dir):
     return windows.activity_by_polarity(windowed(spark, sf_dir))
 
 
+@query(f"with {WINDOWED} select count(distinct (stream, win)) as windows, sum(p)::bigint as n_on, sum(1 - p)::bigint as n_off, count(*) as n from w")
+def activity_total(spark, sf_dir):
+    return windows.activity_total(windows.activity_by_polarity(windowed(spark, sf_dir)))
+
+
 @query("""with o as (select stream, min(t) as t0 from fx_events group by stream)
     select e.stream, e.seq, e.t from fx_events e join o on e.stream = o.stream where e.t >= t0 + 2000000 and e.t < t0 + 7000000""")
 def time_range(spark, sf_dir):
@@ -205,12 +211,44 @@ def remap_identity(spark, sf_dir):
     return filters.round_remap(filters.build_remap(calibration(spark, sf_dir)))
 
 
-@query()
+#: Three sample cameras of 640 x 480 pixels (focal lengths and centre, distortion, equidistant or not).
+SAMPLES = [
+    ((700.805, 702.054, 293.178, 231.417), (-0.604486, 0.443513, -0.00248195, 0.00657614, -0.330773), False),
+    ((372.430, 373.203, 322.803, 230.243), (-0.415971, 0.14683, -0.0010571, -0.00426054, -0.020906), False),
+    ((326.723, 327.004, 309.566, 226.712), (-0.107369, 0.0, 0.0, 0.0, 0.0), True),
+]
+
+
+def sample_cameras(spark, sf_dir):
+    """Every stream with a sample camera."""
+    kinds = F.array(*(F.struct(F.array(*map(F.lit, (k[0], 0.0, k[2], 0.0, k[1], k[3], 0.0, 0.0, 1.0))).alias("k"), F.array(*map(F.lit, d)).alias("d"), F.lit(f).alias("fisheye")) for k, d, f in SAMPLES))
+    return streams(spark, sf_dir).select("camera", F.lit(640).alias("width"), F.lit(480).alias("height"), F.get(kinds, (F.col("stream") % 3).cast("int")).alias("c")).select("camera", "width", "height", "c.*")
+
+
+@query(f"""with c as ({CAMERAS}) select camera, 640 * 480 as pixels, case stream % 3 when 0 then 515 when 1 then 25200 else 2784 end as without_ray, 0 as moved, 0 as folded from c""")
 def lens_remap(spark, sf_dir):
-    """Both lens models with distortion; tests put the rays back through the lens."""
-    plain = calibration(spark, sf_dir, (-0.35, 0.15, 0.001, -0.0005, -0.02)).withColumn("camera", F.concat("camera", F.lit("-plain")))
-    fisheye = calibration(spark, sf_dir, (0.02, -0.01, 0.005, -0.001), True).withColumn("camera", F.concat("camera", F.lit("-fisheye")))
-    return r6(filters.build_remap(plain.unionByName(fisheye)), "ux", "uy")
+    """Rays of the sample cameras: how many pixels have none (a fixed count; tests look for rays the solver misses), lie over 0.01
+    pixel off when put back through the lens, or left of the pixel before them."""
+    cameras = sample_cameras(spark, sf_dir)
+    rays = filters.pixel_rays(cameras).join(cameras.select("camera", "d", "fisheye"), "camera")
+    x, y, d = F.col("rx"), F.col("ry"), [F.get("d", F.lit(k)) for k in range(5)]
+    plain = filters.shown_at(x, y, d, False)
+    r = F.sqrt(x * x + y * y)
+    scale = F.when(r > 1e-12, filters.shown_angle(F.atan(r), d) / r).otherwise(1.0)
+    u, v = (F.when(F.col("fisheye"), own * scale).otherwise(p) * F.element_at("k", f) + F.element_at("k", c) for own, p, f, c in ((x, plain[0], 1, 3), (y, plain[1], 5, 6)))
+    before = F.lag("rx").over(Window.partitionBy("camera", "v").orderBy("u"))
+    rays = rays.withColumns({"_before": before, "_off": F.greatest(F.abs(u - F.col("u")), F.abs(v - F.col("v")))})
+    n = lambda c: F.count_if(c).cast("int")
+    return rays.groupBy("camera").agg(F.count("*").cast("int").alias("pixels"), n(x.isNull()).alias("without_ray"), n(F.col("_off") > 0.01).alias("moved"), n(x <= F.col("_before")).alias("folded"))
+
+
+@query(f"""with c as ({CAMERAS}) select camera, true as ordered, true as inside, true as many from c""")
+def sample_remap(spark, sf_dir):
+    """Whole coordinates of the sample cameras: inside the image, and of over half of the pixels."""
+    remap = filters.round_remap(filters.build_remap(sample_cameras(spark, sf_dir)))
+    before = F.lag("ux").over(Window.partitionBy("camera", "y").orderBy("x"))
+    inside = F.bool_and(F.col("ux").between(0, 639) & F.col("uy").between(0, 479))
+    return remap.withColumn("_before", before).groupBy("camera").agg(F.bool_and(F.coalesce(F.col("ux") >= F.col("_before"), F.lit(True))).alias("ordered"), inside.alias("inside"), (F.count("*") > 640 * 240).alias("many"))
 
 
 @query("select stream, seq, t, 15 - x as x, y, p from fx_events where y > 0")

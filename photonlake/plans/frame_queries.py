@@ -128,6 +128,11 @@ def floor_pixels(spark, sf_dir):
     return view(spark, sf_dir, "fx_floor").withColumn("w", F.when(F.col("v") >= 2, F.col("v") / 8).otherwise(0.0))
 
 
+WIDE = """fx_wide as (select l_orderkey % 8 as frame_id, l_orderkey % 2 as stream, l_orderkey % 8 * 50000 as t, l_orderkey as v, l_linenumber * 10000000 + l_partkey * 50 + cast(l_quantity as int) as u,
+      0.2 + cast(l_partkey % 997 as double) / 1000 as w,
+      (1 + cast(l_orderkey % 8 as double) / 10) * (0.2 + cast(l_partkey % 997 as double) / 1000) - 0.1 + cast(l_quantity as double) / 5000 + (case when l_suppkey % 5 = 0 then 0.5 else 0 end) as d from lineitem)"""
+
+
 CAND = """c as (select stream, frame_id, t, v, u, d, v / 8 as w, row_number() over (partition by frame_id order by v, u) - 1 as i, count(*) over (partition by frame_id) as n from fx_floor where v >= 2)"""
 FITTED = CAND + """,
     tol as (select frame_id, 0.05 * greatest(list_sort(list(d))[floor(0.98 * (count(*) - 1))::int + 1] - list_sort(list(d))[floor(0.02 * (count(*) - 1))::int + 1], 1e-6) as tolerance from c group by frame_id),
@@ -136,7 +141,7 @@ FITTED = CAND + """,
     ln as (select ab.frame_id, it, (q.d - p.d) / (q.w - p.w) as slope, p.d - (q.d - p.d) / (q.w - p.w) * p.w as intercept
       from ab join c p on ab.frame_id = p.frame_id and ab.a = p.i join c q on ab.frame_id = q.frame_id and ab.b = q.i where abs(q.w - p.w) >= 1e-3),
     sc as (select ln.frame_id, it, slope, intercept, count(*) as m, count_if(abs(slope * w + intercept - d) < tolerance) as inl, count_if(slope * w + intercept - d >= tolerance) as below
-      from ln join c on ln.frame_id = c.frame_id join tol on ln.frame_id = tol.frame_id group by all),
+      from ln join (select * from c where (i * 2654435761 + frame_id * 40503) % 4294967296 * n < 4000 * 4294967296) c on ln.frame_id = c.frame_id join tol on ln.frame_id = tol.frame_id group by all),
     best as (select * from (select *, inl / m as vote_share, row_number() over (partition by frame_id order by inl - below desc, it) as r from sc) where r = 1 and vote_share >= 0.25),
     fit as (select c.stream, c.frame_id, c.t, regr_slope(d, w) as slope, regr_intercept(d, w) as shift, first(tolerance) as tolerance, first(vote_share) as vote_share, count(*) as inliers
       from c join best on c.frame_id = best.frame_id join tol on c.frame_id = tol.frame_id where abs(best.slope * w + best.intercept - d) < tolerance group by c.stream, c.frame_id, c.t having count(*) >= 8 and regr_slope(d, w) > 0)"""
@@ -163,9 +168,33 @@ def fits(spark, sf_dir):
     return p.withColumns({c: F.when(F.col("frame_id") % 5 != 0, F.col(c)) for c in ("slope", "shift", "tolerance")})
 
 
-@query()
+@query("with " + WIDE + ", " + FITTED.replace("v / 8 as w,", "w,").replace("from fx_floor where v >= 2", "from fx_wide") + " select stream, frame_id, t, round(slope, 6) as slope, round(shift, 6) as shift, round(vote_share, 6) as vote_share, inliers from fit")
+def floor_fit_wide(spark, sf_dir):
+    """Frames of thousands of pixels (from sf0.01 on over 4000), of which a spread sample votes."""
+    sql = WIDE[WIDE.index("(") + 1 : WIDE.rindex(")")].replace("from lineitem", "from {lineitem}")
+    wide = spark.sql(sql, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet")).withColumns({c: F.col(c).cast("double") for c in ("w", "d")})
+    return r6(floor.floor_fit(wide).drop("tolerance"), "slope", "shift", "vote_share")
+
+
+def gated_sql(fits: str) -> str:
+    """The gate as a recursion over each stream's frames; `fits`: stream, frame_id, t, slope, shift, tolerance, vote_share."""
+    return f"""f as ({fits}), o as (select *, row_number() over (partition by stream order by t, frame_id) as rn from f),
+    g as (select stream, 0::bigint as rn, null::bigint as frame_id, null::bigint as t, []::double[] as slopes, null::double as ls, null::double as lh, null::bigint as lt,
+            null::double as slope, null::double as shift, null::varchar as state, false as rejected, null::double as vote_share from (select distinct stream from f)
+      union all
+      select stream, rn, frame_id, t, case when ok then list_append(hist, slope)[-10:] else hist end, case when ok then slope else ls end, case when ok then shift else lh end, case when ok then t else lt end,
+            case when ok then slope when held then ls end, case when ok then shift when held then lh end, case when ok then 'fitted' when held then 'held' else 'dropped' end, slope is not null and not ok, vote_share
+      from (select *, slope is not null and shift <= 0 and (len(hist) < 3 or abs(slope / list_sort(hist)[len(hist) // 2 + 1] - 1) <= 0.3) as ok
+        from (select o.stream, o.rn, o.frame_id, o.t, o.slope, o.shift, o.vote_share, g.ls, g.lh, g.lt, coalesce(o.t - g.lt <= 500000, false) as held, case when coalesce(o.t - g.lt <= 500000, false) then g.slopes else []::double[] end as hist
+          from g join o on o.stream = g.stream and o.rn = g.rn + 1)))"""
+
+
+FITS = """select stream, frame_id, t, case when frame_id % 5 <> 0 then slope * case when frame_id % 11 = 5 then 2 else 1 end end as slope, case when frame_id % 5 <> 0 then shift end as shift, 0 as tolerance, slope as vote_share from p"""
+
+
+@query(f"with recursive {PLANTED}, {gated_sql(FITS)} select stream, frame_id, t, round(slope, 6) as slope, shift, state, rejected from g where rn > 0")
 def fit_gate(spark, sf_dir):
-    return floor.fit_gate(fits(spark, sf_dir))
+    return r6(floor.fit_gate(fits(spark, sf_dir)).drop("tolerance"), "slope")
 
 
 @query(f"""with {PLANTED}, f as (select stream, frame_id, t, case when frame_id % 5 <> 0 then slope * case when frame_id % 11 = 5 then 2 else 1 end end as slope from p),
@@ -175,14 +204,16 @@ def fit_hold(spark, sf_dir):
     return r6(floor.fit_hold(fits(spark, sf_dir), 150_000).select("stream", "frame_id", "t", "slope", "held"), "slope")
 
 
-STATES = "case when frame_id % 9 = 0 then 'low' when frame_id % 5 = 0 then 'held' when frame_id % 11 = 5 then 'rejected' else 'fitted' end"
-
-
-@query(f"""with {PLANTED}, s as (select *, {STATES} as state from p)
-    select stream, t // 5000000 as report, count_if(state = 'fitted') as fitted, count_if(state = 'held') as held, count_if(state = 'rejected') as rejected, count_if(state = 'dropped') as dropped, count_if(state = 'low') as low, round(avg(slope), 6) as mean_share from s group by 1, 2""")
+@query(f"""with recursive {PLANTED}, {gated_sql(FITS)}, s as (select *, frame_id % 9 = 0 as low, cos(frame_id % 50 / 100) as gy, frame_id % 10 / 10 as edge from g where rn > 0)
+    select stream, t // 5000000 as report, count_if(state = 'fitted' and not low) as fitted, count_if(state = 'held' and not low) as held, count_if(state = 'dropped' and not low) as dropped, count_if(rejected and not low) as rejected, count_if(low) as low,
+      round(avg(case when not low then vote_share end), 6) as mean_share, round(degrees(acos(last(gy order by t, frame_id))), 6) as tilt,
+      round(coalesce(sum(case when not low and state <> 'dropped' then edge end), 0) / greatest(count_if(not low and state <> 'dropped'), 1), 6) as mean_edges from s group by 1, 2""")
 def fit_report(spark, sf_dir):
-    df = planted(spark, sf_dir).withColumns({"state": F.expr(STATES), "vote_share": F.col("slope")})
-    return r6(floor.fit_report(df), "mean_share")
+    """The gate's states; every ninth frame is below the height."""
+    low = F.col("frame_id") % 9 == 0
+    df = floor.fit_gate(fits(spark, sf_dir)).join(planted(spark, sf_dir).select("frame_id", F.col("slope").alias("vote_share")), "frame_id")
+    df = df.withColumns({"state": F.when(low, "low").otherwise(F.col("state")), "rejected": F.col("rejected") & ~low, "gy": F.cos((F.col("frame_id") % 50) / 100), "edge_share": (F.col("frame_id") % 10) / 10})
+    return r6(floor.fit_report(df), "mean_share", "tilt", "mean_edges").withColumn("mean_edges", F.coalesce("mean_edges", F.lit(0.0)))
 
 
 @query(f"with {PLANTED} select stream, frame_id, t, round(slope * 1.5, 6) as scale, shift from p where frame_id % 5 <> 0")

@@ -95,11 +95,12 @@ def dataset_counts(spark, sf_dir):
 
 @query("""with m as (select substr(topic, 2) as "group", seq, bag_time_us, case when seq % 7 = 0 then null else concat('u', user_id) end as owner, concat('s', seq % 3) as sensor from fx_messages where topic not like '%error%'),
     f as (select "group", first(owner order by bag_time_us, seq) filter (owner is not null) as owner, first(sensor order by bag_time_us, seq) as sensor from m group by "group")
-    select "group", 'owner' as key, owner as value from f union all select "group", 'sensor', sensor from f""")
+    select "group", 'owner' as key, owner as value from f union all select "group", 'sensor', sensor from f
+    union all select '', key, value from (values ('source', 'events'), ('time_unit', 'microseconds'), ('time_source', 'header')) as r(key, value)""")
 def manifest(spark, sf_dir):
     m = messages(spark, sf_dir)
     own = routing.route(m, message_plan(m)).withColumns({"owner": F.when(F.col("seq") % 7 != 0, F.concat(F.lit("u"), F.col("user_id"))), "sensor": F.concat(F.lit("s"), F.col("seq") % 3)})
-    return recordings.dataset_manifest(own, ["owner", "sensor"])
+    return recordings.dataset_manifest(own, ["owner", "sensor"], recordings.root_attributes("events", False))
 
 
 @query("""select topic, seq, bag_time_us, value from (select *, row_number() over (partition by topic order by bag_time_us desc, seq desc) as r from fx_messages) where r = 1""")

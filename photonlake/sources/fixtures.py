@@ -65,4 +65,6 @@ def duck(sql: str) -> str:
     body = sql.strip()
     if not used:
         return body
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head}, {body[15:]}"
     return f"with {head}, {body[5:]}" if body[:5].lower() == "with " else f"with {head} {body}"

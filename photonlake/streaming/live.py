@@ -127,6 +127,34 @@ def attitude(imu: DataFrame) -> DataFrame:
     return imu.select(*cols).groupBy("stream").applyInPandasWithState(run, inertial.ATTITUDE, "w double, x double, y double, z double, bx double, by double, bz double, t long", "append", GroupStateTimeout.NoTimeout)
 
 
+def full_times(words: DataFrame) -> DataFrame:
+    """The decoder's clock on a stream of words (stream, packet_id, pos, kind, payload; packets in order): t, y and the
+    rollovers so far of every word, with the last high and low time, rollover count and y of each stream as state. The batch
+    form is operators.decode.full_time. A word that comes behind a later packet of an earlier micro-batch is taken as the
+    next one."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        high, low, turns, y = state.get if state.exists else (None, 0, 0, None)
+        rows = pd.concat(list(frames)).sort_values(["packet_id", "pos"])
+        times, ys, all_turns = [], [], []
+        for kind, payload in zip(rows["kind"].tolist(), rows["payload"].tolist(), strict=True):
+            if kind == 8:
+                if high is not None and payload < high - 10:
+                    turns += 1
+                high = payload
+            elif kind == 6:
+                low = payload
+            elif kind == 0:
+                y = payload & 0x7FF
+            times.append(None if high is None else (turns << 24) + (high << 12) + low)
+            ys.append(y)
+            all_turns.append(turns)
+        state.update((high, low, turns, y))
+        yield pd.DataFrame({"stream": rows["stream"].to_numpy(), "packet_id": rows["packet_id"].to_numpy(), "pos": rows["pos"].to_numpy(), "t": pd.array(times, "Int64"), "y": pd.array(ys, "Int64"), "rollovers": all_turns})
+
+    return words.select("stream", "packet_id", "pos", "kind", "payload").groupBy("stream").applyInPandasWithState(run, "stream long, packet_id long, pos long, t long, y long, rollovers long", "high long, low long, turns long, y long", "append", GroupStateTimeout.NoTimeout)
+
+
 def packet_time(events: DataFrame) -> DataFrame:
     """Times that never fall, in stream order (seq): the running maximum is carried over batches."""
 
@@ -168,10 +196,11 @@ def latest_value(stream: DataFrame, keys: list[str], order: list[str], name: str
 
 
 def nearest(left: DataFrame, right: DataFrame, width_us: int, delay: str = "0 seconds") -> DataFrame:
-    """Stream-stream interval join, then for each left row the nearest right row (ties: the older)."""
+    """Stream-stream interval join, then for each left row the nearest right row (ties: the older); null where none lies
+    within the width. A left row comes out when the watermark is behind all that could still join it."""
     a = with_ts(left.select("stream", F.col("seq").alias("a_seq"), "t"), delay).withColumnRenamed("t", "a_t").withColumnRenamed("ts", "a_ts")
     b = right.select(F.col("stream").alias("b_stream"), F.col("seq").alias("b_seq"), F.col("t").alias("b_t"), F.timestamp_micros("t").alias("b_ts")).withWatermark("b_ts", delay)
     span = F.expr(f"b_ts between a_ts - interval {width_us} microseconds and a_ts + interval {width_us} microseconds")
-    pairs = a.join(b, (F.col("stream") == F.col("b_stream")) & span)
-    best = F.min_by(F.struct("b_seq", "b_t"), F.struct(F.abs(F.col("a_t") - F.col("b_t")), "b_t", "b_seq"))
+    pairs = a.join(b, (F.col("stream") == F.col("b_stream")) & span, "left_outer")
+    best = F.min_by(F.struct("b_seq", "b_t"), F.when(F.col("b_t").isNotNull(), F.struct(F.abs(F.col("a_t") - F.col("b_t")), "b_t", "b_seq")))
     return pairs.groupBy("stream", "a_seq", "a_t", "a_ts").agg(best.alias("m")).select("stream", "a_seq", "a_t", "m.b_seq", "m.b_t")

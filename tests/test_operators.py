@@ -80,18 +80,33 @@ def test_high_time_jitter_is_no_rollover(spark):
     assert [r.t for r in decode.decode(packets, "sensor").orderBy("packet_id").collect()] == [4090 * 4096 + 1, 4085 * 4096 + 1, (4096 + 3) * 4096 + 1]
 
 
-def test_lens_puts_rays_back(spark, small):
-    for d, fisheye in (((-0.35, 0.15, 0.001, -0.0005, -0.02), False), ((0.02, -0.01, 0.005, -0.001), True)):
-        cal = event_queries.calibration(spark, small, d, fisheye).limit(1)
-        rays = filters.pixel_rays(cal, 60).join(cal.select("camera", "d", "fisheye"), "camera")
-        dd = [F.coalesce(F.get("d", F.lit(k)), F.lit(0.0)) for k in range(5)]
-        x, y = filters.distort(F.col("rx"), F.col("ry"), dd, F.col("fisheye"))
-        worst = rays.select(F.max(F.abs(x * 18.0 + 7.5 - F.col("u"))).alias("a"), F.max(F.abs(y * 18.5 + 5.5 - F.col("v"))).alias("b")).first()
-        assert max(worst) < 1e-6
+def test_lens_puts_rays_back():
+    """The sample cameras at full size: put back within 0.01 pixel, and every ray that the model shows is found."""
+    v, u = np.mgrid[0:480, 0:640].astype(float)
+    rng = np.random.default_rng(1)
+    for (fx, fy, cx, cy), d, fisheye in event_queries.SAMPLES:
+        x0, y0 = ((u - cx) / fx).ravel(), ((v - cy) / fy).ravel()
+        x, y = filters.ray_through(x0, y0, d, fisheye)
+        has = ~np.isnan(x)
+        assert has.mean() > 0.9
+        bx, by = filters.shown_at(x[has], y[has], d, fisheye)
+        assert max(np.abs(bx - x0[has]).max() * fx, np.abs(by - y0[has]).max() * fy) < 0.01
+        assert (np.diff(np.where(has, x, np.nan).reshape(480, 640), axis=1) <= 0).sum() == 0
+        # forwards: points whose way to the centre doesn't fold
+        px, py = rng.uniform(-1.2, 1.2, (2, 4000))
+        steps = np.linspace(0.01, 1, 200)[:, None]
+        if fisheye:
+            whole = np.ones(len(px), bool)
+        else:
+            xx, xy, yy = filters.slopes(px * steps, py * steps, d)
+            whole = ((xx * yy - xy * xy > 1e-3) & (xx + yy > 0)).all(0)
+        sx, sy = filters.shown_at(px[whole], py[whole], d, fisheye)
+        qx, qy = filters.ray_through(sx, sy, d, fisheye)
+        assert whole.sum() > 300 and np.abs(qx - px[whole]).max() < 1e-6 and np.abs(qy - py[whole]).max() < 1e-6
 
 
 def test_remap_rounds_and_drops(spark):
-    df = spark.createDataFrame([("c", 0, 0, 0.5, 1.5, 4, 4), ("c", 1, 0, -0.5, 0.0, 4, 4), ("c", 2, 0, float("nan"), 0.0, 4, 4), ("c", 3, 0, 3.6, 0.0, 4, 4)], "camera string, x int, y int, ux double, uy double, width int, height int")
+    df = spark.createDataFrame([("c", 0, 0, 0.5, 1.5, 4, 4), ("c", 1, 0, -0.5, 0.0, 4, 4), ("c", 2, 0, float("nan"), 0.0, 4, 4), ("c", 3, 0, 3.6, 0.0, 4, 4), ("c", 4, 0, 1e300, 0.0, 4, 4), ("c", 5, 0, None, 0.0, 4, 4)], "camera string, x int, y int, ux double, uy double, width int, height int")
     assert [tuple(r)[1:] for r in filters.round_remap(df).collect()] == [(0, 0, 1, 2)]
 
 
@@ -114,12 +129,46 @@ def test_nearest_tie_takes_the_older(spark):
 def test_gate_uses_the_upper_median_of_accepted():
     gate = floor.Gate(0.3, 10**9)
     for t, s in enumerate((1.0, 1.0, 2.0)):
-        assert gate(t, (s, -0.1, 0.0))[1] == "fitted"  # fewer than three accepted: anything goes
-    assert gate(3, (1.9, -0.1, 0.0))[1] == "held"  # median 1.0
-    assert gate(4, (1.2, -0.1, 0.0))[1] == "fitted"
-    assert gate(5, (1.5, -0.1, 0.0))[1] == "fitted"  # upper median of 1, 1, 1.2, 2 is 1.2
-    assert gate(6, (1.0, 0.1, 0.0))[1] == "held"  # a positive shift
-    assert gate(6 + 2 * 10**9, None)[1] == "dropped"
+        assert gate(t, (s, -0.1, 0.0))[1:] == ("fitted", False)  # fewer than three accepted: anything goes
+    assert gate(3, (1.9, -0.1, 0.0))[1:] == ("held", True)  # median 1.0
+    assert gate(4, (1.2, -0.1, 0.0))[1:] == ("fitted", False)
+    assert gate(5, (1.5, -0.1, 0.0))[1:] == ("fitted", False)  # upper median of 1, 1, 1.2, 2 is 1.2
+    assert gate(6, (1.0, 0.1, 0.0))[1:] == ("held", True)  # a positive shift
+    assert gate(7, None)[1:] == ("held", False)
+    assert gate(6 + 2 * 10**9, (1.0, 0.1, 0.0))[1:] == ("dropped", True)
+    assert gate(7 + 2 * 10**9, None)[1:] == ("dropped", False)
+
+
+def test_voters_are_spread_over_the_frame(spark):
+    df = spark.range(300_000).select(F.col("id").alias("i"), F.lit(300_000).alias("n"), F.lit(7).alias("frame"))
+    got = np.array([r.i for r in df.filter(floor.votes_for(F.col("n"), F.col("frame"), F.col("i"), 4000)).collect()])
+    assert abs(len(got) - 4000) < 50
+    assert np.bincount(got * 20 // 300_000, minlength=20).min() > 150 and np.bincount(got % 640 // 32, minlength=20).min() > 120
+
+
+def test_null_streams_are_streams(spark):
+    e = events(spark, [(None, 0, 5, 1, 1, 1), (None, 1, 9, 2, 1, 0), (3, 2, 7, 1, 1, 1)])
+    assert windows.tumbling(e, 100).count() == 3
+    for n in (1, 3):
+        assert sorted(r.r for r in rank(e, ["stream"], ["t"], "r", n).collect()) == [0, 0, 1]
+        assert inertial.rate_hz(e, buckets=n).count() == 3
+    assert recordings.time_range(e, 0, 100).count() == 3
+    assert filters.background_activity_filter(e.withColumn("extra", F.lit("kept")), 100).select("seq", "extra").collect() == [(1, "kept")]
+
+
+def test_stuck_pixel_is_split_by_time(spark):
+    rows = [(0, k, k * 700, 5 + k % 2, 5, 1) for k in range(2000)]
+    e = events(spark, rows)
+    got = sorted(r.seq for r in filters.background_activity_filter(e, 1000).collect())
+    assert got == list(range(1, 2000))
+    assert "_cell" in filters.background_activity_filter(e, 1000)._jdf.queryExecution().optimizedPlan().toString().split("Window")[1]
+
+
+def test_channels_are_cut_and_filled(spark):
+    rows = [(0, 0, 0, 1, 2, 3, [1, 2, 3, 4, 5, 6]), (0, 1, 1, 1, 2, 4, [1, 2, 3, 9, 4, 5, 6, 9]), (0, 2, 2, 1, 2, 1, [7, 8])]
+    df = spark.createDataFrame(rows, "stream long, frame_id long, t long, height int, width int, channels int, values array<int>")
+    got = {r.frame_id: r["values"] for r in frames.harmonize_shapes(df).collect()}
+    assert got == {0: [1, 2, 3, 4, 5, 6], 1: [1, 2, 3, 4, 5, 6], 2: [7, 7, 7, 8, 8, 8]}
 
 
 def test_floor_fit_finds_the_planted_line(spark, small):
