@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import arrow_map, id_text, texts
+from photonlake.llm.common import arrow_map, id_text, stored, texts
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -68,7 +68,7 @@ def _walks(low: str, i: int) -> int:
 
 def word_counts(docs: DataFrame, most: int = DICTIONARY, least: int = IN_DOCUMENTS) -> list[str]:
     """The words (3 to 20 letters a to z, lower-cased) that stand in at least `least` documents, by how many documents hold
-    them, the most frequent `most`. Counted over all documents and summed in each task before they are shuffled."""
+    them, the most frequent `most` or somewhat fewer (words of nearly one frequency go in together). Counted over all documents and summed in each task before they are shuffled."""
 
     def count(batches):
         total: Counter[str] = Counter()
@@ -81,7 +81,16 @@ def word_counts(docs: DataFrame, most: int = DICTIONARY, least: int = IN_DOCUMEN
         yield pa.record_batch([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
 
     counts = id_text(docs).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+    known = stored(counts.filter(F.col("n") >= least), "words")
+    left, cut = most, None  # the count from which on there is room; counts are binned, so that few rows come to the driver
+    for r in known.groupBy(F.floor(F.log2("n") * 16).alias("b")).agg(F.count("*").alias("c"), F.min("n").alias("n")).orderBy(F.desc("b")).collect():
+        left -= r["c"]
+        if left < 0:
+            break
+        cut = r["n"]
+    if cut is None:
+        return []
+    return [w for _, w in sorted((-r["n"], r["word"]) for r in known.filter(F.col("n") >= cut).collect())]
 
 
 class Guesser:

@@ -225,7 +225,7 @@ def chosen_features(frequencies: DataFrame, d: int, d1: int) -> list[int]:
 
 
 def feature_matrix(sample: DataFrame, costs: list[float], chosen: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """log(1 + count) of the chosen features in the rows of a bounded sample, and their labels."""
+    """log(1 + count) of the chosen features in the rows of a bounded sample, with a last column of ones, and their labels."""
     names = np.sort(np.array(chosen, np.int64))
     shared = sample.sparkSession.sparkContext.broadcast((costs, names))
 
@@ -239,22 +239,26 @@ def feature_matrix(sample: DataFrame, costs: list[float], chosen: list[int]) ->
         return pa.record_batch([batch.column("toxic"), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], ["toxic", "at", "counts"])
 
     rows = arrow_map(sample.select("text", "toxic"), run, "toxic int, at binary, counts binary").collect()
-    x = np.zeros((len(rows), len(names)))
+    x = np.zeros((len(rows), len(names) + 1), np.float32)
+    x[:, -1] = 1
     for k, r in enumerate(rows):
         x[k, np.frombuffer(r["at"], np.int32)] = np.log1p(np.frombuffer(r["counts"], np.float32))
     return x, np.array([r["toxic"] for r in rows], float)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the last weight is the intercept, which isn't shrunk."""
-    x = np.c_[x, np.ones(len(x))]
+    """Ridge logistic regression by Newton's method, a part of the rows at a time; the last column of x is all ones, and its
+    weight isn't shrunk."""
     w = np.zeros(x.shape[1])
     w[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     shrink = np.full(x.shape[1], ridge)
     shrink[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(shrink)
+        h = np.diag(shrink)
+        for part in np.split(np.arange(len(x)), range(1000, len(x), 1000)):
+            own = x[part].astype(float)
+            h += (own * (p[part] * (1 - p[part]) + 1e-6)[:, None]).T @ own
         step = np.linalg.solve(h, x.T @ (y - p) - shrink * w)
         w += step
         if np.abs(step).max() < 1e-4:
