@@ -101,11 +101,13 @@ def stream_latest(spark, sf_dir):
 
 @query("""with a as (select stream, seq, t from fx_events where seq % 5 = 0), p as (select a.stream, a.seq as a_seq, a.t as a_t, o.seq as b_seq, o.t as b_t,
       row_number() over (partition by a.stream, a.seq order by abs(a.t - o.t), o.t, o.seq) as r from a left join fx_odom o on a.stream = o.stream and abs(a.t - o.t) <= 4000 and o.t > 0)
-    select stream, a_seq, a_t, b_seq, b_t from p where r = 1 and a_t < 20000000""")
+    select stream, a_seq, a_t, b_seq, b_t from p where r = 1 and a_t < (select least((select max(t) from fx_events), (select max(t) from fx_odom)) - 3000000)""")
 def stream_nearest(spark, sf_dir):
-    """The rows before 20 s, which the watermark has passed when the sources end."""
+    """The rows up to 3 s before the shorter source's end, which the watermark has passed when the sources end."""
     left = source(spark, sf_dir, "fx_events").filter("seq % 5 = 0")
-    return live.drained(live.nearest(left, source(spark, sf_dir, "fx_odom").filter("t > 0"), 4000, "1 second"), "nearest").filter("a_t < 20000000")
+    ends = [view(spark, sf_dir, name).agg(F.max("t")).first()[0] or 0 for name in ("fx_events", "fx_odom")]
+    out = live.drained(live.nearest(left, source(spark, sf_dir, "fx_odom").filter("t > 0"), 4000, "1 second"), "nearest")
+    return out.filter(F.col("a_t") < min(ends) - 3_000_000)
 
 
 @query("with w as (select *, row_number() over (partition by stream order by t, seq) - 1 as r from fx_events) select stream, r as packet_id, t, y::bigint as y, t // 16777216 as rollovers from w")
