@@ -343,15 +343,16 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     one of BANDS with probability 0.99.
 
     Rows without a doc_id stay; of rows equal in doc_id and text one stays (the least by a hash of all columns). Null texts
-    and texts without words are one group. Columns stay, whatever their names. Only keys are shuffled; the texts meet the list
-    of what goes, which is broadcast while it is small, as measured."""
+    and texts without words are one group. Columns stay, whatever their names. The list of what goes grows with the input, so
+    it is never broadcast: the texts are shuffled once to meet it, in hash tables of two longs a row, and aren't sorted."""
     gone, again = repeated(docs.select("doc_id", "text"), similarity)
     key, row = unused(docs, "key"), unused(docs, "row")
     keyed = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(row, F.xxhash64(F.col("text").cast("string")))
     own = lambda df: df.select(F.col("doc_id").alias(key), F.col("row").alias(row))
-    kept = keyed.join(own(gone), [key, row], "left_anti")
+    kept = keyed.join(own(gone).hint("shuffle_hash"), [key, row], "left_anti")
     if again.isEmpty():
         return kept.select(*docs.columns)
     whole = F.struct(*docs.columns)
-    one = kept.join(own(again), [key, row], "left_semi").groupBy(key, row).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("kept")).select("kept.*")
-    return kept.join(own(again), [key, row], "left_anti").select(*docs.columns).unionByName(one)
+    again = own(again).hint("shuffle_hash")
+    one = kept.join(again, [key, row], "left_semi").groupBy(key, row).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("kept")).select("kept.*")
+    return kept.join(again, [key, row], "left_anti").select(*docs.columns).unionByName(one)
