@@ -2,8 +2,8 @@
 item go, secrets are masked, and what is left is packed into sequences.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of `documents`, and any
-others, whatever their names. Each judges what the stage before it kept. Texts aren't shuffled: what a row's text alone
-decides is decided beside the row, and near duplicates shuffle keys.
+others, whatever their names. Each judges what the stage before it kept. What a row's text alone decides is decided beside
+the row; near duplicates compare keys, and shuffle the texts once to meet the list of what goes.
 
 Null texts and texts without words are scored like any text without known words, are one near-duplicate group (one row of
 them stays), hold no item and no secret, and pack as the end id alone. Repeated rows are near duplicates. Rows without a
