@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from photonlake.llm import decontaminate, language_id, packing, secrets, simhash, substring_dedup, suffix_dedup, token_count, toxicity, vector_search
+from photonlake.llm import conversation_repair, decontaminate, language_id, line_dedup, packing, periodic_runs, secrets, simhash, substring_dedup, suffix_dedup, token_count, toxicity, vector_search
 from photonlake.llm.common import table
 
 
@@ -48,7 +48,19 @@ def op10_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_vector_search, op3_simhash, op4_suffix_dedup, op5_secret_scan, op6_language_id, op7_toxicity, op8_substring_dedup, op9_decontamination, op10_packing)}
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return conversation_repair.repaired_query(table(spark, sf_dir, "conversations"))
+
+
+def op13_line_dedup(spark, sf_dir):
+    return line_dedup.digest(line_dedup.drop_lines(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_vector_search, op3_simhash, op4_suffix_dedup, op5_secret_scan, op6_language_id, op7_toxicity, op8_substring_dedup, op9_decontamination, op10_packing, op11_periodic_runs, op12_conversation_repair, op13_line_dedup)}
 ORACLE: dict[str, str] = {
     "op2_vector_search": """
         with good as (
@@ -92,4 +104,11 @@ ORACLE: dict[str, str] = {
         select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed,
                sha256(array_to_string(list_concat(coalesce(front, []), list_slice(w, coalesce(last, 0) + 1, len(w))), ' ')) as kept_sha256
         from d left join kept on d.doc_id = kept.doc_id""",
+    "op13_line_dedup": r"""
+        with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+        l as (select doc_id, i, lines[i] as line, translate(trim(lines[i], concat(' ', chr(9), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+              from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from d)),
+        gone as (select k from l where k <> '' group by k having count(distinct doc_id) >= 10),
+        m as (select l.*, gone.k is not null as drop from l left join gone on l.k = gone.k)
+        select doc_id, count(*) as n_lines, count(*) filter (drop) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not drop), '')) as kept_sha256 from m group by doc_id""",
 }

@@ -19,6 +19,10 @@ def test_against_sql(spark, small, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_one_row_a_document_or_more(spark, small, name):
+    if name == "op12_conversation_repair":
+        conversations = spark.read.parquet(f"{small}/conversations.parquet").select("conv_id").distinct()
+        assert QUERIES[name](spark, small).count() == conversations.count()
+        return
     out = QUERIES[name](spark, small)
     n = spark.read.parquet(f"{small}/documents.parquet").count()
     found = out.select("doc_id").distinct().count()
