@@ -4,10 +4,10 @@ Three base kinds are matched leftmost and without overlap, each on its own: `ass
 a value after a wider set of credential words (with `:`, `=` or "is") is priced by dynamic programming: the cheapest
 segmentation into dictionary words, dates, repeats, sequences, keyboard walks and brute-force spans, in log10 guesses. The
 dictionary is the frequent password words below and the `DICTIONARY` words that most documents hold, counted over all of
-them, so that prose ("the password is important") costs little.
+them outside such contexts, so that prose ("the password is important") costs little.
 Values that cost at least `min_log10` guesses are reported as kind `guess`, unless they lie inside an `assign` match; one
-that reaches further is reported beside it. A value of any length is taken whole: to the closing quote if it begins with
-a quote, and at most to the next character that isn't printable ASCII.
+that reaches further is reported beside it. A value of any length is taken whole: a quoted one (behind : or =) to the closing
+quote on its line, spaces and all; another to the next white space or CJK character.
 
 Nulls count as empty texts: no spans. An empty table gives no rows. Positions are code points, ends exclusive. Repeated rows are scanned row by row.
 """
@@ -29,14 +29,20 @@ from photonlake.llm.common import arrow_map, id_text, stored, texts
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(r"""(?i:(?<![A-Za-z0-9])(?:pass|pwd|passphrase|passcode|password|passwd|secret|token|api_?key|auth|credentials?|private_?key|access_?key|client_?key|login))["']?(?:\x20*[:=]\x20*|\x20is\x20)(?:"((?:\\[!-~]|[!#-~]){6,})|'((?:\\[!-~]|[!-&(-~]){6,})|([!#-&(-~][!-~]{5,}))""", re.ASCII)
+#: A credential word, perhaps a closing quote or bracket, and a separator; behind : or = (and at most one line break) a quoted
+#: value up to its closing quote on that line, else (and behind "is") what goes on to the next white space, without CJK.
+_WORD = r"""(?i:(?<![A-Za-z0-9])(?:pass|pwd|passphrase|passcode|password|passwd|secret|token|api[_-]?key|auth|credentials?|private[_-]?key|access[_-]?key|client[_-]?key|login))["'\])}\uff09\u3011\u300d\u300f]{0,3}"""
+_BARE = r"""["'\u201c]?([^\s"'\u201c\u201d\u3000-\u9fff\uac00-\ud7af\uff00-\uffef][^\s\u3000-\u9fff\uac00-\ud7af\uff00-\uffef]{5,})"""
+CONTEXT = re.compile(rf"""{_WORD}(?:[\x20\t]*[:=\uff1a][\x20\t]*(?:\r?\n[\x20\t]*)?(?:"((?:\\[^\r\n]|[^"\\\r\n]){{6,}})"|'((?:\\[^\r\n]|[^'\\\r\n]){{6,}})'|\u201c([^\u201d\r\n]{{6,}})\u201d|{_BARE})|\x20is\x20{_BARE})""")
+QUOTED = 3  # the first groups
+CLOSING = "\"',;)]}>\u201d\u00bb"
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "login")
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10 = 8.0
 LONG = 64
 ORDER = 0.3
 DICTIONARY, IN_DOCUMENTS, HELD_WORDS = 50_000, 5, 200_000
-LETTERS = re.compile("[a-z]{3,20}")
+LETTERS = re.compile(r"[^\W\d_]{3,20}")
 
 #: Frequent words in passwords, most frequent first; the rank is the number of guesses.
 COMMON = (
@@ -66,15 +72,44 @@ def _walks(low: str, i: int) -> int:
     return best
 
 
+def values(text: str) -> list[tuple[int, int]]:
+    """Where values stand in a credential context: a quoted one whole, another without closing punctuation."""
+    out = []
+    low = text.lower()
+    if any(w in low for w in CONTEXT_WORDS):
+        for m in CONTEXT.finditer(text):
+            start, end = m.span(m.lastindex)
+            while m.lastindex > QUOTED and end > start and text[end - 1] in CLOSING:
+                end -= 1
+            if end - start >= 6:
+                out.append((start, end))
+    return out
+
+
+def without_values(text: str) -> str:
+    """The text without the values in credential contexts and base assignments."""
+    low = text.lower()
+    if not any(w in low for w in CONTEXT_WORDS):
+        return text
+    spans = sorted(values(text) + [m.span(2) for m in ASSIGN.finditer(text)])
+    out, at = [], 0
+    for start, end in spans:
+        out.append(text[at:start])
+        at = max(at, end)
+    return " ".join([*out, text[at:]])
+
+
 def word_counts(docs: DataFrame, most: int = DICTIONARY, least: int = IN_DOCUMENTS) -> list[str]:
-    """The words (3 to 20 letters a to z, lower-cased) that stand in at least `least` documents, by how many documents hold
-    them, the most frequent `most` or somewhat fewer (words of nearly one frequency go in together). Counted over all documents and summed in each task before they are shuffled."""
+    """The words (3 to 20 letters, lower-cased) that stand in at least `least` documents, by how many documents hold
+    them, the most frequent `most` or somewhat fewer (words of nearly one frequency go in together). What stands where a
+    credential's value would is no word, so a secret that many documents repeat isn't made cheap by that. Counted over all
+    documents and summed in each task before they are shuffled."""
 
     def count(batches):
         total: Counter[str] = Counter()
         for batch in batches:
             for text in texts(batch):
-                total.update(set(LETTERS.findall((text or "").lower())))
+                total.update(set(LETTERS.findall(without_values(text or "").lower())))
                 if len(total) > HELD_WORDS:
                     yield pa.record_batch([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
                     total = Counter()
@@ -177,11 +212,8 @@ def scan(text: str, min_log10: float = MIN_LOG10, guesser: Guesser = guess_cost)
     if any(w in low for w in CONTEXT_WORDS):
         found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         taken = [(a, b) for _, a, b in found]
-        for m in CONTEXT.finditer(text):
-            start, end = m.span(m.lastindex)
-            while end > start and text[end - 1] in "\"',;)]}>":
-                end -= 1
-            if end - start >= 6 and not any(a <= start and end <= b for a, b in taken) and guesser(text[start:end], min_log10) >= min_log10:
+        for start, end in values(text):
+            if not any(a <= start and end <= b for a, b in taken) and guesser(text[start:end], min_log10) >= min_log10:
                 found.append(("guess", start, end))
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]

@@ -386,6 +386,26 @@ def test_guesses_take_the_whole_value(spark):
     assert secrets.scan(texts[1]) == [("assign", 0, 16), ("guess", 10, 27)]
 
 
+LOST = ["passphrase: qzjxkvwpyhgtrnmcbdfs", 'password: "Zürich#kX9vQ2!mZ7"', 'passphrase: "correct horse battery staple xkq"', "password:\tkX9vQ2!mZ7pp", "login:\n  kX9#vQ2!mZ7", "api-key: kX9#vQ2!mZ7", "password）：kX9#vQ2!mZ7", "passcode is “kX9#vQ2!mZ7”.", 'pwd = "say \\" qzjxkvwp"', "credentials: wörterbuchfremdesxq", "mytoken=qzjxkvwpyhgt"]
+
+
+@pytest.mark.parametrize("copies", [1, 5, 8, 50, 600])
+def test_repeated_secrets_stay_secrets(spark, copies):
+    """However many documents hold a value, the corpus makes no word of it, and masking leaves none of it."""
+    texts = [f"Document {k}. {t} then more" for t in LOST for k in range(copies)]
+    df = docs_of(spark, texts)
+    assert not {"qzjxkvwpyhgtrnmcbdfs", "zürich", "staple", "qzjxkvwpyhgt", "wörterbuchfremdesxq"} & set(secrets.word_counts(df))
+    for r in secrets.redact(df).collect():
+        assert "[SECRET]" in r.text and not re.search("qzjx|kX9|Zürich|horse|staple|wörter", r.text), r.text
+
+
+def test_words_beyond_ascii_are_words(spark):
+    texts = [f"Die Überraschungsparty {k} ist schön" for k in range(6)] + ["Das token: Überraschungsparty bleibt", "token：请联系管理员获取新的口令信息"]
+    df = docs_of(spark, texts)
+    assert "überraschungsparty" in secrets.word_counts(df)
+    assert all(r.found == [] for r in secrets.secret_spans(df).collect())
+
+
 def test_guess_cost_is_the_cheapest_segmentation():
     assert secrets.guess_cost("password") < 1 < secrets.guess_cost("zkqvjxbw")
     assert secrets.guess_cost("2019-04-17") < 5 and secrets.guess_cost("aaaaaaaaaa") < 3 and secrets.guess_cost("qwertyuiop") < 4
