@@ -10,8 +10,9 @@ their number follows from the recall wanted for windows at the largest distance.
 distance of the item to the best part of the document around the window must be at most (1 - similarity) of the item's
 length.
 
-The items are broadcast to the tasks, in groups of bounded size (`GROUP_SYMBOLS`), one pass over the documents each and one
-group at a time; of an item's sequences only the sampled positions are kept. No document is shuffled. Symbols are compared
+The items' texts are broadcast in groups whose search tables take at most GROUP_BYTES in a task, one pass over the documents
+each and one group at a time; tasks build the tables. Of an item's sequences only the sampled positions are kept, and
+positions once a length. No document is shuffled to be judged. Symbols are compared
 as they are; one byte of each is enough to search by. Null and empty texts match nothing. Items so short that no edit is allowed (under 10 symbols at 0.9)
 are found where they stand as whole words. Repeated rows are reported each, as are repeated item_ids and items that
 are equal after folding. Empty tables give no rows.
@@ -20,6 +21,7 @@ are equal after folding. Empty tables give no rows.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import lru_cache, reduce
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import id_text, stored, texts
+from photonlake.llm.common import id_text, stored, texts, unused
 
 SIMILARITY = 0.9
 RECALL = 0.95
@@ -41,12 +43,14 @@ WALKS = 3
 #: Share of equal positions of two embedded strings at the largest distance, as measured (see tests).
 AGREEMENT = 0.42
 SEEDS = 1 << 16
-GROUP_SYMBOLS = 8_000_000
+#: Bytes of a group of items in a task: about ITEM_BYTES an item (its samples of all walks) and SYMBOL_BYTES a symbol.
+GROUP_BYTES = 128 << 20
+ITEM_BYTES, SYMBOL_BYTES = 1_500, 40
 CHUNK = 1 << 21
 #: Bytes of embedded sequences at a time.
 SEQUENCES = 1 << 25
 CACHED = 1 << 15
-WINDOWS = 1 << 14
+WINDOWS = STEPS = 1 << 13
 PAD = 255
 
 
@@ -138,7 +142,7 @@ def embedded_samples(flat: np.ndarray, start: np.ndarray, length: np.ndarray, mo
 
 def sampled_steps(length: int, tables: int, seed: int = 23) -> np.ndarray:
     """tables x BITS of the 2 * length steps, in which the walk on average reads the whole string."""
-    return np.random.default_rng(seed + length).integers(0, 2 * length, (tables, BITS))
+    return np.random.default_rng(seed + length).integers(0, 2 * length, (tables, BITS), np.int32)
 
 
 def tables_for(recall: float, agreement: float = AGREEMENT, bits: int = BITS) -> int:
@@ -184,11 +188,15 @@ class Items:
         tables = tables_for(recall)  # for each walk, since walks drift together
         self.longest = int(self.lengths.max(initial=1))
         self.moves = [walk_bits(2 * self.longest, seed) for seed in range(WALKS)]
-        drawn = {n: sampled_steps(n, tables) for n in set(self.lengths.tolist())}
-        self.steps = np.stack([drawn[n] for n in self.lengths.tolist()])
+        known, self.kind = np.unique(self.lengths, return_inverse=True)
+        self.steps = np.stack([sampled_steps(n, tables) for n in known.tolist()])  # of each length
         flat = np.concatenate([x for own in arrays for x in (own, np.full(2 * len(own), PAD, np.uint8))])
         start = 3 * (np.cumsum(self.lengths) - self.lengths)
-        self.codes = [embedded_samples(flat, start, self.lengths, moves, self.steps, SEQUENCES) for moves in self.moves]
+        self.codes = [np.empty((len(arrays), tables, BITS), np.uint8) for _ in self.moves]
+        for k in range(0, len(arrays), STEPS):
+            own = slice(k, k + STEPS)
+            for moves, codes in zip(self.moves, self.codes, strict=True):
+                codes[own] = embedded_samples(flat, start[own], self.lengths[own], moves, self.steps[self.kind[own]], SEQUENCES)
         # edits + 1 pieces of each item: one of them stands unedited in every match
         self.flat = np.concatenate([*arrays, np.full(16, PAD, np.uint8)])
         self.begin = np.cumsum(self.lengths) - self.lengths
@@ -259,7 +267,7 @@ class Items:
         for k in range(0, len(item), WINDOWS):
             own = item[k : k + WINDOWS]
             for moves, codes in zip(self.moves, self.codes, strict=True):
-                code = embedded_samples(text, start[k : k + WINDOWS], self.lengths[own], moves, self.steps[own], SEQUENCES)
+                code = embedded_samples(text, start[k : k + WINDOWS], self.lengths[own], moves, self.steps[self.kind[own]], SEQUENCES)
                 near[k : k + WINDOWS] |= (code == codes[own]).all(2).any(1)
         item, document, start = item[near], document[near], start[near] - margin
         last = np.r_[first[1:], len(flat)]
@@ -276,21 +284,39 @@ class Items:
         return [(d, i, distance, end - int(first[d])) for (d, i), (distance, end) in best.items()]
 
 
-def item_groups(items: DataFrame, similarity: float, recall: float, bound: int = GROUP_SYMBOLS):
-    """The items in groups of at most `bound` symbols, read in a stream; the driver holds one group at a time."""
-    ids, folded, size = [], [], 0
+def item_groups(items: DataFrame, bound: int = GROUP_BYTES) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of the items in groups of at most about `bound` bytes of search tables, read in a stream: the driver holds the
+    texts of one group at a time."""
+    ids, held, size = [], [], 0
     for r in items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").toLocalIterator():
-        f = fold(r["text"])
-        if not len(f[0]):
+        if not any(map(str.isalnum, r["text"])):
             continue
-        if size + len(f[0]) > bound and ids:
-            yield Items(ids, folded, similarity, recall)
-            ids, folded, size = [], [], 0
+        own = ITEM_BYTES + SYMBOL_BYTES * len(r["text"])
+        if size + own > bound and ids:
+            yield ids, held
+            ids, held, size = [], [], 0
         ids.append(r["item_id"])
-        folded.append(f)
-        size += len(f[0])
+        held.append(r["text"])
+        size += own
     if ids:
-        yield Items(ids, folded, similarity, recall)
+        yield ids, held
+
+
+_BUILT: dict[str, Items] = {}
+
+
+def _shared_items(docs: DataFrame, group: tuple[list[int], list[str]], similarity: float, recall: float):
+    """The broadcast texts of a group, and what gives a task its search tables: built once by each worker, one group at a time."""
+    name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(group)
+
+    def get() -> Items:
+        if name not in _BUILT:
+            _BUILT.clear()
+            ids, texts_ = shared.value
+            _BUILT[name] = Items(ids, [fold(t) for t in texts_], similarity, recall)
+        return _BUILT[name]
+
+    return shared, get
 
 
 def found_in(group: Items, texts_: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
@@ -307,21 +333,20 @@ def found_in(group: Items, texts_: list[str | None]) -> Iterator[tuple[int, int,
             at, folded, size = k + 1, [], 0
 
 
-def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, bound: int = GROUP_SYMBOLS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, bound: int = GROUP_BYTES) -> DataFrame:
     """doc_id, item_id, distance, similarity and end_symbol (where the match ends in the folded text) of every document
     and item that are found together."""
-    spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance int, similarity double, end_symbol long"
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64())
     rows, parts, last = id_text(docs).filter("text is not null"), [], None
-    for group in item_groups(items, similarity, recall, bound):
+    for group in item_groups(items, bound):
         if last is not None:  # one group's broadcast at a time: the part before is written first
             parts[-1] = stored(parts[-1], "matches")
             last.destroy()
-        shared = last = spark.sparkContext.broadcast(group)
+        last, get = _shared_items(docs, group, similarity, recall)
 
-        def find(batches, shared=shared):
-            group = shared.value
+        def find(batches, get=get):
+            group = get()
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 found = [(ids[d], group.ids[i], n, 1 - n / len(group.folded[i]), e) for d, i, n, e in found_in(group, texts(batch))]
@@ -330,24 +355,37 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "distance", "similarity", "end_symbol"])
 
         parts.append(rows.mapInArrow(find, schema))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
-def _holder(shared):
-    """Whether a text holds an item of a broadcast group."""
+def _holder(get):
+    """Whether a text holds an item of a group."""
 
     @F.pandas_udf("boolean")
     def holds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for col in parts:
             bad = np.zeros(len(col), bool)
-            bad[[d for d, _, _, _ in found_in(shared.value, col.tolist())]] = True
+            bad[[d for d, _, _, _ in found_in(get(), col.tolist())]] = True
             yield pd.Series(bad)
 
     return holds
 
 
-def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """`docs` without the rows whose text holds an item; columns stay. The text is judged beside its row: no shuffle."""
-    for group in item_groups(items, similarity, recall):
-        docs = docs.filter(~_holder(docs.sparkSession.sparkContext.broadcast(group))(F.col("text").cast("string")))
-    return docs
+def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, bound: int = GROUP_BYTES) -> DataFrame:
+    """`docs` without the rows whose text holds an item; columns stay. With one group of items the text is judged beside its row
+    and nothing is shuffled. With more, each group's finds (two hashes of a text) are written before the next group is
+    looked for, and in the end the texts meet the list of them."""
+    text = F.col("text").cast("string")
+    found, last = [], None
+    for group in item_groups(items, bound):
+        if last is not None:
+            found[-1] = stored(found[-1], "found")
+            last[0].destroy()
+        last = _shared_items(docs, group, similarity, recall)
+        found.append(docs.filter(_holder(last[1])(text)).select(F.xxhash64(text).alias("a"), F.md5(text).alias("b")))
+    if len(found) < 2:
+        return docs.filter(~_holder(last[1])(text)) if found else docs
+    gone = stored(reduce(DataFrame.unionByName, found).distinct(), "found")
+    a, b = unused(docs, "a"), unused(docs, "b")
+    keyed = docs.withColumns({a: F.xxhash64(text), b: F.coalesce(F.md5(text), F.lit(""))})
+    return keyed.join(gone.select(F.col("a").alias(a), F.col("b").alias(b)), [a, b], "left_anti").select(*docs.columns)

@@ -35,6 +35,9 @@ BLOCK = 4096
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 5
 GROUPED = 200_000
+#: Pairs that are compared at once; members of a sample beyond which it is cut into blocks that meet two by two.
+PAIRS = 1 << 19
+CROWD = 4096
 SALTS = np.random.default_rng(3).integers(1, 1 << 63, 4, np.uint64)
 TIMES = np.random.default_rng(4).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 PLUS = np.random.default_rng(5).integers(0, 1 << 32, BANDS * ROWS, np.uint32)
@@ -247,26 +250,31 @@ def apart(fp: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 def group_links(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Links that join exactly the members within `most` bits of each other, directly or over others. Members near a leader
-    are one cluster; clusters are compared member by member until a link joins them."""
-    left, clusters, out = np.arange(len(fp)), [], []
+    are one cluster; leaders are further apart, so only the other members are compared with all, some rows at a time, and
+    join clusters."""
+    n, left = len(fp), np.arange(len(fp))
+    name, out = np.arange(n), []
     while len(left):
         near = apart(fp[left], fp[left[0]]) <= most
         own = left[near]
+        name[own] = own[0]
         out += [(int(own[0]), x) for x in own[1:].tolist()]
-        clusters.append(own)
         left = left[~near]
-    name = list(range(len(clusters)))
-    for j in range(len(clusters)):
-        for i in range(j):
-            if name[i] == name[j]:
-                continue
-            for x in clusters[j].tolist():
-                at = (apart(fp[clusters[i]], fp[x]) <= most).nonzero()[0]
-                if len(at):
-                    out.append((int(clusters[i][at[0]]), x))
-                    old, new = name[j], name[i]
-                    name = [new if c == old else c for c in name]
-                    break
+    led = np.flatnonzero(name != np.arange(n))
+    rows = max(1, PAIRS // max(1, n))
+    for at in range(0, len(led), rows):
+        if not (name != name[0]).any():
+            break
+        own = led[at : at + rows]
+        near = apart(fp[own][:, None], fp[None]) <= most
+        for x, found in zip(own.tolist(), near, strict=True):
+            others = found.nonzero()[0]
+            others = others[name[others] != name[x]]
+            while len(others):
+                y = int(others[0])
+                out.append((y, x))
+                name[name == name[y]] = name[x]
+                others = others[name[others] != name[x]]
     return out
 
 
@@ -279,37 +287,105 @@ def runs_of(keys: np.ndarray) -> list[np.ndarray]:
     return [order[a:b] for a, b in zip(begin[many].tolist(), end[many].tolist(), strict=True)]
 
 
-def sample_links(classes: DataFrame, most: int) -> DataFrame:
+DEALT = "bucket int, block int, other int, keys binary, ids binary, fps binary"
+
+
+def _packed(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, n: int, block: np.ndarray | None = None, other: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row a bucket (of n, by key) and pair of blocks."""
+    bucket = (keys % np.uint64(n)).astype(np.int32)
+    block, other = (np.zeros(len(keys), np.int32) if x is None else x for x in (block, other))
+    order = np.lexsort((other, block, bucket))
+    new = (np.diff(bucket[order]) != 0) | (np.diff(block[order]) != 0) | (np.diff(other[order]) != 0)
+    groups = np.split(order, np.flatnonzero(new) + 1) if len(order) else []
+    return pa.record_batch([*(pa.array([int(x[g[0]]) for g in groups], pa.int32()) for x in (bucket, block, other)), *(pa.array([x[g].tobytes() for g in groups], pa.binary()) for x in (keys, ids, fps))], ["bucket", "block", "other", "keys", "ids", "fps"])
+
+
+def _unpacked(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    join = lambda name, kind: np.frombuffer(b"".join(batch.column(name).to_pylist()), kind)
+    return join("keys", np.uint64), join("ids", np.int64), join("fps", np.uint64).reshape(-1, 4)
+
+
+def sample_links(classes: DataFrame, most: int, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) between distinct fingerprints that share a sample and lie within `most` bits. Before the shuffle, a batch
-    links what lies within a quarter of that of the first member it has of a sample, and sends only the others."""
+    links what lies within a quarter of that of the first member it has of a sample, and sends only the others. A sample
+    with over `crowd` members left is cut into blocks by id, and every two blocks meet in a task of their own."""
     n = max(8, classes.count() * BANDS // GROUPED)
 
+    def near_first(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sent, pairs = np.ones(len(keys), bool), [np.zeros((0, 2), np.int64)]
+        for own in runs_of(keys):
+            near = apart(fps[at[own]], fps[at[own[0]]]) <= most // 4
+            near[0] = False
+            sent[own[near]] = False
+            pairs.append(np.stack([np.full(int(near.sum()), ids[at[own[0]]]), ids[at[own[near]]]], 1))
+        return sent, np.unique(np.concatenate(pairs), axis=0)
+
     def deal(batches):
         for b in batches:
             ids, fps = b.column("id").to_numpy(), np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint64).reshape(-1, 4)
-            keys = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.uint64)
-            at, sent, one, two = np.repeat(np.arange(len(ids)), BANDS), np.ones(len(keys), bool), [], []
-            for own in runs_of(keys):
-                near = apart(fps[at[own]], fps[at[own[0]]]) <= most // 4
-                near[0] = False
-                sent[own[near]] = False
-                one += [ids[at[own[0]]]] * int(near.sum())
-                two += ids[at[own[near]]].tolist()
+            keys, at = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.uint64), np.repeat(np.arange(len(ids)), BANDS)
+            sent, pairs = near_first(keys, ids, fps, at)
             k = sent.nonzero()[0]
-            buckets = (keys[k] % np.uint64(n)).astype(np.int32)
-            order = np.argsort(buckets, kind="stable")
-            groups = np.split(k[order], np.flatnonzero(np.diff(buckets[order])) + 1) if len(k) else []
-            pairs = np.array([one, two], np.int64).reshape(2, -1)
-            yield pa.record_batch([pa.array([int(keys[g[0]] % np.uint64(n)) for g in groups] + [0], pa.int32()), *(pa.array([x.tobytes() for x in columns] + [last], pa.binary()) for columns, last in (([keys[g] for g in groups], b""), ([ids[at[g]] for g in groups], b""), ([fps[at[g]] for g in groups], b""), ([pairs[:, :0]] * len(groups), pairs.T.tobytes())))], ["bucket", "keys", "ids", "fps", "pairs"])
+            yield _packed(keys[k], ids[at[k]], fps[at[k]], n)
+            if len(pairs):  # links already: a row without keys
+                yield pa.record_batch([pa.array([-1], pa.int32()), *(pa.array([0], pa.int32()) for _ in range(2)), pa.array([b""], pa.binary()), pa.array([pairs.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["bucket", "block", "other", "keys", "ids", "fps"])
+
+    dealt = stored(classes.select("id", "fp", "keys").mapInArrow(deal, DEALT), "samples")
+
+    def paired(batches):
+        for b in batches:
+            for ids in b.column("ids").to_pylist():
+                pairs = np.frombuffer(ids, np.int64).reshape(-1, 2)
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def counted(batches):
+        for b in batches:
+            keys, c = np.unique(_unpacked(b)[0], return_counts=True)
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(c)], ["key", "n"])
 
     def link(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        ids, fps, old = join("ids", np.int64), join("fps", np.uint64).reshape(-1, 4), join("pairs", np.int64).reshape(-1, 2)
-        found = [(ids[own[a]], ids[own[b]]) for own in runs_of(join("keys", np.uint64)) for a, b in group_links(fps[own], most)]
-        new = np.unique(np.r_[old, np.array(found, np.int64).reshape(-1, 2)], axis=0)
+        keys, ids, fps = _unpacked(table)
+        found = [(ids[own[a]], ids[own[b]]) for own in runs_of(keys) for a, b in group_links(fps[own], most)]
+        new = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
         return pa.table([pa.array(new[:, 0]), pa.array(new[:, 1])], ["a", "b"])
 
-    return classes.select("id", "fp", "keys").mapInArrow(deal, "bucket int, keys binary, ids binary, fps binary, pairs binary").groupBy("bucket").applyInArrow(link, "a long, b long")
+    links = dealt.filter("bucket < 0").mapInArrow(paired, "a long, b long")
+    dealt = dealt.filter("bucket >= 0")
+    crowded = dealt.select("keys", "ids", "fps").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > crowd)
+    crowded = stored(crowded.select("key", F.ceil(F.col("n") / crowd).cast("int").alias("blocks")), "crowded")
+    if not crowded.isEmpty():
+        dealt = blocks_of(dealt, crowded, n)
+    return links.unionByName(dealt.groupBy("bucket", "block", "other").applyInArrow(link, "a long, b long"))
+
+
+def blocks_of(dealt: DataFrame, crowded: DataFrame, n: int) -> DataFrame:
+    """DEALT rows in which the members of a crowded key (with its number of `blocks`) stand in a row for each pair that their own
+    block is in; the others stand where they were. Rows are split before they are grouped, so no task sees a whole crowd."""
+
+    def rows(batches):
+        for b in batches:
+            keys, ids, fps = _unpacked(b)
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(ids), pa.array([f.tobytes() for f in fps], pa.binary())], ["key", "id", "fp"])
+
+    def deal(batches):
+        for b in batches:
+            keys, ids, fps = b.column("key").to_numpy().view(np.uint64), b.column("id").to_numpy(), np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint64).reshape(-1, 4)
+            blocks = b.column("blocks").fill_null(1).to_numpy().astype(np.int64)
+            own = (mixed(ids.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+            at = np.repeat(np.arange(len(ids)), blocks)
+            met = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            for k in range(0, len(at), 1 << 16):
+                p, m = at[k : k + (1 << 16)], met[k : k + (1 << 16)]
+                yield _packed(keys[p], ids[p], fps[p], n, np.minimum(own[p], m).astype(np.int32), np.maximum(own[p], m).astype(np.int32))
+
+    each = dealt.select("keys", "ids", "fps").mapInArrow(rows, "key long, id long, fp binary").join(crowded, "key", "left")
+    return each.select("key", "id", "fp", "blocks").mapInArrow(deal, DEALT)
+
+
+def same_links(classes: DataFrame) -> DataFrame:
+    """Links between classes of one fingerprint with different samples."""
+    least = classes.groupBy("fp").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select(F.col("fp").alias("_fp"), "a")
+    return classes.join(least, F.col("fp") == F.col("_fp")).filter("id <> a").select("a", F.col("id").alias("b"))
 
 
 def tree_links(classes: DataFrame) -> DataFrame:
@@ -323,10 +399,10 @@ def repeated(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame
     """(doc_id, row) of what goes: all but the smallest of each component of near duplicates; and of what stays, but stands on
     several equal rows."""
     rows = stored(sketches(docs), "sketches")
-    first = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("keys").alias("keys"))
+    first = rows.groupBy("fp", "keys").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     classes = stored(first.withColumn("id", F.monotonically_increasing_id()), "classes")
     most = farthest(similarity)
-    roots = components(sample_links(classes, most).unionByName(tree_links(classes)))
+    roots = components(sample_links(classes, most).unionByName(tree_links(classes)).unionByName(same_links(classes)))
     joined = classes.select("id", "least").join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     kept = joined.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.row")
     kept = stored(kept, "kept")

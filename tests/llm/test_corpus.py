@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -37,6 +38,55 @@ def prose():
     return [*base, *near, *mixed, None, "", " \n\t ", "a " * 500, "ü" * 300, say(6000), "x", "naïve　ꙮ \U0001f600 wörd"]
 
 
+def test_crowded_samples_are_compared_in_blocks(spark):
+    """One sample that all share: cut into blocks, and with members of one fingerprint but other samples, links join what they
+    join in one piece."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (60, 4)).astype(np.uint64)
+    fps = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, (60, 4)).astype(np.uint64)) * (rng.random((60, 4)) < 0.6) for _ in range(5)])
+    keys = np.full((len(fps), simhash.BANDS), 7, np.uint64)
+    keys[:, 1:] = rng.integers(0, 1 << 60, (len(fps), simhash.BANDS - 1))
+    classes = spark.createDataFrame([(k, bytearray(f.tobytes()), bytearray(w.tobytes())) for k, (f, w) in enumerate(zip(fps, keys, strict=True))], "id long, fp binary, keys binary").repartition(3)
+    want = {}
+    for most in (2, 6, 120):
+        near = simhash.apart(fps[:, None], fps[None]) <= most
+        name = list(range(len(fps)))
+        for a, b in zip(*near.nonzero(), strict=True):
+            if name[a] != name[b]:
+                old, new = name[a], name[b]
+                name = [new if x == old else x for x in name]
+        want = {frozenset(k for k, x in enumerate(name) if x == y) for y in name}
+        for crowd in (10**6, 40):
+            roots = list(range(len(fps)))
+            for r in simhash.sample_links(classes, most, crowd).collect():
+                old, new = roots[r.a], roots[r.b]
+                roots = [new if x == old else x for x in roots]
+                assert near[r.a, r.b]
+            assert {frozenset(k for k, x in enumerate(roots) if x == y) for y in roots} == want, (most, crowd)
+
+
+def test_a_crowd_takes_seconds():
+    """2000 members far apart took half a minute."""
+    fps = np.random.default_rng(1).integers(0, 1 << 63, (4000, 4)).astype(np.uint64)
+    began = time.time()
+    assert simhash.group_links(fps, 40) == [] and time.time() - began < 20
+
+
+def test_many_short_items_are_bounded_in_bytes(spark):
+    """Groups follow the bytes of their tables, and several groups clean like one."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnop") for _ in range(12)) for _ in range(3000)]
+    items = spark.createDataFrame(list(enumerate([*texts, None, "", "--"])), "item_id long, text string")
+    groups = list(decontaminate.item_groups(items, 1 << 20))
+    assert sum(len(ids) for ids, _ in groups) == 3000 and len(groups) > 4
+    built = decontaminate.Items(groups[0][0], [decontaminate.fold(t) for t in groups[0][1]], 0.9, 0.95)
+    held = sum(x.nbytes for x in (*built.codes, built.steps, built.flat, built.cuts, built.kind, built.lengths)) + sum(sum(p.nbytes for p in t[2:]) for t in built.tables.values())
+    assert held < 1 << 20
+    docs = docs_of(spark, [f"one {texts[5]} two", f"three {texts[2999]}", "clean", None, "", f"four {texts[7][:6]}z{texts[7][6:]} five"])
+    for bound in (1 << 20, 1 << 28):
+        assert sorted(r.doc_id for r in decontaminate.clean(docs, items, bound=bound).collect()) == [2, 3, 4]
+
+
 def test_token_counts(spark, prose):
     path = vocabulary_path("word_bpe_49k.json")
     back = token_count.byte_symbols()
@@ -670,7 +720,7 @@ def test_decontamination_against_all_pairs(spark):
             if n <= int(0.1 * len(f) + 1e-9):
                 want[d, i] = n
     docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    for bound in (decontaminate.GROUP_SYMBOLS, 700):
+    for bound in (decontaminate.GROUP_BYTES, 30_000):
         got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(docs, table, bound=bound).collect()}
         assert set(got) <= set(want) and all(n == want[k] for k, n in got.items())
         for kind in ("same", "spread", "random"):
