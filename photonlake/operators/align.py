@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.functions.scan import bucketed, running
+from photonlake.functions.scan import bucketed, null_safe, running
 
 
 def _together(left: DataFrame, right: DataFrame, value: str, buckets: int | None) -> DataFrame:
@@ -40,12 +40,33 @@ def asof_nearest(left: DataFrame, right: DataFrame, value: str, tolerance_us: in
     return df.withColumns({value: F.coalesce(chosen, default) if default is not None else chosen, "value_t": F.when(ok, F.col("_n.t"))}).drop("_b", "_f", "_n")
 
 
-def interval_match(a: DataFrame, b: DataFrame, width_us: int) -> DataFrame:
-    """All pairs of one stream at most `width_us` apart: an equality join on time cells, b's rows in three cells each."""
+#: Rows of the left side that one task matches.
+DENSE = 100_000
+
+
+def interval_match(a: DataFrame, b: DataFrame, width_us: int, dense: int = DENSE) -> DataFrame:
+    """All pairs of one stream at most `width_us` apart: an equality join on time cells, b's rows in three cells each.
+
+    A cell with over `dense` rows of `a`, a burst, is cut into parts of about that many, by time and then by seq: an approximate
+    quantile sketch of the cell gives the cuts. b's rows go to the parts whose times they can reach, so a burst runs in many tasks
+    and pairs stay what they are."""
     left = a.select("stream", F.col("seq").alias("a_seq"), F.col("t").alias("a_t"), F.floor(F.col("t") / width_us).alias("_c"))
     cells = F.explode(F.array(*(F.floor(F.col("t") / width_us) + k for k in (-1, 0, 1))))
     right = b.select("stream", F.col("seq").alias("b_seq"), F.col("t").alias("b_t"), cells.alias("_c"))
-    return left.join(right, ["stream", "_c"]).filter(F.abs(F.col("a_t") - F.col("b_t")) <= width_us).select("stream", "a_seq", "b_seq", "a_t", "b_t")
+    crowded = left.groupBy("stream", "_c").agg(F.count("*").alias("_n")).filter(F.col("_n") > dense)
+    near = lambda both: both.filter(F.abs(F.col("a_t") - F.col("b_t")) <= width_us).select("stream", "a_seq", "b_seq", "a_t", "b_t")
+    if crowded.isEmpty():
+        return near(null_safe(left, right, ["stream", "_c"]))
+    # a row's part: how many cuts lie at or below its time; rows of a part are dealt by seq
+    cuts = null_safe(left, crowded, ["stream", "_c"]).groupBy("stream", "_c").agg(F.percentile_approx("a_t", [k / 16 for k in range(1, 16)], 1000).alias("_cuts"), F.first("_n").alias("_n"))
+    cuts = cuts.withColumns({"_deal": F.greatest(F.lit(1), F.ceil(F.col("_n") / 16 / dense)).cast("int"), "_cuts": F.array_distinct("_cuts")})
+    below = lambda t: F.size(F.filter("_cuts", lambda c: c <= t))
+    left = null_safe(left, cuts, ["stream", "_c"], "left")
+    left = left.withColumns({"_part": F.coalesce(below(F.col("a_t")), F.lit(0)), "_dealt": F.coalesce(F.pmod(F.xxhash64("a_seq"), F.col("_deal")).cast("int"), F.lit(0))}).drop("_cuts", "_deal", "_n")
+    right = null_safe(right, cuts, ["stream", "_c"], "left")
+    reach = F.sequence(below(F.col("b_t") - width_us), below(F.col("b_t") + width_us))
+    right = right.withColumn("_part", F.explode(F.coalesce(reach, F.array(F.lit(0))))).withColumn("_dealt", F.explode(F.coalesce(F.sequence(F.lit(0), F.col("_deal") - 1), F.array(F.lit(0))))).drop("_cuts", "_deal", "_n")
+    return near(null_safe(left, right, ["stream", "_c", "_part", "_dealt"]))
 
 
 def valid_ranges(ranges: DataFrame) -> DataFrame:

@@ -2,32 +2,81 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from photonlake.functions.shared import spread
+
 
+#: A tile's side in pixels, and the length of a line of a tile with its border.
+TILE = 32
+STRIDE = TILE + 2
 CELLS = 64
+ROWS = 250_000
+NEVER = np.iinfo(np.int64).min
+
+
+def with_halo(events: DataFrame) -> DataFrame:
+    """Events with the tile (_tx, _ty) they lie in (`_own`), and copies of those at its border for the tiles that they touch:
+    about 4 of TILE events, with a tile's corner thrice. Events without a place or time go."""
+    tile = lambda c, d: F.floor((F.col(c) + d) / TILE)
+    near = F.array_distinct(F.array(*(F.struct(tile("x", dx).alias("x"), tile("y", dy).alias("y")) for dx in (0, -1, 1) for dy in (0, -1, 1))))
+    df = events.filter("x is not null and y is not null and t is not null").withColumn("_n", F.explode(near)).withColumns({"_tx": F.col("_n.x"), "_ty": F.col("_n.y")}).drop("_n")
+    return df.withColumn("_own", (F.col("_tx") == tile("x", 0)) & (F.col("_ty") == tile("y", 0)))
+
+
+def last_support(pixel: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """For each event, in order of time, the time of the last event before it on one of its 8 neighbours, or NEVER. pixel: line *
+    STRIDE + column, so that neighbours don't wrap."""
+    n = len(pixel)
+    rank = np.arange(n)
+    key = np.sort(pixel * n + rank)
+    out = np.full(n, NEVER)
+    for step in (-STRIDE - 1, -STRIDE, -STRIDE + 1, -1, 1, STRIDE - 1, STRIDE, STRIDE + 1):
+        near = pixel + step
+        found = key[np.maximum(np.searchsorted(key, near * n + rank) - 1, 0)] if n else key
+        hit = found // max(n, 1) == near
+        hit &= found % max(n, 1) < rank
+        out[hit] = np.maximum(out[hit], t[found[hit] % n])
+    return out
 
 
 def background_activity_filter(events: DataFrame, duration_us: int = 2000) -> DataFrame:
     """Events that one of their 8 neighbours supports: it fired at most `duration_us` before, in stream order.
 
-    The published background-activity filter (Delbruck 2008): the own pixel gives no support, rejected events do. Every
-    event is sent to its neighbours as a support row; a pixel's rows are then looked through in order. Partitions are
-    pixels of a stream over CELLS durations (support from the last duration of a cell goes to the next one, too), so one
-    stream, and one stuck pixel, run in parallel. Columns stay; an empty table gives none."""
+    The published background-activity filter (Delbruck 2008): the own pixel gives no support, rejected events do. The sensor
+    is cut into tiles with a border of one pixel and time into cells of CELLS durations; events at a tile's border are copied to
+    the tiles they touch, and those of a cell's last duration to the next cell, so about 1.15 rows an event are shuffled. Tiles
+    and cells are dealt to tasks by a hash, so one stream, and one stuck pixel, run in parallel; a task looks for each event's last
+    supporter by searching sorted arrays. Columns stay; an empty table gives none."""
     span = CELLS * max(1, duration_us)
     cell = F.floor(F.col("t") / span)
-    base = events.withColumns({"_own": F.lit(True), "_cell": cell})
-    around = F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy))
-    cells = F.when(F.floor((F.col("t") + duration_us) / span) > cell, F.array(cell, cell + 1)).otherwise(F.array(cell))
-    support = events.select("stream", "t", "seq", F.explode(around).alias("_n"), cells.alias("_cells"))
-    support = support.select("stream", F.col("_n.x").alias("x"), F.col("_n.y").alias("y"), "t", "seq", F.explode("_cells").alias("_cell"), F.lit(False).alias("_own"))
-    before = Window.partitionBy("stream", "x", "y", "_cell").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(~F.col("_own"), F.col("t"))).over(before)
-    return base.unionByName(support, allowMissingColumns=True).withColumn("_last", last).filter(F.col("_own") & (F.col("t") - F.col("_last") <= duration_us)).select(*events.columns)
+    rows = with_halo(events).withColumn("_cell", F.explode(F.array_distinct(F.array(cell, F.floor((F.col("t") + duration_us) / span)))))
+    rows = rows.withColumn("_own", F.col("_own") & (F.col("_cell") == cell))
+    parts = max(1, math.ceil(events.count() / ROWS))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("stream", "_tx", "_ty", "_cell"), F.lit(parts)).cast("int"))
+    names = events.columns
+
+    def run(table: pa.Table) -> pa.Table:
+        number = lambda c: pc.fill_null(table.column(c).cast(pa.int64()), 0).to_numpy()
+        stream = table.column("stream").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        t, seq, tx, ty, cells = (number(c) for c in ("t", "seq", "_tx", "_ty", "_cell"))
+        order = np.lexsort((seq, t, cells, ty, tx, stream))  # each group's events together, in stream order
+        groups = np.stack([stream, tx, ty, cells])[:, order]
+        group = np.cumsum(np.r_[False, (groups[:, 1:] != groups[:, :-1]).any(0)]) if len(order) else order
+        lx, ly = (number("x") - tx * TILE + 1)[order], (number("y") - ty * TILE + 1)[order]
+        last = last_support((group * STRIDE + ly) * STRIDE + lx, t[order])
+        own = table.column("_own").to_numpy()[order]
+        keep = own & (last > NEVER) & (t[order] - np.maximum(last, t[order] - duration_us - 1) <= duration_us)
+        return table.take(pa.array(order[keep])).select(names)
+
+    return spread(dealt, "_part").groupBy("_part").applyInArrow(run, events.schema)
 
 
 def clip_coords(events: DataFrame, width: int, height: int) -> DataFrame:
@@ -97,12 +146,11 @@ def ray_through(x0: np.ndarray, y0: np.ndarray, d: tuple[float, ...], fisheye: b
     return np.where(ok, x, np.nan), np.where(ok, y, np.nan)
 
 
-def pixel_rays(calibration: DataFrame, tasks: int = 64) -> DataFrame:
-    """camera, v, u, rx, ry: for each sensor pixel the point at depth 1 that the lens shows there; null where it shows none,
-    beyond the turning point of its formula. Missing coefficients are 0. The inversion is an iteration over whole columns of
-    pixels (NumPy in a Pandas UDF): as a Column expression its tree grows beyond what the optimizer takes."""
-    lines = calibration.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).repartition(tasks, "camera", "v")
-    grid = lines.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+def rays_at(points: DataFrame) -> DataFrame:
+    """Image points (u, v, whole or not, with k, d and `fisheye` of their lens) with rx, ry: the point at depth 1 that the lens
+    shows there; null where it shows none, beyond the turning point of its formula. Missing coefficients are 0. The
+    inversion is an iteration over whole columns of points (NumPy in a Pandas UDF): as a Column expression its tree grows
+    beyond what the optimizer takes."""
     d = [F.coalesce(F.get("d", F.lit(k)).cast("double"), F.lit(0.0)) for k in range(5)]
     x0, y0 = (F.col("u") - F.element_at("k", 3)) / F.element_at("k", 1), (F.col("v") - F.element_at("k", 6)) / F.element_at("k", 5)
 
@@ -116,9 +164,15 @@ def pixel_rays(calibration: DataFrame, tasks: int = 64) -> DataFrame:
         return pd.DataFrame({"rx": out[:, 0], "ry": out[:, 1]})
 
     lens = F.array(*d, F.coalesce(F.col("fisheye"), F.lit(False)).cast("double"))
-    df = grid.withColumn("_p", rays(x0, y0, lens))
-    known = lambda c: F.when(~F.isnan(f"_p.{c}"), F.col(f"_p.{c}")).alias(c)
-    return df.select("camera", "v", "u", known("rx"), known("ry"), "k", "width", "height")
+    known = lambda c: F.when(~F.isnan(f"_p.{c}"), F.col(f"_p.{c}"))
+    return points.withColumn("_p", rays(x0, y0, lens)).withColumns({"rx": known("rx"), "ry": known("ry")}).drop("_p")
+
+
+def pixel_rays(calibration: DataFrame, tasks: int = 64) -> DataFrame:
+    """camera, v, u, rx, ry of each sensor pixel (see `rays_at`)."""
+    lines = calibration.withColumn("v", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).repartition(tasks, "camera", "v")
+    grid = lines.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    return rays_at(grid).select("camera", "v", "u", "rx", "ry", "k", "width", "height")
 
 
 def rectified_intrinsics(rays: DataFrame) -> DataFrame:
@@ -168,6 +222,9 @@ def default_calibration(streams: DataFrame, calibration: DataFrame) -> DataFrame
 
 
 def upsert_calibration(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The newest version of each camera."""
-    newest = F.row_number().over(Window.partitionBy("camera").orderBy(F.desc("version_t")))
-    return old.unionByName(new).withColumn("_n", newest).filter("_n = 1").drop("_n")
+    """A camera's new calibration replaces its old one whatever their versions are; of several new (or only old) ones the newest
+    version counts, and of equal versions the greatest by the other columns, so that the result is always the same."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    rest = [F.desc(c) for c in old.columns if c not in ("camera", "version_t")]
+    newest = F.row_number().over(Window.partitionBy("camera").orderBy(F.desc("_new"), F.desc_nulls_last("version_t"), *rest))
+    return both.withColumn("_n", newest).filter("_n = 1").drop("_n", "_new")

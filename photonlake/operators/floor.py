@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photonlake.functions.scan import running
+from photonlake.functions.scan import null_safe, running
+from photonlake.functions.shared import spread
+from photonlake.operators.frames import FRAME
 
 #: The least angle at which a ray may meet the floor, scored pixels a frame, accepted fits that are kept.
 MIN_ANGLE = math.radians(8)
@@ -25,73 +31,174 @@ def floor_candidates(rays: DataFrame, gravity: DataFrame | None = None) -> DataF
     return df.withColumn("w", F.when(sees, w).otherwise(0.0)).drop("gx", "gy", "gz")
 
 
+#: Cells an octave of a histogram over values.
+CELLS = 64
+
+
+def _cell(value: Column) -> Column:
+    """A number that doesn't fall where the value grows: its logarithm in steps, NaN last."""
+    size = F.floor(F.signum(value) * F.log2(1 + F.abs(value) * (1 << 20)) * CELLS)
+    return F.when(F.isnan(value), 1 << 40).when(value == float("inf"), 1 << 39).when(value == float("-inf"), -(1 << 39)).otherwise(size)
+
+
+def percentiles_by_rank(samples: DataFrame, fractions: dict[str, float], value: str = "d") -> DataFrame:
+    """For each frame the values at index floor(fraction * (n - 1)) of its sorted sample, a column each; nothing is interpolated
+    and nothing sorted: a histogram, summed in each task before it is shuffled, shows the cell that holds a rank, and the values
+    of those cells alone are counted one by one. So a frame, of any size, is never in one task. Nulls don't count."""
+    df = samples.filter(F.col(value).isNotNull()).select(*FRAME, F.col(value).cast("double").alias("_v")).withColumn("_cell", _cell(F.col("_v")))
+    up = Window.partitionBy(*FRAME).orderBy("_cell")
+    hist = df.groupBy(*FRAME, "_cell").agg(F.count("*").alias("_c")).withColumns({"_upto": F.sum("_c").over(up), "_n": F.sum("_c").over(Window.partitionBy(*FRAME))})
+    ranks = F.array(*(F.struct(F.lit(out).alias("out"), F.floor(f * (F.col("_n") - 1)).alias("rank")) for out, f in fractions.items()))
+    held = F.filter(ranks, lambda r: (r["rank"] < F.col("_upto")) & (r["rank"] >= F.col("_upto") - F.col("_c")))
+    cells = hist.withColumn("_held", held).filter(F.size("_held") > 0).select(*FRAME, "_cell", "_held", (F.col("_upto") - F.col("_c")).alias("_before"))
+    inside = null_safe(df, cells.hint("shuffle_hash"), [*FRAME, "_cell"]).groupBy(*FRAME, "_cell", "_v").agg(F.count("*").alias("_c"), F.first("_held").alias("_held"), F.first("_before").alias("_before"))
+    inside = inside.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*FRAME, "_cell").orderBy("_v")))
+    at = lambda out: F.exists("_held", lambda r: (r["out"] == out) & (r["rank"] < F.col("_upto")) & (r["rank"] >= F.col("_upto") - F.col("_c")))
+    return inside.groupBy(*FRAME).agg(*(F.max(F.when(at(out), F.col("_v"))).alias(out) for out in fractions))
+
+
 def percentile_by_rank(samples: DataFrame, fraction: float, value: str = "d", out: str = "q") -> DataFrame:
-    """The value at index floor(fraction * (n - 1)) of each frame's sorted sample; nothing is interpolated."""
-    order = Window.partitionBy("frame_id").orderBy(value)
-    ranked = samples.withColumns({"_r": F.row_number().over(order) - 1, "_n": F.count("*").over(Window.partitionBy("frame_id"))})
-    return ranked.filter(F.col("_r") == F.floor(fraction * (F.col("_n") - 1))).select("frame_id", F.col(value).alias(out))
+    """The value at index floor(fraction * (n - 1)) of each frame's sorted sample (see `percentiles_by_rank`)."""
+    return percentiles_by_rank(samples, {out: fraction}, value)
 
 
-def pick(n, frame, k, salt: int):
-    """An index below n that depends on the frame, a number and a salt alone, so that any engine picks the same."""
-    return F.pmod(frame * 7919 + k * 104729 + salt * 15485863 + frame * k * 31, n)
+def draw(stream: int | None, frame: int, it: int, end: int, n: int) -> int:
+    """A number below n from a strong hash of what it is for, so that any engine draws the same and draws don't depend on each
+    other."""
+    return int(hashlib.md5(f"{'' if stream is None else stream}:{frame}:{it}:{end}".encode()).hexdigest()[:15], 16) % n
 
 
 def votes_for(n, frame, i, scored: int):
     """Whether pixel i of n is among about `scored`: its hash lies in the share scored / n of 32 bits."""
-    return F.pmod(i * 2654435761 + frame * 40503, F.lit(1 << 32)) * n < scored * (1 << 32)
-
-
-def _numbered(pixels: DataFrame) -> DataFrame:
-    """Floor pixels with finite disparity, numbered in each frame, and their number."""
-    ok = (F.col("w") > 0) & ~F.isnan("d") & (F.abs(F.col("d")) < float("inf"))
-    order = Window.partitionBy("frame_id").orderBy("v", "u")
-    return pixels.filter(ok).withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("frame_id"))})
+    return (i * 2654435761 + frame * 40503) % (1 << 32) * n < scored * (1 << 32)
+
+
+class Pixels(NamedTuple):
+    """A frame's floor pixels in order of (v, u)."""
+
+    stream: int | None
+    frame: int
+    w: np.ndarray
+    d: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Pixels:
+        column = lambda c: table.column(c).to_numpy()
+        order = np.lexsort((column("u"), column("v")))
+        return cls(table.column("stream")[0].as_py(), table.column("frame_id")[0].as_py(), column("w")[order], column("d")[order])
+
+    def lines(self, iterations: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """it, slope and intercept of lines through two drawn pixels each; pairs with nearly one w give none."""
+        n = len(self.w)
+        a, b = (np.array([draw(self.stream, self.frame, it, end, n) for it in range(iterations)], np.int64) for end in (1, 2))
+        it = np.flatnonzero(np.abs(self.w[b] - self.w[a]) >= 1e-3)
+        a, b = a[it], b[it]
+        slope = (self.d[b] - self.d[a]) / (self.w[b] - self.w[a])
+        return it, slope, self.d[a] - slope * self.w[a]
+
+    def best(self, it: np.ndarray, slope: np.ndarray, intercept: np.ndarray, tolerance: float, scored: int) -> tuple[float, float, float] | None:
+        """slope, intercept and share of inliers of the line with most inliers less pixels clearly below it, the first of equals.
+        About `scored` pixels vote, spread over the whole frame (all, if there are no more)."""
+        if not len(it):
+            return None
+        voting = votes_for(len(self.w), self.frame, np.arange(len(self.w), dtype=np.int64), scored)
+        w, d = self.w[voting], self.d[voting]
+        r = slope[:, None] * w + intercept[:, None] - d  # lines x scored pixels at most
+        inliers = np.count_nonzero(np.abs(r) < tolerance, 1)
+        score = inliers - np.count_nonzero(r >= tolerance, 1)
+        k = np.lexsort((it, -score))[0]
+        return float(slope[k]), float(intercept[k]), float(inliers[k] / max(1, len(w)))
+
+    def tolerance(self, relative: float) -> float:
+        """relative * (98th - 2nd percentile by rank)."""
+        ranks = [math.floor(f * (len(self.d) - 1)) for f in (0.98, 0.02)]
+        hi, lo = np.partition(self.d, sorted(set(ranks)))[ranks]
+        return relative * max(hi - lo, 1e-6)
+
+    def refined(self, slope: float, intercept: float, tolerance: float) -> tuple[float, float, int] | None:
+        """Least squares over all inliers."""
+        near = np.abs(slope * self.w + intercept - self.d) < tolerance
+        w, d = self.w[near], self.d[near]
+        if len(w) < 2:
+            return None
+        x, y = w - w.mean(), d - d.mean()
+        spread = float(x @ x)
+        if not spread:
+            return None
+        new = float(x @ y) / spread
+        return new, float(d.mean() - new * w.mean()), len(w)
+
+
+def _candidates(pixels: DataFrame) -> DataFrame:
+    """Floor pixels with finite disparity."""
+    return pixels.filter((F.col("w") > 0) & ~F.isnan("d") & (F.abs(F.col("d")) < float("inf")))
+
+
+def _values(**columns: list) -> pa.Table:
+    return pa.table({k: pa.array(v, {"stream": pa.int64(), "frame_id": pa.int64(), "it": pa.int32(), "inliers": pa.int64(), "t": pa.int64()}.get(k, pa.float64())) for k, v in columns.items()})
 
 
 def tolerances(candidates: DataFrame, relative: float) -> DataFrame:
     """relative * (98th - 2nd percentile by rank) of each frame."""
-    hi, lo = percentile_by_rank(candidates, 0.98, out="hi"), percentile_by_rank(candidates, 0.02, out="lo")
-    return hi.join(lo, "frame_id").select("frame_id", (relative * F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6))).alias("tolerance"))
+    df = percentiles_by_rank(candidates, {"hi": 0.98, "lo": 0.02})
+    return df.select(*FRAME, (relative * F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6))).alias("tolerance"))
 
 
 def hypotheses(candidates: DataFrame, iterations: int) -> DataFrame:
-    """frame_id, it, slope, intercept of lines through two picked pixels; pairs with nearly one w give none."""
-    frames = candidates.groupBy("frame_id").agg(F.first("n").alias("n")).withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    pairs = frames.withColumns({"a": pick(F.col("n"), F.col("frame_id"), F.col("it"), 1), "b": pick(F.col("n"), F.col("frame_id"), F.col("it"), 2)})
-    end = lambda c: candidates.select("frame_id", F.col("i").alias(c), F.col("w").alias(f"w{c}"), F.col("d").alias(f"d{c}"))
-    both = pairs.join(end("a"), ["frame_id", "a"]).join(end("b"), ["frame_id", "b"]).filter(F.abs(F.col("wb") - F.col("wa")) >= 1e-3)
-    slope = (F.col("db") - F.col("da")) / (F.col("wb") - F.col("wa"))
-    return both.select("frame_id", "it", slope.alias("slope"), (F.col("da") - slope * F.col("wa")).alias("intercept"))
+    """stream, frame_id, it, slope, intercept of lines through two drawn pixels; pairs with nearly one w give none."""
+
+    def make(table: pa.Table) -> pa.Table:
+        p = Pixels.of(table)
+        it, slope, intercept = p.lines(iterations)
+        return _values(stream=[p.stream] * len(it), frame_id=[p.frame] * len(it), it=it, slope=slope, intercept=intercept)
+
+    rows = candidates.select(*FRAME, "v", "u", F.col("w").cast("double"), F.col("d").cast("double"))
+    return spread(rows, *FRAME).groupBy(*FRAME).applyInArrow(make, "stream long, frame_id long, it int, slope double, intercept double")
 
 
 def score_hypotheses(lines: DataFrame, candidates: DataFrame, tolerance: DataFrame, scored: int = SCORED, min_share: float = 0.25) -> DataFrame:
-    """The best line of each frame: inliers minus candidates clearly below it, ties to the first; none if its inliers are
-    too few. About `scored` pixels vote, spread over the whole frame by a multiplicative hash of their numbers (all, if there
-    are no more), so a frame has iterations x scored pairs."""
-    voters = candidates.filter(votes_for(F.col("n"), F.col("frame_id"), F.col("i"), scored)).join(tolerance, "frame_id")
-    r = F.col("slope") * F.col("w") + F.col("intercept") - F.col("d")
-    votes = lines.join(voters.select("frame_id", "w", "d", "tolerance"), "frame_id").groupBy("frame_id", "it").agg(
-        F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.count("*").alias("m"),
-        F.count_if(F.abs(r) < F.col("tolerance")).alias("inliers"), F.count_if(r >= F.col("tolerance")).alias("below"))
-    best = votes.groupBy("frame_id").agg(F.max_by(F.struct("slope", "intercept", "inliers", "m"), F.struct(F.col("inliers") - F.col("below"), -F.col("it"))).alias("b"))
-    out = best.select("frame_id", "b.slope", "b.intercept", (F.col("b.inliers") / F.col("b.m")).alias("vote_share"))
-    return out.filter(F.col("vote_share") >= min_share)
+    """The best line of each frame (see `Pixels.best`); none if its inliers are too few. A frame's lines meet its pixels as
+    arrays, so no pair of them is a row."""
+
+    def score(lines: pa.Table, pixels: pa.Table) -> pa.Table:
+        best = None
+        if lines.num_rows and pixels.num_rows:
+            p = Pixels.of(pixels)
+            best = p.best(*(lines.column(c).to_numpy() for c in ("it", "slope", "intercept")), lines.column("tolerance")[0].as_py(), scored)
+        if best is None or best[2] < min_share:
+            return _values(stream=[], frame_id=[], slope=[], intercept=[], vote_share=[])
+        return _values(stream=[p.stream], frame_id=[p.frame], slope=[best[0]], intercept=[best[1]], vote_share=[best[2]])
+
+    rows = candidates.select(*FRAME, "v", "u", F.col("w").cast("double"), F.col("d").cast("double"))
+    known = null_safe(lines.select(*FRAME, "it", "slope", "intercept"), tolerance.select(*FRAME, "tolerance"), FRAME)
+    return known.groupBy(*FRAME).cogroup(spread(rows, *FRAME).groupBy(*FRAME)).applyInArrow(score, "stream long, frame_id long, slope double, intercept double, vote_share double")
 
 
 def refine_line(candidates: DataFrame, lines: DataFrame, tolerance: DataFrame, min_inliers: int) -> DataFrame:
     """Least squares over all inliers of each frame's line; needs enough of them and a positive slope."""
-    df = candidates.join(lines.select("frame_id", F.col("slope").alias("_s"), F.col("intercept").alias("_i"), "vote_share"), "frame_id").join(tolerance, "frame_id")
+    df = null_safe(candidates, lines.select(*FRAME, F.col("slope").alias("_s"), F.col("intercept").alias("_i"), "vote_share"), FRAME)
+    df = null_safe(df, tolerance.select(*FRAME, "tolerance"), FRAME)
     near = df.filter(F.abs(F.col("_s") * F.col("w") + F.col("_i") - F.col("d")) < F.col("tolerance"))
-    fit = near.groupBy("stream", "frame_id", "t").agg(F.regr_slope("d", "w").alias("slope"), F.regr_intercept("d", "w").alias("shift"), F.first("tolerance").alias("tolerance"), F.first("vote_share").alias("vote_share"), F.count("*").alias("inliers"))
+    fit = near.groupBy(*FRAME, "t").agg(F.regr_slope("d", "w").alias("slope"), F.regr_intercept("d", "w").alias("shift"), F.first("tolerance").alias("tolerance"), F.first("vote_share").alias("vote_share"), F.count("*").alias("inliers"))
     return fit.filter((F.col("inliers") >= min_inliers) & (F.col("slope") > 0))
 
 
-def floor_fit(pixels: DataFrame, iterations: int = 64, relative: float = 0.05, min_share: float = 0.25, min_inliers: int = 8) -> DataFrame:
-    """stream, frame_id, t, slope, shift, tolerance, vote_share, inliers from pixels with w and d."""
-    c = _numbered(pixels)
-    tol = tolerances(c, relative)
-    return refine_line(c, score_hypotheses(hypotheses(c, iterations), c, tol, min_share=min_share), tol, min_inliers)
+def floor_fit(pixels: DataFrame, iterations: int = 64, relative: float = 0.05, min_share: float = 0.25, min_inliers: int = 8, scored: int = SCORED) -> DataFrame:
+    """stream, frame_id, t, slope, shift, tolerance, vote_share, inliers from pixels with w and d: the steps above in one pass.
+    The candidates of a frame are shuffled once, as its rows are, and everything else happens in arrays of one frame."""
+
+    def fit(table: pa.Table) -> pa.Table:
+        p = Pixels.of(table)
+        tolerance = p.tolerance(relative)
+        best = p.best(*p.lines(iterations), tolerance, scored)
+        found = p.refined(*best[:2], tolerance) if best is not None and best[2] >= min_share else None
+        ok = found is not None and found[2] >= min_inliers and found[0] > 0
+        one = lambda *x: list(x) if ok else []
+        slope, shift, inliers = found or (None, None, None)
+        return _values(stream=one(p.stream), frame_id=one(p.frame), t=one(table.column("t")[0].as_py()), slope=one(slope), shift=one(shift), tolerance=one(tolerance), vote_share=one(best and best[2]), inliers=one(inliers))
+
+    rows = _candidates(pixels).select(*FRAME, "t", "v", "u", F.col("w").cast("double"), F.col("d").cast("double"))
+    return spread(rows, *FRAME).groupBy(*FRAME).applyInArrow(fit, "stream long, frame_id long, t long, slope double, shift double, tolerance double, vote_share double, inliers long")
 
 
 class Gate:
@@ -135,18 +242,29 @@ def gate_rows(gate: Gate, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["stream", "frame_id", "t", "slope", "shift", "tolerance", "state", "rejected"])
 
 
-def fit_gate(fits: DataFrame, max_change: float = 0.3, hold_us: int = 500_000) -> DataFrame:
+def gate_segments(fits: DataFrame, max_change: float, hold_us: int, buckets: int | None = None) -> DataFrame:
+    """`fits` with `_segment`, which grows along a stream: a segment begins at a frame before which, for longer than the hold, no
+    frame has a fit that the gate could accept. The gate remembers nothing there, so segments don't depend on each other."""
+    possible = F.col("slope").isNotNull() & (F.lit(max_change <= 0) | ~F.coalesce(F.col("shift") > 0, F.lit(False)))
+    df = running(fits, ["stream"], ["t", "frame_id"], "last", F.when(possible, F.col("t")), "_last", buckets, exclusive=True)
+    df = df.withColumn("_begins", F.coalesce(F.col("t") - F.col("_last") > hold_us, F.lit(True)).cast("long")).drop("_last")
+    return running(df, ["stream"], ["t", "frame_id"], "sum", F.col("_begins"), "_segment", buckets).drop("_begins")
+
+
+def fit_gate(fits: DataFrame, max_change: float = 0.3, hold_us: int = 500_000, buckets: int | None = None) -> DataFrame:
     """Every frame's fit after the gate, and its state: fitted, held (the last accepted fit stands in) or dropped;
-    `rejected` marks fits that were found and not accepted, which are held or dropped like missing ones. `fits` has one small row a frame, slope null where none was found. Streams run in parallel; the task holds
-    one batch of a stream and the gate."""
-    rows = fits.select("stream", "frame_id", "t", "slope", "shift", "tolerance").repartition("stream").sortWithinPartitions("stream", "t", "frame_id")
+    `rejected` marks fits that were found and not accepted, which are held or dropped like missing ones. `fits` has one small row
+    a frame, slope null where none was found. Segments of a stream (see `gate_segments`) run in parallel; one segment, in which
+    each fit may depend on the one before, runs in order, and the task holds one batch of it and the gate."""
+    rows = gate_segments(fits.select("stream", "frame_id", "t", "slope", "shift", "tolerance"), max_change, hold_us, buckets)
+    rows = rows.repartition("stream", "_segment").sortWithinPartitions("stream", "_segment", "t", "frame_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, gate = None, None
+        own, gate = None, None
         for f in frames:
-            for key, part in f.groupby("stream", sort=False):
-                if key != stream:
-                    stream, gate = key, Gate(max_change, hold_us)
+            for key, part in f.groupby(["stream", "_segment"], sort=False, dropna=False):
+                if repr(key) != own:
+                    own, gate = repr(key), Gate(max_change, hold_us)
                 yield gate_rows(gate, part)
 
     return rows.mapInPandas(run, FIT_STATE)

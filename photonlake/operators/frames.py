@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructType
 
 from photonlake.functions.scan import null_safe
+from photonlake.functions.shared import spread
+
+#: A frame's number counts inside its stream only.
+FRAME = ["stream", "frame_id"]
 
 #: Image encodings as (bytes a value, channels, floating).
 ENCODINGS = {
@@ -96,7 +105,7 @@ def normalize_u8(pixels: DataFrame, low: float = 0.0, high: float = 0.0) -> Data
     if high > low:
         lo, hi = F.lit(low), F.lit(high)
     else:
-        w = Window.partitionBy("frame_id")
+        w = Window.partitionBy(*FRAME)
         lo, hi = F.min("d").over(w), F.max("d").over(w)
     df = df.withColumns({"_lo": lo, "_hi": hi})
     span = F.when(F.col("_hi") - F.col("_lo") > 1e-9, F.col("_hi") - F.col("_lo")).otherwise(1.0)
@@ -104,30 +113,78 @@ def normalize_u8(pixels: DataFrame, low: float = 0.0, high: float = 0.0) -> Data
     return df.withColumn("u8", F.greatest(F.lit(0.0), F.least(F.lit(255.0), scaled)).cast("int")).drop("_lo", "_hi")
 
 
+def of_camera(table: DataFrame, pixels: DataFrame) -> list[str]:
+    """The columns by which a table of pixels belongs to frames: those of `camera` and `stream` that both have."""
+    return [c for c in ("camera", "stream") if c in table.columns and c in pixels.columns]
+
+
 def metric_depth(pixels: DataFrame, fits: DataFrame, rays: DataFrame, height: float, max_depth: float = 0.0, invalid: float = 0.0) -> DataFrame:
-    """frame_id, v, u, depth = slope * height / (d - shift) where that is valid, else `invalid`.
+    """stream, frame_id, v, u, depth = slope * height / (d - shift) where that is valid, else `invalid`.
 
-    `rays`: v, u, w (0 where a pixel can't see the floor). A pixel farther than the floor there isn't valid."""
-    df = pixels.join(fits.select("frame_id", "slope", "shift", "tolerance"), "frame_id").join(rays.select("v", "u", "w"), ["v", "u"])
+    `rays`: v, u, w (0 where a pixel can't see the floor), with `camera` or `stream` if they aren't one camera's. A pixel
+    farther than the floor there isn't valid."""
+    df = null_safe(pixels, fits.select(*FRAME, "slope", "shift", "tolerance"), FRAME)
+    own = [*of_camera(rays, pixels), "v", "u"]
+    df = null_safe(df, rays.select(*own, "w"), own)
     scale, gap, d = F.col("slope") * height, F.col("d") - F.col("shift"), F.col("d")
     least = scale / max_depth if max_depth > 0 else F.lit(0.0)
     beyond = (F.col("w") > 0) & (d < F.col("slope") * F.col("w") + F.col("shift") - F.col("tolerance"))
     ok = ~F.isnan(d) & (F.abs(d) < float("inf")) & (gap > 0) & (gap >= least) & ~beyond
-    return df.select("stream", "frame_id", "v", "u", F.when(ok, scale / gap).otherwise(invalid).alias("depth"))
+    return df.select(*FRAME, "v", "u", F.when(ok, scale / gap).otherwise(invalid).alias("depth"))
+
+
+def sliding(a: np.ndarray, radius: int, pick: np.ufunc, empty: float) -> np.ndarray:
+    """pick over each line's last axis within `radius`, in three steps an element whatever the radius: extrema from the left and
+    from the right inside blocks of a window's length (van Herk 1992)."""
+    n, w = a.shape[-1], 2 * radius + 1
+    wide = np.full((*a.shape[:-1], -(-(n + 2 * radius) // w) * w), empty, a.dtype)
+    wide[..., radius : radius + n] = a
+    blocks = wide.reshape(*a.shape[:-1], -1, w)
+    ahead = pick.accumulate(blocks, -1).reshape(wide.shape)
+    back = pick.accumulate(blocks[..., ::-1], -1)[..., ::-1].reshape(wide.shape)
+    return pick(back[..., :n], ahead[..., w - 1 : w - 1 + n])
+
+
+def square(a: np.ndarray, radius: int, pick: np.ufunc, empty: float) -> np.ndarray:
+    return sliding(sliding(a, radius, pick, empty).T, radius, pick, empty).T
+
+
+def close_up(frame: np.ndarray, c: np.ndarray, radius: int) -> np.ndarray:
+    """Coordinates of several frames as places from 0 on, one frame behind the other; gaps between frames and those wider than any
+    window are of radius + 2."""
+    low, span = c.min(), int(c.max() - c.min()) + 1
+    known, place = np.unique(frame * span + (c - low), return_inverse=True)
+    step = np.where(np.diff(known // span) > 0, radius + 2, np.minimum(np.diff(known), radius + 2))
+    return np.r_[0, np.cumsum(step)][place]
+
+
+PIXELS = 1_000_000
 
 
 def edges(depth: DataFrame, jump: float, radius: int, invalid: float = 0.0) -> DataFrame:
     """`valid` and `edge` of every pixel: the farthest valid depth in its 3 x 3 surroundings is over (1 + jump) times the
-    nearest; edges spread by `radius` in a square. Both squares are taken as two runs, along u and then along v."""
-    value = F.when(F.col("depth") != invalid, F.col("depth"))
-    along = lambda c, other, r: Window.partitionBy("frame_id", other).orderBy(c).rangeBetween(-r, r)
-    df = depth.withColumn("_d", value)
-    df = df.withColumns({"_max": F.max("_d").over(along("u", "v", 1)), "_min": F.min("_d").over(along("u", "v", 1))})
-    df = df.withColumns({"_max": F.max("_max").over(along("v", "u", 1)), "_min": F.min("_min").over(along("v", "u", 1))})
-    df = df.withColumn("_e", F.coalesce(F.col("_d").isNotNull() & (F.col("_max") > (1 + jump) * F.col("_min")), F.lit(False)).cast("int"))
-    df = df.withColumn("_e", F.max("_e").over(along("u", "v", radius)))
-    df = df.withColumn("_e", F.max("_e").over(along("v", "u", radius)))
-    return df.withColumns({"valid": F.col("_d").isNotNull(), "edge": (F.col("_e") == 1) & F.col("_d").isNotNull()}).drop("_d", "_max", "_min", "_e")
+    nearest; edges spread by `radius` in a square. Frames are shuffled once and dealt to groups of about PIXELS, where they are
+    laid into one array, one below the other; extrema slide over its rows and then over its columns. Depths that are null,
+    not a number or `invalid` aren't valid."""
+
+    def mark(table: pa.Table) -> pa.Table:
+        d = table.column("depth").cast(pa.float64()).to_numpy()
+        valid = ~np.isnan(d) & (d != invalid)
+        stream = table.column("stream").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64) + 1
+        frame = np.unique(table.column("frame_id").to_numpy(), return_inverse=True)[1] * (stream.max() + 1) + stream
+        v, u = (table.column(c).to_numpy().astype(np.int64) for c in ("v", "u"))
+        v, u = close_up(frame, v, max(1, radius)), close_up(np.zeros(len(u), np.int64), u, max(1, radius))
+        shape = (v.max() + 1, u.max() + 1)
+        far, near = np.full(shape, -np.inf), np.full(shape, np.inf)
+        far[v[valid], u[valid]] = near[v[valid], u[valid]] = d[valid]
+        jumps = np.isfinite(near) & (square(far, 1, np.maximum, -np.inf) > (1 + jump) * square(near, 1, np.minimum, np.inf))
+        edge = square(jumps.astype(np.int8), radius, np.maximum, 0)[v, u].astype(bool) & valid
+        return table.drop_columns("_part").append_column("valid", pa.array(valid)).append_column("edge", pa.array(edge))
+
+    kinds = StructType(list(depth.schema.fields)).add("valid", BooleanType()).add("edge", BooleanType())
+    parts = max(1, math.ceil(depth.count() / PIXELS))
+    dealt = depth.withColumn("_part", F.pmod(F.xxhash64(*FRAME), F.lit(parts)).cast("int"))
+    return spread(dealt, "_part").groupBy("_part").applyInArrow(mark, kinds)
 
 
 def drop_edges(depth: DataFrame, jump: float, radius: int, invalid: float = 0.0) -> DataFrame:
@@ -135,15 +192,20 @@ def drop_edges(depth: DataFrame, jump: float, radius: int, invalid: float = 0.0)
 
 
 def edge_share(marked: DataFrame) -> DataFrame:
-    return marked.groupBy("stream", "frame_id").agg((F.count_if("edge") / F.greatest(F.count_if("valid"), F.lit(1))).alias("edge_share"))
+    return marked.groupBy(*FRAME).agg((F.count_if("edge") / F.greatest(F.count_if("valid"), F.lit(1))).alias("edge_share"))
 
 
-def undistort_depth(depth: DataFrame, source: DataFrame, width: int, height: int, invalid: float = 0.0) -> DataFrame:
-    """Every output pixel reads the sensor pixel (sv, su) that `source` has for it (v, u); off the sensor it is `invalid`."""
+def undistort_depth(depth: DataFrame, source: DataFrame, width: int, height: int, invalid: float = 0.0, frames: DataFrame | None = None) -> DataFrame:
+    """Every output pixel reads the sensor pixel (sv, su) that `source` has for it (v, u), by `camera` or `stream` if it has such
+    a column; off the sensor it is `invalid`. frames: the table of frames; without it the frames that `depth` has."""
+    known = [*FRAME, *(c for c in of_camera(source, depth) if c not in FRAME)]
     pixel = F.explode(F.sequence(F.lit(0), F.lit(width * height - 1)))
-    grid = depth.select("stream", "frame_id").distinct().withColumn("_i", pixel).withColumns({"v": F.floor(F.col("_i") / width).cast("int"), "u": (F.col("_i") % width).cast("int")})
-    read = depth.select("frame_id", F.col("v").alias("sv"), F.col("u").alias("su"), "depth")
-    return grid.join(source, ["v", "u"], "left").join(read, ["frame_id", "sv", "su"], "left").select("stream", "frame_id", "v", "u", F.coalesce("depth", F.lit(invalid)).alias("depth"))
+    grid = (depth.select(*known).distinct() if frames is None else frames.select(*known)).withColumn("_i", pixel)
+    grid = grid.withColumns({"v": F.floor(F.col("_i") / width).cast("int"), "u": (F.col("_i") % width).cast("int")})
+    own = [*of_camera(source, depth), "v", "u"]
+    placed = null_safe(grid, source.select(*own, "sv", "su"), own, "left")
+    read = depth.select(*FRAME, F.col("v").alias("sv"), F.col("u").alias("su"), "depth")
+    return null_safe(placed, read, [*FRAME, "sv", "su"], "left").select(*FRAME, "v", "u", F.coalesce("depth", F.lit(invalid)).alias("depth"))
 
 
 def rays_outside(rays: DataFrame, k: tuple[float, float, float, float], width: int, height: int) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from photonlake.functions import quaternion
-from photonlake.functions.scan import bucketed, null_safe, running
+from photonlake.functions.scan import bucketed, null_safe, running, with_lead
+from photonlake.functions.shared import dropped, spread, stored
 
 #: Standard gravity used for accelerations given in g, and the filter's gains.
 GRAVITY = 9.81007
@@ -52,15 +53,8 @@ def stream_time_offset(df: DataFrame, offsets: DataFrame) -> DataFrame:
 
 def rate_hz(samples: DataFrame, window_us: int = 1_000_000, buckets: int | None = None) -> DataFrame:
     """Rate over the last second of each sample: (n - 1) / span, null for one sample or no span. So that a stream runs in
-    many tasks, the rows at most a window before a bucket's start are copied into that bucket: rows and starts meet by cells
-    of a window's width, of which a start has two."""
-    df = bucketed(samples.select("stream", "seq", "t"), ["stream"], "t", buckets)
-    starts = df.groupBy("stream", "_bucket").agg(F.min("t").alias("_start")).withColumnRenamed("_bucket", "_to")
-    cell = lambda c: F.floor(F.col(c) / window_us)
-    starts = starts.withColumn("_cell", F.explode(F.array(cell("_start") - 1, cell("_start"))))
-    near = null_safe(df.withColumn("_cell", cell("t")), starts, ["stream", "_cell"])
-    copies = near.filter((F.col("_bucket") < F.col("_to")) & (F.col("t") >= F.col("_start") - window_us))
-    both = df.withColumn("_own", F.lit(True)).unionByName(copies.select("stream", "seq", "t", F.col("_to").alias("_bucket"), F.lit(False).alias("_own")))
+    many tasks, the rows at most a window before a bucket's start are copied into that bucket."""
+    both = with_lead(bucketed(samples.select("stream", "seq", "t"), ["stream"], "t", buckets), ["stream"], "t", window_us)
     w = Window.partitionBy("stream", "_bucket").orderBy("t").rangeBetween(-window_us, 0)
     n, span = F.count("*").over(w), F.col("t") - F.min("t").over(w)
     return both.withColumn("rate_hz", F.when((n >= 2) & (span > 0), (n - 1) / (span / 1e6))).filter("_own").select("stream", "seq", "t", "rate_hz")
@@ -97,30 +91,112 @@ def mahony_step(q: tuple, bias: tuple, gyro: tuple, accel: tuple, dt: float) ->
 def attitude_of(rows: pd.DataFrame, q: tuple, bias: tuple, last: int | None) -> tuple[pd.DataFrame, tuple, tuple, int | None]:
     """The quaternion after each row of one stream, sorted by time; steps that aren't in (0, 0.1 s) don't integrate."""
     out = []
-    for r in rows.itertuples(index=False):
-        dt = (r.t - last) / 1e6 if last is not None else 0.0
+    columns = (rows[c].tolist() for c in ("t", "ax", "ay", "az", "wx", "wy", "wz"))
+    for t, ax, ay, az, wx, wy, wz in zip(*columns, strict=True):
+        dt = (t - last) / 1e6 if last is not None else 0.0
         if 0 < dt < 0.1:
-            q, bias = mahony_step(q, bias, (r.wx, r.wy, r.wz), (r.ax, r.ay, r.az), dt)
-        last = int(r.t)
-        out.append((r.stream, r.seq, r.t, *q))
-    return pd.DataFrame(out, columns=["stream", "seq", "t", "qw", "qx", "qy", "qz"]), q, bias, last
-
-
-def attitude(imu: DataFrame) -> DataFrame:
-    """Attitude after each sample (SI units). The filter is a recursion without an associative form, so streams run in
-    parallel and one stream runs in order, read in batches: the task holds one batch and the state."""
-    rows = imu.select("stream", "seq", "t", "ax", "ay", "az", "wx", "wy", "wz").repartition("stream").sortWithinPartitions("stream", "t", "seq")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, state = None, None
-        for f in frames:
-            for key, part in f.groupby("stream", sort=False):
-                if key != stream:
-                    stream, state = key, ((1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0), None)
-                out, *state = attitude_of(part, *state)
-                yield out
-
-    return rows.mapInPandas(run, ATTITUDE)
+            q, bias = mahony_step(q, bias, (wx, wy, wz), (ax, ay, az), dt)
+        last = t
+        out.append(q)
+    return rows[["stream", "seq", "t"]].join(pd.DataFrame(out, columns=["qw", "qx", "qy", "qz"], index=rows.index)), q, bias, last
+
+
+#: Rows of a bucket, a few minutes of samples.
+ATTITUDE_ROWS = 250_000
+LEVEL, STILL = (1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0)
+RAW = ("ax", "ay", "az", "wx", "wy", "wz")
+#: A bucket's state before its first own row, after its last one, and how often it was run. Quaternions up to a turn about the world's y axis.
+STATES = "stream long, _bucket int, runs int, " + ", ".join(f"{e}_{c} double" for e in ("s", "e") for c in ("qw", "qx", "qy", "qz", "bx", "by", "bz")) + ", s_t long, e_t long"
+
+
+def _turn(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """q * conj(p), for rows of quaternions (w, x, y, z)."""
+    w, x, y, z = q.T
+    a, b, c, d = p.T * np.array([[1.0], [-1.0], [-1.0], [-1.0]])
+    return np.stack([w * a - x * b - y * c - z * d, w * b + x * a + y * d - z * c, w * c - x * d + y * a + z * b, w * d + x * c - y * b + z * a], 1)
+
+
+def _states(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[f.split()[0] for f in STATES.split(", ")]).astype({"runs": "int32", "_bucket": "int32", "stream": "Int64", "s_t": "Int64", "e_t": "Int64"})
+
+
+def _apart(states: DataFrame) -> DataFrame:
+    """Every bucket's state with its predecessor's end (p_...), and `apart`: how far its start is from that end, in the direction
+    of gravity and in the bias. One row a bucket."""
+    w = Window.partitionBy("stream").orderBy("_bucket")
+    names = ("qw", "qx", "qy", "qz", "bx", "by", "bz", "t")
+    df = states.withColumns({f"p_{c}": F.lag(f"e_{c}").over(w) for c in names})
+    ends = [quaternion.down(*(F.col(f"{e}_{c}") for c in names[:4])) for e in ("s", "p")]
+    far = [F.abs(a - b) for a, b in zip(*ends, strict=True)] + [F.abs(F.col(f"s_{c}") - F.col(f"p_{c}")) for c in names[4:7]]
+    return df.withColumn("apart", F.when(F.col("p_qw").isNotNull(), F.greatest(*far)).otherwise(0.0))
+
+
+def attitude_buckets(imu: DataFrame, buckets: int | None = None, warm_us: int = 5_000_000, tolerance: float = 1e-10) -> tuple[DataFrame, DataFrame]:
+    """The samples in buckets that follow each other in time, and each bucket's states.
+
+    A bucket starts at a level state `warm_us` before its first row. The filter forgets where it began, but for two things: a
+    turn about the vertical stays (the filter moves with it, so it is put right at the end by one turn a bucket), and the bias is
+    slow. So a bucket's start is compared with its predecessor's end; those that differ by more than `tolerance` are run again
+    from that end, until none differs. Each round makes one more bucket from the front exact, and all others closer: the error
+    shrinks by what the filter forgets within a bucket. `runs` says how often a bucket was run."""
+    rows = bucketed(imu.select("stream", "seq", "t", *RAW), ["stream"], "t", buckets or max(1, math.ceil(imu.count() / ATTITUDE_ROWS)))
+    many = rows.groupBy("stream").agg(F.count_distinct("_bucket").alias("n")).agg(F.max("n")).first()[0] or 0
+    warm = with_lead(rows, ["stream"], "t", warm_us) if many > 1 else rows.withColumn("_own", F.lit(True))
+
+    def first(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["t", "seq"])
+        lead, own = part[~part["_own"]], part[part["_own"]]
+        _, q, bias, last = attitude_of(lead, LEVEL, STILL, None)
+        _, q2, bias2, last2 = attitude_of(own, q, bias, last)
+        return _states([(*key, 1, *q, *bias, *q2, *bias2, last, last2)])
+
+    states = stored(spread(warm, "stream", "_bucket").groupBy("stream", "_bucket").applyInPandas(first, STATES), "attitude")
+    for _ in range(many - 1):
+        compared = _apart(states)
+        late = compared.filter(F.col("apart") > tolerance)
+        if late.isEmpty():
+            break
+
+        def again(key: tuple, part: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+            e = ends.iloc[0]
+            q, bias, last = tuple(float(e[f"p_{c}"]) for c in ("qw", "qx", "qy", "qz")), tuple(float(e[f"p_{c}"]) for c in ("bx", "by", "bz")), int(e["p_t"])
+            _, q2, bias2, last2 = attitude_of(part.sort_values(["t", "seq"]), q, bias, last)
+            return _states([(*key, int(e["runs"]) + 1, *q, *bias, *q2, *bias2, last, last2)])
+
+        own = null_safe(rows, late.select("stream", "_bucket"), ["stream", "_bucket"])
+        redone = spread(own, "stream", "_bucket").groupBy("stream", "_bucket").cogroup(late.groupBy("stream", "_bucket")).applyInPandas(again, STATES)
+        old, states = states, stored(redone.unionByName(compared.filter(F.col("apart") <= tolerance).select(*states.columns)), "attitude")
+        dropped(old)
+    return rows, states
+
+
+def attitude(imu: DataFrame, buckets: int | None = None, warm_us: int = 5_000_000, tolerance: float = 1e-10) -> DataFrame:
+    """Attitude after each sample (SI units), one long stream in many tasks (see `attitude_buckets`). The turns about the vertical
+    that part neighbouring buckets are summed over one row a bucket."""
+    rows, states = attitude_buckets(imu, buckets, warm_us, tolerance)
+
+    def begin(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_bucket")
+        s, e = (part[[f"{k}_{c}" for c in ("qw", "qx", "qy", "qz")]].to_numpy() for k in ("s", "e"))
+        turn = _turn(e[:-1], s[1:])
+        angle = np.r_[0.0, np.cumsum(np.arctan2(turn[:, 2], turn[:, 0]))]
+        w, y = np.cos(angle), np.sin(angle)
+        q = np.stack([w * s[:, 0] - y * s[:, 2], w * s[:, 1] + y * s[:, 3], w * s[:, 2] + y * s[:, 0], w * s[:, 3] - y * s[:, 1]], 1)
+        return part[["stream", "_bucket", "s_bx", "s_by", "s_bz", "s_t"]].assign(**dict(zip(("qw", "qx", "qy", "qz"), q.T, strict=True)))
+
+    starts = states.groupBy("stream").applyInPandas(begin, "stream long, _bucket int, s_bx double, s_by double, s_bz double, s_t long, qw double, qx double, qy double, qz double")
+
+    def run(key: tuple, part: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        s = start.iloc[0]
+        last = None if pd.isna(s["s_t"]) else int(s["s_t"])
+        return attitude_of(part.sort_values(["t", "seq"]), tuple(float(s[c]) for c in ("qw", "qx", "qy", "qz")), tuple(float(s[c]) for c in ("s_bx", "s_by", "s_bz")), last)[0]
+
+    return spread(rows, "stream", "_bucket").groupBy("stream", "_bucket").cogroup(starts.groupBy("stream", "_bucket")).applyInPandas(run, ATTITUDE)
+
+
+def redone_share(states: DataFrame) -> DataFrame:
+    """Of each stream its buckets, and the share of those that were run more than once."""
+    return states.groupBy("stream").agg(F.count("*").alias("buckets"), F.avg((F.col("runs") > 1).cast("double")).alias("redone"), F.max("runs").alias("most_runs"))
 
 
 def with_euler(df: DataFrame) -> DataFrame:

@@ -187,11 +187,14 @@ def unsupported_packets(spark, sf_dir):
     return decode.unsupported(packets)
 
 
-@query(f"with {WINDOWED}, {NORMAL} select stream, win, count(*) as n, round(avg(nx), 6) as mean_x, round(avg(age), 6) as mean_age from f group by stream, win")
+@query(f"""with {WINDOWED}, l as (select stream, win, max(t) as last from w group by stream, win)
+    select w.stream, w.win, count(*) as n, sum(x)::bigint as sum_x, sum(last - t)::bigint as sum_age, max(x * 12 + y)::bigint as most from w join l on w.stream = l.stream and w.win = l.win group by w.stream, w.win""")
 def score_windows(spark, sf_dir):
+    """A model of whole numbers: the sums of x and of the ages in us, and the greatest place."""
     packed = windows.pack_windows(windows.normalize_events(windowed(spark, sf_dir), W, H, WIDTH_US))
-    out = scoring.score_windows(packed, lambda m: m.mean(0).tolist())
-    return out.select("stream", "win", "n", F.round(F.get("scores", F.lit(0)), 6).alias("mean_x"), F.round(F.get("scores", F.lit(2)), 6).alias("mean_age"))
+    out = scoring.score_windows(packed, lambda m: [m[:, 0].sum() * W, (m[:, 2] * WIDTH_US).round().sum(), (m[:, 0] * W * H + m[:, 1] * H).max()])
+    whole = lambda k, name: F.round(F.get("scores", F.lit(k))).cast("long").alias(name)
+    return out.select("stream", "win", "n", whole(0, "sum_x"), whole(1, "sum_age"), whole(2, "most"))
 
 
 CAMERAS = "select stream, concat('cam', stream) as camera, 16 as width, 12 as height, count(*) as n from fx_events group by stream"
@@ -225,30 +228,49 @@ def sample_cameras(spark, sf_dir):
     return streams(spark, sf_dir).select("camera", F.lit(640).alias("width"), F.lit(480).alias("height"), F.get(kinds, (F.col("stream") % 3).cast("int")).alias("c")).select("camera", "width", "height", "c.*")
 
 
-@query(f"""with c as ({CAMERAS}) select camera, 640 * 480 as pixels, case stream % 3 when 0 then 515 when 1 then 25200 else 2784 end as without_ray, 0 as moved, 0 as folded from c""")
+def lens_sql(columns: dict[str, object]) -> str:
+    """A value for each kind of sample camera, by stream."""
+    return ", ".join(f"case stream % 3 when 0 then {v[0]!r} when 1 then {v[1]!r} else {v[2]!r} end::double as {c}" for c, v in columns.items())
+
+
+INTRINSICS = {c: [k[n] for k, _, _ in SAMPLES] for n, c in enumerate(("fx", "fy", "cx", "cy"))}
+COEFFICIENTS = {f"d{n}": [d[n] for _, d, _ in SAMPLES] for n in range(5)}
+
+
+@query(f"""with e as (select stream, seq, (x - 7.5) / case stream % 3 when 0 then 20 else 10 end as rx, (y - 5.5) / case stream % 3 when 0 then 20 else 10 end as ry, {lens_sql(INTRINSICS)}, {lens_sql(COEFFICIENTS)} from fx_events),
+    r as (select *, rx * rx + ry * ry as r2, atan(sqrt(rx * rx + ry * ry)) as a from e),
+    s as (select *, 1 + d0 * r2 + d1 * r2 * r2 + d4 * r2 * r2 * r2 as radial, a * (1 + d0 * a * a + d1 * a ** 4 + d2 * a ** 6 + d3 * a ** 8) / sqrt(r2) as bent from r)
+    select stream, seq, round(case when stream % 3 = 2 then rx * bent else rx * radial + 2 * d2 * rx * ry + d3 * (r2 + 2 * rx * rx) end * fx + cx, 5) as u,
+      round(case when stream % 3 = 2 then ry * bent else ry * radial + d2 * (r2 + 2 * ry * ry) + 2 * d3 * rx * ry end * fy + cy, 5) as v, round(rx, 6) as rx, round(ry, 6) as ry from s""")
 def lens_remap(spark, sf_dir):
-    """Rays of the sample cameras: how many pixels have none (a fixed count; tests look for rays the solver misses), lie over 0.01
-    pixel off when put back through the lens, or left of the pixel before them."""
-    cameras = sample_cameras(spark, sf_dir)
-    rays = filters.pixel_rays(cameras).join(cameras.select("camera", "d", "fisheye"), "camera")
-    x, y, d = F.col("rx"), F.col("ry"), [F.get("d", F.lit(k)) for k in range(5)]
-    plain = filters.shown_at(x, y, d, False)
-    r = F.sqrt(x * x + y * y)
-    scale = F.when(r > 1e-12, filters.shown_angle(F.atan(r), d) / r).otherwise(1.0)
-    u, v = (F.when(F.col("fisheye"), own * scale).otherwise(p) * F.element_at("k", f) + F.element_at("k", c) for own, p, f, c in ((x, plain[0], 1, 3), (y, plain[1], 5, 6)))
-    before = F.lag("rx").over(Window.partitionBy("camera", "v").orderBy("u"))
-    rays = rays.withColumns({"_before": before, "_off": F.greatest(F.abs(u - F.col("u")), F.abs(v - F.col("v")))})
-    n = lambda c: F.count_if(c).cast("int")
-    return rays.groupBy("camera").agg(F.count("*").cast("int").alias("pixels"), n(x.isNull()).alias("without_ray"), n(F.col("_off") > 0.01).alias("moved"), n(x <= F.col("_before")).alias("folded"))
-
-
-@query(f"""with c as ({CAMERAS}) select camera, true as ordered, true as inside, true as many from c""")
+    """Events as rays: where the sample cameras show them, and the rays found back from there."""
+    lens = sample_cameras(spark, sf_dir).withColumn("stream", F.substring("camera", 4, 9).cast("long"))
+    e = events(spark, sf_dir).join(lens, "stream")
+    step = F.when(F.col("stream") % 3 == 0, 20.0).otherwise(10.0)
+    x, y, d = (F.col("x") - 7.5) / step, (F.col("y") - 5.5) / step, [F.get("d", F.lit(k)) for k in range(5)]
+    plain, r = filters.shown_at(x, y, d, False), F.sqrt(x * x + y * y)
+    bent = filters.shown_angle(F.atan(r), d) / r
+    u, v = (F.when(F.col("fisheye"), own * bent).otherwise(p) * F.element_at("k", f) + F.element_at("k", c) for own, p, f, c in ((x, plain[0], 1, 3), (y, plain[1], 5, 6)))
+    found = filters.rays_at(e.select("stream", "seq", u.alias("u"), v.alias("v"), "k", "d", "fisheye"))
+    return found.select("stream", "seq", F.round("u", 5).alias("u"), F.round("v", 5).alias("v"), F.round("rx", 6).alias("rx"), F.round("ry", 6).alias("ry"))
+
+
+@query(f"""with c as (select distinct stream, {lens_sql(INTRINSICS)}, {lens_sql({"d0": COEFFICIENTS["d0"]})} from fx_events),
+    p as (select *, (u - cx) / fx as x0, (v - cy) / fy as y0 from c, (select unnest(range(640)) as u), (select unnest(range(480)) as v)),
+    q as (select *, sqrt(x0 * x0 + y0 * y0) as r0 from p),
+    r as (select stream, u, v, case when stream % 3 = 2 and r0 < pi() / 2 then x0 * tan(r0) / r0 when stream % 3 < 2 and 1.5 * r0 * sqrt(-3 * d0) < 1 then x0 / r0 * 2 / sqrt(-3 * d0) * sin(asin(1.5 * r0 * sqrt(-3 * d0)) / 3) end as rx,
+      case when stream % 3 = 2 and r0 < pi() / 2 then y0 * tan(r0) / r0 when stream % 3 < 2 and 1.5 * r0 * sqrt(-3 * d0) < 1 then y0 / r0 * 2 / sqrt(-3 * d0) * sin(asin(1.5 * r0 * sqrt(-3 * d0)) / 3) end as ry from q),
+    b as (select stream, min(u) as u0, max(u) as u1, min(v) as v0, max(v) as v1 from r where rx is not null group by stream),
+    n as (select stream, max(case when u = u0 then rx end) as l, min(case when u = u1 then rx end) as rr, max(case when v = v0 then ry end) as tt, min(case when v = v1 then ry end) as bb from r join b using (stream) group by stream),
+    m as (select stream, u, v, round((rx - l) * 639 / (rr - l))::int as ux, round((ry - tt) * 479 / (bb - tt))::int as uy from r join n using (stream) where rx is not null)
+    select e.stream, e.seq, ux as x, uy as y from fx_events e join m on e.stream = m.stream and m.u = e.x * 40 + 7 and m.v = e.y * 40 + 3 where ux between 0 and 639 and uy between 0 and 479""")
 def sample_remap(spark, sf_dir):
-    """Whole coordinates of the sample cameras: inside the image, and of over half of the pixels."""
-    remap = filters.round_remap(filters.build_remap(sample_cameras(spark, sf_dir)))
-    before = F.lag("ux").over(Window.partitionBy("camera", "y").orderBy("x"))
-    inside = F.bool_and(F.col("ux").between(0, 639) & F.col("uy").between(0, 479))
-    return remap.withColumn("_before", before).groupBy("camera").agg(F.bool_and(F.coalesce(F.col("ux") >= F.col("_before"), F.lit(True))).alias("ordered"), inside.alias("inside"), (F.count("*") > 640 * 240).alias("many"))
+    """Events on 640 x 480 pixels, rectified by cameras whose lenses can be inverted in closed form: one radial coefficient, or
+    equidistant without any."""
+    one = F.when(F.col("fisheye"), F.array(F.lit(0.0))).otherwise(F.array(F.get("d", F.lit(0))))
+    remap = filters.round_remap(filters.build_remap(sample_cameras(spark, sf_dir).withColumn("d", one)))
+    e = events(spark, sf_dir).select("stream", "seq", F.concat(F.lit("cam"), F.col("stream")).alias("camera"), (F.col("x") * 40 + 7).alias("x"), (F.col("y") * 40 + 3).alias("y"))
+    return filters.undistort_events(e, remap).select("stream", "seq", "x", "y")
 
 
 @query("select stream, seq, t, 15 - x as x, y, p from fx_events where y > 0")
@@ -272,7 +294,10 @@ def default_calibration(spark, sf_dir):
     return out.select("stream", "camera", *(F.element_at("k", k).alias(n) for k, n in ((1, "fx"), (3, "cx"), (5, "fy"), (6, "cy"))))
 
 
-@query(f"with c as ({CAMERAS}) select camera, width, height, case when stream % 2 = 0 then 2 else 1 end as version_t from c")
+@query(f"with c as ({CAMERAS}) select camera, width, height, case when stream % 2 = 0 and stream > 0 then 2 else 1 end as version_t, case when stream % 2 = 0 then 19.0 else 18.0 end::double as fx from c")
 def upsert_calibration(spark, sf_dir):
-    new = calibration(spark, sf_dir, version=2).filter(F.substring("camera", 4, 9).cast("int") % 2 == 0)
-    return filters.upsert_calibration(calibration(spark, sf_dir), new).select("camera", "width", "height", "version_t")
+    """New calibrations of even cameras replace the old ones: the first camera's also has the old one's version."""
+    new = calibration(spark, sf_dir).filter(F.substring("camera", 4, 9).cast("int") % 2 == 0)
+    new = new.withColumns({"version_t": F.when(F.col("camera") == "cam0", 1).otherwise(2), "k": F.transform("k", lambda x: x + 1)})
+    out = filters.upsert_calibration(calibration(spark, sf_dir), new)
+    return out.select("camera", "width", "height", "version_t", F.element_at("k", 1).alias("fx"))

@@ -12,6 +12,12 @@ from photonlake.sources.fixtures import view
 SIDE = 8
 HEIGHT = 1.5
 JUMP, RADIUS = 0.2, 1
+#: Of the fixtures' frames a number that differs between streams, which share frame ids.
+VEC = "(frame_id * 4 + stream)"
+
+
+def number():
+    return F.col("frame_id") * 4 + F.col("stream")
 
 
 def pixels(spark, sf_dir):
@@ -49,30 +55,31 @@ def frame_check(spark, sf_dir):
     return frames.frame_check(df, calibration(spark, sf_dir).filter("camera <> 'cam3'")).select("frame_id", "stream")
 
 
-@query("select frame_id, list_sort(list(round(d, 6)))[floor(0.98 * (count(*) - 1))::int + 1] as q from fx_pixels group by frame_id")
+@query("select stream, frame_id, list_sort(list(round(d, 6)))[floor(0.98 * (count(*) - 1))::int + 1] as q from fx_pixels group by stream, frame_id")
 def percentile_rank(spark, sf_dir):
     return r6(floor.percentile_by_rank(pixels(spark, sf_dir), 0.98), "q")
 
 
-@query("""with w as (select *, min(d) over (partition by frame_id) as lo, max(d) over (partition by frame_id) as hi from fx_pixels)
-    select frame_id, v, u, cast(greatest(0, least(255, round_even((d - lo) * 255 / case when hi - lo > 1e-9 then hi - lo else 1 end, 0))) as int) as u8 from w""")
+@query("""with w as (select *, min(d) over (partition by stream, frame_id) as lo, max(d) over (partition by stream, frame_id) as hi from fx_pixels)
+    select stream, frame_id, v, u, cast(greatest(0, least(255, round_even((d - lo) * 255 / case when hi - lo > 1e-9 then hi - lo else 1 end, 0))) as int) as u8 from w""")
 def normalize_u8(spark, sf_dir):
-    return frames.normalize_u8(pixels(spark, sf_dir)).select("frame_id", "v", "u", "u8")
+    return frames.normalize_u8(pixels(spark, sf_dir)).select("stream", "frame_id", "v", "u", "u8")
 
 
-PLANTED = "p as (select stream, frame_id, t, 1 + cast(frame_id % 7 as double) / 10 as slope, -0.1::double as shift, 0.05::double as tolerance from (select distinct stream, frame_id, t from fx_floor))"
+PLANTED = f"p as (select stream, frame_id, t, 1 + cast({VEC} % 7 as double) / 10 as slope, -0.1::double as shift, 0.05::double as tolerance from (select distinct stream, frame_id, t from fx_floor))"
 
 
 def planted(spark, sf_dir):
     f = view(spark, sf_dir, "fx_floor").select("stream", "frame_id", "t").distinct()
-    return f.withColumns({"slope": 1 + (F.col("frame_id") % 7).cast("double") / 10, "shift": F.lit(-0.1), "tolerance": F.lit(0.05)})
+    return f.withColumns({"slope": 1 + (number() % 7).cast("double") / 10, "shift": F.lit(-0.1), "tolerance": F.lit(0.05)})
 
 
 def rays(spark, sf_dir):
-    return view(spark, sf_dir, "fx_floor").select("v", "u").distinct().withColumn("w", F.when(F.col("v") >= 2, F.col("v") / 8).otherwise(0.0))
+    """Each stream has a camera of its own."""
+    return view(spark, sf_dir, "fx_floor").select("stream", "v", "u").distinct().withColumn("w", F.when(F.col("v") >= 2 + F.col("stream") % 2, F.col("v") / 8).otherwise(0.0))
 
 
-@query(f"""with {PLANTED}, x as (select f.stream, f.frame_id, f.v, f.u, f.d, slope, shift, tolerance, case when f.v >= 2 then f.v / 8 else 0 end as w from fx_floor f join p on f.frame_id = p.frame_id)
+@query(f"""with {PLANTED}, x as (select f.stream, f.frame_id, f.v, f.u, f.d, slope, shift, tolerance, case when f.v >= 2 + f.stream % 2 then f.v / 8 else 0 end as w from fx_floor f join p on f.stream = p.stream and f.frame_id = p.frame_id)
     select stream, frame_id, v, u, case when d - shift > 0 and d - shift >= slope * 1.5 / 20 and not (w > 0 and d < slope * w + shift - tolerance) then round(slope * 1.5 / (d - shift), 6) else 0 end as depth from x""")
 def metric_depth(spark, sf_dir):
     return r6(frames.metric_depth(view(spark, sf_dir, "fx_floor"), planted(spark, sf_dir), rays(spark, sf_dir), HEIGHT, 20.0), "depth")
@@ -84,10 +91,10 @@ def holed(spark, sf_dir):
 
 MARKED = """h as (select stream, frame_id, v, u, case when (u + v) % 7 = 0 then 0 else d end as depth from fx_pixels),
     n as (select a.stream, a.frame_id, a.v, a.u, a.depth, max(case when b.depth <> 0 then b.depth end) as hi, min(case when b.depth <> 0 then b.depth end) as lo
-      from h a join h b on a.frame_id = b.frame_id and abs(a.v - b.v) <= 1 and abs(a.u - b.u) <= 1 group by a.stream, a.frame_id, a.v, a.u, a.depth),
+      from h a join h b on a.stream = b.stream and a.frame_id = b.frame_id and abs(a.v - b.v) <= 1 and abs(a.u - b.u) <= 1 group by a.stream, a.frame_id, a.v, a.u, a.depth),
     e as (select *, depth <> 0 and hi > 1.2::double * lo as e from n),
     g as (select a.stream, a.frame_id, a.v, a.u, a.depth, coalesce(bool_or(b.e), false) as near
-      from e a join e b on a.frame_id = b.frame_id and abs(a.v - b.v) <= 1 and abs(a.u - b.u) <= 1 group by a.stream, a.frame_id, a.v, a.u, a.depth),
+      from e a join e b on a.stream = b.stream and a.frame_id = b.frame_id and abs(a.v - b.v) <= 1 and abs(a.u - b.u) <= 1 group by a.stream, a.frame_id, a.v, a.u, a.depth),
     m as (select *, depth <> 0 as valid, depth <> 0 and near as edge from g)"""
 
 
@@ -101,12 +108,13 @@ def edge_share(spark, sf_dir):
     return r6(frames.edge_share(frames.edges(holed(spark, sf_dir), JUMP, RADIUS)), "edge_share")
 
 
-@query("select a.stream, a.frame_id, a.v, a.u, round(coalesce(b.d, 0), 6) as depth from fx_pixels a left join fx_pixels b on a.frame_id = b.frame_id and a.v = b.v and b.u = a.u + 1")
+@query("select a.stream, a.frame_id, a.v, a.u, round(coalesce(b.d, 0), 6) as depth from fx_pixels a left join fx_pixels b on a.stream = b.stream and a.frame_id = b.frame_id and a.v = b.v and b.u = a.u + 1")
 def undistort_depth(spark, sf_dir):
     grid = pixels(spark, sf_dir).select("v", "u").distinct()
     source = grid.select("v", "u", F.col("v").alias("sv"), (F.col("u") + 1).cast("int").alias("su")).filter("su < 8")
     depth = pixels(spark, sf_dir).select("stream", "frame_id", "v", "u", F.col("d").alias("depth"))
-    return r6(frames.undistort_depth(depth, source, SIDE, SIDE), "depth")
+    known = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.expr("vec_id div 4").alias("frame_id"), (F.col("vec_id") % 4).alias("stream"))
+    return r6(frames.undistort_depth(depth, source, SIDE, SIDE, frames=known), "depth")
 
 
 RAYS = "y as (select distinct concat('cam', stream) as camera, u::int as u, v::int as v, (u - 7.5) / 18 as rx, (v - 5.5) / 18.5 as ry from (select distinct stream from fx_events), (select unnest(range(16)) as u), (select unnest(range(12)) as v))"
@@ -128,23 +136,26 @@ def floor_pixels(spark, sf_dir):
     return view(spark, sf_dir, "fx_floor").withColumn("w", F.when(F.col("v") >= 2, F.col("v") / 8).otherwise(0.0))
 
 
-WIDE = """fx_wide as (select l_orderkey % 8 as frame_id, l_orderkey % 2 as stream, l_orderkey % 8 * 50000 as t, l_orderkey as v, l_linenumber * 10000000 + l_partkey * 50 + cast(l_quantity as int) as u,
+WIDE = """fx_wide as (select l_orderkey % 8 {div} 2 as frame_id, l_orderkey % 2 as stream, l_orderkey % 8 * 50000 as t, l_orderkey as v, l_linenumber * 10000000 + l_partkey * 50 + cast(l_quantity as int) as u,
       0.2 + cast(l_partkey % 997 as double) / 1000 as w,
       (1 + cast(l_orderkey % 8 as double) / 10) * (0.2 + cast(l_partkey % 997 as double) / 1000) - 0.1 + cast(l_quantity as double) / 5000 + (case when l_suppkey % 5 = 0 then 0.5 else 0 end) as d from lineitem)"""
 
 
-CAND = """c as (select stream, frame_id, t, v, u, d, v / 8 as w, row_number() over (partition by frame_id order by v, u) - 1 as i, count(*) over (partition by frame_id) as n from fx_floor where v >= 2)"""
-FITTED = CAND + """,
-    tol as (select frame_id, 0.05 * greatest(list_sort(list(d))[floor(0.98 * (count(*) - 1))::int + 1] - list_sort(list(d))[floor(0.02 * (count(*) - 1))::int + 1], 1e-6) as tolerance from c group by frame_id),
-    it as (select distinct frame_id, n, unnest(range(64)) as it from c),
-    ab as (select frame_id, it, (frame_id * 7919 + it * 104729 + 15485863 + frame_id * it * 31) % n as a, (frame_id * 7919 + it * 104729 + 30971726 + frame_id * it * 31) % n as b from it),
-    ln as (select ab.frame_id, it, (q.d - p.d) / (q.w - p.w) as slope, p.d - (q.d - p.d) / (q.w - p.w) * p.w as intercept
-      from ab join c p on ab.frame_id = p.frame_id and ab.a = p.i join c q on ab.frame_id = q.frame_id and ab.b = q.i where abs(q.w - p.w) >= 1e-3),
-    sc as (select ln.frame_id, it, slope, intercept, count(*) as m, count_if(abs(slope * w + intercept - d) < tolerance) as inl, count_if(slope * w + intercept - d >= tolerance) as below
-      from ln join (select * from c where (i * 2654435761 + frame_id * 40503) % 4294967296 * n < 4000 * 4294967296) c on ln.frame_id = c.frame_id join tol on ln.frame_id = tol.frame_id group by all),
-    best as (select * from (select *, inl / m as vote_share, row_number() over (partition by frame_id order by inl - below desc, it) as r from sc) where r = 1 and vote_share >= 0.25),
+CAND = """c as (select stream, frame_id, t, v, u, d, v / 8 as w, row_number() over (partition by stream, frame_id order by v, u) - 1 as i, count(*) over (partition by stream, frame_id) as n from fx_floor where v >= 2)"""
+DRAWN = "('0x' || substr(md5(concat_ws(':', stream, frame_id, it, {end})), 1, 15))::bigint % n"
+FITTED = CAND + f""",
+    tol as (select stream, frame_id, 0.05 * greatest(list_sort(list(d))[floor(0.98 * (count(*) - 1))::int + 1] - list_sort(list(d))[floor(0.02 * (count(*) - 1))::int + 1], 1e-6) as tolerance from c group by stream, frame_id),
+    it as (select distinct stream, frame_id, n, unnest(range(64)) as it from c),
+    ab as (select stream, frame_id, it, {DRAWN.format(end=1)} as a, {DRAWN.format(end=2)} as b from it),
+    ln as (select ab.stream, ab.frame_id, it, (q.d - p.d) / (q.w - p.w) as slope, p.d - (q.d - p.d) / (q.w - p.w) * p.w as intercept
+      from ab join c p on ab.stream = p.stream and ab.frame_id = p.frame_id and ab.a = p.i join c q on ab.stream = q.stream and ab.frame_id = q.frame_id and ab.b = q.i where abs(q.w - p.w) >= 1e-3),
+    sc as (select ln.stream, ln.frame_id, it, slope, intercept, count(*) as m, count_if(abs(slope * w + intercept - d) < tolerance) as inl, count_if(slope * w + intercept - d >= tolerance) as below
+      from ln join (select * from c where (i * 2654435761 + frame_id * 40503) % 4294967296 * n < 4000 * 4294967296) c on ln.stream = c.stream and ln.frame_id = c.frame_id
+      join tol on ln.stream = tol.stream and ln.frame_id = tol.frame_id group by all),
+    best as (select * from (select *, inl / m as vote_share, row_number() over (partition by stream, frame_id order by inl - below desc, it) as r from sc) where r = 1 and vote_share >= 0.25),
     fit as (select c.stream, c.frame_id, c.t, regr_slope(d, w) as slope, regr_intercept(d, w) as shift, first(tolerance) as tolerance, first(vote_share) as vote_share, count(*) as inliers
-      from c join best on c.frame_id = best.frame_id join tol on c.frame_id = tol.frame_id where abs(best.slope * w + best.intercept - d) < tolerance group by c.stream, c.frame_id, c.t having count(*) >= 8 and regr_slope(d, w) > 0)"""
+      from c join best on c.stream = best.stream and c.frame_id = best.frame_id join tol on c.stream = tol.stream and c.frame_id = tol.frame_id
+      where abs(best.slope * w + best.intercept - d) < tolerance group by c.stream, c.frame_id, c.t having count(*) >= 8 and regr_slope(d, w) > 0)"""
 
 
 @query(f"with {FITTED} select stream, frame_id, t, round(slope, 6) as slope, round(shift, 6) as shift, round(tolerance, 6) as tolerance, round(vote_share, 6) as vote_share, inliers from fit")
@@ -152,26 +163,26 @@ def floor_fit(spark, sf_dir):
     return r6(floor.floor_fit(floor_pixels(spark, sf_dir)), "slope", "shift", "tolerance", "vote_share")
 
 
-@query(f"""with {CAND}, l as (select c.*, (1 + cast(frame_id % 7 as double) / 10) * case when frame_id % 11 = 5 then 2 else 1 end * w - 0.1 - d as r from c)
+@query(f"""with {CAND}, l as (select c.*, (1 + cast({VEC} % 7 as double) / 10) * case when {VEC} % 11 = 5 then 2 else 1 end * w - 0.1 - d as r from c)
     select stream, frame_id, round(regr_slope(d, w), 6) as slope, round(regr_intercept(d, w), 6) as shift, count(*) as inliers from l where abs(r) < 0.06 group by stream, frame_id having count(*) >= 8 and regr_slope(d, w) > 0""")
 def refine_line(spark, sf_dir):
     c = floor_pixels(spark, sf_dir).filter("w > 0")
-    slope = (1 + (F.col("frame_id") % 7).cast("double") / 10) * F.when(F.col("frame_id") % 11 == 5, 2).otherwise(1)
-    lines = c.select("frame_id").distinct().withColumns({"slope": slope, "intercept": F.lit(-0.1), "vote_share": F.lit(1.0)})
-    out = floor.refine_line(c, lines, lines.select("frame_id", F.lit(0.06).alias("tolerance")), 8)
+    slope = (1 + (number() % 7).cast("double") / 10) * F.when(number() % 11 == 5, 2).otherwise(1)
+    lines = c.select("stream", "frame_id").distinct().withColumns({"slope": slope, "intercept": F.lit(-0.1), "vote_share": F.lit(1.0)})
+    out = floor.refine_line(c, lines, lines.select("stream", "frame_id", F.lit(0.06).alias("tolerance")), 8)
     return r6(out.select("stream", "frame_id", "slope", "shift", "inliers"), "slope", "shift")
 
 
 def fits(spark, sf_dir):
     """A fit for every frame but each fifth; every eleventh slope is doubled."""
-    p = planted(spark, sf_dir).withColumn("slope", F.col("slope") * F.when(F.col("frame_id") % 11 == 5, 2).otherwise(1))
-    return p.withColumns({c: F.when(F.col("frame_id") % 5 != 0, F.col(c)) for c in ("slope", "shift", "tolerance")})
+    p = planted(spark, sf_dir).withColumn("slope", F.col("slope") * F.when(number() % 11 == 5, 2).otherwise(1))
+    return p.withColumns({c: F.when(number() % 5 != 0, F.col(c)) for c in ("slope", "shift", "tolerance")})
 
 
-@query("with " + WIDE + ", " + FITTED.replace("v / 8 as w,", "w,").replace("from fx_floor where v >= 2", "from fx_wide") + " select stream, frame_id, t, round(slope, 6) as slope, round(shift, 6) as shift, round(vote_share, 6) as vote_share, inliers from fit")
+@query("with " + WIDE.replace("{div}", "//") + ", " + FITTED.replace("v / 8 as w,", "w,").replace("from fx_floor where v >= 2", "from fx_wide") + " select stream, frame_id, t, round(slope, 6) as slope, round(shift, 6) as shift, round(vote_share, 6) as vote_share, inliers from fit")
 def floor_fit_wide(spark, sf_dir):
     """Frames of thousands of pixels (from sf0.01 on over 4000), of which a spread sample votes."""
-    sql = WIDE[WIDE.index("(") + 1 : WIDE.rindex(")")].replace("from lineitem", "from {lineitem}")
+    sql = WIDE[WIDE.index("(") + 1 : WIDE.rindex(")")].replace("{div}", "div").replace("from lineitem", "from {lineitem}")
     wide = spark.sql(sql, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet")).withColumns({c: F.col(c).cast("double") for c in ("w", "d")})
     return r6(floor.floor_fit(wide).drop("tolerance"), "slope", "shift", "vote_share")
 
@@ -189,7 +200,7 @@ def gated_sql(fits: str) -> str:
           from g join o on o.stream = g.stream and o.rn = g.rn + 1)))"""
 
 
-FITS = """select stream, frame_id, t, case when frame_id % 5 <> 0 then slope * case when frame_id % 11 = 5 then 2 else 1 end end as slope, case when frame_id % 5 <> 0 then shift end as shift, 0 as tolerance, slope as vote_share from p"""
+FITS = f"""select stream, frame_id, t, case when {VEC} % 5 <> 0 then slope * case when {VEC} % 11 = 5 then 2 else 1 end end as slope, case when {VEC} % 5 <> 0 then shift end as shift, 0 as tolerance, slope as vote_share from p"""
 
 
 @query(f"with recursive {PLANTED}, {gated_sql(FITS)} select stream, frame_id, t, round(slope, 6) as slope, shift, state, rejected from g where rn > 0")
@@ -197,28 +208,28 @@ def fit_gate(spark, sf_dir):
     return r6(floor.fit_gate(fits(spark, sf_dir)).drop("tolerance"), "slope")
 
 
-@query(f"""with {PLANTED}, f as (select stream, frame_id, t, case when frame_id % 5 <> 0 then slope * case when frame_id % 11 = 5 then 2 else 1 end end as slope from p),
+@query(f"""with {PLANTED}, f as (select stream, frame_id, t, case when {VEC} % 5 <> 0 then slope * case when {VEC} % 11 = 5 then 2 else 1 end end as slope from p),
     h as (select *, last_value(case when slope is not null then t end ignore nulls) over w as ft, last_value(slope ignore nulls) over w as s from f window w as (partition by stream order by t, frame_id rows unbounded preceding))
     select stream, frame_id, t, round(s, 6) as slope, t <> ft as held from h where t - ft <= 150000""")
 def fit_hold(spark, sf_dir):
     return r6(floor.fit_hold(fits(spark, sf_dir), 150_000).select("stream", "frame_id", "t", "slope", "held"), "slope")
 
 
-@query(f"""with recursive {PLANTED}, {gated_sql(FITS)}, s as (select *, frame_id % 9 = 0 as low, cos(frame_id % 50 / 100) as gy, frame_id % 10 / 10 as edge from g where rn > 0)
+@query(f"""with recursive {PLANTED}, {gated_sql(FITS)}, s as (select *, {VEC} % 9 = 0 as low, cos({VEC} % 50 / 100) as gy, {VEC} % 10 / 10 as edge from g where rn > 0)
     select stream, t // 5000000 as report, count_if(state = 'fitted' and not low) as fitted, count_if(state = 'held' and not low) as held, count_if(state = 'dropped' and not low) as dropped, count_if(rejected and not low) as rejected, count_if(low) as low,
       round(avg(case when not low then vote_share end), 6) as mean_share, round(degrees(acos(last(gy order by t, frame_id))), 6) as tilt,
       round(coalesce(sum(case when not low and state <> 'dropped' then edge end), 0) / greatest(count_if(not low and state <> 'dropped'), 1), 6) as mean_edges from s group by 1, 2""")
 def fit_report(spark, sf_dir):
     """The gate's states; every ninth frame is below the height."""
-    low = F.col("frame_id") % 9 == 0
-    df = floor.fit_gate(fits(spark, sf_dir)).join(planted(spark, sf_dir).select("frame_id", F.col("slope").alias("vote_share")), "frame_id")
-    df = df.withColumns({"state": F.when(low, "low").otherwise(F.col("state")), "rejected": F.col("rejected") & ~low, "gy": F.cos((F.col("frame_id") % 50) / 100), "edge_share": (F.col("frame_id") % 10) / 10})
+    low = number() % 9 == 0
+    df = floor.fit_gate(fits(spark, sf_dir)).join(planted(spark, sf_dir).select("stream", "frame_id", F.col("slope").alias("vote_share")), ["stream", "frame_id"])
+    df = df.withColumns({"state": F.when(low, "low").otherwise(F.col("state")), "rejected": F.col("rejected") & ~low, "gy": F.cos((number() % 50) / 100), "edge_share": (number() % 10) / 10})
     return r6(floor.fit_report(df), "mean_share", "tilt", "mean_edges").withColumn("mean_edges", F.coalesce("mean_edges", F.lit(0.0)))
 
 
-@query(f"with {PLANTED} select stream, frame_id, t, round(slope * 1.5, 6) as scale, shift from p where frame_id % 5 <> 0")
+@query(f"with {PLANTED} select stream, frame_id, t, round(slope * 1.5, 6) as scale, shift from p where {VEC} % 5 <> 0")
 def fit_series(spark, sf_dir):
-    return r6(floor.fit_series(fits(spark, sf_dir).withColumn("slope", F.col("slope") / F.when(F.col("frame_id") % 11 == 5, 2).otherwise(1)), HEIGHT), "scale")
+    return r6(floor.fit_series(fits(spark, sf_dir).withColumn("slope", F.col("slope") / F.when(number() % 11 == 5, 2).otherwise(1)), HEIGHT), "scale")
 
 
 @query("select stream, seq, t, rng as height from fx_range where rng >= 1.5")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from photonlake.functions.scan import rank
 from photonlake.functions.shared import new_folder
-from photonlake.operators import filters, inertial
-from photonlake.plans.event_queries import SHAKEN, SUPPORTED, WIDTH_US, r6
+from photonlake.operators import filters, inertial, late
+from photonlake.plans.event_queries import BUCKETS, SHAKEN, SUPPORTED, WIDTH_US, r6
 from photonlake.plans.frame_queries import FITS, PLANTED, fits, gated_sql
 from photonlake.plans.register import query
+from photonlake.plans.sensor_queries import ATTITUDE, QUATERNION, TURNED
 from photonlake.sources.fixtures import view
 from photonlake.streaming import live
 
@@ -36,6 +37,21 @@ def source(spark, sf_dir, name, time="t"):
     return arriving(spark, view(spark, sf_dir, name), F.floor(F.col(time) / PART_US))
 
 
+def swapped(part):
+    """Parts 0 to 5 in the order 1, 0, 3, 2, 5, 4."""
+    return part + 1 - 2 * (part % 2)
+
+
+def shuffled(spark, sf_dir, name):
+    """A fixture view as a stream whose parts arrive in the wrong order, up to two parts late."""
+    return arriving(spark, view(spark, sf_dir, name), swapped(F.floor(F.col("t") / PART_US)))
+
+
+#: The delay that shuffled parts need, and the rows that the last watermark lets go.
+DELAY = "10 seconds"
+SETTLED = "(select max(t) // 1000 * 1000 - 10000000 from {})"
+
+
 @query("""select stream, t // 50000 as win, y, x, sum(p)::bigint as n_on, sum(1 - p)::bigint as n_off from fx_events
     where (t // 50000 + 1) * 50000 <= (select max(t) // 1000 * 1000 from fx_events) group by all""")
 def stream_tumbling(spark, sf_dir):
@@ -69,29 +85,32 @@ def late_packets(spark, sf_dir):
     """Packets of 100 ms, whose arrival is shaken by up to three packets."""
     e = view(spark, sf_dir, "fx_events").withColumn("packet_id", F.floor(F.col("t") / 100_000))
     p = e.groupBy("stream", "packet_id").agg(F.min("t").alias("t_lo"), F.max("t").alias("t_hi"))
-    return live.late_packets(p.withColumn("seq", F.col("packet_id") + F.pmod(F.col("packet_id") * 7, F.lit(4)) * 1.25))
+    return late.late_packets(p.withColumn("seq", F.col("packet_id") + F.pmod(F.col("packet_id") * 7, F.lit(4)) * 1.25), BUCKETS)
 
 
-@query(SUPPORTED)
+@query(f"{SUPPORTED} and e.t <= {SETTLED.format('fx_events')}")
 def stream_noise_filter(spark, sf_dir):
-    return live.drained(live.noise_filter(source(spark, sf_dir, "fx_events"), 200_000).select("stream", "seq", "t", "x", "y", "p"), "noise")
+    return live.drained(live.noise_filter(shuffled(spark, sf_dir, "fx_events"), 200_000, DELAY).select("stream", "seq", "t", "x", "y", "p"), "noise")
 
 
-@query()
+@query(f"with recursive {ATTITUDE} {TURNED} and t <= {SETTLED.format('fx_imu')}")
 def stream_attitude(spark, sf_dir):
-    return live.drained(live.attitude(inertial.imu_si_units(source(spark, sf_dir, "fx_imu"))), "attitude")
+    return r6(live.drained(live.attitude(inertial.imu_si_units(shuffled(spark, sf_dir, "fx_imu")), DELAY), "attitude"), *QUATERNION)
 
 
-@query(f"with {SHAKEN} select stream, seq, raw_t, t from m")
+@query(f"""with {SHAKEN}, c as (select stream, min(seq) as cut from s where raw_t + 80000 > (select max(raw_t) // 1000 * 1000 - 10000000 from s) group by stream)
+    select m.stream, seq, raw_t, t from m left join c on m.stream = c.stream where cut is null or seq < cut""")
 def stream_packet_time(spark, sf_dir):
-    shaken = source(spark, sf_dir, "fx_events").withColumn("t", F.col("t") - F.col("seq") % 5 * 20_000)
-    return live.drained(live.packet_time(shaken), "packet-time")
+    """An event's time lies up to 80 ms behind that of one before it."""
+    shaken = shuffled(spark, sf_dir, "fx_events").withColumn("t", F.col("t") - F.col("seq") % 5 * 20_000)
+    return live.drained(live.packet_time(shaken, DELAY, 80_000), "packet-time")
 
 
-@query(f"with recursive {PLANTED}, {gated_sql(FITS)} select stream, frame_id, t, round(slope, 6) as slope, shift, state, rejected from g where rn > 0")
+@query(f"with recursive {PLANTED}, {gated_sql(FITS)} select stream, frame_id, t, round(slope, 6) as slope, shift, state, rejected from g where rn > 0 and t <= (select max(t) // 1000 * 1000 - (max(t) // 3 // 1000 + 1000) * 1000 from p)")
 def stream_fit_gate(spark, sf_dir):
     most = fits(spark, sf_dir).agg(F.max("t")).first()[0] or 0
-    return r6(live.drained(live.fit_gate(arriving(spark, fits(spark, sf_dir), F.floor(F.col("t") * PARTS / (most + 1)))), "gate").drop("tolerance"), "slope")
+    stream = arriving(spark, fits(spark, sf_dir), swapped(F.floor(F.col("t") * PARTS / (most + 1))))
+    return r6(live.drained(live.fit_gate(stream, delay=f"{most // 3 // 1000 + 1000} milliseconds"), "gate").drop("tolerance"), "slope")
 
 
 @query("select topic, seq, bag_time_us, value from (select *, row_number() over (partition by topic order by bag_time_us desc, seq desc) as r from fx_messages) where r = 1")
@@ -110,14 +129,14 @@ def stream_nearest(spark, sf_dir):
     return out.filter(F.col("a_t") < min(ends) - 3_000_000)
 
 
-@query("with w as (select *, row_number() over (partition by stream order by t, seq) - 1 as r from fx_events) select stream, r as packet_id, t, y::bigint as y, t // 16777216 as rollovers from w")
+@query(f"with w as (select *, row_number() over (partition by stream order by t, seq) - 1 as r from fx_events) select stream, r as packet_id, t, y::bigint as y, t // 16777216 as rollovers from w where t <= {SETTLED.format('fx_events')}")
 def stream_full_time(spark, sf_dir):
     """Each event as three words of its own packet; the clock rolls over once. The time and y after the last word are asked for."""
-    e = view(spark, sf_dir, "fx_events").withColumn("packet_id", F.row_number().over(Window.partitionBy("stream").orderBy("t", "seq")).cast("long") - 1)
+    e = rank(view(spark, sf_dir, "fx_events"), ["stream"], ["t", "seq"], "packet_id", BUCKETS)
     word = lambda kind, payload: F.struct(F.lit(kind).alias("kind"), payload.cast("long").alias("payload"))
     words = F.array(word(8, F.floor(F.col("t") / 4096) % 4096), word(6, F.col("t") % 4096), word(0, F.col("y")))
     rows = e.select("stream", "packet_id", "t", F.posexplode(words).alias("pos", "w")).select("stream", "packet_id", F.col("pos").cast("long").alias("pos"), "t", "w.kind", "w.payload")
-    return live.drained(live.full_times(arriving(spark, rows, F.floor(F.col("t") / PART_US)).drop("t")), "full-time").filter("pos = 2").drop("pos")
+    return live.drained(live.full_times(arriving(spark, rows, swapped(F.floor(F.col("t") / PART_US))), DELAY), "full-time").filter("pos = 2").drop("pos")
 
 
 @query("select stream, seq, t, 15 - x as x, y, p from fx_events where y > 0")

@@ -68,9 +68,32 @@ def valid_dt(spark, sf_dir):
     return r6(inertial.valid_dt(imu(spark, sf_dir)), "dt").select("seq", "dt", "valid")
 
 
-@query()
+#: The complementary filter as a recursion over each stream's samples.
+ATTITUDE = """s as (select stream, seq, t, row_number() over (partition by stream order by t, seq) as rn, t - lag(t) over (partition by stream order by t, seq) as step,
+        ax * 9.81007::double as ax, ay * 9.81007::double as ay, az * 9.81007::double as az, wx * (pi() / 180) as wx, wy * (pi() / 180) as wy, wz * (pi() / 180) as wz from fx_imu),
+    g as (select stream, 0::bigint as rn, null::bigint as seq, null::bigint as t, 1::double as w, 0::double as x, 0::double as y, 0::double as z, 0::double as b1, 0::double as b2, 0::double as b3 from (select distinct stream from s)
+      union all
+      select stream, rn, seq, t, n0 / size, n1 / size, n2 / size, n3 / size, b1, b2, b3 from (select *, sqrt(n0 * n0 + n1 * n1 + n2 * n2 + n3 * n3) as size
+      from (select stream, rn, seq, t, b1, b2, b3, w + 0.5 * dt * -(x * g1 + y * g2 + z * g3) as n0, x + 0.5 * dt * (w * g1 + y * g3 - z * g2) as n1, y + 0.5 * dt * (w * g2 + z * g1 - x * g3) as n2, z + 0.5 * dt * (w * g3 + x * g2 - y * g1) as n3
+      from (select *, case when pulled then wx + 2 * e1 + b1 else wx end as g1, case when pulled then wy + 2 * e2 + b2 else wy end as g2, case when pulled then wz + 2 * e3 + b3 else wz end as g3
+      from (select stream, rn, seq, t, dt, pulled, w, x, y, z, wx, wy, wz, e1, e2, e3, case when pulled then c1 + 0.005 * dt * e1 else c1 end as b1, case when pulled then c2 + 0.005 * dt * e2 else c2 end as b2, case when pulled then c3 + 0.005 * dt * e3 else c3 end as b3
+      from (select *, -ay / norm * v3 + az / norm * v2 as e1, -az / norm * v1 + ax / norm * v3 as e2, -ax / norm * v2 + ay / norm * v1 as e3
+      from (select s.*, case when step > 0 and step < 100000 then step / 1000000 else 0 end as dt, sqrt(ax * ax + ay * ay + az * az) as norm, sqrt(ax * ax + ay * ay + az * az) > 1 and coalesce(step > 0 and step < 100000, false) as pulled,
+          g.w, g.x, g.y, g.z, g.b1 as c1, g.b2 as c2, g.b3 as c3, 2 * (g.x * g.y + g.w * g.z) as v1, g.w * g.w - g.x * g.x + g.y * g.y - g.z * g.z as v2, 2 * (g.y * g.z - g.w * g.x) as v3
+        from g join s on s.stream = g.stream and s.rn = g.rn + 1)))))))"""
+TURNED = "select stream, seq, t, round(w, 6) as qw, round(x, 6) as qx, round(y, 6) as qy, round(z, 6) as qz from g where rn > 0"
+QUATERNION = ("qw", "qx", "qy", "qz")
+
+
+@query(f"with recursive {ATTITUDE} {TURNED}")
 def attitude(spark, sf_dir):
-    return inertial.attitude(inertial.imu_si_units(imu(spark, sf_dir)))
+    return r6(inertial.attitude(inertial.imu_si_units(imu(spark, sf_dir))), *QUATERNION)
+
+
+@query(f"with recursive {ATTITUDE} {TURNED}")
+def attitude_in_buckets(spark, sf_dir):
+    """The same with every stream cut in time, and too short a lead for the bias to be known: buckets are run again."""
+    return r6(inertial.attitude(inertial.imu_si_units(imu(spark, sf_dir)), 2 * BUCKETS, 1_000_000), *QUATERNION)
 
 
 @query("""with d as (select seq, qw, qx, qy, qz, 2 * (qx * qy + qw * qz) as a, qw * qw - qx * qx + qy * qy - qz * qz as b, 2 * (qy * qz - qw * qx) as c from fx_odom)

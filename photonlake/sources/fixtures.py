@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Time is compressed: a month becomes 26 s. {t} is the dialect's expression for it, {div} its integer division.
+#: Streams number their frames from 0 on, each its own. Time is compressed: a month becomes 26 s. {t} is the dialect's expression for it, {div} its integer division.
 TEMPLATES = {
     "fx_events": """
         select event_id as seq, event_id % 4 as stream, cast(user_id % 16 as int) as x,
@@ -27,11 +27,11 @@ TEMPLATES = {
                o_totalprice / 100000 as rng, cast(1 as double) / 10 as min_range, cast(4 as double) as max_range
         from orders where o_orderkey % 3 = 0""",
     "fx_pixels": """
-        select vec_id as frame_id, vec_id % 4 as stream, vec_id * 50000 as t, cast(k {div} 8 as int) as v,
+        select vec_id {div} 4 as frame_id, vec_id % 4 as stream, vec_id * 50000 as t, cast(k {div} 8 as int) as v,
                cast(k % 8 as int) as u, cast(dd as double) + 1 as d
         from {numbered}""",
     "fx_floor": """
-        select vec_id as frame_id, vec_id % 4 as stream, vec_id * 50000 as t, cast(k {div} 8 as int) as v, cast(k % 8 as int) as u,
+        select vec_id {div} 4 as frame_id, vec_id % 4 as stream, vec_id * 50000 as t, cast(k {div} 8 as int) as v, cast(k % 8 as int) as u,
                (1 + cast(vec_id % 7 as double) / 10) * (case when vec_id % 11 = 5 then 2 else 1 end) * (k {div} 8) / 8
                  - cast(1 as double) / 10 + cast(dd as double) / 50
                  + (case when k % 5 = 0 then cast(1 as double) / 2 else 0 end) as d

@@ -1,25 +1,20 @@
 """Structured Streaming counterparts of the batch operators.
 
-Stateful functions get the rows of a micro-batch unordered: they sort them, and rows older than what the state has seen
-can't be put back, so they are dropped or pass unchanged as each function says. A source folder and a checkpoint folder
-are all a query needs to go on after a failure.
+Recursions wait for the watermark and see their rows in order (`ordered`), so what arrives late or shuffled gives the batch
+result. A source folder and a checkpoint folder are all a query needs to go on after a failure.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from photonlake.functions.shared import new_folder
-from photonlake.operators import floor, inertial
-
-AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
+from photonlake.operators import filters, floor, inertial
+from photonlake.streaming.ordered import folded_in_order, keep_state_on_disk
 
 
 def scan(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 8) -> DataFrame:
@@ -30,6 +25,7 @@ def scan(spark: SparkSession, path: str, schema: StructType, files_per_batch: in
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Runs an append-mode stream over what there is now, into Parquet, and reads the result."""
     spark = stream.sparkSession
+    keep_state_on_disk(spark)
     out = new_folder(spark, name)
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -62,126 +58,94 @@ def on_time(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
     return with_ts(events, delay).dropDuplicatesWithinWatermark(["stream", "seq"]).drop("ts")
 
 
-def late_packets(packets: DataFrame) -> DataFrame:
-    """Batch form, exact: stream, packet_id and whether a packet (t_lo, t_hi, in order of arrival `seq`) is accepted: none
-    before it that was accepted is newer than its first event. Depends on its own results, so a stream runs in order."""
-    rows = packets.select("stream", "packet_id", "seq", "t_lo", "t_hi").repartition("stream").sortWithinPartitions("stream", "seq")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, newest = None, None
-        for f in frames:
-            keep = []
-            for r in f.itertuples(index=False):
-                if r.stream != stream:
-                    stream, newest = r.stream, None
-                ok = newest is None or r.t_lo >= newest
-                newest = r.t_hi if ok else newest
-                keep.append(ok)
-            yield f[["stream", "packet_id"]].assign(accepted=keep)
-
-    return rows.mapInPandas(run, "stream long, packet_id long, accepted boolean")
-
-
 def noise_filter(events: DataFrame, duration_us: int, delay: str = "1 second") -> DataFrame:
-    """The background-activity filter with each pixel's last support time as state, which goes once the watermark has
-    passed all it can support. Rows older than a pixel's state are judged by the support seen so far."""
-    events = with_ts(events, delay)
-    own = events.select("stream", "x", "y", "t", "seq", "p", F.lit(True).alias("own"), "ts")
-    near = F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in AROUND))
-    support = events.select("stream", "t", "seq", "ts", F.explode(near).alias("n")).select("stream", F.col("n.x").alias("x"), F.col("n.y").alias("y"), "t", "seq", F.lit(None).cast("int").alias("p"), F.lit(False).alias("own"), "ts")
-    schema = "stream long, x int, y int, t long, seq long, p int"
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["t", "seq"])
-        keep = []
-        for own_, t in zip(rows["own"], rows["t"], strict=True):
-            keep.append(bool(own_ and last is not None and t - last <= duration_us))
-            if not own_:
-                last = int(t) if last is None else max(last, int(t))
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), (last + duration_us) // 1000) + 1)
-        yield rows[keep][["stream", "x", "y", "t", "seq", "p"]].astype({"p": "int32"})
-
-    return own.unionByName(support).groupBy("stream", "x", "y").applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def attitude(imu: DataFrame) -> DataFrame:
-    """The attitude filter with quaternion, bias and last time as state of each stream; late rows don't integrate."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        q, bias, last = (1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0), None
-        if state.exists:
-            s = state.get
-            q, bias, last = tuple(s[:4]), tuple(s[4:7]), s[7]
-        rows = pd.concat(list(frames)).sort_values(["t", "seq"])
+    """The background-activity filter, event by event in stream order whatever order they arrive in. Keys are tiles of the
+    sensor with a border of one pixel; a tile's state is the last time of each of its pixels that can still give support, and
+    goes once the watermark has passed that."""
+    columns = ["stream", "x", "y", "t", "seq", "p"]
+    tiles = filters.with_halo(events.select(*columns)).withColumnsRenamed({"_tx": "tx", "_ty": "ty", "_own": "own"})
+    state = "pixels array<long>, times array<long>"
+
+    def fold(rows: pd.DataFrame, past: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        pixels, times = (np.array(c, np.int64) for c in (past or ((), ())))
+        lx, ly = rows["x"].to_numpy(np.int64) - rows["tx"].to_numpy(np.int64) * filters.TILE + 1, rows["y"].to_numpy(np.int64) - rows["ty"].to_numpy(np.int64) * filters.TILE + 1
+        pixel, t = np.r_[pixels, ly * filters.STRIDE + lx], np.r_[times, rows["t"].to_numpy(np.int64)]
+        last = filters.last_support(pixel, t)[len(times) :]
+        own, now = rows["own"].to_numpy(bool), rows["t"].to_numpy(np.int64)
+        keep = own & (last > filters.NEVER) & (now - np.maximum(last, now - duration_us - 1) <= duration_us)
+        newest = dict(zip(pixel.tolist(), t.tolist(), strict=True))  # later rows win
+        left = sorted((at, where) for where, at in newest.items() if at >= int(t[-1]) - duration_us)
+        return rows[keep][columns].astype({"p": "Int32"}), ([w for _, w in left], [at for at, _ in left])
+
+    return folded_in_order(tiles, ["stream", "tx", "ty"], ["t", "seq"], fold, state, "stream long, x int, y int, t long, seq long, p int", delay, forget_us=duration_us)
+
+
+def attitude(imu: DataFrame, delay: str = "1 second") -> DataFrame:
+    """The attitude filter with quaternion, bias and last time as state of each stream; samples integrate in order of time."""
+
+    def fold(rows: pd.DataFrame, past: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        q, bias, last = (tuple(past[:4]), tuple(past[4:7]), past[7]) if past else (inertial.LEVEL, inertial.STILL, None)
         out, q, bias, last = inertial.attitude_of(rows, q, bias, last)
-        state.update((*map(float, q), *map(float, bias), int(last)))
-        yield out
+        return out, (*map(float, q), *map(float, bias), int(last))
 
-    cols = ["stream", "seq", "t", "ax", "ay", "az", "wx", "wy", "wz"]
-    return imu.select(*cols).groupBy("stream").applyInPandasWithState(run, inertial.ATTITUDE, "w double, x double, y double, z double, bx double, by double, bz double, t long", "append", GroupStateTimeout.NoTimeout)
+    state = "w double, x double, y double, z double, bx double, by double, bz double, t long"
+    return folded_in_order(imu.select("stream", "seq", "t", *inertial.RAW), ["stream"], ["t", "seq"], fold, state, inertial.ATTITUDE, delay)
 
 
-def full_times(words: DataFrame) -> DataFrame:
-    """The decoder's clock on a stream of words (stream, packet_id, pos, kind, payload; packets in order): t, y and the
-    rollovers so far of every word, with the last high and low time, rollover count and y of each stream as state. The batch
-    form is operators.decode.full_time. A word that comes behind a later packet of an earlier micro-batch is taken as the
-    next one."""
+def full_times(words: DataFrame, delay: str = "1 second", jitter_us: int = 0) -> DataFrame:
+    """The decoder's clock on a stream of words (stream, packet_id, pos, kind, payload, and `t`, when their packet was
+    received): t, y and the rollovers so far of every word, with the last high and low time, rollover count and y of each
+    stream as state. The batch form is operators.decode.full_time. Packets are decoded in order of their numbers; a packet may
+    be received up to `jitter_us` before one with a smaller number."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        high, low, turns, y = state.get if state.exists else (None, 0, 0, None)
-        rows = pd.concat(list(frames)).sort_values(["packet_id", "pos"])
+    def fold(rows: pd.DataFrame, past: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        high, low, turns, y = past or (None, 0, 0, None)
         times, ys, all_turns = [], [], []
         for kind, payload in zip(rows["kind"].tolist(), rows["payload"].tolist(), strict=True):
             if kind == 8:
                 if high is not None and payload < high - 10:
                     turns += 1
-                high = payload
+                high = int(payload)
             elif kind == 6:
-                low = payload
+                low = int(payload)
             elif kind == 0:
-                y = payload & 0x7FF
+                y = int(payload) & 0x7FF
             times.append(None if high is None else (turns << 24) + (high << 12) + low)
             ys.append(y)
             all_turns.append(turns)
-        state.update((high, low, turns, y))
-        yield pd.DataFrame({"stream": rows["stream"].to_numpy(), "packet_id": rows["packet_id"].to_numpy(), "pos": rows["pos"].to_numpy(), "t": pd.array(times, "Int64"), "y": pd.array(ys, "Int64"), "rollovers": all_turns})
+        out = pd.DataFrame({"stream": rows["stream"].to_numpy(), "packet_id": rows["packet_id"].to_numpy(), "pos": rows["pos"].to_numpy(), "t": pd.array(times, "Int64"), "y": pd.array(ys, "Int64"), "rollovers": all_turns})
+        return out, (high, low, turns, y)
 
-    return words.select("stream", "packet_id", "pos", "kind", "payload").groupBy("stream").applyInPandasWithState(run, "stream long, packet_id long, pos long, t long, y long, rollovers long", "high long, low long, turns long, y long", "append", GroupStateTimeout.NoTimeout)
+    rows = words.select("stream", "packet_id", "pos", "kind", "payload", "t")
+    return folded_in_order(rows, ["stream"], ["packet_id", "pos"], fold, "high long, low long, turns long, y long", "stream long, packet_id long, pos long, t long, y long, rollovers long", delay, jitter_us=jitter_us)
 
 
-def packet_time(events: DataFrame) -> DataFrame:
-    """Times that never fall, in stream order (seq): the running maximum is carried over batches."""
+def packet_time(events: DataFrame, delay: str = "1 second", jitter_us: int = 100_000) -> DataFrame:
+    """Times that never fall, in stream order (seq): the running maximum is the state. jitter_us: how far an event's time may lie
+    behind that of one with a smaller seq."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("seq")
-        top = state.get[0] if state.exists else None
-        t = np.maximum.accumulate(np.r_[[] if top is None else [top], rows["t"].to_numpy()].astype(np.int64))
-        state.update((int(t[-1]),))
-        yield pd.DataFrame({"stream": rows["stream"].to_numpy(), "seq": rows["seq"].to_numpy(), "raw_t": rows["t"].to_numpy(), "t": t[len(t) - len(rows) :]})
+    def fold(rows: pd.DataFrame, past: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        raw = rows["t"].to_numpy(np.int64)
+        t = np.maximum.accumulate(np.r_[list(past or ()), raw].astype(np.int64))[-len(raw) :]
+        return pd.DataFrame({"stream": rows["stream"].to_numpy(), "seq": rows["seq"].to_numpy(), "raw_t": raw, "t": t}), (int(t[-1]),)
 
-    return events.select("stream", "seq", "t").groupBy("stream").applyInPandasWithState(run, "stream long, seq long, raw_t long, t long", "top long", "append", GroupStateTimeout.NoTimeout)
+    return folded_in_order(events.select("stream", "seq", "t"), ["stream"], ["seq"], fold, "top long", "stream long, seq long, raw_t long, t long", delay, jitter_us=jitter_us)
 
 
-def fit_gate(fits: DataFrame, max_change: float = 0.3, hold_us: int = 500_000) -> DataFrame:
-    """The gate over floor fits with its accepted slopes and last fit as state of each stream."""
+def fit_gate(fits: DataFrame, max_change: float = 0.3, hold_us: int = 500_000, delay: str = "1 second") -> DataFrame:
+    """The gate over floor fits with its accepted slopes and last fit as state of each stream, which goes once the watermark is
+    over the hold behind the last frame."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def fold(rows: pd.DataFrame, past: tuple | None) -> tuple[pd.DataFrame, tuple]:
         gate = floor.Gate(max_change, hold_us)
-        if state.exists:
-            slopes, *last, t = state.get
+        if past:
+            slopes, *last, t = past
             gate.slopes, gate.last, gate.last_t = list(slopes), None if t is None else tuple(last), t
-        out = floor.gate_rows(gate, pd.concat(list(frames)).sort_values(["t", "frame_id"]))
-        state.update((gate.slopes, *(gate.last or (None, None, None)), gate.last_t))
-        yield out
+        out = floor.gate_rows(gate, rows)
+        return out, ([float(s) for s in gate.slopes], *(gate.last or (None, None, None)), gate.last_t)
 
-    cols = ["stream", "frame_id", "t", "slope", "shift", "tolerance"]
-    return fits.select(*cols).groupBy("stream").applyInPandasWithState(run, floor.FIT_STATE, "slopes array<double>, slope double, shift double, tolerance double, t long", "append", GroupStateTimeout.NoTimeout)
+    rows = fits.select("stream", "frame_id", "t", "slope", "shift", "tolerance")
+    return folded_in_order(rows, ["stream"], ["t", "frame_id"], fold, "slopes array<double>, slope double, shift double, tolerance double, t long", floor.FIT_STATE, delay, forget_us=hold_us)
 
 
 def latest_value(stream: DataFrame, keys: list[str], order: list[str], name: str = "latest") -> DataFrame:
