@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where the public tokenizer files lie unless a caller names another folder.
 TOKENIZER_DIR = "/opt/tokenizers"
+SLICE_BYTES = 8 << 20  # of text that a task looks at together
 
 
 def vocabulary_path(name: str) -> str:
@@ -48,9 +50,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def dropped(df: DataFrame) -> None:
     """Removes what `stored` wrote for `df`, which nothing may read any more."""
     spark = df.sparkSession
-    for file in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +91,27 @@ def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def slices(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of text (a longer text alone), so memory doesn't follow the batch."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def kept_rows(docs: DataFrame, keep: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
+    """The rows whose texts `keep` marks, judged beside the row and about SLICE_BYTES of text at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(keep(batch.column("text").cast(pa.string()).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: spreads every input bit over the word."""
     x = x ^ (x >> np.uint64(33))

@@ -26,12 +26,11 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import id_text, stored, texts, unused
+from photonlake.llm.common import id_text, kept_rows, stored, texts, unused
 
 SIMILARITY = 0.9
 RECALL = 0.95
@@ -358,15 +357,13 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
-def _holder(get):
-    """Whether a text holds an item of a group."""
+def _holding(get):
+    """Which texts hold an item of a group."""
 
-    @F.pandas_udf("boolean")
-    def holds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for col in parts:
-            bad = np.zeros(len(col), bool)
-            bad[[d for d, _, _, _ in found_in(get(), col.tolist())]] = True
-            yield pd.Series(bad)
+    def holds(texts_: list[str | None]) -> np.ndarray:
+        bad = np.zeros(len(texts_), bool)
+        bad[[d for d, _, _, _ in found_in(get(), texts_)]] = True
+        return bad
 
     return holds
 
@@ -382,9 +379,10 @@ def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rec
             found[-1] = stored(found[-1], "found")
             last[0].destroy()
         last = _shared_items(docs, group, similarity, recall)
-        found.append(docs.filter(_holder(last[1])(text)).select(F.xxhash64(text).alias("a"), F.md5(text).alias("b")))
+        holds = _holding(last[1])
+        found.append(kept_rows(docs.select("text"), holds).select(F.xxhash64(text).alias("a"), F.md5(text).alias("b")))
     if len(found) < 2:
-        return docs.filter(~_holder(last[1])(text)) if found else docs
+        return kept_rows(docs, lambda texts_: ~holds(texts_)) if found else docs
     gone = stored(reduce(DataFrame.unionByName, found).distinct(), "found")
     a, b = unused(docs, "a"), unused(docs, "b")
     keyed = docs.withColumns({a: F.xxhash64(text), b: F.coalesce(F.md5(text), F.lit(""))})

@@ -21,7 +21,7 @@ in both have equal runs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,11 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import byte_texts, id_text, mixed
+from photonlake.llm.common import byte_texts, id_text, mixed, slices
 
 BASE = 0x9E3779B97F4A7C15
 ENTRIES = 150_000  # aimed at for each bucket
-SLICE_BYTES = 8 << 20  # of text that a task looks at together
 PER_BATCH, WIDE_CLASSES = 16, 4096
 DECIDED, OPEN, WIDE = 0, 1, 2
 #: Which windows (first to last) of which row; key of the anchor; for decided ones the source and the first window there.
@@ -142,17 +141,6 @@ def packed(bucket: np.ndarray, columns: dict[str, np.ndarray], part: int) -> pa.
     return pa.record_batch([pa.array(b[cut].astype(np.int32), pa.int32()), pa.array(np.full(len(groups), part, np.int32)), *blobs], ["bucket", "part", *names])
 
 
-def slices(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of text (a longer text alone), so memory doesn't follow the batch."""
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, row (a hash of the text) and text of the rows that take part. Every join goes by the same two keys, so the
     texts are shuffled once."""

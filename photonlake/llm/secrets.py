@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import arrow_map, id_text, stored, texts
+from photonlake.llm.common import arrow_map, id_text, slices, stored, texts
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -257,22 +257,25 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", min_log10: float = MIN_LOG10
     is one, follows the text. Overlapping spans are replaced as one. words: as in secret_spans."""
     guesser = _shared_guesser(docs, words)
 
-    @F.pandas_udf("string")
-    def cleaned(col):
-        def one(text):
-            if text is None:
-                return None
-            out, at = [], 0
-            for _, start, end in scan(text, min_log10, guesser()):
-                if start >= at:
-                    out += [text[at:start], mark]
-                at = max(at, end)
-            return "".join(out) + text[at:] if out else text
-
-        return col.map(one, na_action=None)
+    def one(text: str | None, own: Guesser) -> str | None:
+        if text is None:
+            return None
+        out, at = [], 0
+        for _, start, end in scan(text, min_log10, own):
+            if start >= at:
+                out += [text[at:start], mark]
+            at = max(at, end)
+        return "".join(out) + text[at:] if out else text
+
+    def run(batches):
+        own = guesser()
+        for batch in slices(batches):
+            masked = pa.array([one(t, own) for t in texts(batch)], pa.string())
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", masked)
 
     names = docs.columns
-    out = docs.withColumn("text", cleaned(F.col("text").cast("string")))
+    typed = docs.withColumn("text", F.col("text").cast("string"))
+    out = typed.mapInArrow(run, typed.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import arrow_map, bounded_sample, byte_texts, id_text, mixed, stored, unused
+from photonlake.llm.common import arrow_map, bounded_sample, byte_texts, dropped, id_text, mixed, slices, stored, unused
 from photonlake.llm.components import components
 
 WORDS = 3
@@ -230,12 +230,13 @@ def sketch(data: bytes | None) -> tuple[bytes, np.ndarray]:
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, row (hash of the text), fp (32 bytes) and keys of every row with a doc_id."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sketch(t) for t in byte_texts(batch)]
-        return pa.record_batch([batch.column("doc_id"), batch.column("row"), pa.array([f for f, _ in found], pa.binary()), pa.array([k.tobytes() for _, k in found], pa.binary())], ["doc_id", "row", "fp", "keys"])
+    def run(batches):
+        for batch in slices(batches):
+            found = [sketch(t) for t in byte_texts(batch)]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), pa.array([f for f, _ in found], pa.binary()), pa.array([k.tobytes() for _, k in found], pa.binary())], ["doc_id", "row", "fp", "keys"])
 
     rows = id_text(docs).filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
-    return arrow_map(rows, run, "doc_id long, row long, fp binary, keys binary")
+    return rows.mapInArrow(run, "doc_id long, row long, fp binary, keys binary")
 
 
 def farthest(similarity: float) -> int:
@@ -408,7 +409,10 @@ def repeated(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame
     kept = stored(kept, "kept")
     gone = rows.select("doc_id", "row").distinct().join(kept.hint("merge"), ["doc_id", "row"], "left_anti")
     again = rows.groupBy("doc_id", "row").count().filter("count > 1").select("doc_id", "row").join(kept.hint("merge"), ["doc_id", "row"], "left_semi")
-    return stored(gone, "gone"), stored(again, "again")
+    gone, again = stored(gone, "gone"), stored(again, "again")
+    for past in (rows, classes, roots, kept):
+        dropped(past)
+    return gone, again
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -21,16 +21,14 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import arrow_map, bounded_sample, id_text, stored, texts
+from photonlake.llm.common import arrow_map, bounded_sample, id_text, kept_rows, stored, texts
 
 FIT_ROWS = 8_000
 MAX_FEATURES = 1_500
@@ -346,11 +344,8 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
     model = fit(docs, learnable(labels))
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    @F.pandas_udf("double")
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def mild(texts_: list[str | None]) -> np.ndarray:
         scorer = _scorer(name, shared)
-        for col in parts:
-            yield pd.Series([scorer(text) for text in col], dtype=float)
-
-    return docs.filter(scored(F.col("text").cast("string")) < threshold)
+        return np.array([scorer(text) < threshold for text in texts_], bool)
 
+    return kept_rows(docs, mild)
