@@ -151,16 +151,3 @@ def adjusted_count(monotonic: DataFrame) -> DataFrame:
 def unsupported(packets: DataFrame, encodings: tuple[str, ...] = ("evt3",)) -> DataFrame:
     """Packets of encodings that aren't decoded, counted."""
     return packets.filter(~F.col("encoding").isin(*encodings)).groupBy("stream", "encoding").agg(F.count("*").alias("n"))
-
-
-def encode(events: DataFrame, packet_us: int, vectors: bool = False, scale: int = 1) -> DataFrame:
-    """The inverse, for round trips: binary packets from events (x below 16), one packet for each interval."""
-    t = F.floor(F.col("t") / scale).cast("long")
-    word = lambda kind, payload: (F.lit(kind << 12) + payload).cast("int")
-    bit = lambda low, n: F.when((F.col("x") >= low) & (F.col("x") < low + n), F.expr(f"shiftleft(1, x - {low})")).otherwise(0)
-    tail = [word(VECT_BASE_X, F.col("p") * 2048), word(VECT_12, bit(0, 12)), word(VECT_8, bit(12, 8))] if vectors else [word(ADDR_X, F.col("p") * 2048 + F.col("x"))]
-    words = F.array(word(TIME_HIGH, F.shiftright(t, 12).bitwiseAND(0xFFF)), word(TIME_LOW, t.bitwiseAND(0xFFF)), word(ADDR_Y, F.col("y")), *tail)
-    hexed = F.array_join(F.transform(words, lambda w: F.concat(F.lpad(F.hex(w.bitwiseAND(0xFF)), 2, "0"), F.lpad(F.hex(F.shiftright(w, 8)), 2, "0"))), "")
-    rows = events.select("stream", F.floor(F.col("t") / packet_us).alias("packet_id"), t.alias("t"), "seq", hexed.alias("h"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "seq", "h"))), lambda r: r["h"]), "")
-    return rows.groupBy("stream", "packet_id").agg(F.unhex(joined).alias("words"), (F.min("t") * 1000).alias("time_base_ns"), F.min("t").alias("bag_time_us"), F.lit("evt3").alias("encoding"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from photonlake.operators import decode, filters, flatten, scoring, windows
 from photonlake.plans.register import query
 from photonlake.sources import recordings
-from photonlake.sources.fixtures import view
+from photonlake.sources.fixtures import encoded, view
 
 WIDTH_US, W, H = 50_000, 16, 12
 BUCKETS = 8
@@ -165,25 +165,25 @@ def adjusted_count(spark, sf_dir):
 
 @query("select stream, t, x, y, p from fx_events")
 def evt3_absolute_roundtrip(spark, sf_dir):
-    packets = decode.encode(events(spark, sf_dir), 100_000)
+    packets = encoded(events(spark, sf_dir), 100_000)
     return decode.anchor_time(decode.decode(packets, "absolute"), packets, "absolute").select("stream", "t", "x", "y", "p")
 
 
 @query("select stream, t // 16 as t, x, y, p from fx_events")
 def evt3_packet_roundtrip(spark, sf_dir):
-    packets = decode.encode(events(spark, sf_dir), 500_000, scale=16)
+    packets = encoded(events(spark, sf_dir), 500_000, scale=16)
     return decode.anchor_time(decode.decode(packets, "packet"), packets, "packet").select("stream", "t", "x", "y", "p")
 
 
 @query("select stream, t, x, y, p from fx_events")
 def evt3_vector(spark, sf_dir):
-    packets = decode.encode(events(spark, sf_dir), 100_000, vectors=True)
+    packets = encoded(events(spark, sf_dir), 100_000, vectors=True)
     return decode.anchor_time(decode.decode(packets, "sensor"), packets, "sensor").select("stream", "t", "x", "y", "p")
 
 
 @query("select stream, 'other' as encoding, count(distinct t // 100000) as n from fx_events where stream = 1 group by stream")
 def unsupported_packets(spark, sf_dir):
-    packets = decode.encode(events(spark, sf_dir), 100_000).withColumn("encoding", F.when(F.col("stream") == 1, "other").otherwise(F.col("encoding")))
+    packets = encoded(events(spark, sf_dir), 100_000).withColumn("encoding", F.when(F.col("stream") == 1, "other").otherwise(F.col("encoding")))
     return decode.unsupported(packets)
 
 

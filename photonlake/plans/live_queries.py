@@ -76,16 +76,30 @@ def stream_on_time(spark, sf_dir):
     return live.drained(live.on_time(stream).select("stream", "seq", "t", "x", "y", "p"), "on-time")
 
 
-@query("""with recursive p as (select stream, t // 100000 as packet_id, min(t) as t_lo, max(t) as t_hi from fx_events group by 1, 2),
+#: Packets of 100 ms, whose arrival is shaken by up to three packets, and which of them are accepted.
+ACCEPTED = """p as (select stream, t // 100000 as packet_id, min(t) as t_lo, max(t) as t_hi from fx_events group by 1, 2),
     o as (select *, row_number() over (partition by stream order by packet_id + packet_id * 7 % 4 * 1.25) as rn from p),
-    g as (select stream, 0::bigint as rn, null::bigint as packet_id, null::bigint as newest, false as accepted from (select distinct stream from o)
-      union all select o.stream, o.rn, o.packet_id, case when newest is null or t_lo >= newest then t_hi else newest end, newest is null or t_lo >= newest from g join o on o.stream = g.stream and o.rn = g.rn + 1)
-    select stream, packet_id, accepted from g where rn > 0""")
-def late_packets(spark, sf_dir):
-    """Packets of 100 ms, whose arrival is shaken by up to three packets."""
+    g as (select stream, 0::bigint as rn, null::bigint as packet_id, null::bigint as t_lo, null::bigint as newest, false as accepted from (select distinct stream from o)
+      union all select o.stream, o.rn, o.packet_id, o.t_lo, case when newest is null or o.t_lo >= newest then t_hi else newest end, newest is null or o.t_lo >= newest from g join o on o.stream = g.stream and o.rn = g.rn + 1)"""
+
+
+def arrived(spark, sf_dir):
     e = view(spark, sf_dir, "fx_events").withColumn("packet_id", F.floor(F.col("t") / 100_000))
     p = e.groupBy("stream", "packet_id").agg(F.min("t").alias("t_lo"), F.max("t").alias("t_hi"))
-    return late.late_packets(p.withColumn("seq", F.col("packet_id") + F.pmod(F.col("packet_id") * 7, F.lit(4)) * 1.25), BUCKETS)
+    return p.withColumn("seq", F.col("packet_id") + F.pmod(F.col("packet_id") * 7, F.lit(4)) * 1.25)
+
+
+@query(f"with recursive {ACCEPTED} select stream, packet_id, accepted from g where rn > 0")
+def late_packets(spark, sf_dir):
+    return late.late_packets(arrived(spark, sf_dir), BUCKETS)
+
+
+@query(f"""with recursive {ACCEPTED}, w as (select max(t_lo) // 1000 * 1000 - 10000000 as mark from p), c as (select stream, min(rn) as cut from g join w on t_lo + 500000 > mark where rn > 0 group by stream)
+    select g.stream, packet_id, accepted from g left join c on g.stream = c.stream where rn > 0 and (cut is null or rn < cut)""")
+def stream_late_packets(spark, sf_dir):
+    """The same on a stream whose files come in the wrong order: what the last watermark lets go."""
+    stream = arriving(spark, arrived(spark, sf_dir), swapped(F.floor(F.col("t_lo") / PART_US)))
+    return live.drained(live.late_packets(stream, DELAY, 500_000), "late")
 
 
 @query(f"{SUPPORTED} and e.t <= {SETTLED.format('fx_events')}")

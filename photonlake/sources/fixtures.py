@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from photonlake.operators import decode
 
 #: Streams number their frames from 0 on, each its own. Time is compressed: a month becomes 26 s. {t} is the dialect's expression for it, {div} its integer division.
 TEMPLATES = {
@@ -68,3 +71,16 @@ def duck(sql: str) -> str:
     if body.lower().startswith("with recursive "):
         return f"with recursive {head}, {body[15:]}"
     return f"with {head}, {body[5:]}" if body[:5].lower() == "with " else f"with {head} {body}"
+
+
+def encoded(events: DataFrame, packet_us: int, vectors: bool = False, scale: int = 1) -> DataFrame:
+    """The inverse of decoding, for round trips: binary packets from events (x below 16), one packet for each interval."""
+    t = F.floor(F.col("t") / scale).cast("long")
+    word = lambda kind, payload: (F.lit(kind << 12) + payload).cast("int")
+    bit = lambda low, n: F.when((F.col("x") >= low) & (F.col("x") < low + n), F.expr(f"shiftleft(1, x - {low})")).otherwise(0)
+    tail = [word(decode.VECT_BASE_X, F.col("p") * 2048), word(decode.VECT_12, bit(0, 12)), word(decode.VECT_8, bit(12, 8))] if vectors else [word(decode.ADDR_X, F.col("p") * 2048 + F.col("x"))]
+    words = F.array(word(decode.TIME_HIGH, F.shiftright(t, 12).bitwiseAND(0xFFF)), word(decode.TIME_LOW, t.bitwiseAND(0xFFF)), word(decode.ADDR_Y, F.col("y")), *tail)
+    hexed = F.array_join(F.transform(words, lambda w: F.concat(F.lpad(F.hex(w.bitwiseAND(0xFF)), 2, "0"), F.lpad(F.hex(F.shiftright(w, 8)), 2, "0"))), "")
+    rows = events.select("stream", F.floor(F.col("t") / packet_us).alias("packet_id"), t.alias("t"), "seq", hexed.alias("h"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "seq", "h"))), lambda r: r["h"]), "")
+    return rows.groupBy("stream", "packet_id").agg(F.unhex(joined).alias("words"), (F.min("t") * 1000).alias("time_base_ns"), F.min("t").alias("bag_time_us"), F.lit("evt3").alias("encoding"))

@@ -58,6 +58,22 @@ def on_time(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
     return with_ts(events, delay).dropDuplicatesWithinWatermark(["stream", "seq"]).drop("ts")
 
 
+def late_packets(packets: DataFrame, delay: str = "1 second", jitter_us: int = 0) -> DataFrame:
+    """stream, packet_id and whether a packet (t_lo to t_hi, in order of arrival `seq`) is accepted: no accepted one before it is
+    newer than its first event. The newest accepted time of each stream is the state. jitter_us: how far a packet's first event
+    may lie behind that of one that arrived before it."""
+
+    def fold(rows: pd.DataFrame, past: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        newest, keep = past[0] if past else None, []
+        for lo, hi in zip(rows["t_lo"].tolist(), rows["t_hi"].tolist(), strict=True):
+            keep.append(newest is None or lo >= newest)
+            newest = int(hi) if keep[-1] else newest
+        return rows[["stream", "packet_id"]].assign(accepted=keep), (newest,)
+
+    rows = packets.select("stream", "packet_id", "seq", "t_lo", "t_hi")
+    return folded_in_order(rows, ["stream"], ["seq"], fold, "newest long", "stream long, packet_id long, accepted boolean", delay, "t_lo", jitter_us)
+
+
 def noise_filter(events: DataFrame, duration_us: int, delay: str = "1 second") -> DataFrame:
     """The background-activity filter, event by event in stream order whatever order they arrive in. Keys are tiles of the
     sensor with a border of one pixel; a tile's state is the last time of each of its pixels that can still give support, and
