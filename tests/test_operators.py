@@ -2,18 +2,22 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from photonlake.functions.scan import rank, running
 from photonlake.functions.search import first_at_least, path_ends
 from photonlake.operators import align, decode, filters, flatten, floor, frames, inertial, late, routing, windows
 from photonlake.plans import event_queries, frame_queries, live_queries, sensor_queries
 from photonlake.sources import recordings
+from photonlake.streaming.ordered import SHIFT_US, InOrder
 
 EVENTS = "stream long, seq long, t long, x int, y int, p int"
 
@@ -266,6 +270,74 @@ def test_streams_equal_batch(spark, small):
     assert set(some) <= set(whole) and len(some) > 0.4 * len(whole)
 
 
+class State(list):
+    """What a stateful processor sees of Spark, in memory."""
+
+    exists = lambda self: bool(self)
+    get = lambda self: self[0] if self.single else iter(self)
+    update = lambda self, value: self.put([value])
+
+    def __init__(self, single):
+        self.single = single
+
+    def put(self, rows):
+        self[:] = rows
+
+
+class Handle:
+    def __init__(self):
+        self.timers, self.states = set(), {}
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, State(False))
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, State(True))
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def listTimers(self):
+        return iter(self.timers)
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.tuples(st.integers(0, 60_000), st.integers(0, 9)), min_size=1, max_size=40), st.integers(1, 6), st.integers(0, 20), st.booleans())
+def test_reorder_buffer_folds_in_order(arrivals, size, jitter_ms, forget):
+    """Rows (time in us, how late they come) in batches of any size: the fold sees each once and in order, and forgets in the end."""
+    ordered = sorted(arrivals)
+    rows = [(t, k) for k, (t, _) in enumerate(ordered)]  # numbered in order of time; a number's time may lie behind by the jitter
+    shaken = [(t - (k * 7919 % (jitter_ms * 1000 + 1)), k) for t, k in rows]
+    come = [shaken[k] for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] + ordered[k][1] * 1000, k))]
+    delay_ms = 10 + jitter_ms
+    seen = []
+
+    def fold(part, past):
+        seen.extend(part["k"].tolist())
+        return part, ((past[0] if past else 0) + len(part),)
+
+    handle = Handle()
+    schema = StructType().add("t", "long").add("k", "long")
+    machine = InOrder(schema, "n long", fold, ["k"], "t", jitter_ms * 1000, 1000 if forget else None)
+    machine.init(handle)
+    mark, top = 0, 0
+    for at in range(0, len(come), size):
+        part = come[at : at + size]
+        list(machine.handleInputRows(("key",), iter([pd.DataFrame(part, columns=["t", "k"])]), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark)))
+        top = max([top, *((t + SHIFT_US) // 1000 for t, _ in part)])
+        mark = max(mark, top - delay_ms)
+        for ms in sorted(m for m in handle.timers if m <= mark):
+            handle.timers.discard(ms)
+            list(machine.handleExpiredTimer(("key",), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), None))
+    while handle.timers:
+        mark = max(handle.timers) + 1
+        for ms in sorted(handle.timers):
+            handle.timers.discard(ms)
+            list(machine.handleExpiredTimer(("key",), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), None))
+    assert seen == list(range(len(rows))) and not handle.states["waiting"]
+    assert bool(handle.states["folded"]) != forget
+
+
 def test_late_packets(spark):
     p = spark.createDataFrame([(0, 0, 0, 0, 10), (0, 1, 1, 20, 30), (0, 2, 2, 5, 9), (0, 3, 3, 25, 26), (0, 4, 4, 30, 40), (0, 5, 5, None, 1)], "stream long, packet_id long, seq long, t_lo long, t_hi long")
     assert sorted((r.packet_id, r.accepted) for r in late.late_packets(p).collect()) == [(0, True), (1, True), (2, False), (3, False), (4, True), (5, False)]
