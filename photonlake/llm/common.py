@@ -112,6 +112,18 @@ def kept_rows(docs: DataFrame, keep: Callable[[list[str | None]], np.ndarray]) -
     return docs.mapInArrow(run, docs.schema)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, build: Callable[[], object]) -> object:
+    """What `build` makes, once in each Python worker, which keeps it from task to task until another name is asked for. A worker
+    serves one stage after the other and holds the tables of one."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = build()
+    return _HELD[name]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: spreads every input bit over the word."""
     x = x ^ (x >> np.uint64(33))

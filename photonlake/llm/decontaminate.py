@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import id_text, kept_rows, stored, texts, unused
+from photonlake.llm.common import held, id_text, kept_rows, stored, texts, unused
 
 SIMILARITY = 0.9
 RECALL = 0.95
@@ -301,21 +301,15 @@ def item_groups(items: DataFrame, bound: int = GROUP_BYTES) -> Iterator[tuple[li
         yield ids, held
 
 
-_BUILT: dict[str, Items] = {}
-
-
 def _shared_items(docs: DataFrame, group: tuple[list[int], list[str]], similarity: float, recall: float):
     """The broadcast texts of a group, and what gives a task its search tables: built once by each worker, one group at a time."""
     name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(group)
 
-    def get() -> Items:
-        if name not in _BUILT:
-            _BUILT.clear()
-            ids, texts_ = shared.value
-            _BUILT[name] = Items(ids, [fold(t) for t in texts_], similarity, recall)
-        return _BUILT[name]
+    def build() -> Items:
+        ids, texts_ = shared.value
+        return Items(ids, [fold(t) for t in texts_], similarity, recall)
 
-    return shared, get
+    return shared, lambda: held(name, build)
 
 
 def found_in(group: Items, texts_: list[str | None]) -> Iterator[tuple[int, int, int, int]]:

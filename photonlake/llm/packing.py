@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import id_text, stored, texts, vocabulary_path
+from photonlake.llm.common import held, id_text, slices, stored, texts, vocabulary_path
 
 CAPACITY = 4096
 END_ID = 1
@@ -40,7 +40,7 @@ LATIN = re.compile("[!-~\u00a1-\u017e]+")
 #: The printable stand-ins of byte-level vocabularies for bytes that aren't printable Latin-1 characters.
 STAND_INS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 WHOLE = re.compile("<\\|startoftext\\|>|<\\|endoftext\\|>|[\x1c-\x1f]")
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 
 
 @lru_cache(maxsize=2)
@@ -99,10 +99,9 @@ class Ids:
         return b"".join(out)
 
 
-@lru_cache(maxsize=1)
 def ids_of(path: str) -> Ids:
-    """One for each Python worker, which keeps it from task to task."""
-    return Ids(path)
+    """One for each Python worker."""
+    return held(path, lambda: Ids(path))
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -113,7 +112,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     def run(batches):
         ids = ids_of(path)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 data = ids(text or "") + end

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import arrow_map, id_text, slices, stored, texts
+from photonlake.llm.common import arrow_map, held, id_text, slices, stored, texts
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -221,20 +221,10 @@ def scan(text: str, min_log10: float = MIN_LOG10, guesser: Guesser = guess_cost)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-_GUESSERS: dict[str, Guesser] = {}
-
-
 def _shared_guesser(docs: DataFrame, words: Sequence[str] | None) -> Callable[[], Guesser]:
     """A dictionary counted from `docs` (or given), broadcast; each Python worker builds it once."""
     shared, name = docs.sparkSession.sparkContext.broadcast(word_counts(docs) if words is None else list(words)), uuid.uuid4().hex
-
-    def get() -> Guesser:
-        if name not in _GUESSERS:
-            _GUESSERS.clear()
-            _GUESSERS[name] = Guesser(shared.value)
-        return _GUESSERS[name]
-
-    return get
+    return lambda: held(name, lambda: Guesser(shared.value))
 
 
 def secret_spans(docs: DataFrame, min_log10: float = MIN_LOG10, words: Sequence[str] | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import arrow_map, bounded_sample, id_text, kept_rows, stored, texts
+from photonlake.llm.common import arrow_map, bounded_sample, held, id_text, kept_rows, stored, texts
 
 FIT_ROWS = 8_000
 MAX_FEATURES = 1_500
@@ -280,6 +280,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     return model | {"weights": {int(f): float(v) for f, v in zip(sorted(chosen), w[:-1], strict=True)}, "base": float(w[-1])}
 
 
+#: Tokens whose features a scorer remembers.
+REMEMBERED = 250_000
+
+
 class Scorer:
     """Scores texts under a model and remembers, within a bound, which features a token has."""
 
@@ -293,7 +297,7 @@ class Scorer:
             key = (t, isinstance(t, Spaced))
             hits = seen.get(key)
             if hits is None:
-                if len(seen) > 500_000:
+                if len(seen) > REMEMBERED:
                     seen.clear()
                 hits = seen[key] = tuple(f for word in restored(t, costs).split() for f in features(word) if f in weights)
             for f in hits:
@@ -302,15 +306,9 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scorer(name: str, shared) -> Scorer:
-    """One for each Python worker and model; the worker keeps it from task to task."""
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(shared.value)
-    return _SCORERS[name]
+    """One for each Python worker and model."""
+    return held(name, lambda: Scorer(shared.value))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
