@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from photonlake.functions.shared import spread
+from photonlake.functions.shared import spread, stored
 
 
 #: A tile's side in pixels, and the length of a line of a tile with its border.
@@ -116,29 +116,40 @@ def slopes(x, y, d):
     return radial + 2 * x * x * bend + 2 * p1 * y + 6 * p2 * x, 2 * x * y * bend + 2 * p1 * x + 2 * p2 * y, radial + 2 * y * y * bend + 6 * p1 * y + 2 * p2 * x
 
 
+#: A step of Newton's method behind which a point stays where it is.
+STILL = 1e-14
+
+
 def ray_through(x0: np.ndarray, y0: np.ndarray, d: tuple[float, ...], fisheye: bool, rounds: int = 30, most: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
     """The points that a lens shows at (x0, y0), NaN where it shows none there: Newton's method with bounded steps, over the
     point or (equidistant) over the angle. A result counts if the lens puts it back within `most`, and if the model doesn't
     fold between the centre and it."""
     part = np.arange(1, 17)[:, None] / 16.0
     with np.errstate(all="ignore"):
+        going = np.arange(len(x0))  # points that still move
         if fisheye:
             r0 = np.hypot(x0, y0)
             a = np.minimum(r0, 1.5)
             for _ in range(rounds):
-                a = a - np.clip((shown_angle(a, d) - r0) / angle_slope(a, d), -0.2, 0.2)
+                step = np.clip((shown_angle(a[going], d) - r0[going]) / angle_slope(a[going], d), -0.2, 0.2)
+                a[going] -= step
+                going = going[~(np.abs(step) < STILL)]
             scale = np.where(r0 > 1e-12, np.tan(a) / np.maximum(r0, 1e-12), 1.0)
             x, y = x0 * scale, y0 * scale
             rises = (angle_slope(a * part, d) > 0).all(0) & (a >= 0) & (a < np.pi / 2)
         else:
             x, y = x0.copy(), y0.copy()
             for _ in range(rounds):
-                sx, sy = shown_at(x, y, d, False)
-                xx, xy, yy = slopes(x, y, d)
+                px, py = x[going], y[going]
+                sx, sy = shown_at(px, py, d, False)
+                sx, sy = sx - x0[going], sy - y0[going]
+                xx, xy, yy = slopes(px, py, d)
                 det = xx * yy - xy * xy
-                mx, my = (yy * (sx - x0) - xy * (sy - y0)) / det, (xx * (sy - y0) - xy * (sx - x0)) / det
-                short = np.minimum(1.0, 0.2 / np.maximum(np.hypot(mx, my), 1e-300))
-                x, y = x - short * mx, y - short * my
+                mx, my = (yy * sx - xy * sy) / det, (xx * sy - xy * sx) / det
+                long = np.hypot(mx, my)
+                short = np.minimum(1.0, 0.2 / np.maximum(long, 1e-300))
+                x[going], y[going] = px - short * mx, py - short * my
+                going = going[~(long < STILL)]
             xx, xy, yy = slopes(x * part, y * part, d)
             rises = ((xx * yy - xy * xy > 0) & (xx + yy > 0)).all(0)
         sx, sy = shown_at(x, y, d, fisheye)
@@ -155,15 +166,15 @@ def rays_at(points: DataFrame) -> DataFrame:
     x0, y0 = (F.col("u") - F.element_at("k", 3)) / F.element_at("k", 1), (F.col("v") - F.element_at("k", 6)) / F.element_at("k", 5)
 
     @F.pandas_udf("rx double, ry double")
-    def rays(x: pd.Series, y: pd.Series, k: pd.Series) -> pd.DataFrame:
+    def rays(x: pd.Series, y: pd.Series, lens: pd.Series) -> pd.DataFrame:
         out = np.full((len(x), 2), np.nan)
-        lens = pd.Series([tuple(v) for v in k])
         for own in lens.unique():
             at = (lens == own).to_numpy()
-            out[at] = np.stack(ray_through(x.to_numpy()[at], y.to_numpy()[at], own[:5], own[5] > 0), 1)
+            *d, fisheye = map(float, own.split(","))
+            out[at] = np.stack(ray_through(x.to_numpy()[at], y.to_numpy()[at], d, fisheye > 0), 1)
         return pd.DataFrame({"rx": out[:, 0], "ry": out[:, 1]})
 
-    lens = F.array(*d, F.coalesce(F.col("fisheye"), F.lit(False)).cast("double"))
+    lens = F.concat_ws(",", *(c.cast("string") for c in (*d, F.coalesce(F.col("fisheye"), F.lit(False)).cast("int"))))
     known = lambda c: F.when(~F.isnan(f"_p.{c}"), F.col(f"_p.{c}"))
     return points.withColumn("_p", rays(x0, y0, lens)).withColumns({"rx": known("rx"), "ry": known("ry")}).drop("_p")
 
@@ -187,8 +198,9 @@ def rectified_intrinsics(rays: DataFrame) -> DataFrame:
 
 
 def build_remap(calibration: DataFrame) -> DataFrame:
-    """camera, x, y, ux, uy: where each sensor pixel falls in the rectified camera (not rounded; null where it has no ray)."""
-    rays = pixel_rays(calibration)
+    """camera, x, y, ux, uy: where each sensor pixel falls in the rectified camera (not rounded; null where it has no ray). Rays
+    are stored, since the border and the pixels read them."""
+    rays = stored(pixel_rays(calibration), "rays")
     new = rectified_intrinsics(rays).drop("width", "height")
     return rays.join(new, "camera").select("camera", F.col("u").alias("x"), F.col("v").alias("y"), (F.col("rx") * F.col("fx") + F.col("cx")).alias("ux"), (F.col("ry") * F.col("fy") + F.col("cy")).alias("uy"), "width", "height")
 
