@@ -105,8 +105,11 @@ def attitude_of(rows: pd.DataFrame, q: tuple, bias: tuple, last: int | None) ->
 ATTITUDE_ROWS = 250_000
 LEVEL, STILL = (1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0)
 RAW = ("ax", "ay", "az", "wx", "wy", "wz")
-#: A bucket's state before its first own row, after its last one, and how often it was run. Quaternions up to a turn about the world's y axis.
-STATES = "stream long, _bucket int, runs int, " + ", ".join(f"{e}_{c} double" for e in ("s", "e") for c in ("qw", "qx", "qy", "qz", "bx", "by", "bz")) + ", s_t long, e_t long"
+#: A bucket's state before its first own row, after its last one, how often it was run, and how the direction of gravity and the
+#: bias at its end follow the bias at its start (6 x 3). Quaternions up to a turn about the world's y axis.
+STATES = "stream long, _bucket int, runs int, " + ", ".join(f"{e}_{c} double" for e in ("s", "e") for c in ("qw", "qx", "qy", "qz", "bx", "by", "bz")) + ", s_t long, e_t long, slope array<double>"
+COMPARED = STATES + ", " + ", ".join(f"p_{c} double" for c in ("qw", "qx", "qy", "qz", "bx", "by", "bz")) + ", p_t long, apart double"
+NUDGE = 1e-4  # of the bias, rad/s
 
 
 def _turn(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -116,29 +119,52 @@ def _turn(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.stack([w * a - x * b - y * c - z * d, w * b + x * a + y * d - z * c, w * c - x * d + y * a + z * b, w * d + x * c - y * b + z * a], 1)
 
 
-def _states(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[f.split()[0] for f in STATES.split(", ")]).astype({"runs": "int32", "_bucket": "int32", "stream": "Int64", "s_t": "Int64", "e_t": "Int64"})
-
-
-def _apart(states: DataFrame) -> DataFrame:
-    """Every bucket's state with its predecessor's end (p_...), and `apart`: how far its start is from that end, in the direction
-    of gravity and in the bias. One row a bucket."""
-    w = Window.partitionBy("stream").orderBy("_bucket")
-    names = ("qw", "qx", "qy", "qz", "bx", "by", "bz", "t")
-    df = states.withColumns({f"p_{c}": F.lag(f"e_{c}").over(w) for c in names})
-    ends = [quaternion.down(*(F.col(f"{e}_{c}") for c in names[:4])) for e in ("s", "p")]
-    far = [F.abs(a - b) for a, b in zip(*ends, strict=True)] + [F.abs(F.col(f"s_{c}") - F.col(f"p_{c}")) for c in names[4:7]]
-    return df.withColumn("apart", F.when(F.col("p_qw").isNotNull(), F.greatest(*far)).otherwise(0.0))
-
-
-def attitude_buckets(imu: DataFrame, buckets: int | None = None, warm_us: int = 5_000_000, tolerance: float = 1e-10) -> tuple[DataFrame, DataFrame]:
+def _table(rows: list[tuple], schema: str) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
+    return out.astype({"runs": "int32", "_bucket": "int32", "stream": "Int64", **{c: "Int64" for c in ("s_t", "e_t", "p_t") if c in out}})
+
+
+def _gravity(q: np.ndarray) -> np.ndarray:
+    return np.array([float(c) for c in quaternion.down(*q)])
+
+
+def compare(part: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """Of one stream's buckets, one row each: where each should start (p_...) by its predecessor's end, and how far that is from
+    where it did, in the direction of gravity and in the bias. A predecessor that is going to be run from elsewhere itself will end
+    elsewhere: its end is moved by its slope, so what the slow bias needs is handed through all buckets in one round."""
+    part = part.sort_values("_bucket")
+    names = [f.split()[0] for f in STATES.split(", ")]
+    out, moved, before = [], np.zeros(3), None
+    for row in part[names].itertuples(index=False, name=None):
+        r = dict(zip(names, row, strict=True))
+        sq, sb = np.array([r[f"s_{c}"] for c in ("qw", "qx", "qy", "qz")]), np.array([r[f"s_{c}"] for c in ("bx", "by", "bz")])
+        if before is None:
+            q, bias, t, apart = sq, sb, None, 0.0
+        else:
+            q, bias, t = np.array([before[f"e_{c}"] for c in ("qw", "qx", "qy", "qz")]), np.array([before[f"e_{c}"] for c in ("bx", "by", "bz")]), before["e_t"]
+            if moved.any():
+                change = np.array(before["slope"]).reshape(6, 3) @ moved
+                old = _gravity(q)
+                new = (old + change[:3]) / np.linalg.norm(old + change[:3])
+                p = np.r_[1 + old @ new, np.cross(old, new)]
+                q, bias = _turn(q[None], p[None] / np.linalg.norm(p))[0], bias + change[3:]
+            apart = float(max(np.abs(_gravity(q) - _gravity(sq)).max(), np.abs(bias - sb).max()))
+        moved = bias - sb if apart > tolerance else np.zeros(3)
+        before = r
+        out.append((*row, *q, *bias, t, apart))
+    return _table(out, COMPARED)
+
+
+def attitude_buckets(imu: DataFrame, buckets: int | None = None, warm_us: int = 5_000_000, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
     """The samples in buckets that follow each other in time, and each bucket's states.
 
     A bucket starts at a level state `warm_us` before its first row. The filter forgets where it began, but for two things: a
     turn about the vertical stays (the filter moves with it, so it is put right at the end by one turn a bucket), and the bias is
-    slow. So a bucket's start is compared with its predecessor's end; those that differ by more than `tolerance` are run again
-    from that end, until none differs. Each round makes one more bucket from the front exact, and all others closer: the error
-    shrinks by what the filter forgets within a bucket. `runs` says how often a bucket was run."""
+    slow. So a bucket is also run with its first bias nudged along each axis, and from these slopes the buckets' biases are
+    found together, as Newton's method would: a start is compared with its predecessor's end, moved by what that one's own start
+    moves, and buckets whose start differs by more than `tolerance` are run again from there, until none differs. The bucket
+    behind the last exact one becomes exact in each round, so it ends; the rounds needed are few and don't grow with the
+    stream. `runs` says how often a bucket was run (the nudged runs aside)."""
     rows = bucketed(imu.select("stream", "seq", "t", *RAW), ["stream"], "t", buckets or max(1, math.ceil(imu.count() / ATTITUDE_ROWS)))
     many = rows.groupBy("stream").agg(F.count_distinct("_bucket").alias("n")).agg(F.max("n")).first()[0] or 0
     warm = with_lead(rows, ["stream"], "t", warm_us) if many > 1 else rows.withColumn("_own", F.lit(True))
@@ -148,29 +174,35 @@ def attitude_buckets(imu: DataFrame, buckets: int | None = None, warm_us: int =
         lead, own = part[~part["_own"]], part[part["_own"]]
         _, q, bias, last = attitude_of(lead, LEVEL, STILL, None)
         _, q2, bias2, last2 = attitude_of(own, q, bias, last)
-        return _states([(*key, 1, *q, *bias, *q2, *bias2, last, last2)])
+        slope = np.zeros((6, 3))
+        for k in range(3 if many > 1 else 0):
+            _, q3, bias3, _ = attitude_of(own, q, tuple(b + NUDGE * (k == j) for j, b in enumerate(bias)), last)
+            slope[:, k] = (np.r_[_gravity(q3), bias3] - np.r_[_gravity(q2), bias2]) / NUDGE
+        return _table([(*key, 1, *q, *bias, *q2, *bias2, last, last2, slope.ravel().tolist())], STATES)
 
     states = stored(spread(warm, "stream", "_bucket").groupBy("stream", "_bucket").applyInPandas(first, STATES), "attitude")
     for _ in range(many - 1):
-        compared = _apart(states)
+        compared = stored(states.groupBy("stream").applyInPandas(lambda part: compare(part, tolerance), COMPARED), "compared")
         late = compared.filter(F.col("apart") > tolerance)
         if late.isEmpty():
+            dropped(compared)
             break
 
         def again(key: tuple, part: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
             e = ends.iloc[0]
             q, bias, last = tuple(float(e[f"p_{c}"]) for c in ("qw", "qx", "qy", "qz")), tuple(float(e[f"p_{c}"]) for c in ("bx", "by", "bz")), int(e["p_t"])
             _, q2, bias2, last2 = attitude_of(part.sort_values(["t", "seq"]), q, bias, last)
-            return _states([(*key, int(e["runs"]) + 1, *q, *bias, *q2, *bias2, last, last2)])
+            return _table([(*key, int(e["runs"]) + 1, *q, *bias, *q2, *bias2, last, last2, list(e["slope"]))], STATES)
 
         own = null_safe(rows, late.select("stream", "_bucket"), ["stream", "_bucket"])
         redone = spread(own, "stream", "_bucket").groupBy("stream", "_bucket").cogroup(late.groupBy("stream", "_bucket")).applyInPandas(again, STATES)
         old, states = states, stored(redone.unionByName(compared.filter(F.col("apart") <= tolerance).select(*states.columns)), "attitude")
         dropped(old)
+        dropped(compared)
     return rows, states
 
 
-def attitude(imu: DataFrame, buckets: int | None = None, warm_us: int = 5_000_000, tolerance: float = 1e-10) -> DataFrame:
+def attitude(imu: DataFrame, buckets: int | None = None, warm_us: int = 5_000_000, tolerance: float = 1e-9) -> DataFrame:
     """Attitude after each sample (SI units), one long stream in many tasks (see `attitude_buckets`). The turns about the vertical
     that part neighbouring buckets are summed over one row a bucket."""
     rows, states = attitude_buckets(imu, buckets, warm_us, tolerance)
