@@ -17,6 +17,7 @@ from photonlake.functions.search import first_at_least, path_ends
 from photonlake.operators import align, decode, filters, flatten, floor, frames, inertial, late, routing, windows
 from photonlake.plans import event_queries, frame_queries, live_queries, sensor_queries
 from photonlake.sources import recordings
+from photonlake.streaming import live
 from photonlake.streaming.ordered import SHIFT_US, InOrder
 
 EVENTS = "stream long, seq long, t long, x int, y int, p int"
@@ -521,3 +522,52 @@ def test_rate_in_many_buckets(spark, small):
     imu = sensor_queries.imu(spark, small)
     rates = lambda n: sorted((r.seq, r.rate_hz) for r in inertial.rate_hz(imu, buckets=n).collect())
     assert rates(1) == rates(40)
+
+
+def test_waiting_rows_are_packed(monkeypatch):
+    """Rows that wait take a few bytes each, and are let go a chunk at a time, in order, by whatever runs they came in."""
+    from photonlake.streaming import ordered
+
+    monkeypatch.setattr(ordered, "CHUNK", 1000)
+    monkeypatch.setattr(ordered, "RUN", 4000)
+    seen, sizes = [], []
+
+    def fold(part, past):
+        seen.extend(part["k"].tolist())
+        sizes.append(len(part))
+        return part[:0], (len(seen),)
+
+    handle, n = Handle(), 60_000
+    machine = InOrder(StructType().add("t", "long").add("k", "long"), "n long", fold, ["k"], "t", 0, None)
+    machine.init(handle)
+    order = np.random.default_rng(5).permutation(n // 100)
+    rows = pd.DataFrame({"k": (order[:, None] * 100 + np.arange(100)).ravel()}).assign(t=lambda d: d["k"] * 10)
+    parts = [rows[["t", "k"]][at : at + 700] for at in range(0, n, 700)]
+    list(machine.handleInputRows(("key",), iter(parts), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    assert not seen and sum(len(c[-1]) for c in handle.states["waiting"]) < 8 * n
+    mark = (SHIFT_US + 10 * (n // 2)) // 1000
+    list(machine.handleExpiredTimer(("key",), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), None))
+    assert seen == list(range(n // 2 + 1)) and max(sizes) <= 20_000
+    list(machine.handleExpiredTimer(("key",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 2 * mark), None))
+    assert seen == list(range(n)) and not handle.states["waiting"]
+
+
+def test_clock_on_a_stream_equals_the_batch_form(spark):
+    """Words before any high or low time or row, jitter and rollovers, in parts of any length."""
+    rng = np.random.default_rng(4)
+    kinds = rng.choice([8, 6, 0, 2], 400)
+    words = pd.DataFrame({"stream": 0, "packet_id": np.arange(400) // 7, "pos": np.arange(400) % 7, "kind": kinds, "payload": rng.integers(0, 4096, 400)})
+    want = {(r.packet_id, r.pos): (r.t, r.y) for r in decode.full_time(spark.createDataFrame(words)).collect()}
+    folds = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(live, "folded_in_order", lambda rows, keys, order, fold, *rest, **more: folds.append(fold))
+        live.full_times(SimpleNamespace(select=lambda *c: None))
+    past, at = None, 0
+    while at < len(words):
+        n = int(rng.integers(1, 30))
+        out, past = folds[0](words[at : at + n], past)
+        for r in out.itertuples():
+            t, y = want[r.packet_id, r.pos]
+            assert (pd.isna(r.t) or r.t == t) and (y is None if pd.isna(r.y) else r.y == y)
+            assert pd.isna(r.t) == (not (kinds[: r.packet_id * 7 + r.pos + 1] == 8).any())
+        at += n
