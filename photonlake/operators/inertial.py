@@ -88,23 +88,33 @@ def mahony_step(q: tuple, bias: tuple, gyro: tuple, accel: tuple, dt: float) ->
     return tuple(c / size for c in q), bias
 
 
+RAW = ("ax", "ay", "az", "wx", "wy", "wz")
+#: Steps whose samples are lists of Python numbers at a time.
+SLICE = 50_000
+
+
 def attitude_of(rows: pd.DataFrame, q: tuple, bias: tuple, last: int | None) -> tuple[pd.DataFrame, tuple, tuple, int | None]:
     """The quaternion after each row of one stream, sorted by time; steps that aren't in (0, 0.1 s) don't integrate."""
-    out = []
-    columns = (rows[c].tolist() for c in ("t", "ax", "ay", "az", "wx", "wy", "wz"))
-    for t, ax, ay, az, wx, wy, wz in zip(*columns, strict=True):
-        dt = (t - last) / 1e6 if last is not None else 0.0
-        if 0 < dt < 0.1:
+    t = rows["t"].to_numpy(np.int64)
+    step = np.diff(t, prepend=t[:1] if last is None else last)
+    turns = (step > 0) & (step < 100_000)
+    at = np.flatnonzero(turns)
+    out = np.empty((len(at) + 1, 4))
+    out[0] = q
+    raw = [rows[c].to_numpy(float) for c in RAW]
+    for first in range(0, len(at), SLICE):
+        own = at[first : first + SLICE]
+        for k, (dt, ax, ay, az, wx, wy, wz) in enumerate(zip((step[own] / 1e6).tolist(), *(c[own].tolist() for c in raw), strict=True), first + 1):
             q, bias = mahony_step(q, bias, (wx, wy, wz), (ax, ay, az), dt)
-        last = t
-        out.append(q)
-    return rows[["stream", "seq", "t"]].join(pd.DataFrame(out, columns=["qw", "qx", "qy", "qz"], index=rows.index)), q, bias, last
+            out[k] = q
+    places = np.cumsum(turns)
+    turned = {c: out[places, k] for k, c in enumerate(("qw", "qx", "qy", "qz"))}
+    return rows[["stream", "seq", "t"]].assign(**turned), q, bias, int(t[-1]) if len(t) else last
 
 
 #: Rows of a bucket, a few minutes of samples.
 ATTITUDE_ROWS = 250_000
 LEVEL, STILL = (1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0)
-RAW = ("ax", "ay", "az", "wx", "wy", "wz")
 #: A bucket's state before its first own row, after its last one, how often it was run, and how the direction of gravity and the
 #: bias at its end follow the bias at its start (6 x 3). Quaternions up to a turn about the world's y axis.
 STATES = "stream long, _bucket int, runs int, " + ", ".join(f"{e}_{c} double" for e in ("s", "e") for c in ("qw", "qx", "qy", "qz", "bx", "by", "bz")) + ", s_t long, e_t long, slope array<double>"
