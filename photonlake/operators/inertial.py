@@ -6,8 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from photonlake.functions import quaternion
 from photonlake.functions.scan import bucketed, null_safe, running, with_lead
@@ -16,6 +18,8 @@ from photonlake.functions.shared import dropped, spread, stored
 #: Standard gravity used for accelerations given in g, and the filter's gains.
 GRAVITY = 9.81007
 KP, KI = 2.0, 0.005
+#: Cells that a recording is cut into, of a window at least.
+CELLS = 64
 ATTITUDE = "stream long, seq long, t long, qw double, qx double, qy double, qz double"
 
 
@@ -52,12 +56,33 @@ def stream_time_offset(df: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def rate_hz(samples: DataFrame, window_us: int = 1_000_000, buckets: int | None = None) -> DataFrame:
-    """Rate over the last second of each sample: (n - 1) / span, null for one sample or no span. So that a stream runs in
-    many tasks, the rows at most a window before a bucket's start are copied into that bucket."""
-    both = with_lead(bucketed(samples.select("stream", "seq", "t"), ["stream"], "t", buckets), ["stream"], "t", window_us)
-    w = Window.partitionBy("stream", "_bucket").orderBy("t").rangeBetween(-window_us, 0)
-    n, span = F.count("*").over(w), F.col("t") - F.min("t").over(w)
-    return both.withColumn("rate_hz", F.when((n >= 2) & (span > 0), (n - 1) / (span / 1e6))).filter("_own").select("stream", "seq", "t", "rate_hz")
+    """Rate over the last second of each sample: (n - 1) / span, null for one sample or no span.
+
+    Samples of one time are counted first, so a window has a row for each time at most. The times of a stream are cut into
+    cells (`buckets` for the whole of it; as long as a window, at least), each with the window before it, where running counts
+    and a search for the window's start give every rate at once, however many samples a window holds."""
+    own = samples.select("stream", "seq", "t")
+    times = own.filter("t is not null").groupBy("stream", "t").agg(F.count("*").alias("n"))
+    low, high = own.agg(F.min("t"), F.max("t")).first()
+    span = max(window_us, -(-((high or 0) - (low or 0) + 1) // (buckets or CELLS)), 1)
+    cell = lambda c: F.floor(c / span)
+    near = F.array_distinct(F.array(cell(F.col("t")), cell(F.col("t") + window_us)))
+
+    def rates(table: pa.Table) -> pa.Table:
+        t, n = (table.column(c).to_numpy() for c in ("t", "n"))
+        order = np.argsort(t)
+        t, upto = t[order], np.r_[0, np.cumsum(n[order])]
+        first = np.searchsorted(t, t - window_us)
+        count, long = upto[1:] - upto[first], t - t[first]
+        own = t // span == table.column("_cell")[0].as_py()
+        ok = (count >= 2) & (long > 0)
+        rate = (count - 1) / np.where(ok, long / 1e6, 1.0)
+        one = pa.array([table.column("stream")[0].as_py()], table.schema.field("stream").type)
+        return pa.table({"stream": pa.chunked_array([one.take(pa.array(np.zeros(int(own.sum()), np.int64)))]), "t": t[own], "rate_hz": pa.array(rate[own], mask=~ok[own])})
+
+    cells = times.withColumn("_cell", F.explode(near))
+    found = cells.groupBy("stream", "_cell").applyInArrow(rates, StructType([own.schema["stream"], StructField("t", LongType()), StructField("rate_hz", DoubleType())]))
+    return null_safe(own, found, ["stream", "t"], "left")
 
 
 def valid_dt(imu: DataFrame, most_us: int = 100_000, buckets: int | None = None) -> DataFrame:

@@ -571,3 +571,41 @@ def test_clock_on_a_stream_equals_the_batch_form(spark):
             assert (pd.isna(r.t) or r.t == t) and (y is None if pd.isna(r.y) else r.y == y)
             assert pd.isna(r.t) == (not (kinds[: r.packet_id * 7 + r.pos + 1] == 8).any())
         at += n
+
+
+def test_nearest_on_a_stream_makes_no_pairs(spark, tmp_path):
+    """Ties, borders of cells and widths, null streams and slices of any length against the rule; no join in the plan."""
+    rng = random.Random(8)
+    width = 40
+    a = [(s, k, rng.randint(0, 60_000)) for s in (0, 1) for k in range(300)]
+    b = [(s, k, rng.choice([rng.randint(0, 60_000), rng.randint(20_000, 21_000)])) for s in (0, 1) for k in range(900)]
+    folds = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(live, "folded_in_order", lambda rows, keys, order, fold, *rest, **more: folds.append((rows, keys, order, fold)))
+        live.nearest(*(spark.createDataFrame(r, "stream long, seq long, t long") for r in (a, b)), width)
+    rows, keys, order, fold = folds[0]
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for _, part in rows.drop("_ts").toPandas().groupby(keys):
+        part, past, at = part.sort_values(order, ignore_index=True), None, 0
+        while at < len(part):
+            n = rng.randint(1, 40)
+            out, past = fold(part[at : at + n].reset_index(drop=True), past)
+            got |= {(r.stream, r.a_seq): (None if pd.isna(r.b_t) else (r.b_t, r.b_seq)) for r in out.itertuples()}
+            at += n
+    near = lambda s, t: min(((abs(t - u), u, k) for r, k, u in b if r == s and abs(t - u) <= width), default=(0, None, None))[1:]
+    assert got == {(s, k): (None if near(s, t)[0] is None else near(s, t)) for s, k, t in a}
+
+
+def test_rate_of_many_samples_at_one_time(spark):
+    """Windows that hold a whole stream, equal times, null times and streams against the rule; no window function looks back."""
+    rng = random.Random(9)
+    rows = [(s, k, None if k == 7 else rng.randint(0, 50) * 100_000) for s in (0, None) for k in range(400)]
+    out = inertial.rate_hz(spark.createDataFrame(rows, "stream long, seq long, t long"))
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.stream, r.seq): r.rate_hz for r in out.collect()}
+    for s, k, t in rows:
+        own = [] if t is None else [u for r, _, u in rows if r == s and u is not None and t - 1_000_000 <= u <= t]
+        want = (len(own) - 1) / ((t - min(own)) / 1e6) if len(own) >= 2 and t > min(own) else None
+        assert got[s, k] == (want if want is None else pytest.approx(want)), (s, k)
+    assert len(got) == len(rows)
