@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -140,6 +142,7 @@ def attitude_of(rows: pd.DataFrame, q: tuple, bias: tuple, last: int | None) ->
 #: Rows of a bucket, a few minutes of samples.
 ATTITUDE_ROWS = 250_000
 LEVEL, STILL = (1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0)
+STATE = ("qw", "qx", "qy", "qz", "bx", "by", "bz")
 #: A bucket's state before its first own row, after its last one, how often it was run, and how the direction of gravity and the
 #: bias at its end follow the bias at its start (6 x 3). Quaternions up to a turn about the world's y axis.
 STATES = "stream long, _bucket int, runs int, " + ", ".join(f"{e}_{c} double" for e in ("s", "e") for c in ("qw", "qx", "qy", "qz", "bx", "by", "bz")) + ", s_t long, e_t long, slope array<double>"
@@ -190,6 +193,26 @@ def compare(part: pd.DataFrame, tolerance: float) -> pd.DataFrame:
     return _table(out, COMPARED)
 
 
+def attitude_parts(imu: DataFrame, warm_us: int) -> int:
+    """Buckets of about ATTITUDE_ROWS, but on average no shorter than the lead, which would else be most of the work."""
+    spans = imu.groupBy("stream").agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.floor((F.max("t") - F.min("t")) / warm_us)).alias("most"))
+    n, most = spans.agg(F.sum("n"), F.sum("most")).first()
+    return max(1, min(math.ceil((n or 0) / ATTITUDE_ROWS), most or 1))
+
+
+def in_buckets(rows: DataFrame) -> DataFrame:
+    """Each bucket's rows one after the other in one task, in order: read in batches (see `pieces`), a bucket may be of any size."""
+    return spread(rows, "stream", "_bucket").sortWithinPartitions("stream", "_bucket", "t", "seq")
+
+
+def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, Iterator[pd.DataFrame]]]:
+    """The buckets of a task, each with its rows in pieces as they come. A batch with a null stream has the others as floats."""
+    whole = lambda key: tuple(None if pd.isna(k) else int(k) for k in key)
+    parts = ((whole(key), part) for f in frames for key, part in f.groupby(["stream", "_bucket"], sort=False, dropna=False))
+    for key, own in groupby(parts, lambda p: p[0]):
+        yield key, (part for _, part in own)
+
+
 def attitude_buckets(imu: DataFrame, buckets: int | None = None, warm_us: int = 5_000_000, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
     """The samples in buckets that follow each other in time, and each bucket's states.
 
@@ -200,22 +223,28 @@ def attitude_buckets(imu: DataFrame, buckets: int | None = None, warm_us: int =
     moves, and buckets whose start differs by more than `tolerance` are run again from there, until none differs. The bucket
     behind the last exact one becomes exact in each round, so it ends; the rounds needed are few and don't grow with the
     stream. `runs` says how often a bucket was run (the nudged runs aside)."""
-    rows = bucketed(imu.select("stream", "seq", "t", *RAW), ["stream"], "t", buckets or max(1, math.ceil(imu.count() / ATTITUDE_ROWS)))
+    imu = imu.select("stream", "seq", "t", *RAW)
+    rows = bucketed(imu, ["stream"], "t", buckets or attitude_parts(imu, warm_us))
     many = rows.groupBy("stream").agg(F.count_distinct("_bucket").alias("n")).agg(F.max("n")).first()[0] or 0
     warm = with_lead(rows, ["stream"], "t", warm_us) if many > 1 else rows.withColumn("_own", F.lit(True))
 
-    def first(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "seq"])
-        lead, own = part[~part["_own"]], part[part["_own"]]
-        _, q, bias, last = attitude_of(lead, LEVEL, STILL, None)
-        _, q2, bias2, last2 = attitude_of(own, q, bias, last)
-        slope = np.zeros((6, 3))
-        for k in range(3 if many > 1 else 0):
-            _, q3, bias3, _ = attitude_of(own, q, tuple(b + NUDGE * (k == j) for j, b in enumerate(bias)), last)
-            slope[:, k] = (np.r_[_gravity(q3), bias3] - np.r_[_gravity(q2), bias2]) / NUDGE
-        return _table([(*key, 1, *q, *bias, *q2, *bias2, last, last2, slope.ravel().tolist())], STATES)
-
-    states = stored(spread(warm, "stream", "_bucket").groupBy("stream", "_bucket").applyInPandas(first, STATES), "attitude")
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, parts in pieces(frames):
+            q, bias, last, begun, nudged = LEVEL, STILL, None, None, []
+            for part in parts:
+                lead, own = part[~part["_own"]], part[part["_own"]]
+                _, q, bias, last = attitude_of(lead, q, bias, last)
+                if begun is None and len(own):
+                    begun = (*q, *bias, last)
+                    nudged = [(q, tuple(b + NUDGE * (k == j) for j, b in enumerate(bias))) for k in range(3 if many > 1 else 0)]
+                nudged = [attitude_of(own, *state, last)[1:3] for state in nudged]
+                _, q, bias, last = attitude_of(own, q, bias, last)
+            slope = np.zeros((6, 3))
+            for k, (q3, bias3) in enumerate(nudged):
+                slope[:, k] = (np.r_[_gravity(q3), bias3] - np.r_[_gravity(q), bias]) / NUDGE
+            yield _table([(*key, 1, *begun[:7], *q, *bias, begun[7], last, slope.ravel().tolist())], STATES)
+
+    states = stored(in_buckets(warm).mapInPandas(first, STATES), "attitude")
     for _ in range(many - 1):
         compared = stored(states.groupBy("stream").applyInPandas(lambda part: compare(part, tolerance), COMPARED), "compared")
         late = compared.filter(F.col("apart") > tolerance)
@@ -223,14 +252,19 @@ def attitude_buckets(imu: DataFrame, buckets: int | None = None, warm_us: int =
             dropped(compared)
             break
 
-        def again(key: tuple, part: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-            e = ends.iloc[0]
-            q, bias, last = tuple(float(e[f"p_{c}"]) for c in ("qw", "qx", "qy", "qz")), tuple(float(e[f"p_{c}"]) for c in ("bx", "by", "bz")), int(e["p_t"])
-            _, q2, bias2, last2 = attitude_of(part.sort_values(["t", "seq"]), q, bias, last)
-            return _table([(*key, int(e["runs"]) + 1, *q, *bias, *q2, *bias2, last, last2, list(e["slope"]))], STATES)
-
-        own = null_safe(rows, late.select("stream", "_bucket"), ["stream", "_bucket"])
-        redone = spread(own, "stream", "_bucket").groupBy("stream", "_bucket").cogroup(late.groupBy("stream", "_bucket")).applyInPandas(again, STATES)
+        def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for key, parts in pieces(frames):
+                begun = None
+                for part in parts:
+                    if begun is None:
+                        begun = tuple(float(part[f"p_{c}"].iloc[0]) for c in STATE)
+                        start = last = int(part["p_t"].iloc[0])
+                        runs, q, bias = int(part["runs"].iloc[0]), begun[:4], begun[4:]
+                    _, q, bias, last = attitude_of(part, q, bias, last)
+                yield _table([(*key, runs + 1, *begun, *q, *bias, start, last, [])], STATES)
+
+        own = null_safe(rows, late.select("stream", "_bucket", "runs", *(f"p_{c}" for c in STATE), "p_t"), ["stream", "_bucket"])
+        redone = null_safe(in_buckets(own).mapInPandas(again, STATES).drop("slope"), late.select("stream", "_bucket", "slope"), ["stream", "_bucket"])
         old, states = states, stored(redone.unionByName(compared.filter(F.col("apart") <= tolerance).select(*states.columns)), "attitude")
         dropped(old)
         dropped(compared)
@@ -253,12 +287,18 @@ def attitude(imu: DataFrame, buckets: int | None = None, warm_us: int = 5_000_00
 
     starts = states.groupBy("stream").applyInPandas(begin, "stream long, _bucket int, s_bx double, s_by double, s_bz double, s_t long, qw double, qx double, qy double, qz double")
 
-    def run(key: tuple, part: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        s = start.iloc[0]
-        last = None if pd.isna(s["s_t"]) else int(s["s_t"])
-        return attitude_of(part.sort_values(["t", "seq"]), tuple(float(s[c]) for c in ("qw", "qx", "qy", "qz")), tuple(float(s[c]) for c in ("s_bx", "s_by", "s_bz")), last)[0]
-
-    return spread(rows, "stream", "_bucket").groupBy("stream", "_bucket").cogroup(starts.groupBy("stream", "_bucket")).applyInPandas(run, ATTITUDE)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, parts in pieces(frames):
+            q = None
+            for part in parts:
+                if q is None:
+                    s = part.iloc[0]
+                    last = None if pd.isna(s["s_t"]) else int(s["s_t"])
+                    q, bias = tuple(float(s[c]) for c in STATE[:4]), tuple(float(s[f"s_{c}"]) for c in STATE[4:])
+                out, q, bias, last = attitude_of(part, q, bias, last)
+                yield out
+
+    return in_buckets(null_safe(rows, starts, ["stream", "_bucket"])).mapInPandas(run, ATTITUDE)
 
 
 def redone_share(states: DataFrame) -> DataFrame:

@@ -609,3 +609,23 @@ def test_rate_of_many_samples_at_one_time(spark):
         want = (len(own) - 1) / ((t - min(own)) / 1e6) if len(own) >= 2 and t > min(own) else None
         assert got[s, k] == (want if want is None else pytest.approx(want)), (s, k)
     assert len(got) == len(rows)
+
+
+def test_attitude_buckets_are_read_in_pieces(spark):
+    """A bucket of many batches is handed on in pieces, with the result of one piece; buckets aren't shorter than the lead."""
+    rng = np.random.default_rng(3)
+    schema = "stream long, seq long, t long, ax double, ay double, az double, wx double, wy double, wz double"
+    imu = spark.createDataFrame(imu_rows(1500, 5000, rng), schema)
+    key = lambda df: {(r.stream, r.seq): np.array([r.qw, r.qx, r.qy, r.qz]) for r in df.collect()}
+    whole = key(inertial.attitude(imu, 1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        got = key(inertial.attitude(imu, 6, 2_000_000))
+        most = inertial.in_buckets(imu.withColumn("_bucket", F.lit(0))).mapInPandas(lambda fs: (pd.DataFrame({"n": [len(p)]}) for _, parts in inertial.pieces(fs) for p in parts), "n long").agg(F.max("n"), F.sum("n")).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert tuple(most) == (70, 3000)
+    assert got.keys() == whole.keys() and max(np.abs(got[k] - whole[k]).max() for k in whole) < 1e-6
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(inertial, "ATTITUDE_ROWS", 10)
+        assert inertial.attitude_parts(imu, 2_000_000) == 2 * (1499 * 5000 // 2_000_000)
