@@ -252,12 +252,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12)
     shrink = np.full(x.shape[1], ridge)
     shrink[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = np.diag(shrink)
-        for part in np.split(np.arange(len(x)), range(1000, len(x), 1000)):
-            own = x[part].astype(float)
-            h += (own * (p[part] * (1 - p[part]) + 1e-6)[:, None]).T @ own
-        step = np.linalg.solve(h, x.T @ (y - p) - shrink * w)
+        h, slope = np.diag(shrink), -shrink * w
+        for at in range(0, len(x), 1000):  # all of x as doubles would be the most that the driver holds
+            own = x[at : at + 1000].astype(float)
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            slope += own.T @ (y[at : at + 1000] - p)
+            own *= np.sqrt(p * (1 - p) + 1e-6)[:, None]
+            h += own.T @ own
+        step = np.linalg.solve(h, slope)
         w += step
         if np.abs(step).max() < 1e-4:
             break
