@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photonlake.functions.scan import null_safe, running
-from photonlake.functions.shared import spread
+from photonlake.functions.scan import null_safe, rank, running
+from photonlake.functions.shared import spread, stored
 from photonlake.operators.frames import FRAME
 
 #: The least angle at which a ray may meet the floor, scored pixels a frame, accepted fits that are kept.
@@ -73,6 +73,24 @@ def votes_for(n, frame, i, scored: int):
     return (i * 2654435761 + frame * 40503) % (1 << 32) * n < scored * (1 << 32)
 
 
+def lines_through(wa: np.ndarray, da: np.ndarray, wb: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """it, slope and intercept of lines through pairs of pixels; pairs with nearly one w give none."""
+    it = np.flatnonzero(np.abs(wb - wa) >= 1e-3)
+    slope = (db[it] - da[it]) / (wb[it] - wa[it])
+    return it, slope, da[it] - slope * wa[it]
+
+
+def best_line(it: np.ndarray, slope: np.ndarray, intercept: np.ndarray, w: np.ndarray, d: np.ndarray, tolerance: float) -> tuple[float, float, float] | None:
+    """slope, intercept and share of inliers of the line with most inliers less pixels clearly below it, the first of equals."""
+    if not len(it):
+        return None
+    r = slope[:, None] * w + intercept[:, None] - d  # lines x scored pixels at most
+    inliers = np.count_nonzero(np.abs(r) < tolerance, 1)
+    score = inliers - np.count_nonzero(r >= tolerance, 1)
+    k = np.lexsort((it, -score))[0]
+    return float(slope[k]), float(intercept[k]), float(inliers[k] / max(1, len(w)))
+
+
 class Pixels(NamedTuple):
     """A frame's floor pixels in order of (v, u)."""
 
@@ -91,23 +109,12 @@ class Pixels(NamedTuple):
         """it, slope and intercept of lines through two drawn pixels each; pairs with nearly one w give none."""
         n = len(self.w)
         a, b = (np.array([draw(self.stream, self.frame, it, end, n) for it in range(iterations)], np.int64) for end in (1, 2))
-        it = np.flatnonzero(np.abs(self.w[b] - self.w[a]) >= 1e-3)
-        a, b = a[it], b[it]
-        slope = (self.d[b] - self.d[a]) / (self.w[b] - self.w[a])
-        return it, slope, self.d[a] - slope * self.w[a]
+        return lines_through(self.w[a], self.d[a], self.w[b], self.d[b])
 
     def best(self, it: np.ndarray, slope: np.ndarray, intercept: np.ndarray, tolerance: float, scored: int) -> tuple[float, float, float] | None:
-        """slope, intercept and share of inliers of the line with most inliers less pixels clearly below it, the first of equals.
-        About `scored` pixels vote, spread over the whole frame (all, if there are no more)."""
-        if not len(it):
-            return None
+        """The best of the lines by about `scored` voting pixels, spread over the whole frame (all, if there are no more)."""
         voting = votes_for(len(self.w), self.frame, np.arange(len(self.w), dtype=np.int64), scored)
-        w, d = self.w[voting], self.d[voting]
-        r = slope[:, None] * w + intercept[:, None] - d  # lines x scored pixels at most
-        inliers = np.count_nonzero(np.abs(r) < tolerance, 1)
-        score = inliers - np.count_nonzero(r >= tolerance, 1)
-        k = np.lexsort((it, -score))[0]
-        return float(slope[k]), float(intercept[k]), float(inliers[k] / max(1, len(w)))
+        return best_line(it, slope, intercept, self.w[voting], self.d[voting], tolerance)
 
     def tolerance(self, relative: float) -> float:
         """relative * (98th - 2nd percentile by rank)."""
@@ -183,9 +190,42 @@ def refine_line(candidates: DataFrame, lines: DataFrame, tolerance: DataFrame, m
     return fit.filter((F.col("inliers") >= min_inliers) & (F.col("slope") > 0))
 
 
+#: Candidates of a frame that one task holds.
+WIDE = 500_000
+
+
+def fit_wide(candidates: DataFrame, sizes: DataFrame, iterations: int, relative: float, min_share: float, min_inliers: int, scored: int) -> DataFrame:
+    """`floor_fit` of frames (`sizes`: their number of candidates, also `_n` of each) that are too large for a task: the candidates
+    are ranked in parts, those that vote or are drawn go into arrays, and percentiles and least squares are aggregates."""
+    tolerance = stored(tolerances(candidates, relative), "tolerances")
+    label = F.concat_ws(":", F.coalesce(F.col("stream").cast("string"), F.lit("")), "frame_id", "_it", "_end")
+    drawn = F.conv(F.substring(F.md5(label), 1, 15), 16, 10).cast("long") % F.col("_n")
+    draws = sizes.withColumn("_it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("_end", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("_i", drawn)
+    draws = draws.select(*FRAME, "_i").distinct().withColumn("_drawn", F.lit(True))
+    ranked = rank(candidates.select(*FRAME, "v", "u", "w", "d", "_n"), FRAME, ["v", "u"], "_i")
+    ranked = ranked.withColumn("_votes", votes_for(F.col("_n"), F.col("frame_id"), F.col("_i"), scored))
+    some = null_safe(ranked, F.broadcast(draws), [*FRAME, "_i"], "left").filter("_votes or _drawn")  # a few thousand rows a frame
+    some = null_safe(some, tolerance, FRAME).select(*FRAME, "_i", "_n", "_votes", "w", "d", "tolerance")
+
+    def vote(table: pa.Table) -> pa.Table:
+        i, w, d, votes = (table.column(c).to_numpy() for c in ("_i", "w", "d", "_votes"))
+        stream, frame, n, tolerance = (table.column(c)[0].as_py() for c in ("stream", "frame_id", "_n", "tolerance"))
+        order = np.argsort(i)
+        a, b = (order[np.searchsorted(i, [draw(stream, frame, it, end, n) for it in range(iterations)], sorter=order)] for end in (1, 2))
+        best = best_line(*lines_through(w[a], d[a], w[b], d[b]), w[votes], d[votes], tolerance)
+        if best is None or best[2] < min_share:
+            return _values(stream=[], frame_id=[], slope=[], intercept=[], vote_share=[])
+        return _values(stream=[stream], frame_id=[frame], slope=[best[0]], intercept=[best[1]], vote_share=[best[2]])
+
+    lines = some.groupBy(*FRAME).applyInArrow(vote, "stream long, frame_id long, slope double, intercept double, vote_share double")
+    fit = refine_line(candidates.drop("_n"), stored(lines, "lines"), tolerance, min_inliers)
+    return fit.select("stream", "frame_id", "t", "slope", "shift", "tolerance", "vote_share", "inliers")
+
+
 def floor_fit(pixels: DataFrame, iterations: int = 64, relative: float = 0.05, min_share: float = 0.25, min_inliers: int = 8, scored: int = SCORED) -> DataFrame:
     """stream, frame_id, t, slope, shift, tolerance, vote_share, inliers from pixels with w and d: the steps above in one pass.
-    The candidates of a frame are shuffled once, as its rows are, and everything else happens in arrays of one frame."""
+    The candidates of a frame are shuffled once, as its rows are, and everything else happens in arrays of one frame; frames of
+    over WIDE candidates go the way of `fit_wide`."""
 
     def fit(table: pa.Table) -> pa.Table:
         p = Pixels.of(table)
@@ -198,7 +238,13 @@ def floor_fit(pixels: DataFrame, iterations: int = 64, relative: float = 0.05, m
         return _values(stream=one(p.stream), frame_id=one(p.frame), t=one(table.column("t")[0].as_py()), slope=one(slope), shift=one(shift), tolerance=one(tolerance), vote_share=one(best and best[2]), inliers=one(inliers))
 
     rows = _candidates(pixels).select(*FRAME, "t", "v", "u", F.col("w").cast("double"), F.col("d").cast("double"))
-    return spread(rows, *FRAME).groupBy(*FRAME).applyInArrow(fit, "stream long, frame_id long, t long, slope double, shift double, tolerance double, vote_share double, inliers long")
+    wide, n = None, rows.groupBy(*FRAME).agg(F.count("*").alias("_n")).filter(F.col("_n") > WIDE)
+    if not n.isEmpty():
+        n = stored(n, "wide")
+        sized = null_safe(rows, n, FRAME, "left")
+        wide, rows = fit_wide(sized.filter("_n is not null"), n, iterations, relative, min_share, min_inliers, scored), sized.filter("_n is null").drop("_n")
+    small = spread(rows, *FRAME).groupBy(*FRAME).applyInArrow(fit, "stream long, frame_id long, t long, slope double, shift double, tolerance double, vote_share double, inliers long")
+    return small if wide is None else small.unionByName(wide)
 
 
 class Gate:

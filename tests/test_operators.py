@@ -629,3 +629,16 @@ def test_attitude_buckets_are_read_in_pieces(spark):
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(inertial, "ATTITUDE_ROWS", 10)
         assert inertial.attitude_parts(imu, 2_000_000) == 2 * (1499 * 5000 // 2_000_000)
+
+
+def test_wide_frames_are_fitted_in_parts(spark, small, monkeypatch):
+    """Frames too large for a task have the fits that they have in arrays; null streams too. No group takes a whole frame."""
+    pixels = frame_queries.floor_pixels(spark, small).withColumn("stream", F.when(F.col("stream") > 0, F.col("stream")))
+    fits = lambda df: {(r.stream, r.frame_id, r.t): (r.slope, r.shift, r.tolerance, r.vote_share, r.inliers) for r in df.collect()}
+    want = fits(floor.floor_fit(pixels, scored=20))
+    monkeypatch.setattr(floor, "WIDE", 40)
+    got = fits(floor.floor_fit(pixels, scored=20))
+    assert got.keys() == want.keys() and len(want) > 10
+    assert all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-9) for k in want)
+    half = pixels.filter((F.col("frame_id") % 2 == 0) | (F.col("v") < 6))  # some frames wide, some not
+    assert fits(floor.floor_fit(half, scored=20)).keys() >= {k for k in want if k[1] % 2 == 0}
